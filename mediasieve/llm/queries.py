@@ -42,10 +42,100 @@ SELECT d.doc_id, count(s.s) AS n_words, round(coalesce(sum(s.s), 0), 4) AS log_s
 FROM documents AS d LEFT JOIN s ON d.doc_id = s.doc_id GROUP BY d.doc_id
 """
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mediasieve.llm.secrets import find_secrets
+
+    found = find_secrets(_read(spark, sf_dir, "documents"))
+    counts = [f"CAST(size(filter(spans, s -> s.kind = '{k}')) AS LONG) AS n_{k}" for k in ("assign", "access", "hex", "random")]
+    joined = "array_join(transform({}, s -> concat_ws(':', s.kind, s.start, s.end)), ',')"
+    return found.selectExpr("doc_id", *counts, f"sha2({joined.format("filter(spans, s -> s.kind <> 'random')")}, 256) AS base_sha256", f"{joined.format('spans')} AS spans")
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mediasieve.llm.mixing import mix_sources
+
+    draws = mix_sources(_read(spark, sf_dir, "documents"))
+    return draws.selectExpr("source", "epoch", "block", "doc_id", "n_tokens", "start", "round(weight, 9) AS weight", "quota")
+
+
+OP2_SQL = r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, coalesce(source, '') AS source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n_tokens FROM documents
+), s AS (
+  SELECT source, sum(n_tokens)::BIGINT AS total FROM t GROUP BY 1 HAVING sum(n_tokens) > 0
+), g AS (SELECT sum(total)::DOUBLE AS everything FROM s),
+p AS (SELECT s.source, s.total, s.total / g.everything AS share FROM s CROSS JOIN g),
+e AS (
+  SELECT 0 AS k, 0::DOUBLE AS low,
+    (SELECT ln(sum(share)) - sum(share * ln(share)) / sum(share) >= 0.92 * ln(count(*)) - 1e-12 FROM p) AS done
+  UNION ALL
+  SELECT k + 1, CASE WHEN NOT done AND (SELECT ln(sum(pow(share, low + pow(0.5, k + 1)))) - sum(pow(share, low + pow(0.5, k + 1)) * ln(pow(share, low + pow(0.5, k + 1)))) / sum(pow(share, low + pow(0.5, k + 1))) >= 0.92 * ln(count(*)) - 1e-12 FROM p)
+    THEN low + pow(0.5, k + 1) ELSE low END, done FROM e WHERE k < 30
+), r AS (
+  SELECT 0 AS k, 0::DOUBLE AS low, (SELECT max(1 / share) / count(*) > 4 + 1e-12 FROM p) AS exceeds
+  UNION ALL
+  SELECT k + 1, CASE WHEN (SELECT max(pow(share, low + pow(0.5, k + 1) - 1)) / sum(pow(share, low + pow(0.5, k + 1))) > 4 + 1e-12 FROM p)
+    THEN low + pow(0.5, k + 1) ELSE low END, exceeds FROM r WHERE k < 30
+), x AS (
+  SELECT greatest((SELECT CASE WHEN done THEN 1 ELSE low END FROM e WHERE k = 30),
+                  (SELECT CASE WHEN exceeds THEN low + pow(0.5, 30) ELSE 0 END FROM r WHERE k = 30)) AS x
+), z AS (
+  SELECT source, total, round(pow(share, x.x) / (SELECT sum(pow(share, x.x)) FROM p), 12) AS weight FROM p CROSS JOIN x
+), w AS (
+  SELECT z.source, z.total, z.weight, floor(z.weight * g.everything)::BIGINT AS quota, ceil(z.total / 1048576)::BIGINT AS n_blocks
+  FROM z CROSS JOIN g
+), d AS (
+  SELECT t.source, t.doc_id, t.n_tokens, w.total, w.weight, w.quota, unnest(range(0, greatest(ceil(w.quota / w.total)::BIGINT, 1))) AS epoch,
+    ('0x' || substring(md5('17:' || t.doc_id), 1, 8))::BIGINT % w.n_blocks AS block
+  FROM t JOIN w ON t.source = w.source
+), o AS (
+  SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY source, epoch
+      ORDER BY md5(concat_ws(':', '17', epoch, source, block)), block, md5(concat_ws(':', '17', epoch, doc_id)), doc_id, n_tokens
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d
+)
+SELECT source, epoch, block, doc_id, n_tokens, CAST(epoch * total + before AS BIGINT) AS start, round(weight, 9) AS weight, quota
+FROM o WHERE epoch * total + before < quota
+"""
+
+#: (verdict, host, path) of the fixed rules.
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The listed URLs are those of the pages whose id is divisible by 50; all pages are judged."""
+    from mediasieve.llm.url_filter import judge_urls
+
+    pages = _read(spark, sf_dir, "pages")
+    return judge_urls(pages, URL_RULES, pages.where("page_id % 50 = 0").select("url"))
+
+
+OP9_SQL = r"""
+WITH u AS (
+  SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^?#]*(\?[^#]+)', 1), '') AS query
+  FROM pages
+), k AS (
+  SELECT page_id, host, path, CASE WHEN host <> '' THEN concat(regexp_replace(host, '^www\.', ''), regexp_replace(path, '/+$', ''), query) END AS key FROM u
+), l AS (SELECT DISTINCT key FROM k WHERE page_id % 50 = 0 AND key IS NOT NULL),
+r(verdict, h, p) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+f AS (
+  SELECT k.page_id, max_by(h || p, length(h || p)) AS rule, max_by(verdict, length(h || p)) AS verdict
+  FROM k JOIN r ON (k.host = r.h OR ends_with(k.host, '.' || r.h)) AND starts_with(k.path, r.p) GROUP BY 1
+)
+SELECT k.page_id, k.host, k.path, f.rule, coalesce(f.verdict, CASE WHEN l.key IS NULL THEN 'allow' ELSE 'block' END) AS verdict, l.key IS NOT NULL AS listed
+FROM k LEFT JOIN f ON k.page_id = f.page_id LEFT JOIN l ON k.key = l.key
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secrets": op1_secrets,
+    "op2_mixing": op2_mixing,
     "op5_lm_score": op5_lm_score,
+    "op9_url_filter": op9_url_filter,
 }
 
 SQL: dict[str, str] = {
+    "op2_mixing": OP2_SQL,
     "op5_lm_score": OP5_SQL,
+    "op9_url_filter": OP9_SQL,
 }
