@@ -18,7 +18,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-KEY_BITS = 56
+
+def key_bits(n_keys: int) -> int:
+    """Bits of a key: with 24 more than the number of keys needs, one key in 16 million meets another's at any size."""
+    return min(64, max(n_keys, 1).bit_length() + 24)
 
 
 def block_of(doc_id: Column, n_blocks: int) -> Column:
@@ -60,11 +63,11 @@ def unpack_keys(data: bytes, n: int) -> np.ndarray:
     return np.cumsum(unpack(data, n), dtype=np.uint64)
 
 
-def cuts(keys: np.ndarray, n_ranges: int) -> np.ndarray:
-    """Where each of the key ranges begins and ends in sorted keys."""
+def cuts(keys: np.ndarray, n_ranges: int, bits: int) -> np.ndarray:
+    """Where each of the key ranges begins and ends in sorted keys of so many bits."""
     if n_ranges == 1:
         return np.array([0, len(keys)])
-    edges = np.arange(1, n_ranges, dtype=np.uint64) << np.uint64(KEY_BITS - int(math.log2(n_ranges)))
+    edges = np.arange(1, n_ranges, dtype=np.uint64) << np.uint64(bits - int(math.log2(n_ranges)))
     return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
 
 

@@ -14,10 +14,10 @@ _BACK = "block int, part int, size int, totals binary"
 _SCORED = "doc_id long, n_words long, log_score double, mean_log_score double"
 
 
-def _grams(texts: list[bytes], order: int):
+def _grams(texts: list[bytes], order: int, bits: int):
     """The number of words of each text; for each n up to order, n-gram keys by position and the positions."""
     hashes, counts = words.word_hashes(texts)
-    shift = np.uint64(64 - blocks.KEY_BITS)
+    shift = np.uint64(64 - bits)
     out = []
     for n in range(1, order + 1):
         at = np.flatnonzero(words.runs_within(counts, n))
@@ -38,8 +38,8 @@ def stupid_backoff(docs: DataFrame, order: int = 3, backoff: float = 0.4, min_co
     The relational plan: documents are dealt into blocks; each block sends its
     distinct n-grams with counts to the task of their hash range, which holds
     that part of the count table; the totals come back to the block, where they
-    are joined to the exploded n-grams and summed by document. Keys are 56-bit
-    hashes.
+    are joined to the exploded n-grams and summed by document. Keys are
+    hashes with 24 bits more than the number of n-grams needs.
 
     Null or wordless text: 0 words, log_score 0, mean null. Repeated rows are
     documents of their own. An empty table gives an empty result. Further
@@ -48,14 +48,15 @@ def stupid_backoff(docs: DataFrame, order: int = 3, backoff: float = 0.4, min_co
     docs = docs.select("doc_id", "text")
     n_bytes, n_words = blocks.corpus_size(docs)
     n_blocks, n_ranges = blocks.sizes(n_bytes, n_words)
+    bits = blocks.key_bits(n_words)
     dealt = docs.select(blocks.block_of(F.col("doc_id"), n_blocks).alias("block"), "doc_id", "text")
 
     def send(table: pa.Table) -> pa.Table:
         block = table.column("block")[0].as_py()
         rows = []
-        for n, (keys, _) in enumerate(_grams(blocks.texts_of(table), order)[1]):
+        for n, (keys, _) in enumerate(_grams(blocks.texts_of(table), order, bits)[1]):
             keys, counts = np.unique(keys, return_counts=True)
-            edges = blocks.cuts(keys, n_ranges)
+            edges = blocks.cuts(keys, n_ranges, bits)
             rows += [(block, n * n_ranges + k, b - a, blocks.pack_keys(keys[a:b]), blocks.pack(counts[a:b])) for k, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
         return _table(rows, ["block", "part", "size", "keys", "counts"], [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()])
 
@@ -67,7 +68,7 @@ def stupid_backoff(docs: DataFrame, order: int = 3, backoff: float = 0.4, min_co
         return _table([(r["block"], r["part"], r["size"], blocks.pack(p)) for r, p in zip(rows, parts)], ["block", "part", "size", "totals"], [pa.int32(), pa.int32(), pa.int32(), pa.binary()])
 
     def score(table: pa.Table, answers: pa.Table) -> pa.Table:
-        counts, grams = _grams(blocks.texts_of(table), order)
+        counts, grams = _grams(blocks.texts_of(table), order, bits)
         got: list[list] = [[] for _ in range(order)]
         for r in sorted(answers.to_pylist(), key=lambda r: r["part"]):
             got[r["part"] // n_ranges].append(blocks.unpack(r["totals"], r["size"]).astype(np.int64))
