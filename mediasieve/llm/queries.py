@@ -11,6 +11,12 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mediasieve.llm.language_id import identify
+
+    return identify(_read(spark, sf_dir, "documents"))
+
+
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mediasieve.llm.lm_score import stupid_backoff
 
@@ -101,6 +107,16 @@ FROM o WHERE epoch * total + before < quota
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
 
+def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encoded, written as record files in the shared folder, and read back."""
+    from mediasieve.llm import token_records as T
+    from mediasieve.llm.scratch import scratch_dir
+
+    where = scratch_dir(spark, "token-records")
+    T.write_records(_read(spark, sf_dir, "documents"), where)
+    return T.read_records(spark, where).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The listed URLs are those of the pages whose id is divisible by 50; all pages are judged."""
     from mediasieve.llm.url_filter import judge_urls
@@ -127,11 +143,24 @@ SELECT k.page_id, k.host, k.path, f.rule, coalesce(f.verdict, CASE WHEN l.key IS
 FROM k LEFT JOIN f ON k.page_id = f.page_id LEFT JOIN l ON k.key = l.key
 """
 
+def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored as images in archives in the shared folder, and read back through the data source."""
+    from mediasieve.llm import media_columns as M
+    from mediasieve.llm.scratch import scratch_dir
+
+    where = scratch_dir(spark, "media-archives")
+    M.write_archives(_read(spark, sf_dir, "documents"), where)
+    return M.features(M.read_archives(spark, where))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_mixing": op2_mixing,
+    "op3_language_id": op3_language_id,
     "op5_lm_score": op5_lm_score,
+    "op7_token_records": op7_token_records,
     "op9_url_filter": op9_url_filter,
+    "op10_media_columns": op10_media_columns,
 }
 
 SQL: dict[str, str] = {

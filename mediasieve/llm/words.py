@@ -40,11 +40,11 @@ def _power_tables(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[base]
 
 
-def _chunks(texts: Iterable[bytes]) -> Iterator[list[bytes]]:
+def _chunks(texts: Iterable[bytes], limit: int) -> Iterator[list[bytes]]:
     chunk: list[bytes] = []
     size = 0
     for t in texts:
-        if chunk and size + len(t) > _CHUNK:
+        if chunk and size + len(t) > limit:
             yield chunk
             chunk, size = [], 0
         chunk.append(t)
@@ -53,12 +53,12 @@ def _chunks(texts: Iterable[bytes]) -> Iterator[list[bytes]]:
         yield chunk
 
 
-def word_hashes(texts: list[bytes], seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of all texts in order, and the number of words of each text."""
+def hashed_chunks(texts: Iterable[bytes], seed: int = 0, limit: int = _CHUNK) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Runs of texts of about ``limit`` bytes: their joined bytes, first and last place and hash of each word, words of each text."""
     base = (_BASE + 2 * seed * 0x1000193) % (1 << 64) | 1
-    hashes, counts = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-    for chunk in _chunks(texts):
-        buf = np.frombuffer(b"\n".join(chunk), np.uint8)
+    for chunk in _chunks(texts, limit):
+        joined = b"\n".join(chunk)
+        buf = np.frombuffer(joined, np.uint8)
         gap = (buf == 32) | ((buf >= 9) & (buf <= 13))
         edges = np.flatnonzero(np.diff(gap, prepend=True, append=True))
         first, last = edges[0::2], edges[1::2]
@@ -67,9 +67,16 @@ def word_hashes(texts: list[bytes], seed: int = 0) -> tuple[np.ndarray, np.ndarr
         np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[: len(buf)], out=sums[1:])
         h = (sums[last] - sums[first]) * down[first]
         h ^= (last - first).astype(np.uint64) * _STEP
-        hashes.append(mix(h))
         ends = np.cumsum([len(t) + 1 for t in chunk])
-        counts.append(np.diff(np.searchsorted(first, ends), prepend=0))
+        yield joined, first, last, mix(h), np.diff(np.searchsorted(first, ends), prepend=0)
+
+
+def word_hashes(texts: list[bytes], seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of all texts in order, and the number of words of each text."""
+    hashes, counts = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    for *_, h, c in hashed_chunks(texts, seed):
+        hashes.append(h)
+        counts.append(c)
     return np.concatenate(hashes), np.concatenate(counts)
 
 
