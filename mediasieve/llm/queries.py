@@ -17,6 +17,12 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_read(spark, sf_dir, "documents"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mediasieve.llm.decontaminate import find_leaks
+
+    return find_leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mediasieve.llm.lm_score import stupid_backoff
 
@@ -157,6 +163,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_mixing": op2_mixing,
     "op3_language_id": op3_language_id,
+    "op4_decontaminate": op4_decontaminate,
     "op5_lm_score": op5_lm_score,
     "op7_token_records": op7_token_records,
     "op9_url_filter": op9_url_filter,
