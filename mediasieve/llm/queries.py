@@ -109,6 +109,26 @@ SELECT source, epoch, block, doc_id, n_tokens, CAST(epoch * total + before AS BI
 FROM o WHERE epoch * total + before < quota
 """
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mediasieve.llm.ngram_join import jaccard_components
+
+    return jaccard_components(_read(spark, sf_dir, "documents"))
+
+
+OP8_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 3 THEN [array_to_string(ws[i:i+2], ' ') FOR i IN range(1, len(ws) - 1)]
+    WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE []::VARCHAR[] END) AS g FROM w
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s AS a JOIN s AS b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM i JOIN n AS x ON a = x.doc_id JOIN n AS y ON b = y.doc_id WHERE 100 * i >= 90 * (x.n + y.n - i)),
+r AS (SELECT doc_id AS v, doc_id AS reached FROM documents UNION SELECT r.v, l.b FROM r JOIN l ON r.reached = l.a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id FROM documents AS d LEFT JOIN n ON d.doc_id = n.doc_id
+JOIN (SELECT v, min(reached) AS component_id FROM r GROUP BY 1) AS c ON d.doc_id = c.v
+"""
+
 #: (verdict, host, path) of the fixed rules.
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
@@ -166,6 +186,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontaminate": op4_decontaminate,
     "op5_lm_score": op5_lm_score,
     "op7_token_records": op7_token_records,
+    "op8_ngram_join": op8_ngram_join,
     "op9_url_filter": op9_url_filter,
     "op10_media_columns": op10_media_columns,
 }
@@ -173,5 +194,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 SQL: dict[str, str] = {
     "op2_mixing": OP2_SQL,
     "op5_lm_score": OP5_SQL,
+    "op8_ngram_join": OP8_SQL,
     "op9_url_filter": OP9_SQL,
 }
