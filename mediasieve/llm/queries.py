@@ -133,6 +133,25 @@ JOIN (SELECT v, min(reached) AS component_id FROM r GROUP BY 1) AS c ON d.doc_id
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mediasieve.llm.substring_dedup import remove_repeats
+
+    return remove_repeats(_read(spark, sf_dir, "documents"))
+
+
+OP6_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+k AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w WHERE len(ws) >= 13),
+e AS (SELECT doc_id, i, array_to_string(ws[i:i+12], ' ') AS g FROM k),
+f AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) < doc_id AS gone FROM e),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM f WHERE gone),
+p AS (SELECT doc_id, len(ws) AS n_words, unnest(CASE WHEN len(ws) > 0 THEN range(1, len(ws) + 1) ELSE [NULL] END) AS i, ws FROM w),
+m AS (SELECT p.doc_id, p.n_words, p.i, ws[p.i] AS word, c.i IS NOT NULL AS gone FROM p LEFT JOIN c ON p.doc_id = c.doc_id AND p.i = c.i)
+SELECT doc_id, any_value(n_words) AS n_words, count(*) FILTER (gone) AS n_removed,
+  sha256(coalesce(string_agg(word, ' ' ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM m GROUP BY doc_id
+"""
+
+
 def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encoded, written as record files in the shared folder, and read back."""
     from mediasieve.llm import token_records as T
@@ -185,6 +204,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op4_decontaminate": op4_decontaminate,
     "op5_lm_score": op5_lm_score,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_token_records": op7_token_records,
     "op8_ngram_join": op8_ngram_join,
     "op9_url_filter": op9_url_filter,
@@ -194,6 +214,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 SQL: dict[str, str] = {
     "op2_mixing": OP2_SQL,
     "op5_lm_score": OP5_SQL,
+    "op6_substring_dedup": OP6_SQL,
     "op8_ngram_join": OP8_SQL,
     "op9_url_filter": OP9_SQL,
 }
