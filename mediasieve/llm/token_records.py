@@ -94,6 +94,10 @@ class WordEncoder:
             path = public_tokenizers.path("word_bpe_49k.json")
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.marks = dict(zip((b".", b","), (i.tobytes() for i in self._ids([".", ","]))))
 
     def check(self, text: str) -> bool:
         return self.encode(text).tolist() == self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -101,28 +105,42 @@ class WordEncoder:
     def encode(self, text: str) -> np.ndarray:
         return next(self.encode_all([text.encode()]))
 
-    def _pieces(self, word: bytes) -> list[bytes]:
-        """What a word's ids are put together from."""
-        if word[-1:] in b".," and word[:-1].decode("utf-8", "replace")[-1:].isalpha():
-            return [*self._pieces(word[:-1]), word[-1:]]
-        return [word.lower() if word.isascii() and b"<|" not in word else word]
+    @staticmethod
+    def _core(word: bytes) -> bytes | None:
+        """The word without a full stop or comma at its end, ASCII in lower case; None if it isn't all letters."""
+        core = word[:-1] if word[-1:] in b".," else word
+        if core.isalpha():
+            return core.lower()
+        return core if core and core.decode().isalpha() else None
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words: list[bytes]) -> None:
         if len(self.known) > _CACHE_WORDS:
             self.known = {}
-        new = [w for w in words if w not in self.known]
-        pieces = {w: self._pieces(w) for w in new}
-        some = list({p for ps in pieces.values() for p in ps if p not in self.known})
-        for i in range(0, len(some), 4096):
-            part = some[i : i + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
-        for w, ps in pieces.items():
-            self.known[w] = b"".join([self.known[p] for p in ps])
+        known = self.known
+        new = [w for w in words if w not in known]
+        cores = list(map(self._core, new))
+        odd = [w for w, c in zip(new, cores) if c is None]
+        known.update(zip(odd, (i.tobytes() for i in self._ids([w.decode() for w in odd]))))
+        # Words of letters alone are encoded many to a text; the last token of each ends a word.
+        some = list({c for c in cores if c is not None and c not in known})
+        groups = [some[i : i + 64] for i in range(0, len(some), 64)]
+        for group, ids in zip(groups, self._ids([b" ".join(g).decode() for g in groups])):
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) == len(group):
+                data, edges = ids.tobytes(), [0, *(4 * ends).tolist()]
+                known.update(zip(group, (data[a:b] for a, b in zip(edges, edges[1:]))))
+            else:
+                known.update(zip(group, (i.tobytes() for i in self._ids([w.decode() for w in group]))))
+        for w, c in zip(new, cores):
+            if c is not None:
+                known[w] = known[c] + self.marks[w[-1:]] if w[-1:] in self.marks else known[c]
 
     def encode_all(self, texts: list[bytes]) -> Iterator[np.ndarray]:
-        """The ids of each text. Words are told apart by 64-bit hashes within a few MB, and by their bytes beyond."""
-        for joined, first, last, hashes, counts in hashed_chunks(texts, limit=1 << 22):
+        """The ids of each text. Words are told apart by 64-bit hashes within 2 MB, and by their bytes beyond."""
+        for joined, first, last, hashes, counts in hashed_chunks(texts, limit=(1 << 21) - 1024):
             _, at, place = np.unique(hashes, return_index=True, return_inverse=True)
             words = [joined[a:b] for a, b in zip(first[at].tolist(), last[at].tolist())]
             self._learn(words)
