@@ -150,6 +150,23 @@ def has_letter(text: str | None) -> bool:
     return text is not None and any(map(str.isalpha, text))
 
 
+def classify(texts: list[str | None], net: ByteConvNet | None, tables: list[list[np.ndarray]]) -> tuple[list[str], list[float]]:
+    """Language and score of each text."""
+    langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+    at = [k for k, t in enumerate(texts) if net and has_letter(t)]
+    while at:
+        some, size = [], 0
+        while at and size < 1 << 21:
+            some.append(at.pop())
+            size += len(texts[some[-1]])
+        windows = [windows_of(texts[k].encode()) for k in some]
+        ends = np.cumsum([0, *map(len, windows)])
+        logs = np.add.reduceat(net.log_probs(np.concatenate(windows), tables), ends[:-1], axis=0) / np.diff(ends)[:, None]
+        for k, p in zip(some, np.exp(_log_softmax(logs))):
+            langs[k], scores[k] = net.langs[int(p.argmax())], float(min(1.0, p.max()))
+    return langs, scores
+
+
 def predict(docs: DataFrame, net: ByteConvNet | None) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) for every row of ``docs(doc_id, text)``.
 
@@ -164,25 +181,28 @@ def predict(docs: DataFrame, net: ByteConvNet | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = net.pair_tables() if net else []
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-            at = [k for k, t in enumerate(texts) if net and has_letter(t)]
-            while at:
-                some, size = [], 0
-                while at and size < 1 << 21:
-                    some.append(at.pop())
-                    size += len(texts[some[-1]])
-                windows = [windows_of(texts[k].encode()) for k in some]
-                ends = np.cumsum([0, *map(len, windows)])
-                logs = np.add.reduceat(net.log_probs(np.concatenate(windows), tables), ends[:-1], axis=0) / np.diff(ends)[:, None]
-                probs = np.exp(_log_softmax(logs))
-                for k, p in zip(some, probs):
-                    langs[k], scores[k] = net.langs[int(p.argmax())], float(min(1.0, p.max()))
-            yield pa.record_batch([batch.column("doc_id"), batch.column("held_out"), pa.array(langs), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
+            langs, scores = classify(batch.column("text").to_pylist(), net, tables)
+            yield pa.record_batch([batch.column("doc_id"), batch.column("held_out"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
+def keep_identified(docs: DataFrame, net: ByteConvNet | None, min_score: float = 0.3) -> DataFrame:
+    """The rows of ``docs``, with all columns, whose text is in a known language with a score of ``min_score`` or more.
+
+    Without a network every text that has a letter stays.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = net.pair_tables() if net else []
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            keep = [s >= min_score for s in classify(texts, net, tables)[1]] if net else list(map(has_letter, texts))
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def identify(docs: DataFrame, max_sample: int = 6000) -> DataFrame:
     """``predict`` for ``docs(doc_id, text, lang)`` with a network fitted on its labelled rows that are not held out."""
     return predict(docs, fit(docs, max_sample))

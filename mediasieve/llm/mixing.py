@@ -41,7 +41,7 @@ def _last(shares: DataFrame, holds: Column) -> float | None:
         at = (
             shares.select("share", F.posexplode(F.array(*map(F.lit, points))).alias("j", "x"))
             .groupBy("j")
-            .agg(F.sum(power).alias("z"), F.sum(power * F.log(power)).alias("e"), F.max(power / F.col("share")).alias("r"), F.count("share").alias("n"))
+            .agg(F.sum(power).alias("z"), F.sum(power * F.log(power)).alias("e"), F.max(power / F.col("share")).alias("r"), F.max(F.col("share") / power).alias("s"), F.count("share").alias("n"))
         )
         j = at.where(holds).agg(F.max("j")).first()[0]
         if j is None or low + wide * j >= 1.0:
@@ -50,7 +50,7 @@ def _last(shares: DataFrame, holds: Column) -> float | None:
     return low
 
 
-def bisect_exponent(shares: DataFrame, target_entropy: float | None, max_repeat: float | None, budget_ratio: float) -> float:
+def bisect_exponent(shares: DataFrame, target_entropy: float | None, max_repeat: float | None, budget_ratio: float | None) -> float:
     """The exponent in [0, 1] for ``shares(share)``; weights are share ** exponent, normalised.
 
     It is the largest whose weights have an entropy of ``target_entropy`` times
@@ -64,22 +64,26 @@ def bisect_exponent(shares: DataFrame, target_entropy: float | None, max_repeat:
         entropy = F.log("z") - F.col("e") / F.col("z")
         exponent = _last(shares, entropy >= target_entropy * F.log("n") - 1e-12) or 0.0
     if max_repeat is not None:
-        low = _last(shares, F.col("r") / F.col("z") * budget_ratio > max_repeat + 1e-12)
+        repeats = F.col("r") * F.col("s") if budget_ratio is None else F.col("r") / F.col("z") * budget_ratio
+        low = _last(shares, repeats > max_repeat + 1e-12)
         exponent = max(exponent, 0.0 if low is None else min(1.0, low + 2.0 ** -(HALVINGS * ROUNDS)))
     return exponent
 
 
-def weights(tokens: DataFrame, target_entropy: float | None, max_repeat: float | None, budget_ratio: float, block_tokens: int) -> DataFrame:
+def weights(tokens: DataFrame, target_entropy: float | None, max_repeat: float | None, budget_ratio: float | None, block_tokens: int) -> DataFrame:
     """(source, total, weight, quota, n_blocks, n_epochs) of every source with tokens, from a token table."""
     sums = written(tokens.groupBy("source").agg(F.sum("n_tokens").alias("total")).where("total > 0"), "mixing-sources")
     everything = sums.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
     shares = sums.withColumn("share", F.col("total") / F.lit(float(max(everything, 1))))
     exponent = bisect_exponent(shares, target_entropy, max_repeat, budget_ratio)
     power = F.pow("share", F.lit(exponent))
-    norm = shares.agg(F.sum(power)).first()[0] or 1.0
+    norm, most = shares.agg(F.sum(power), F.max(F.col("share") / power)).first()
+    norm = norm or 1.0
+    ratio = budget_ratio if budget_ratio is not None else norm * (most or 0.0)
+    quota = F.floor(F.col("weight") * F.lit(float(everything) * ratio))
     return (
         shares.withColumn("weight", F.round(power / F.lit(norm), 12))
-        .withColumn("quota", F.floor(F.col("weight") * F.lit(float(everything) * budget_ratio)))
+        .withColumn("quota", quota if budget_ratio is not None else F.greatest(quota, F.col("total")))
         .withColumn("n_blocks", F.ceil(F.col("total") / F.lit(block_tokens)))
         .withColumn("n_epochs", F.greatest(F.ceil(F.col("quota") / F.col("total")), F.lit(1)))
         .select("source", "total", "weight", "quota", "n_blocks", "n_epochs")
@@ -90,7 +94,7 @@ def mix_sources(
     docs: DataFrame,
     target_entropy: float | None = 0.92,
     max_repeat: float | None = 4.0,
-    budget_ratio: float = 1.0,
+    budget_ratio: float | None = 1.0,
     block_tokens: int = 1 << 20,
     seed: int = 17,
 ) -> DataFrame:
@@ -98,7 +102,7 @@ def mix_sources(
 
     Columns: source, epoch, block, doc_id, n_tokens, start (tokens of its source
     drawn before it), weight, quota, n_blocks. The budget is ``budget_ratio`` times all
-    tokens; a source's quota is its weight's part of it. Every epoch permutes
+    tokens (None: the smallest that draws every document at least once); a source's quota is its weight's part of it. Every epoch permutes
     the source's blocks by hash, and the documents inside each block; draws end
     with the document that reaches the quota. Prefix sums are taken over the
     blocks of a source and then inside one block of about ``block_tokens``
