@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mediasieve.llm import blocks, words
@@ -14,14 +14,14 @@ from mediasieve.llm.scratch import written
 _UPPER_TO_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _SENT = pa.schema([("block", pa.int32()), ("part", pa.int32()), ("size", pa.int32()), ("keys", pa.binary()), ("values", pa.binary()), ("second", pa.binary())])
 _BACK = pa.schema([("block", pa.int32()), ("part", pa.int32()), ("size", pa.int32()), ("values", pa.binary())])
-_ROWS = pa.schema([("kind", pa.string()), ("doc_id", pa.int64()), ("n", pa.int64()), ("rep", pa.int64()), ("v", pa.binary()), ("token", pa.int64()), ("fragment", pa.int32()), ("grams", pa.list_(pa.int64()))])
+_ROWS = pa.schema([("kind", pa.string()), ("doc_id", pa.int64()), ("n", pa.int64()), ("rep", pa.int64()), ("v", pa.binary()), ("token", pa.int64()), ("rest", pa.int64()), ("sketch", pa.list_(pa.int32())), ("fragment", pa.int32()), ("grams", pa.list_(pa.int64()))])
 _SQL = {
     "sent": "block int, part int, size int, keys binary, values binary, second binary",
     "back": "block int, part int, size int, values binary",
-    "rows": "kind string, doc_id long, n long, rep long, v binary, token long, fragment int, grams array<long>",
+    "rows": "kind string, doc_id long, n long, rep long, v binary, token long, rest long, sketch array<int>, fragment int, grams array<long>",
 }
 _LANES = (np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB))
-_ROTATIONS = 8
+_ROTATIONS, _TURNS = 8, 2
 
 
 def gram_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
@@ -105,12 +105,12 @@ def _vertices(docs: DataFrame, n: int, percent: int) -> DataFrame:
         freq = np.concatenate([np.empty(0, np.int64), *(blocks.unpack(r["values"], r["size"]).astype(np.int64) for r in got if r["part"] < n_ranges)])[place]
         least = np.concatenate([np.empty(0, "<i8"), *(np.frombuffer(r["values"], "<i8") for r in got if r["part"] >= n_ranges)])
         ends = np.cumsum([0, *map(len, sets)])
-        rows = [("doc", i, len(s), i, None, None, None, None) for i, s in zip(ids, sets) if i is None or not len(s)]
+        rows = [("doc", i, len(s), i, None, None, None, None, None, None) for i, s in zip(ids, sets) if i is None or not len(s)]
         group = np.cumsum(first) - 1
         for k, g, head, pair in zip(own, group.tolist(), first.tolist(), prints):
             s, rep = sets[k], int(least[g])
             v = (rep + (1 << 63)).to_bytes(8, "big") + pair.astype(">u8").tobytes()
-            rows.append(("doc", ids[k], len(s), rep, v, None, None, None))
+            rows.append(("doc", ids[k], len(s), rep, v, None, None, None, None, None))
             if not head or ids[k] != rep:
                 continue
             f = freq[ends[k] : ends[k + 1]]
@@ -120,9 +120,11 @@ def _vertices(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 continue
             order = np.lexsort((s, f))  # the global order: rarest first, then by hash
             prefix = order[: len(s) - _least_overlap(len(s), percent) + 1]
-            rows += [("prefix", None, len(s), rep, v, t, None, None) for t in s[prefix[shared[prefix]]].view(np.int64).tolist()]
+            places = np.flatnonzero(shared[prefix])
+            sketch = np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=64).tolist()
+            rows += [("prefix", None, len(s), rep, v, t, r, sketch, None, None) for t, r in zip(s[prefix[places]].view(np.int64).tolist(), (len(s) - places).tolist())]
             band = np.log2(np.maximum(f, 1)).astype(np.int32)
-            rows += [("segment", None, len(s), rep, v, None, b, s[band == b].view(np.int64)) for b in np.unique(band[shared]).tolist()]
+            rows += [("segment", None, len(s), rep, v, None, None, None, b, s[band == b].view(np.int64)) for b in np.unique(band[shared]).tolist()]
         return _table(rows, _ROWS)
 
     answers = dealt.groupBy("block").applyInArrow(send, _SQL["sent"]).groupBy("part").applyInArrow(total, _SQL["back"])
@@ -148,9 +150,28 @@ def _alike(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     return counted.where(100 * F.col("shared") >= percent * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b")
 
 
-def _ordered(pairs: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (v, n, w, m) of sizes near enough, smaller vertex first."""
-    near = pairs.where((F.col("v") != F.col("w")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m")))
+def _may_link(percent: int) -> Column:
+    """Whether (n, rest, sketch) and (m, w_rest, w_sketch) may be of linked sets that first meet at this n-gram.
+
+    ``rest`` counts a set's n-grams from this one on, and ``sketch`` its
+    n-grams by the first six bits of their hashes. The smaller rest, and the
+    sum of the smaller counts, bound the overlap, which must reach
+    percent / (100 + percent) of n + m. The first n-gram that two sets share
+    passes whenever they are linked.
+    """
+    both = F.aggregate(F.zip_with("sketch", "w_sketch", lambda x, y: F.least(x, y)), F.lit(0), lambda a, x: a + x)
+    enough = percent * (F.col("n") + F.col("m"))
+    return ((100 + percent) * F.least("rest", "w_rest") >= enough) & ((100 + percent) * both >= enough)
+
+
+def _other() -> list[Column]:
+    """The columns of a vertex as the other side of a pair."""
+    return [F.col(c).alias(name) for c, name in (("v", "w"), ("n", "m"), ("rest", "w_rest"), ("sketch", "w_sketch"), ("label", "w_label"))]
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    """Distinct pairs (v, n, w, m), smaller vertex first."""
+    near = pairs.where(F.col("v") != F.col("w"))
     first = F.col("v") < F.col("w")
     pick = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
     return near.select(pick("v", "w").alias("a"), pick("n", "m").alias("na"), pick("w", "v").alias("b"), pick("m", "n").alias("nb")).distinct()
@@ -172,33 +193,42 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
        power of two of that number. A vertex is a candidate only if enough of
        its set is in other documents; it sends its prefix (the places in which
        linked sets must meet) and a segment for each fragment.
-    3. Vertices that meet in a prefix n-gram are compared with one of them (a
-       hash chooses, in eight ways), whose links give first components. Then
+    3. Vertices that meet in a prefix n-gram, early enough in both orders, are
+       compared with the one that has least of its own before it (the least
+       edited of a group of copies), whose links give first components; then
+       with one that a hash chooses, if that is in another component. Then
        those in other components than most of their bucket are compared with
-       all others there, so no link between components is missed and groups of
-       thousands of copies are not expanded into pairs. Partial overlaps are
-       counted by fragment and summed for each pair.
+       all others there, so no link between components is missed
+       and groups of thousands of copies are not expanded into pairs. Partial
+       overlaps are counted by fragment and summed for each pair.
 
     Null, empty and wordless texts have the empty set, linked with nothing.
     Rows without an id have no component (null) and no links. Repeated rows
     stay. An empty table gives an empty result. Further columns are ignored.
     """
     rows = written(_vertices(docs, n, percent), "join-vertices")
-    prefix = rows.where("kind = 'prefix'").select("token", "v", "n")
+    prefix = rows.where("kind = 'prefix'").select("token", "v", "n", "rest", "sketch")
     segments = rows.where("kind = 'segment'").select("v", "fragment", "grams")
-    turn = F.pmod("token", F.lit(_ROTATIONS))
-    heads = prefix.groupBy("token").agg(F.min(F.struct(F.xxhash64("v", turn).alias("h"), F.col("v").alias("w"), F.col("n").alias("m"))).alias("head"), F.count("*").alias("met")).where("met > 1")
-    tried = written(_ordered(prefix.join(heads.select("token", "head.w", "head.m"), "token"), percent), "join-tried")
-    links = written(_alike(tried, segments, percent), "join-links")
-    labels = components(links)
-    # Buckets that more than one component meets in, and the one that most of each bucket is in.
-    placed = prefix.join(labels, "v", "left").select("token", "v", "n", F.coalesce("label", "v").alias("label"))
-    main = placed.groupBy("token", "label").agg(F.count("*").alias("size")).groupBy("token").agg(F.max(F.struct("size", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1").select("token", "top.label")
-    odd = placed.join(main.withColumnRenamed("label", "main"), "token").where("label <> main").select("token", "v", "n", "label")
-    others = placed.select("token", F.col("v").alias("w"), F.col("n").alias("m"), F.col("label").alias("w_label"))
-    rest = _ordered(odd.join(others, "token").where("label <> w_label"), percent).join(tried.select("a", "b"), ["a", "b"], "left_anti")
-    more = written(_alike(rest, segments, percent), "join-links")
-    labels = components(links.unionAll(more)) if more.take(1) else labels
+    tried, links, labels = None, None, None
+    for turn in range(_TURNS + 1):
+        placed = prefix.withColumn("label", F.col("v")) if labels is None else prefix.join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
+        if turn < _TURNS:
+            early = (F.col("n") - F.col("rest")) / F.col("n") if turn == 0 else F.lit(0.0)
+            chosen = F.struct(early, F.xxhash64("v", F.pmod("token", F.lit(_ROTATIONS)))).alias("h")
+            heads = placed.groupBy("token").agg(F.min(F.struct(chosen, *_other())).alias("head"), F.count("*").alias("met")).where("met > 1").select("token", "head.*").drop("h")
+            pairs = placed.join(heads, "token").where((F.col("label") != F.col("w_label")) & _may_link(percent))
+        else:
+            # Buckets that more than one component meets in, and the one that most of each bucket is in.
+            main = placed.groupBy("token", "label").agg(F.count("*").alias("size")).groupBy("token").agg(F.max(F.struct("size", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1").select("token", F.col("top.label").alias("main"))
+            odd = placed.join(main, "token").where("label <> main")
+            pairs = odd.join(placed.select("token", *_other()), "token").where((F.col("label") != F.col("w_label")) & _may_link(percent))
+        new = _ordered(pairs)
+        new = written(new if tried is None else new.join(tried.select("a", "b"), ["a", "b"], "left_anti"), "join-tried")
+        found = written(_alike(new, segments, percent), "join-links")
+        tried = new if tried is None else tried.unionByName(new)
+        links = found if links is None else links.unionByName(found)
+        if labels is None or found.take(1):
+            labels = components(links)
     doc = rows.where("kind = 'doc'").select("doc_id", "n", "rep", "v")
     first = F.conv(F.hex(F.substring("label", 1, 8)), 16, 10).cast("decimal(20,0)") - F.lit(str(1 << 63)).cast("decimal(20,0)")
     return doc.join(labels, "v", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(first.cast("long"), F.col("rep")).alias("component_id"))
