@@ -28,15 +28,15 @@ def block_of(doc_id: Column, n_blocks: int) -> Column:
     return F.pmod(F.xxhash64(doc_id), F.lit(n_blocks)).cast("int")
 
 
-def sizes(n_bytes: int, n_keys: int) -> tuple[int, int]:
+def sizes(n_bytes: int, n_keys: int, least_block: float = 8e6) -> tuple[int, int]:
     """Numbers of blocks and of key ranges.
 
     Both the bytes of a block and the keys of a range grow with the root of the
-    corpus between fixed bounds (8 to 128 MB, 1 to 32 million), so that lists
-    (blocks x ranges) stay long enough to be worth packing.
+    corpus between fixed bounds (``least_block`` to 128 MB, 1 to 32 million), so
+    that lists (blocks x ranges) stay long enough to be worth packing.
     """
     root = math.sqrt(max(n_bytes, 1))
-    n_blocks = math.ceil(max(n_bytes, 1) / min(max(8e6, 150 * root), 128e6))
+    n_blocks = math.ceil(max(n_bytes, 1) / min(max(least_block, 150 * root), 128e6))
     per_range = min(max(1e6, 30 * root), 32e6)
     return n_blocks, 1 << max(0, math.ceil(math.log2(max(n_keys, 1) / per_range)))
 

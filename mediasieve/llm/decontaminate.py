@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mediasieve.llm.batches import slices
+
 Q = 8
 _TABLE_BITS = 20
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
@@ -226,7 +228,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, max_error: float = 0.1, wi
 
         def run(batches: Iterator[pa.RecordBatch], patterns=patterns) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(patterns)
-            for batch in batches:
+            for batch in slices(batches):
                 texts = [t or b"" for t in batch.column("text").cast(pa.large_binary()).to_pylist()]
                 rows = []
                 for doc_id, t, found in zip(batch.column("doc_id").to_pylist(), texts, matcher.matches(texts)):
@@ -248,7 +250,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, max_error: float = 0.1, wi
 
         def run(batches: Iterator[pa.RecordBatch], patterns=patterns) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(patterns)
-            for batch in batches:
+            for batch in slices(batches):
                 found = matcher.matches([t or b"" for t in batch.column("text").cast(pa.large_binary()).to_pylist()])
                 yield batch.filter(pa.array([not f for f in found], pa.bool_()))
 

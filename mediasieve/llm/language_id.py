@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mediasieve.llm.batches import slices
+
 UNKNOWN = "und"
 FOLDS = 5
 WINDOW = 128
@@ -180,7 +182,7 @@ def predict(docs: DataFrame, net: ByteConvNet | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = net.pair_tables() if net else []
-        for batch in batches:
+        for batch in slices(batches):
             langs, scores = classify(batch.column("text").to_pylist(), net, tables)
             yield pa.record_batch([batch.column("doc_id"), batch.column("held_out"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
@@ -195,7 +197,7 @@ def keep_identified(docs: DataFrame, net: ByteConvNet | None, min_score: float =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = net.pair_tables() if net else []
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column("text").to_pylist()
             keep = [s >= min_score for s in classify(texts, net, tables)[1]] if net else list(map(has_letter, texts))
             yield batch.filter(pa.array(keep, pa.bool_()))

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from mediasieve.llm.batches import slices
 from mediasieve.llm import store
 
 WIDTH = 64
@@ -81,7 +82,7 @@ def write_archives(docs: DataFrame, where: str) -> None:
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, archive, stream, n = f"{where}/part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.zip", None, None, 0
-        for batch in batches:
+        for batch in slices(batches):
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.large_binary()).to_pylist()):
                 if archive is None:
                     stream = store.create(name)

@@ -53,7 +53,7 @@ def _vertices(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """Rows of three kinds: a ``doc`` for each document; ``prefix`` and ``segment`` rows for each distinct set that may have links."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     n_bytes, n_words = blocks.corpus_size(docs)
-    n_blocks, n_ranges = blocks.sizes(n_bytes, n_words)
+    n_blocks, n_ranges = blocks.sizes(n_bytes, n_words, least_block=4e6)
     n_prints = max(1, n_ranges >> 6)
     bits = blocks.key_bits(n_words)
     shift = np.uint64(64 - bits)

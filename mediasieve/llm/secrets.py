@@ -9,6 +9,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from mediasieve.llm.batches import slices
+
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -88,7 +90,7 @@ def find_secrets(docs: DataFrame, encoding_path: str | None = None, max_chars_pe
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = load_encoding(encoding_path)
-        for batch in batches:
+        for batch in slices(batches):
             spans = [[{"kind": KINDS[k], "start": a, "end": b, "chars_per_token": r} for a, k, b, r in scan(t or "", encoding, max_chars_per_token)] for t in batch.column("text").to_pylist()]
             yield pa.record_batch([batch.column("doc_id"), pa.array(spans, _SCHEMA.field("spans").type)], schema=_SCHEMA)
 

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from mediasieve.llm.batches import slices
 from mediasieve.llm import store
 from mediasieve.llm.words import hashed_chunks
 
@@ -189,7 +190,7 @@ def write_records(docs: DataFrame, where: str, tokenizer_path: str | None = None
         part = TaskContext.get().partitionId()
         name, encoder, end = f"{where}/part-{part:06d}-{uuid.uuid4().hex}", encoder_of(tokenizer_path), np.array([end_id], "<u4")
         out, at, offsets, n_ids = None, 0, [], 0
-        for batch in batches:
+        for batch in slices(batches, 2048):
             out = out or store.create(name + ".rec")
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode_all(batch.column("text").cast(pa.large_binary()).to_pylist())):
                 data = frame(serialize(doc_id, np.concatenate([ids, end])))
