@@ -1,10 +1,503 @@
-"""The registered queries of the media library and their SQL."""
+"""The registered queries of the media library and, where SQL can say it, what they must return.
+
+Media are fixtures derived from the given tables; the SQL works from the same
+ids and texts and never parses bytes.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from mediasieve.functions import scalars as S
+from mediasieve.functions.dictionaries import GENERATOR_NAMES
+from mediasieve.jobs import reports
+from mediasieve.operators import clean, findings, frames, grid, naming, origin, video
+from mediasieve.operators.records import sniff, walk
+from mediasieve.sources import fixtures as X
+from mediasieve.sources import media as M
+from mediasieve.streaming import files as streams
+
+_ID = F.regexp_extract("path", r"^/media/(\d+)/", 1).cast("long").alias("media_id")
+
+
+def _audited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rel = F.regexp_extract("path", r"^/media/\d+/(?s:(.*))$", 1)
+    audited = reports.audit(X.media(spark, sf_dir)).withColumn("rel_path", rel)
+    return audited.withColumn("folder", S.folder(F.col("rel_path"))).withColumn("kind", S.media_kind(F.col("rel_path"))).withColumn("media_id", _ID)
+
+
+# --- what the fixtures hold, as SQL -----------------------------------------
+
+_T, _C, _S, _P = len(X.CAMERA_TIFF), len(X.C2PA), len(X.SOFTWARE_TIFF), len(X.XMP)
+_Y, _I = len(X.SYNTHID), len(X.ICC)
+#: (container number, variant, kind, label, bytes, how many times the note's length is added)
+_FOUND = [
+    (0, 1, "segment", "COM (comment)", 4, 1), (0, 1, "info", "info: comment", 0, 1),
+    (0, 2, "segment", "APP1 (EXIF / XMP)", 10 + _T, 0), (0, 2, "info", "info: exif", 6 + _T, 0),
+    (0, 3, "segment", "APP11 (JUMBF (C2PA))", 4 + _C, 0),
+    (0, 4, "segment", "APP1 (EXIF / XMP)", 10 + _S, 0), (0, 4, "info", "info: exif", 6 + _S, 0),
+    (0, 5, "segment", "APP1 (EXIF / XMP)", 4 + _P, 0), (0, 5, "info", "info: xmp", _P, 0),
+    (0, 6, "segment", "COM (comment)", 4 + _Y, 0), (0, 6, "info", "info: comment", _Y, 0),
+    (0, 7, "segment", "APP2 (ICC profile / MPF)", 4 + _I, 0), (0, 7, "info", "info: icc_profile", _I, 0), (0, 7, "segment", "APP5 (application)", 14, 0),
+    (1, 1, "chunk", "tEXt chunk (text)", 20, 1),
+    (1, 2, "chunk", "eXIf chunk (EXIF)", 12 + _T, 0), (1, 2, "info", "info: exif", _T, 0),
+    (1, 3, "chunk", "caBX chunk (C2PA (JUMBF))", 12 + _C, 0),
+    (1, 4, "chunk", "tEXt chunk (text)", 23, 1),
+    (1, 5, "chunk", "iTXt chunk (international text / XMP)", 34 + _P, 0), (1, 5, "info", "info: xmp", 22 + _P, 0),
+    (1, 6, "chunk", "tEXt chunk (text)", 19 + _Y, 0),
+    (1, 7, "chunk", "iCCP chunk (ICC profile)", 26, 0), (1, 7, "info", "info: icc_profile", 14, 0), (1, 7, "chunk", "vpAg chunk", 21, 0),
+    (2, 2, "chunk", "EXIF chunk", 8 + _T, 0), (2, 2, "info", "info: exif", _T, 0),
+    (2, 4, "chunk", "EXIF chunk", 8 + _S, 0), (2, 4, "info", "info: exif", _S, 0),
+    (2, 5, "chunk", "XMP  chunk", 8 + _P, 0), (2, 5, "info", "info: xmp", _P, 0),
+    (2, 7, "chunk", "ICCP chunk", 8 + _I, 0), (2, 7, "info", "info: icc_profile", _I, 0),
+    (3, 1, "box", "udta box", 8, 1),
+    (3, 3, "box", "C2PA / Content Credentials manifest", 24 + _C, 0),
+    (3, 4, "box", "udta box", 8 + len(X.SOFTWARE), 0),
+    (3, 5, "box", "XMP packet", 24 + _P, 0),
+    (3, 6, "box", "unknown uuid box (0000000000000000)", 24 + _Y, 0),
+    (3, 7, "box", "udta box", 8, 0),
+]
+for _c in range(4):
+    _FOUND += [(_c, 3, "signature", label, 0, 0) for label in ("C2PA claim data", "JUMBF box (C2PA container)", "C2PA assertion: AI-generated")]
+    _FOUND += [(_c, 5, "signature", "XMP packet", 0, 0), (_c, 6, "signature", "SynthID reference", 0, 0)]
+
+_MEDIA_SQL = r"""
+m AS (
+  SELECT doc_id AS media_id, doc_id % 4 AS c, (doc_id // 4) % 8 AS v, regexp_replace(substring(text, 1, 64), '[^\x20-\x7e]', '?', 'g') AS note,
+    (doc_id // 8) % 2 = 0 AS typical,
+    ['reels', 'posts', 'misc', 'stories/day1', ''][(doc_id // 32) % 5 + 1] AS folder,
+    ['shot_' || doc_id, 'reel-' || doc_id, 'post ' || doc_id, 'my_reel_' || doc_id, 'x916', 'grid'][(doc_id // 32) % 6 + 1] AS stem,
+    ['jpg', 'png', 'webp', 'mp4'][doc_id % 4 + 1] AS ext,
+    CASE WHEN doc_id % 4 = 3 THEN 'video' ELSE 'image' END AS kind
+  FROM documents
+)"""
+_FOUND_SQL = (
+    _MEDIA_SQL
+    + ", k(c, v, kind, label, fixed, per) AS (VALUES "
+    + ", ".join(f"({c}, {v}, '{kind}', '{label}', {fixed}, {per})" for c, v, kind, label, fixed, per in _FOUND)
+    + "), f AS (SELECT m.media_id, k.kind, k.label, CAST(k.fixed + k.per * length(m.note) AS BIGINT) AS nbytes FROM m JOIN k ON m.c = k.c AND m.v = k.v WHERE k.kind <> 'info' OR k.fixed + k.per * length(m.note) > 0)"
+)
+_NAMED = "len(list_filter([" + ", ".join(f"'{n}'" for n in GENERATOR_NAMES) + "], lambda n: contains(lower(note), n))) > 0"
+_VERDICT_SQL = (
+    _MEDIA_SQL
+    + f""", o AS (
+  SELECT *, CASE
+      WHEN v = 3 OR (v = 4 AND c < 3) OR (c = 1 AND v = 1 AND {_NAMED}) THEN 'ai-declared'
+      WHEN typical AND ((v = 0 AND c < 3) OR (c = 2 AND v = 1)) THEN 'ai-likely'
+      WHEN v = 2 AND c < 3 THEN 'camera-like' ELSE 'unknown' END AS verdict,
+    CASE WHEN v = 6 THEN 'declared' ELSE 'not-declared' END AS synthid
+  FROM m
+)"""
+)
+_REL = "concat(CASE WHEN folder = '' THEN '' ELSE folder || '/' END, stem, '.', ext)"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# --- inspection and origin ---------------------------------------------------
+
+
+@query(f"WITH {_VERDICT_SQL} SELECT folder, kind, verdict, count(*) AS files, CAST(grouping(folder, kind, verdict) AS BIGINT) AS level FROM o GROUP BY ROLLUP (folder, kind, verdict)")
+def verdict_rollup(spark, sf_dir):
+    return reports.verdict_rollup(_audited(spark, sf_dir))
+
+
+@query(f"WITH {_VERDICT_SQL} SELECT media_id, verdict, synthid FROM o")
+def origin_verdicts(spark, sf_dir):
+    return _audited(spark, sf_dir).select("media_id", "verdict", "synthid")
+
+
+@query(f"WITH {_MEDIA_SQL} SELECT media_id, CASE c WHEN 0 THEN 'jpeg' WHEN 1 THEN 'png' WHEN 2 THEN 'webp' ELSE 'iso' END AS container FROM m")
+def sniffed_containers(spark, sf_dir):
+    return X.media(spark, sf_dir).select("media_id", sniff(F.col("content")).alias("container"))
+
+
+@query(f"WITH {_FOUND_SQL} SELECT media_id, kind, label, nbytes FROM f")
+def findings_flat(spark, sf_dir):
+    return findings.exploded(findings.with_findings(walk(X.media(spark, sf_dir)))).select(_ID, "kind", "label", "nbytes")
+
+
+@query(f"WITH {_FOUND_SQL} SELECT kind, label, count(DISTINCT media_id) AS files, count(*) AS occurrences, CAST(sum(nbytes) AS BIGINT) AS nbytes FROM f GROUP BY 1, 2")
+def findings_by_label(spark, sf_dir):
+    return reports.findings_by_label(findings.exploded(findings.with_findings(walk(X.media(spark, sf_dir)))))
+
+
+@query(f"WITH {_FOUND_SQL} SELECT m.kind, count(*) AS files, count(*) FILTER (m.media_id IN (SELECT media_id FROM f)) AS with_findings FROM m GROUP BY 1")
+def batch_overview(spark, sf_dir):
+    return reports.overview(_audited(spark, sf_dir))
+
+
+@query(f"WITH {_MEDIA_SQL} SELECT media_id, CASE WHEN c = 3 THEN 0 WHEN typical THEN 1024 ELSE 640 END AS width, CASE WHEN c = 3 THEN 0 WHEN typical THEN 1024 ELSE 481 END AS height FROM m")
+def header_sizes(spark, sf_dir):
+    return walk(X.media(spark, sf_dir)).select(_ID, F.coalesce("width", F.lit(0)).alias("width"), F.coalesce("height", F.lit(0)).alias("height"))
+
+
+@query(f"WITH {_MEDIA_SQL} SELECT media_id, CASE v WHEN 1 THEN 'Comment' WHEN 4 THEN 'parameters' ELSE 'Source' END AS key, CASE v WHEN 6 THEN 'SynthID reference' ELSE note END AS value FROM m WHERE c = 1 AND v IN (1, 4, 6)")
+def png_texts(spark, sf_dir):
+    walked = walk(X.media(spark, sf_dir)).where("container = 'png'")
+    return walked.select(_ID, F.explode("text_kv").alias("key", "value")).where("key <> 'XML:com.adobe.xmp'")
+
+
+@query(f"WITH {_MEDIA_SQL} SELECT media_id, t.tag, t.value FROM m JOIN (VALUES (2, 271, 'TestMake'), (2, 272, 'TestModel'), (2, 34853, '8'), (4, 305, 'ComfyUI 1.0')) AS t(v, tag, value) ON m.v = t.v WHERE c < 3 AND NOT (c = 1 AND m.v = 4)")
+def exif_tags(spark, sf_dir):
+    return walk(X.media(spark, sf_dir)).select(_ID, F.explode("exif").alias("tag", "value"))
+
+
+@query(f"WITH {_VERDICT_SQL} SELECT media_id, folder FROM o WHERE v = 6")
+def watermark_declared(spark, sf_dir):
+    audited = _audited(spark, sf_dir)
+    return audited.where(findings.declares_synthid(F.col("findings"))).select("media_id", "folder")
+
+
+@query(rf"""WITH {_MEDIA_SQL}, r AS (
+  SELECT media_id, unnest(regexp_extract_all(note, '[A-Za-z0-9 ._:/@{{}}"''\[\],-]{{4,}}')) AS r, generate_subscripts(regexp_extract_all(note, '[A-Za-z0-9 ._:/@{{}}"''\[\],-]{{4,}}'), 1) AS k FROM m
+), t AS (SELECT media_id, r, k, row_number() OVER (PARTITION BY media_id ORDER BY length(r) DESC, k) AS n FROM r)
+SELECT m.media_id, coalesce(string_agg(t.r, ' ' ORDER BY t.n) FILTER (t.n <= 2), '') AS runs FROM m LEFT JOIN t ON m.media_id = t.media_id GROUP BY 1""")
+def readable_runs(spark, sf_dir):
+    return X.media(spark, sf_dir).select("media_id", S.readable_runs(F.col("note").cast("binary"), 4, 2, " ").alias("runs"))
+
+
+# --- cleaning ----------------------------------------------------------------
+
+
+@query(f"""WITH {_FOUND_SQL} SELECT m.media_id, CASE m.c WHEN 0 THEN 'lossless (JPEG segments rewritten)' WHEN 1 THEN 'lossless (PNG chunks rewritten)' WHEN 2 THEN 'lossless (WebP chunks rewritten)' ELSE 'in place (ISO boxes blanked)' END AS mode,
+  CAST(coalesce(sum(CASE WHEN m.c = 3 OR f.kind IN ('info', 'signature') THEN 0 ELSE nbytes + CASE WHEN m.c = 2 THEN nbytes % 2 ELSE 0 END END), 0) AS BIGINT) AS saved, true AS same_picture, true AS same_size,
+  count(f.kind) AS n_before, CASE WHEN m.c = 3 AND m.v IN (1, 3, 4, 5, 6) THEN 0 WHEN m.c = 3 AND m.v = 7 THEN 1 ELSE 0 END AS n_left
+FROM m LEFT JOIN f ON m.media_id = f.media_id GROUP BY m.media_id, m.c, m.v""")
+def clean_audit(spark, sf_dir):
+    done = clean.verify(X.media(spark, sf_dir))
+    return done.select(_ID, "mode", (F.col("before") - F.col("after")).alias("saved"), "same_picture", "same_size", "n_before", F.col("n_left").cast("int").alias("n_left"))
+
+
+@query(f"WITH {_FOUND_SQL} SELECT label, count(*) AS n FROM f WHERE kind = 'chunk' OR kind = 'segment' GROUP BY 1")
+def removed_by_label(spark, sf_dir):
+    media = X.media(spark, sf_dir)
+    cleaned = clean.clean(media).where("cleaned IS NOT NULL").select("path", F.col("cleaned").alias("content"))
+    gone = clean.removed(findings.exploded(findings.with_findings(walk(media))), findings.exploded(findings.with_findings(walk(cleaned))))
+    return gone.where("kind IN ('chunk', 'segment')").groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_MEDIA_SQL} SELECT media_id, CASE WHEN v IN (1, 3, 4, 5, 6) THEN 1 ELSE 0 END AS boxes, CASE WHEN v = 7 THEN 1 ELSE 0 END AS names FROM m WHERE c = 3")
+def blanked_boxes(spark, sf_dir):
+    videos = X.media(spark, sf_dir).where("container = 'mp4'")
+    return clean.verify(videos).select(_ID, F.col("boxes").cast("int").alias("boxes"), F.col("names").cast("int").alias("names"))
+
+
+@query(f"""WITH {_MEDIA_SQL} SELECT media_id, CASE WHEN c <> 0 THEN 'not-a-jpeg' WHEN v = 1 OR v = 6 THEN 'COM' WHEN v IN (2, 4) THEN 'APP1' WHEN v = 3 THEN 'APP11,payload:c2pa,payload:jumb' WHEN v = 5 THEN 'APP1,payload:http://ns.adobe.com/xap/' WHEN v = 7 THEN 'APP2,APP5' ELSE '' END AS labels FROM m""")
+def leftover_labels(spark, sf_dir):
+    media = X.media(spark, sf_dir)
+    return findings.leftovers(walk(media), media).select(_ID, F.array_join(F.filter("labels", lambda x: x != "APP0"), ",").alias("labels"))
+
+
+# --- names -------------------------------------------------------------------
+
+
+@query(rf"""WITH {_MEDIA_SQL}, r AS (
+  SELECT media_id, folder, regexp_matches(stem, '(?i)(^|[^0-9])916([^0-9]|$)|9x16|\breel\b|reels|\bstory\b|stories') AS tall, regexp_matches(stem, '(?i)(^|[^0-9])45([^0-9]|$)|4x5|\bpost\b|posts|\bfeed\b') AS near FROM m)
+SELECT media_id, CASE WHEN tall AND NOT near THEN '916' WHEN near AND NOT tall THEN '45' WHEN tall THEN '45,916' WHEN folder LIKE 'reels%' OR folder LIKE 'stories%' THEN '916' WHEN folder LIKE 'posts%' THEN '45' ELSE '45,916' END AS formats,
+  CASE WHEN tall AND near THEN 'both' WHEN tall OR near THEN 'name' WHEN folder IN ('reels', 'stories/day1', 'posts') THEN 'folder' ELSE 'default' END AS why FROM r""")
+def routed_formats(spark, sf_dir):
+    formats, reason = S.route(F.col("rel_path"))
+    why = F.when(reason == "filename matched both tokens", "both").when(F.startswith(reason, F.lit("filename")), "name").when(reason == "input subfolder", "folder").otherwise("default")
+    return X.media(spark, sf_dir).select("media_id", F.array_join(formats, ",").alias("formats"), why.alias("why"))
+
+
+@query(f"WITH {_MEDIA_SQL} SELECT media_id, 'out' AS flat, concat_ws('/', 'out', nullif(folder, ''), stem) AS mirror, 'out/' || stem AS grid, concat('out/', {_REL}) AS cleaned, 'p' || (media_id % 9) || '_45.png' AS name FROM m")
+def output_names(spark, sf_dir):
+    rel, root = F.col("rel_path"), F.lit("out")
+    folders = [naming.out_folder(rel, root, layout).alias(layout) for layout in naming.LAYOUTS]
+    name = naming.out_name("p", F.col("media_id") % 9, F.lit("45"), F.lit(True), ".png")
+    return X.media(spark, sf_dir).select("media_id", *folders, naming.clean_path(rel, root, "mirror").alias("cleaned"), name.alias("name"))
+
+
+@query(f"WITH {_MEDIA_SQL} SELECT media_id, row_number() OVER (ORDER BY {_REL}, media_id) AS number FROM m WHERE c < 3")
+def running_numbers(spark, sf_dir):
+    images = X.media(spark, sf_dir).where("container <> 'mp4'").select("rel_path", "media_id")
+    return naming.numbered(images, "rel_path", "media_id").select("media_id", "number")
+
+
+@query(f"WITH {_MEDIA_SQL}, r AS (SELECT DISTINCT {_REL} AS rel_path, 'out/' || stem AS out_dir FROM m) SELECT rel_path, out_dir, lag(rel_path) OVER (PARTITION BY out_dir ORDER BY rel_path) AS previous FROM r")
+def folder_collisions(spark, sf_dir):
+    rows = X.media(spark, sf_dir).select("rel_path", naming.out_folder(F.col("rel_path"), F.lit("out"), "grid").alias("out_dir")).distinct()
+    return naming.collisions(rows)
+
+
+@query()
+def unique_upload_names(spark, sf_dir):
+    return naming.unique_names(X.uploads(spark, sf_dir))
+
+
+_UPLOADS_SQL = """u AS (SELECT page_id AS ord, page_id % 7 AS batch, CASE (page_id // 7) % 9 WHEN 0 THEN 'shot.jpg' WHEN 1 THEN 'SHOT.jpg' WHEN 2 THEN 'shot_1.jpg' WHEN 3 THEN 'notes.txt' WHEN 4 THEN '' WHEN 5 THEN 'clip' || (page_id % 5) || '.mp4' WHEN 6 THEN 'dir/photo.png' ELSE 'img' || page_id || '.webp' END AS name FROM pages)"""
+
+
+@query(f"WITH {_UPLOADS_SQL} SELECT batch, ord, name, CASE WHEN name = 'notes.txt' THEN 'unsupported file type' END AS error FROM u WHERE name <> ''")
+def accepted_uploads(spark, sf_dir):
+    named = X.uploads(spark, sf_dir).where(S.base_name(F.col("name")) != "")
+    return named.select("batch", "ord", "name", F.when(S.media_kind(F.col("name")).isNull(), "unsupported file type").alias("error"))
+
+
+@query("SELECT page_id AS ord, page_id % 5 IN (0, 2, 3) AS escapes FROM pages")
+def path_escapes(spark, sf_dir):
+    return X.uploads(spark, sf_dir).select("ord", S.escapes(F.col("rel")).alias("escapes"))
+
+
+@query("""WITH n AS (SELECT o_orderkey AS k, CAST(o_orderkey AS BIGINT) * o_orderkey * (1 + o_orderkey % 1000) AS n FROM orders)
+SELECT k, CASE WHEN n < 1024 THEN printf('%d B', n) WHEN n < 1024**2 THEN CASE WHEN n / 1024 < 10 THEN printf('%.1f KB', n / 1024) ELSE printf('%.0f KB', n / 1024) END
+ WHEN n < 1024**3 THEN CASE WHEN n / 1024**2 < 10 THEN printf('%.1f MB', n / 1024**2) ELSE printf('%.0f MB', n / 1024**2) END
+ ELSE CASE WHEN n / 1024**3 < 10 THEN printf('%.1f GB', n / 1024**3) ELSE printf('%.0f GB', n / 1024**3) END END AS size_text FROM n""")
+def human_sizes(spark, sf_dir):
+    k = F.col("o_orderkey")
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(k.alias("k"), S.human_size(k * k * (1 + k % 1000)).alias("size_text"))
+
+
+@query("""WITH e AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN 'bad ' || doc_id || ' Traceback (most recent' WHEN 2 THEN '  ' ELSE 'Traceback x' END AS msg FROM documents)
+SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN CASE WHEN length(trim(msg)) > 280 THEN substring(trim(msg), 1, 277) || '…' WHEN trim(msg) = '' THEN 'ValueError' ELSE trim(msg) END WHEN 1 THEN 'bad ' || doc_id WHEN 2 THEN 'ValueError' ELSE 'Processing failed.' END AS shown FROM e""")
+def short_errors(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    i = F.col("doc_id")
+    message = F.when(i % 4 == 0, F.col("text")).when(i % 4 == 1, F.concat(F.lit("bad "), i.cast("string"), F.lit(" Traceback (most recent"))).when(i % 4 == 2, "  ").otherwise("Traceback x")
+    return docs.select("doc_id", S.short_error(message, F.lit("ValueError")).alias("shown"))
+
+
+@query(f"WITH {_MEDIA_SQL} SELECT {_REL} AS rel_path, CASE WHEN media_id < 1024 THEN printf('%d B', media_id) WHEN media_id / 1024 < 10 THEN printf('%.1f KB', media_id / 1024) ELSE printf('%.0f KB', media_id / 1024) END AS size_text, ext FROM m")
+def produced_files(spark, sf_dir):
+    files = X.media(spark, sf_dir).select("rel_path", F.col("media_id").alias("length"))
+    return reports.listing(files).select("rel_path", "size_text", "ext")
+
+
+# --- grids -------------------------------------------------------------------
+
+_LINES_SQL = """ax AS (SELECT p_partkey AS image_id, p_size AS s, a.axis, p_size + 48 + 5 * a.axis AS n FROM part CROSS JOIN (VALUES (0), (1)) AS a(axis)),
+l AS (
+  SELECT image_id, axis, n, s, pos, (pos < s % 4 OR pos >= n - s % 4 OR (pos >= n // 2 - 6 + s % 13 AND pos < n // 2 - 6 + s % 13 + s % 7)) AS white
+  FROM (SELECT *, unnest(range(0, n)) AS pos FROM ax)
+), g AS (SELECT *, white AND s % 11 <> 0 AS hit FROM l),
+i AS (SELECT image_id, axis, n, pos, pos - row_number() OVER (PARTITION BY image_id, axis ORDER BY pos) AS island FROM g WHERE hit),
+r AS (SELECT image_id, axis, n, min(pos) AS a, max(pos) + 1 AS b FROM i GROUP BY image_id, axis, n, island),
+e AS (
+  SELECT ax.image_id, ax.axis, ax.n, coalesce(max(r.b) FILTER (r.a = 0), 0) AS x0, coalesce(min(r.a) FILTER (r.b = ax.n), ax.n) AS x1
+  FROM ax LEFT JOIN r ON ax.image_id = r.image_id AND ax.axis = r.axis GROUP BY 1, 2, 3
+), c AS (SELECT image_id, axis, n, CASE WHEN x1 <= x0 THEN 0 ELSE x0 END AS c0, CASE WHEN x1 <= x0 THEN n ELSE x1 END AS c1 FROM e),
+d AS (
+  SELECT c.image_id, c.axis, c.n, c.c0, c.c1, min(row(abs((r.a + r.b) / 2.0 - c.n / 2.0), r.a, r.b)) FILTER (r.a IS NOT NULL) AS best
+  FROM c LEFT JOIN r ON c.image_id = r.image_id AND c.axis = r.axis AND r.b - r.a >= 4 AND r.a > c.c0 AND r.b < c.c1 AND abs((r.a + r.b) / 2.0 - c.n / 2.0) <= 0.2 * c.n
+  GROUP BY 1, 2, 3, 4, 5
+), ax2 AS (
+  SELECT image_id, axis, n AS length, CAST(coalesce(best[2], round_even(n / 2.0, 0)) AS INTEGER) AS lo_end, CAST(coalesce(best[3], round_even(n / 2.0, 0)) AS INTEGER) AS hi_start,
+    c0 AS content_start, c1 AS content_end, best IS NOT NULL AS detected FROM d
+)"""
+
+
+def _axes(spark, sf_dir):
+    return grid.detect_axes(X.line_stats(spark, sf_dir))
+
+
+@query(f"WITH {_LINES_SQL} SELECT image_id, axis, length, lo_end, hi_start, content_start, content_end, detected FROM ax2")
+def grid_axes(spark, sf_dir):
+    return _axes(spark, sf_dir).drop("runs")
+
+
+@query(f"WITH {_LINES_SQL} SELECT image_id, axis, a AS start, b AS \"end\" FROM r")
+def white_runs(spark, sf_dir):
+    return grid.line_runs(X.line_stats(spark, sf_dir))
+
+
+@query(f"""WITH {_LINES_SQL}, p AS (
+  SELECT y.image_id, k.n AS panel_no, CASE WHEN k.n IN (1, 3) THEN x.content_start ELSE x.hi_start END AS "left", CASE WHEN k.n < 3 THEN y.content_start ELSE y.hi_start END AS upper,
+    CASE WHEN k.n IN (1, 3) THEN x.lo_end ELSE x.content_end END AS "right", CASE WHEN k.n < 3 THEN y.lo_end ELSE y.content_end END AS lower, NOT y.detected AS row_fallback, NOT x.detected AS col_fallback
+  FROM ax2 AS y JOIN ax2 AS x ON y.image_id = x.image_id AND y.axis = 0 AND x.axis = 1 CROSS JOIN (VALUES (1), (2), (3), (4)) AS k(n))
+SELECT * FROM p WHERE "right" - "left" >= 16 AND lower - upper >= 16""")
+def grid_panels(spark, sf_dir):
+    return grid.large_enough(grid.panels(_axes(spark, sf_dir))).drop("panel_name")
+
+
+@query(f"""WITH {_LINES_SQL}, w AS (SELECT image_id, axis, n, pos, white AND (s % 11 <> 0 OR 7.0 <= 9.0) AS white FROM l),
+t AS (SELECT image_id, axis, n, min(pos) FILTER (NOT white) AS a, max(pos) FILTER (NOT white) AS b FROM w GROUP BY 1, 2, 3)
+SELECT image_id, axis, least(CAST(floor(n * 0.25) AS INTEGER), coalesce(a, n)) AS low, least(CAST(floor(n * 0.25) AS INTEGER), coalesce(n - 1 - b, n)) AS high FROM t""")
+def panel_trims(spark, sf_dir):
+    return grid.trims(X.line_stats(spark, sf_dir))
+
+
+_CROP_SQL = """b AS (SELECT p_partkey AS panel_id, CAST(p_partkey * 37 % 900 + 10 AS INTEGER) AS w, CAST(p_partkey * 53 % 1100 + 10 AS INTEGER) AS h FROM part),
+t(fmt, tw, th) AS (VALUES ('45', 1080, 1350), ('916', 1080, 1920)),
+k AS (SELECT *, tw::DOUBLE / th AS want, w::DOUBLE / h AS have, greatest(1, round_even(h * (tw::DOUBLE / th), 0))::INTEGER AS nw, greatest(1, round_even(w / (tw::DOUBLE / th), 0))::INTEGER AS nh FROM b CROSS JOIN t),
+c AS (SELECT panel_id, fmt, tw, th, CASE WHEN abs(have - want) < 1e-6 THEN 'none' WHEN have > want THEN 'left/right' ELSE 'top/bottom' END AS axis,
+  CASE WHEN abs(have - want) >= 1e-6 AND have > want THEN (w - nw) // 2 ELSE 0 END AS x, CASE WHEN abs(have - want) >= 1e-6 AND have <= want THEN (h - nh) // 2 ELSE 0 END AS y,
+  CASE WHEN abs(have - want) >= 1e-6 AND have > want THEN nw ELSE w END AS w, CASE WHEN abs(have - want) >= 1e-6 AND have <= want THEN nh ELSE h END AS h FROM k)"""
+
+
+@query(f"WITH {_CROP_SQL} SELECT panel_id, fmt, x, y, w, h, axis, CASE WHEN greatest(tw::DOUBLE / w, th::DOUBLE / h) <= 1 THEN 'downsample' ELSE 'upsample + sharpen' END AS method, round(greatest(tw::DOUBLE / w, th::DOUBLE / h), 6) AS factor FROM c")
+def centre_crops(spark, sf_dir):
+    each = grid.targets(X.panels(spark, sf_dir))
+    cut = each.select("panel_id", "fmt", "tw", "th", grid.centre_crop(F.col("w"), F.col("h"), F.col("tw"), F.col("th")).alias("c")).select("panel_id", "fmt", "tw", "th", "c.*")
+    factor, method = grid.scale_plan(F.col("w"), F.col("h"), F.col("tw"), F.col("th"))
+    return cut.select("panel_id", "fmt", "x", "y", "w", "h", "axis", method.alias("method"), F.round(factor, 6).alias("factor"))
+
+
+# --- video geometry ----------------------------------------------------------
+
+_VIDEO_SQL = """v0 AS (SELECT o_orderkey AS k, concat_ws(':', o_orderkey % 500, o_orderkey * 3 % 400, o_orderkey % 90 + 10, o_orderkey % 70 + 10) AS box FROM orders),
+v AS (SELECT k AS video_id, [1920, 1080, 1280, 721, 1080, 640][k % 6 + 1] AS src_w, [1080, 1920, 720, 1281, 1350, 481][k % 6 + 1] AS src_h,
+  CASE WHEN k % 17 = 0 THEN 'bad:' || k WHEN k % 23 = 0 THEN replace(box, ':', ',') WHEN k % 29 = 0 THEN concat_ws(':', k % 500, 5, 0, 9) ELSE box END AS box_text, ['none', 'pad', 'crop'][k % 3 + 1] AS fit FROM v0)"""
+_EVEN = "CAST(round_even({0}, 0) - (round_even({0}, 0) % 2) AS BIGINT)"
+_BOX_SQL = _VIDEO_SQL + """, x AS (SELECT *, video_id % 17 = 0 AS short, video_id % 17 <> 0 AND video_id % 23 <> 0 AND video_id % 29 = 0 AS empty,
+  video_id % 500 AS bx, video_id * 3 % 400 AS by_, video_id % 90 + 10 AS bw, video_id % 70 + 10 AS bh FROM v)"""
+
+
+def _boxed(spark, sf_dir):
+    box, error = S.parse_box(F.col("box_text"))
+    return X.video_specs(spark, sf_dir).withColumn("box", box).withColumn("error", error)
+
+
+@query(f"WITH {_BOX_SQL} SELECT video_id, CASE WHEN short OR empty THEN NULL ELSE concat_ws(':', bx, by_, bw, bh) END AS box, CASE WHEN short THEN 'expected x:y:w:h' WHEN empty THEN 'width and height must be positive' END AS error FROM x")
+def parsed_boxes(spark, sf_dir):
+    return _boxed(spark, sf_dir).select("video_id", F.when(F.col("box").isNotNull(), S.box_text(F.col("box"))).alias("box"), "error")
+
+
+@query(f"WITH {_VIDEO_SQL} SELECT video_id, src_w, src_h, 'h264' AS codec, 'aac' AS audio_codec, round(CASE WHEN video_id % 19 = 0 THEN 0 WHEN video_id % 5 = 0 THEN 30000 / 1001 ELSE 25 END::DOUBLE, 6) AS fps, CASE WHEN video_id % 13 = 0 THEN 0 ELSE video_id % 60 END::DOUBLE AS duration FROM v")
+def stream_facts(spark, sf_dir):
+    facts = X.video_specs(spark, sf_dir).select("video_id", M.probe(F.col("probe_json")).alias("p")).select("video_id", *M.stream_facts(F.col("p")))
+    return facts.withColumn("fps", F.round("fps", 6))
+
+
+@query("""SELECT o_orderkey AS video_id, t.benign, t.label, CASE WHEN t.label = 'container tag title' THEN 'clip ' || o_orderkey ELSE t.detail END AS detail FROM orders
+CROSS JOIN (VALUES (false, 'container tag title', ''), (true, 'container tag major_brand', 'isom'), (true, 'stream 1 tag handler_name', 'v'), (false, 'stream 1 tag encoder', 'x')) AS t(benign, label, detail)""")
+def container_tags(spark, sf_dir):
+    probed = X.video_specs(spark, sf_dir).select(F.col("video_id").alias("path"), M.probe(F.col("probe_json")).alias("probe"))
+    return findings.tag_findings(probed).select(F.col("path").alias("video_id"), "benign", "label", "detail")
+
+
+_E = _EVEN.format
+_PLANS_SQL = f"""WITH {_VIDEO_SQL}, t(key, label, tw, th) AS (VALUES ('45', '4:5', 1080, 1350), ('916', '9:16', 1080, 1920)),
+n AS (SELECT video_id, 'native' AS label, '' AS key, {_E('src_w * least(1080 / src_w, 1920 / src_h)')} AS out_w, {_E('src_h * least(1080 / src_w, 1920 / src_h)')} AS out_h, src_w, src_h FROM v WHERE fit = 'none'),
+e AS (SELECT *, {_E('src_w * least(tw / src_w, th / src_h)')} AS iw, {_E('src_h * least(tw / src_w, th / src_h)')} AS ih, src_w / src_h - tw / th AS off,
+  CASE WHEN src_w / src_h > tw / th THEN {_E('src_h * (tw / th)')} ELSE {_E('src_w')} END AS cw, CASE WHEN src_w / src_h > tw / th THEN {_E('src_h')} ELSE {_E('src_w / (tw / th)')} END AS ch FROM v CROSS JOIN t WHERE fit <> 'none')
+SELECT video_id, label, key, out_w, out_h, CASE WHEN out_w <> src_w OR out_h <> src_h THEN printf('scale=%d:%d:flags=lanczos', out_w, out_h) ELSE '' END AS chain FROM n
+UNION ALL SELECT video_id, label, key, tw, th, CASE WHEN fit = 'pad' THEN printf('scale=%d:%d:flags=lanczos|pad=%d:%d:%d:%d:black', iw, ih, tw, th, (tw - iw) // 2, (th - ih) // 2)
+  ELSE (CASE WHEN abs(off) < 1e-6 THEN '' ELSE printf('crop=%d:%d:%d:%d|', cw, ch, (src_w - cw) // 2, (src_h - ch) // 2) END) || printf('scale=%d:%d:flags=lanczos', tw, th) END FROM e"""
+
+
+@query(_PLANS_SQL)
+def output_plans(spark, sf_dir):
+    no_crop = F.lit(None).cast("struct<x:int,y:int,w:int,h:int>")
+    plans = video.plan_outputs(X.video_specs(spark, sf_dir).withColumn("first_crop", no_crop))
+    return plans.select("video_id", "label", "key", "out_w", "out_h", F.array_join("chain", "|").alias("chain"))
+
+
+@query(f"""WITH {_BOX_SQL} SELECT video_id, {_E('bw * least(1080 / bw, 1920 / bh)')} AS out_w, {_E('bh * least(1080 / bw, 1920 / bh)')} AS out_h FROM x WHERE fit = 'none' AND NOT short AND NOT empty""")
+def plans_after_crop(spark, sf_dir):
+    cropped = _boxed(spark, sf_dir).where("fit = 'none' AND box IS NOT NULL").withColumn("first_crop", F.col("box"))
+    return video.plan_outputs(cropped).select("video_id", "out_w", "out_h")
+
+
+@query(f"WITH {_BOX_SQL} SELECT video_id, CASE WHEN NOT short AND NOT empty AND (bx + bw > src_w OR by_ + bh > src_h) THEN 'crop lies outside the frame' END AS error FROM x")
+def crop_guards(spark, sf_dir):
+    return _boxed(spark, sf_dir).select("video_id", video.crop_error(F.col("box"), F.col("src_w"), F.col("src_h")).alias("error"))
+
+
+@query(f"""WITH {_BOX_SQL}, t(fmt, uw, uh) AS (VALUES ('45', 4, 5), ('916', 9, 16)),
+s AS (SELECT video_id, fmt, src_w, src_h, bx, by_, o.n AS o, uw, uh, CASE o.n WHEN 2 THEN bx WHEN 3 THEN src_w - (bx + bw) ELSE src_w END AS wm, CASE o.n WHEN 0 THEN by_ WHEN 1 THEN src_h - (by_ + bh) ELSE src_h END AS hm
+  FROM x CROSS JOIN t CROSS JOIN (VALUES (0), (1), (2), (3)) AS o(n) WHERE NOT short AND NOT empty),
+k AS (SELECT *, least(wm // uw, hm // uh) - least(wm // uw, hm // uh) % 2 AS k FROM s WHERE wm >= 32 AND hm >= 32),
+q AS (SELECT *, k * uw AS w, k * uh AS h, row_number() OVER (PARTITION BY video_id, fmt ORDER BY k DESC, o) AS rn FROM k WHERE k > 0 AND k * uw >= 32 AND k * uh >= 32)
+SELECT x.video_id, t.fmt, CASE WHEN q.o < 2 THEN greatest(0, (x.src_w - w) // 2) WHEN q.bx >= w THEN 0 ELSE x.src_w - w END AS x, CASE WHEN q.o < 2 THEN (CASE WHEN q.by_ >= h THEN 0 ELSE x.src_h - h END) ELSE greatest(0, (x.src_h - h) // 2) END AS y, q.w, q.h
+FROM x CROSS JOIN t LEFT JOIN q ON x.video_id = q.video_id AND t.fmt = q.fmt AND q.rn = 1 WHERE NOT short AND NOT empty""")
+def crop_suggestions(spark, sf_dir):
+    return video.suggest_crops(_boxed(spark, sf_dir).where("box IS NOT NULL")).select("video_id", "fmt", "x", "y", "w", "h")
+
+
+# --- frames ------------------------------------------------------------------
+
+_PIXELS_SQL = """fv AS (SELECT s_suppkey AS video_id, (s_suppkey // 10) % 6 AS c FROM supplier WHERE s_suppkey % 10 = 0),
+fp AS (SELECT video_id, c, t, y, x, CASE WHEN c <> 4 AND x BETWEEN (CASE WHEN c IN (1, 3) THEN 114 ELSE 4 END) AND (CASE WHEN c IN (1, 3) THEN 114 ELSE 4 END) + (CASE WHEN c = 5 THEN 29 ELSE 7 END)
+    AND y BETWEEN (CASE WHEN c IN (2, 3) THEN 82 ELSE 4 END) AND (CASE WHEN c IN (2, 3) THEN 82 ELSE 4 END) + 7 THEN 230.0::DOUBLE ELSE ((x * 7 + y * 13 + t * (video_id % 5 + 11)) % 160)::DOUBLE END AS gray
+  FROM (SELECT *, unnest(range(0, 128)) AS x FROM (SELECT *, unnest(range(0, 96)) AS y FROM (SELECT *, unnest(range(0, 8)) AS t FROM fv)))),
+fs AS (SELECT video_id, y, x, avg(gray) AS mean, stddev_pop(gray) AS std FROM fp GROUP BY 1, 2, 3)"""
+_OVERLAY_SQL = f"""{_PIXELS_SQL}, mv AS (SELECT video_id, quantile_cont(std, 0.5) AS moving FROM fs GROUP BY 1),
+ci AS (SELECT fs.*, mv.moving, CASE WHEN y < 21 AND x < 38 THEN 0 WHEN y < 21 AND x >= 90 THEN 1 WHEN y >= 75 AND x < 38 THEN 2 WHEN y >= 75 AND x >= 90 THEN 3 END AS k FROM fs JOIN mv ON fs.video_id = mv.video_id WHERE mv.moving >= 1.5),
+cut AS (SELECT video_id, k, greatest(90, quantile_cont(mean, 0.9)) AS cut FROM ci WHERE k IS NOT NULL GROUP BY 1, 2),
+bl AS (SELECT ci.video_id, ci.k, min(x) AS x0, min(y) AS y0, max(x) - min(x) + 1 AS bw, max(y) - min(y) + 1 AS bh, count(*) AS mass FROM ci JOIN cut ON ci.video_id = cut.video_id AND ci.k = cut.k WHERE std < greatest(1, 0.6 * moving) AND mean > cut GROUP BY 1, 2),
+ok AS (SELECT *, greatest(6, bw // 4) AS pw, greatest(6, bh // 4) AS ph FROM bl WHERE mass >= 40 AND bw >= 8 AND bh >= 8 AND bw <= 128 * 0.22 AND bh <= 96 * 0.14 AND greatest(bw, bh) / least(bw, bh) <= 2.5 AND mass / (bw * bh) >= 0.1),
+oc AS (SELECT video_id, k, ['top-left', 'top-right', 'bottom-left', 'bottom-right'][k + 1] AS corner, greatest(0, x0 - pw) AS x, greatest(0, y0 - ph) AS y, least(128, x0 + bw + pw) - greatest(0, x0 - pw) AS w, least(96, y0 + bh + ph) - greatest(0, y0 - ph) AS h, mass FROM ok)"""
+
+
+def _overlays(spark, sf_dir):
+    return frames.overlay_candidates(frames.pixel_stats(X.frame_pixels(spark, sf_dir)))
+
+
+@query(f"WITH {_OVERLAY_SQL} SELECT video_id, corner, x, y, w, h, mass, row_number() OVER (PARTITION BY video_id ORDER BY mass DESC, k) AS rank FROM oc")
+def overlay_candidates(spark, sf_dir):
+    return _overlays(spark, sf_dir)
+
+
+@query(f"""WITH {_OVERLAY_SQL}, b1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY mass DESC, k) AS rn FROM oc) WHERE rn = 1),
+gb AS (SELECT fp.*, fp.gray - lag(fp.gray) OVER (PARTITION BY fp.video_id, t, fp.y ORDER BY fp.x) AS gx, fp.gray - lag(fp.gray) OVER (PARTITION BY fp.video_id, t, fp.x ORDER BY fp.y) AS gy
+  FROM fp JOIN b1 ON fp.video_id = b1.video_id WHERE fp.x >= greatest(0, b1.x - 10) AND fp.y >= greatest(0, b1.y - 10) AND fp.x < b1.x + b1.w + 10 AND fp.y < b1.y + b1.h + 10)
+SELECT video_id, round((avg(abs(gx)) + avg(abs(gy))) / 2, 6) AS detail, CASE WHEN (avg(abs(gx)) + avg(abs(gy))) / 2 < 6 THEN 'clean' WHEN (avg(abs(gx)) + avg(abs(gy))) / 2 < 15 THEN 'soft' ELSE 'too busy' END AS band FROM gb GROUP BY 1""")
+def repair_bands(spark, sf_dir):
+    best = _overlays(spark, sf_dir).where("rank = 1")
+    detail = frames.border_detail(X.frame_pixels(spark, sf_dir), best)
+    return detail.select("video_id", F.round("detail", 6).alias("detail"), frames.quality_band(F.col("detail")).alias("band"))
+
+
+@query("""WITH f AS (SELECT user_id AS video_id, event_id, epoch(ts) - epoch(min(ts) OVER (PARTITION BY user_id)) AS ts, epoch(max(ts) OVER (PARTITION BY user_id)) - epoch(min(ts) OVER (PARTITION BY user_id)) AS duration FROM events),
+s AS (SELECT *, floor(ts * CASE WHEN duration > 0 THEN greatest(0.5, 24 / duration) ELSE 2 END) AS step FROM f),
+r AS (SELECT *, row_number() OVER (PARTITION BY video_id, step ORDER BY ts) AS n FROM s), k AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY step) AS sample_no FROM r WHERE n = 1),
+c AS (SELECT video_id, sample_no, count(*) OVER (PARTITION BY video_id) AS c FROM k WHERE sample_no <= 24)
+SELECT video_id, count(*) AS samples FROM c WHERE c >= 2 GROUP BY 1""")
+def sampled_frames(spark, sf_dir):
+    from pyspark.sql import Window as W
+
+    by = W.partitionBy("user_id")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("s", X.epoch_seconds("ts"))
+    rows = events.select(F.col("user_id").alias("video_id"), (F.col("s") - F.min("s").over(by)).alias("ts"), (F.max("s").over(by) - F.min("s").over(by)).alias("duration"))
+    return frames.sample_frames(rows).groupBy("video_id").agg(F.count("*").alias("samples"))
+
+
+# --- jobs and summaries ------------------------------------------------------
+
+_JOBS_SQL = "j AS (SELECT event_id AS job_id, epoch(ts) AS created, CASE WHEN event_id % 31 <> 0 THEN epoch(ts) + value * 60 END AS mtime, user_id AS run_id, ts, event_type = 'error' AS failed FROM events), w AS (SELECT median(created) AS now FROM j)"
+
+
+@query(f"WITH {_JOBS_SQL} SELECT job_id FROM j CROSS JOIN w WHERE mtime IS NULL OR greatest(now - created, now - mtime) > 7200")
+def expired_jobs(spark, sf_dir):
+    jobs = X.jobs(spark, sf_dir)
+    now = jobs.agg(F.median("created")).first()[0]
+    return streams.expired(jobs, now).select("job_id")
+
+
+@query(f"WITH {_JOBS_SQL} SELECT run_id, count(*) AS done, count(*) FILTER (failed) AS failed, 'file_' || max(row(ts, 'file_' || job_id || '.png'))[2][6:-5] || '.png' AS current FROM j GROUP BY 1")
+def run_progress(spark, sf_dir):
+    return streams.progress(X.jobs(spark, sf_dir).withColumn("ts", F.col("created")))
+
+
+@query(f"""WITH {_VERDICT_SQL} SELECT count(*) FILTER (c < 3 AND media_id % 40 <> 0) AS grids, count(*) FILTER (c = 3 AND media_id % 40 <> 0) AS videos, CAST(sum(CASE WHEN c < 3 THEN 4 ELSE 1 END) AS BIGINT) AS outputs,
+  count(*) FILTER (media_id % 40 = 0) AS skipped, count(*) FILTER (verdict = 'unknown') AS warnings, count(*) FILTER (media_id % 50 = 0) AS failures, count(*) FILTER (media_id % 7 = 0) AS boxed, count(*) FILTER (v = 6) AS not_removed FROM o""")
+def run_summary(spark, sf_dir):
+    i = F.col("media_id")
+    outcomes = _audited(spark, sf_dir).select(
+        "kind",
+        F.when(F.col("kind") == "image", 4).otherwise(1).alias("outputs"),
+        (F.col("verdict") == "unknown").cast("int").alias("warnings"),
+        F.when(i % 50 == 0, "failed").alias("error"),
+        (i % 7 == 0).alias("boxed"),
+        (F.col("synthid") == "declared").alias("declares_watermark"),
+        (i % 40 == 0).alias("skipped"),
+    )
+    return reports.run_summary(outcomes)
