@@ -20,13 +20,15 @@ from mediasieve.sources import fixtures as X
 from mediasieve.sources import media as M
 from mediasieve.streaming import files as streams
 
-_ID = F.regexp_extract("path", r"^/media/(\d+)/", 1).cast("long").alias("media_id")
+
+def _id():
+    return F.regexp_extract("path", r"^/media/(\d+)/", 1).cast("long").alias("media_id")
 
 
 def _audited(spark: SparkSession, sf_dir: str) -> DataFrame:
     rel = F.regexp_extract("path", r"^/media/\d+/(?s:(.*))$", 1)
     audited = reports.audit(X.media(spark, sf_dir)).withColumn("rel_path", rel)
-    return audited.withColumn("folder", S.folder(F.col("rel_path"))).withColumn("kind", S.media_kind(F.col("rel_path"))).withColumn("media_id", _ID)
+    return audited.withColumn("folder", S.folder(F.col("rel_path"))).withColumn("kind", S.media_kind(F.col("rel_path"))).withColumn("media_id", _id())
 
 
 # --- what the fixtures hold, as SQL -----------------------------------------
@@ -130,7 +132,7 @@ def sniffed_containers(spark, sf_dir):
 
 @query(f"WITH {_FOUND_SQL} SELECT media_id, kind, label, nbytes FROM f")
 def findings_flat(spark, sf_dir):
-    return findings.exploded(findings.with_findings(walk(X.media(spark, sf_dir)))).select(_ID, "kind", "label", "nbytes")
+    return findings.exploded(findings.with_findings(walk(X.media(spark, sf_dir)))).select(_id(), "kind", "label", "nbytes")
 
 
 @query(f"WITH {_FOUND_SQL} SELECT kind, label, count(DISTINCT media_id) AS files, count(*) AS occurrences, CAST(sum(nbytes) AS BIGINT) AS nbytes FROM f GROUP BY 1, 2")
@@ -145,18 +147,18 @@ def batch_overview(spark, sf_dir):
 
 @query(f"WITH {_MEDIA_SQL} SELECT media_id, CASE WHEN c = 3 THEN 0 WHEN typical THEN 1024 ELSE 640 END AS width, CASE WHEN c = 3 THEN 0 WHEN typical THEN 1024 ELSE 481 END AS height FROM m")
 def header_sizes(spark, sf_dir):
-    return walk(X.media(spark, sf_dir)).select(_ID, F.coalesce("width", F.lit(0)).alias("width"), F.coalesce("height", F.lit(0)).alias("height"))
+    return walk(X.media(spark, sf_dir)).select(_id(), F.coalesce("width", F.lit(0)).alias("width"), F.coalesce("height", F.lit(0)).alias("height"))
 
 
 @query(f"WITH {_MEDIA_SQL} SELECT media_id, CASE v WHEN 1 THEN 'Comment' WHEN 4 THEN 'parameters' ELSE 'Source' END AS key, CASE v WHEN 6 THEN 'SynthID reference' ELSE note END AS value FROM m WHERE c = 1 AND v IN (1, 4, 6)")
 def png_texts(spark, sf_dir):
     walked = walk(X.media(spark, sf_dir)).where("container = 'png'")
-    return walked.select(_ID, F.explode("text_kv").alias("key", "value")).where("key <> 'XML:com.adobe.xmp'")
+    return walked.select(_id(), F.explode("text_kv").alias("key", "value")).where("key <> 'XML:com.adobe.xmp'")
 
 
 @query(f"WITH {_MEDIA_SQL} SELECT media_id, t.tag, t.value FROM m JOIN (VALUES (2, 271, 'TestMake'), (2, 272, 'TestModel'), (2, 34853, '8'), (4, 305, 'ComfyUI 1.0')) AS t(v, tag, value) ON m.v = t.v WHERE c < 3 AND NOT (c = 1 AND m.v = 4)")
 def exif_tags(spark, sf_dir):
-    return walk(X.media(spark, sf_dir)).select(_ID, F.explode("exif").alias("tag", "value"))
+    return walk(X.media(spark, sf_dir)).select(_id(), F.explode("exif").alias("tag", "value"))
 
 
 @query(f"WITH {_VERDICT_SQL} SELECT media_id, folder FROM o WHERE v = 6")
@@ -182,7 +184,7 @@ def readable_runs(spark, sf_dir):
 FROM m LEFT JOIN f ON m.media_id = f.media_id GROUP BY m.media_id, m.c, m.v""")
 def clean_audit(spark, sf_dir):
     done = clean.verify(X.media(spark, sf_dir))
-    return done.select(_ID, "mode", (F.col("before") - F.col("after")).alias("saved"), "same_picture", "same_size", "n_before", F.col("n_left").cast("int").alias("n_left"))
+    return done.select(_id(), "mode", (F.col("before") - F.col("after")).alias("saved"), "same_picture", "same_size", "n_before", F.col("n_left").cast("int").alias("n_left"))
 
 
 @query(f"WITH {_FOUND_SQL} SELECT label, count(*) AS n FROM f WHERE kind = 'chunk' OR kind = 'segment' GROUP BY 1")
@@ -196,13 +198,13 @@ def removed_by_label(spark, sf_dir):
 @query(f"WITH {_MEDIA_SQL} SELECT media_id, CASE WHEN v IN (1, 3, 4, 5, 6) THEN 1 ELSE 0 END AS boxes, CASE WHEN v = 7 THEN 1 ELSE 0 END AS names FROM m WHERE c = 3")
 def blanked_boxes(spark, sf_dir):
     videos = X.media(spark, sf_dir).where("container = 'mp4'")
-    return clean.verify(videos).select(_ID, F.col("boxes").cast("int").alias("boxes"), F.col("names").cast("int").alias("names"))
+    return clean.verify(videos).select(_id(), F.col("boxes").cast("int").alias("boxes"), F.col("names").cast("int").alias("names"))
 
 
 @query(f"""WITH {_MEDIA_SQL} SELECT media_id, CASE WHEN c <> 0 THEN 'not-a-jpeg' WHEN v = 1 OR v = 6 THEN 'COM' WHEN v IN (2, 4) THEN 'APP1' WHEN v = 3 THEN 'APP11,payload:c2pa,payload:jumb' WHEN v = 5 THEN 'APP1,payload:http://ns.adobe.com/xap/' WHEN v = 7 THEN 'APP2,APP5' ELSE '' END AS labels FROM m""")
 def leftover_labels(spark, sf_dir):
     media = X.media(spark, sf_dir)
-    return findings.leftovers(walk(media), media).select(_ID, F.array_join(F.filter("labels", lambda x: x != "APP0"), ",").alias("labels"))
+    return findings.leftovers(walk(media), media).select(_id(), F.array_join(F.filter("labels", lambda x: x != "APP0"), ",").alias("labels"))
 
 
 # --- names -------------------------------------------------------------------
