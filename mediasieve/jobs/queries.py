@@ -125,6 +125,22 @@ def origin_verdicts(spark, sf_dir):
     return _audited(spark, sf_dir).select("media_id", "verdict", "synthid")
 
 
+@query(f"""WITH {_MEDIA_SQL} SELECT media_id, e.weight, e.label FROM m JOIN (VALUES
+  ('declared', 'C2PA assertion: trainedAlgorithmicMedia', 1), ('declared', 'C2PA / Content Credentials manifest', 2), ('camera', 'Camera capture data present', 3),
+  ('declared', 'Generation record embedded', 4), ('circumstantial', 'Size typical of a generator', 5), ('circumstantial', 'No metadata at all', 6)) AS e(weight, label, k)
+ON CASE e.k WHEN 1 THEN v = 3 WHEN 2 THEN v = 3 AND c IN (1, 3) WHEN 3 THEN v = 2 AND c < 3 WHEN 4 THEN v = 4 AND c = 1 WHEN 5 THEN typical AND c < 3 AND v <> 2 ELSE (v = 0 AND c < 3) OR (v = 1 AND c = 2) END""")
+def evidence_flat(spark, sf_dir):
+    rows = _audited(spark, sf_dir).select("media_id", F.explode("evidence").alias("e")).select("media_id", "e.weight", "e.label")
+    return rows.where("label <> 'Generator named in metadata'")
+
+
+@query(f"""WITH {_VERDICT_SQL}, k(c, v, n) AS (VALUES {", ".join(f"({c}, {v}, {sum(x[:2] == (c, v) for x in _FOUND)})" for c in range(4) for v in range(8))})
+SELECT media_id, o.verdict, k.n AS n_findings FROM o JOIN k ON o.c = k.c AND o.v = k.v""")
+def json_reports(spark, sf_dir):
+    texts = reports.as_json(_audited(spark, sf_dir)).withColumn("media_id", _id())
+    return texts.select("media_id", F.get_json_object("report", "$.verdict").alias("verdict"), F.json_array_length(F.get_json_object("report", "$.findings")).alias("n_findings"))
+
+
 @query(f"WITH {_MEDIA_SQL} SELECT media_id, CASE c WHEN 0 THEN 'jpeg' WHEN 1 THEN 'png' WHEN 2 THEN 'webp' ELSE 'iso' END AS container FROM m")
 def sniffed_containers(spark, sf_dir):
     return X.media(spark, sf_dir).select("media_id", sniff(F.col("content")).alias("container"))

@@ -20,6 +20,12 @@ def audit(media: DataFrame) -> DataFrame:
     return assess(walked.withColumn("is_video", F.col("container") == "iso"))
 
 
+def as_json(audited: DataFrame) -> DataFrame:
+    """(path, report): findings, evidence and verdict of each file as one JSON text, for export."""
+    fields = ("container", "width", "height", "findings", "evidence", "verdict", "headline", "explanation", "synthid", "synthid_note", "error")
+    return audited.select("path", F.to_json(F.struct(*fields)).alias("report"))
+
+
 def verdict_rollup(audited: DataFrame) -> DataFrame:
     """Files by folder, kind and verdict with subtotals; ``level`` tells them apart (grouping id)."""
     rolled = audited.rollup("folder", "kind", "verdict").agg(F.count("*").alias("files"), F.grouping_id().alias("level"))
