@@ -147,20 +147,23 @@ class Matcher:
         enough = size >= self.least[owner]
         return owner[enough], band[enough]
 
-    def matches(self, texts: list[bytes]) -> list[dict[int | None, tuple[int, int, int, int]]]:
-        """For each text, by item: start and end in bytes, fewest edits of a window, number of windows found."""
-        found: list[dict[int | None, tuple[int, int, int, int]]] = [{} for _ in texts]
+    def matches(self, texts: list[bytes]) -> list[dict[int | None, tuple[int, int, int, set[int]]]]:
+        """For each text, by item: start and end in bytes, fewest edits of a window, windows found."""
+        found: list[dict] = [{} for _ in texts]
+        # Longer texts are cut into pieces that overlap by more than a match can be long.
+        lap = 2 * self.longest
+        pieces = [(d, a, t[a : a + _CHUNK + lap]) for d, t in enumerate(texts) for a in range(0, max(1, len(t)), _CHUNK)]
         k = 0
-        while k < len(texts):
+        while k < len(pieces):
             first, size = k, 0
-            while k < len(texts) and (k == first or size + len(texts[k]) < _CHUNK):
-                size += len(texts[k]) + Q
+            while k < len(pieces) and (k == first or size + len(pieces[k][2]) < _CHUNK):
+                size += len(pieces[k][2]) + Q
                 k += 1
-            self._chunk(texts[first:k], found[first:k])
+            self._chunk(pieces[first:k], found)
         return found
 
-    def _chunk(self, texts: list[bytes], found: list[dict]) -> None:
-        folded = [fold(t) for t in texts]
+    def _chunk(self, pieces: list[tuple[int, int, bytes]], found: list[dict]) -> None:
+        folded = [fold(t) for _, _, t in pieces]
         joined = (b"\0" * Q).join(folded)
         starts = np.cumsum([0] + [len(t) + Q for t in folded])
         owners, bands = self.bands(joined)
@@ -169,7 +172,7 @@ class Matcher:
             regions: dict[tuple[int, int], bytes] = {}
             for low in (bands[owners == o] * self.step[o] - self.longest).tolist():
                 high = low + 2 * (p.budget + 1) - 1 + len(p.text) + p.budget
-                for d in range(max(0, int(np.searchsorted(starts, low, "right")) - 1), len(texts)):
+                for d in range(max(0, int(np.searchsorted(starts, low, "right")) - 1), len(pieces)):
                     if starts[d] >= high:
                         break
                     a, b = max(0, low - int(starts[d])), min(len(folded[d]), high - int(starts[d]))
@@ -178,9 +181,10 @@ class Matcher:
             for (d, a), (start, end, edits) in zip(regions, self._verify(p, list(regions.values()))):
                 if edits > p.budget:
                     continue
-                old = found[d].get(p.item_id)
-                new = (a + start, a + end, edits, o)
-                found[d][p.item_id] = (min(old[0], new[0]), max(old[1], new[1]), min(old[2], edits), old[3] | {o}) if old else (*new[:3], {o})
+                doc, base, _ = pieces[d]
+                start, end = base + a + start, base + a + end
+                old = found[doc].get(p.item_id, (start, end, edits, set()))
+                found[doc][p.item_id] = (min(old[0], start), max(old[1], end), min(old[2], edits), old[3] | {int(o)})
 
     @staticmethod
     def _verify(p: Pattern, regions: list[bytes]) -> Iterator[tuple[int, int, int]]:

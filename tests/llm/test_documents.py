@@ -356,6 +356,17 @@ def test_leaks_match_alignment_of_everything(spark):
     assert {(x.doc_id, x.item_id) for x in small.collect()} == want
 
 
+def test_leaks_across_the_pieces_of_a_long_text(monkeypatch):
+    monkeypatch.setattr(decontaminate, "_CHUNK", 300)
+    matcher = decontaminate.Matcher(decontaminate.patterns_of([(1, PASSAGE)], 0.1, 96))
+    r = random.Random(9)
+    for k in range(0, 700, 23):
+        text = (prose(400, r)[:k] + " " + PASSAGE + " " + prose(100, r)).encode()
+        (found,) = matcher.matches([text])
+        start, end, edits, _ = found[1]
+        assert edits == 0 and decontaminate.fold(PASSAGE) in decontaminate.fold(text)[max(0, start - 1) : end + 1]
+
+
 def test_leaks_of_nothing(spark, docs, none):
     bench = spark.createDataFrame([(1, PASSAGE)], "item_id long, text string")
     assert decontaminate.find_leaks(none, bench).count() == 0
