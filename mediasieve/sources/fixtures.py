@@ -36,38 +36,41 @@ CAMERA_TIFF = _tiff([(271, b"TestMake"), (272, b"TestModel"), (34853, 8)])
 SOFTWARE_TIFF = _tiff([(305, SOFTWARE)])
 
 
-def _b(data: bytes) -> Column:
-    return F.unhex(F.lit(data.hex()))
+# Pieces of bytes as SQL text: one expression is parsed instead of thousands of column calls.
 
 
-def _n(value: Column, size: int, little: bool = False) -> Column:
-    digits = F.lpad(F.hex(value.cast("long")), 2 * size, "0")
+def _b(data: bytes) -> str:
+    return f"X'{data.hex()}'"
+
+
+def _n(value: str, size: int, little: bool = False) -> str:
+    """An unsigned integer in ``size`` bytes."""
+    digits = f"lpad(hex(CAST({value} AS BIGINT)), {2 * size}, '0')"
     if little:
-        digits = F.concat(*(F.substring(digits, 2 * k + 1, 2) for k in reversed(range(size))))
-    return F.unhex(digits)
+        digits = "concat(" + ", ".join(f"substring({digits}, {2 * k + 1}, 2)" for k in reversed(range(size))) + ")"
+    return f"unhex({digits})"
 
 
-def _cat(*parts: Column) -> Column:
-    """Binary concatenation; a null part is left out."""
-    return F.concat(*(F.coalesce(p, _b(b"")) for p in parts))
+def _cat(*parts: str) -> str:
+    return f"concat({', '.join(parts)})"
 
 
-def _segment(marker: int, payload: Column) -> Column:
-    return _cat(_b(bytes([0xFF, marker])), _n(F.length(payload) + 2, 2), payload)
+def _segment(marker: int, payload: str) -> str:
+    return _cat(_b(bytes([0xFF, marker])), _n(f"octet_length({payload}) + 2", 2), payload)
 
 
-def _chunk(kind: bytes, payload: Column) -> Column:
+def _chunk(kind: bytes, payload: str) -> str:
     body = _cat(_b(kind), payload)
-    return _cat(_n(F.length(payload), 4), body, _n(F.crc32(body), 4))
+    return _cat(_n(f"octet_length({payload})", 4), body, _n(f"crc32({body})", 4))
 
 
-def _riff(kind: bytes, payload: Column) -> Column:
-    pad = F.when(F.length(payload) % 2 == 1, _b(b"\0"))
-    return _cat(_b(kind), _n(F.length(payload), 4, little=True), payload, pad)
+def _riff(kind: bytes, payload: str) -> str:
+    pad = f"CASE WHEN octet_length({payload}) % 2 = 1 THEN X'00' ELSE X'' END"
+    return _cat(_b(kind), _n(f"octet_length({payload})", 4, little=True), payload, pad)
 
 
-def _box(kind: bytes, payload: Column) -> Column:
-    return _cat(_n(F.length(payload) + 8, 4), _b(kind), payload)
+def _box(kind: bytes, payload: str) -> str:
+    return _cat(_n(f"octet_length({payload}) + 8", 4), _b(kind), payload)
 
 
 def media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,8 +95,8 @@ def media(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(typical, 1024).otherwise(640).alias("width"),
         F.when(typical, 1024).otherwise(481).alias("height"),
     )
-    w, h, v, text = F.col("width"), F.col("height"), F.col("variant"), F.col("note").cast("binary")
-    pick = lambda *cases: F.element_at(F.array(*(_b(b"") if c is None else c for c in cases)), v + 1)
+    w, h, text = "width", "height", "CAST(note AS BINARY)"
+    pick = lambda *cases: "CASE variant " + " ".join(f"WHEN {k} THEN {c}" for k, c in enumerate(cases) if c) + " ELSE X'' END"
     exif = lambda t: _b(b"Exif\0\0" + t)
     jpeg = _cat(
         _b(b"\xff\xd8"),
@@ -129,9 +132,9 @@ def media(spark: SparkSession, sf_dir: str) -> DataFrame:
         _chunk(b"IDAT", _b(SCAN[20:])),
         _chunk(b"IEND", _b(b"")),
     )
-    flags = F.element_at(F.array(*(F.lit(x) for x in (0, 0, 8, 0, 8, 4, 0, 32))), v + 1)
+    flags = "element_at(array(0, 0, 8, 0, 8, 4, 0, 32), variant + 1)"
     webp_body = _cat(
-        _riff(b"VP8X", _cat(_n(flags, 1), _b(b"\0\0\0"), _n(w - 1, 3, little=True), _n(h - 1, 3, little=True))),
+        _riff(b"VP8X", _cat(_n(flags, 1), _b(b"\0\0\0"), _n("width - 1", 3, little=True), _n("height - 1", 3, little=True))),
         pick(None, None, None, None, None, None, None, _riff(b"ICCP", _b(ICC))),
         _riff(b"VP8 ", _b(SCAN[:33])),
         pick(
@@ -145,7 +148,7 @@ def media(spark: SparkSession, sf_dir: str) -> DataFrame:
             None,
         ),
     )
-    webp = _cat(_b(b"RIFF"), _n(F.length(webp_body) + 4, 4, little=True), _b(b"WEBP"), webp_body)
+    webp = _cat(_b(b"RIFF"), _n("octet_length(webp_body) + 4", 4, little=True), _b(b"WEBP"), "webp_body")
     uuid = lambda hexed, payload: _box(b"uuid", _cat(_b(bytes.fromhex(hexed)), payload))
     mp4 = _cat(
         _box(b"ftyp", _b(b"isom\0\0\2\0isomiso2")),
@@ -161,8 +164,10 @@ def media(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
         _box(b"mdat", _b(SCAN)),
     )
-    content = F.when(F.col("container") == "jpeg", jpeg).when(F.col("container") == "png", png).when(F.col("container") == "webp", webp).otherwise(mp4)
-    return base.withColumn("content", content).withColumn("length", F.length("content").cast("long")).withColumn("path", F.concat(F.lit("/media/"), F.col("media_id").cast("string"), F.lit("/"), F.col("rel_path")))
+    made = base.withColumn("webp_body", F.expr(f"CASE WHEN container = 'webp' THEN {webp_body} END"))
+    content = F.expr(f"CASE container WHEN 'jpeg' THEN {jpeg} WHEN 'png' THEN {png} WHEN 'webp' THEN {webp} ELSE {mp4} END")
+    path = F.concat(F.lit("/media/"), F.col("media_id").cast("string"), F.lit("/"), F.col("rel_path"))
+    return made.withColumn("content", content).drop("webp_body").withColumn("length", F.length("content").cast("long")).withColumn("path", path)
 
 
 def line_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
