@@ -331,6 +331,11 @@ def grid_axes(spark, sf_dir):
     return _axes(spark, sf_dir).drop("runs")
 
 
+@query(f"WITH {_LINES_SQL.replace('white AND s % 11 <> 0 AS hit', 'white AS hit')} SELECT CAST(image_id AS VARCHAR) AS image_id, axis, length, lo_end, hi_start, content_start, content_end, detected FROM ax2")
+def picture_axes(spark, sf_dir):
+    return grid.detect_axes(grid.as_lines(grid.line_profile(X.pictures(spark, sf_dir)))).drop("runs")
+
+
 @query(f"WITH {_LINES_SQL} SELECT image_id, axis, a AS start, b AS \"end\" FROM r")
 def white_runs(spark, sf_dir):
     return grid.line_runs(X.line_stats(spark, sf_dir))
@@ -442,10 +447,10 @@ def crop_suggestions(spark, sf_dir):
 
 # --- frames ------------------------------------------------------------------
 
-_PIXELS_SQL = """fv AS (SELECT s_suppkey AS video_id, (s_suppkey // 10) % 6 AS c FROM supplier WHERE s_suppkey % 10 = 0),
+_PIXELS_SQL = """fv AS (SELECT s_suppkey AS video_id, s_suppkey % 6 AS c FROM supplier),
 fp AS (SELECT video_id, c, t, y, x, CASE WHEN c <> 4 AND x BETWEEN (CASE WHEN c IN (1, 3) THEN 114 ELSE 4 END) AND (CASE WHEN c IN (1, 3) THEN 114 ELSE 4 END) + (CASE WHEN c = 5 THEN 29 ELSE 7 END)
     AND y BETWEEN (CASE WHEN c IN (2, 3) THEN 82 ELSE 4 END) AND (CASE WHEN c IN (2, 3) THEN 82 ELSE 4 END) + 7 THEN 230.0::DOUBLE ELSE ((x * 7 + y * 13 + t * (video_id % 5 + 11)) % 160)::DOUBLE END AS gray
-  FROM (SELECT *, unnest(range(0, 128)) AS x FROM (SELECT *, unnest(range(0, 96)) AS y FROM (SELECT *, unnest(range(0, 8)) AS t FROM fv)))),
+  FROM (SELECT *, unnest(range(0, 128)) AS x FROM (SELECT *, unnest(range(0, 96)) AS y FROM (SELECT *, unnest(range(0, 4)) AS t FROM fv)))),
 fs AS (SELECT video_id, y, x, avg(gray) AS mean, stddev_pop(gray) AS std FROM fp GROUP BY 1, 2, 3)"""
 _OVERLAY_SQL = f"""{_PIXELS_SQL}, mv AS (SELECT video_id, quantile_cont(std, 0.5) AS moving FROM fs GROUP BY 1),
 ci AS (SELECT fs.*, mv.moving, CASE WHEN y < 21 AND x < 38 THEN 0 WHEN y < 21 AND x >= 90 THEN 1 WHEN y >= 75 AND x < 38 THEN 2 WHEN y >= 75 AND x >= 90 THEN 3 END AS k FROM fs JOIN mv ON fs.video_id = mv.video_id WHERE mv.moving >= 1.5),
@@ -474,6 +479,13 @@ def repair_bands(spark, sf_dir):
     return detail.select("video_id", F.round("detail", 6).alias("detail"), frames.quality_band(F.col("detail")).alias("band"))
 
 
+@query()
+def frame_recovery(spark, sf_dir):
+    clips = X.pan_frames(spark, sf_dir)
+    boxes = clips.select("video_id").distinct().select("video_id", *(F.lit(v).alias(c) for c, v in zip("xywh", X.MARK)))
+    return frames.recovery(frames.match_frames(clips, boxes)).select("video_id", "frames", "recovered", "good", F.round("median_confidence", 3).alias("median_confidence"), "warn")
+
+
 @query("""WITH f AS (SELECT user_id AS video_id, event_id, epoch(ts) - epoch(min(ts) OVER (PARTITION BY user_id)) AS ts, epoch(max(ts) OVER (PARTITION BY user_id)) - epoch(min(ts) OVER (PARTITION BY user_id)) AS duration FROM events),
 s AS (SELECT *, floor(ts * CASE WHEN duration > 0 THEN greatest(0.5, 24 / duration) ELSE 2 END) AS step FROM f),
 r AS (SELECT *, row_number() OVER (PARTITION BY video_id, step ORDER BY ts) AS n FROM s), k AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY step) AS sample_no FROM r WHERE n = 1),

@@ -212,16 +212,16 @@ def video_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.select(k.alias("video_id"), at["w"].alias("src_w"), at["h"].alias("src_h"), text.alias("box_text"), fit.alias("fit"), probe_json.alias("probe_json"))
 
 
-def frame_pixels(spark: SparkSession, sf_dir: str, n_frames: int = 8) -> DataFrame:
+def frame_pixels(spark: SparkSession, sf_dir: str, n_frames: int = 4) -> DataFrame:
     """(video_id, t, y, x, gray) of small clips from ``supplier``: a moving picture with a still, bright mark in one corner of most."""
     k = F.col("s_suppkey")
-    videos = spark.read.parquet(f"{sf_dir}/supplier.parquet").where(k % 10 == 0).select(k.alias("video_id"))
+    videos = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(k.alias("video_id"))
     grid = (
         videos.select("video_id", F.explode(F.sequence(F.lit(0), F.lit(n_frames - 1))).alias("t"))
         .select("*", F.explode(F.sequence(F.lit(0), F.lit(95))).alias("y"))
         .select("*", F.explode(F.sequence(F.lit(0), F.lit(127))).alias("x"))
     )
-    c = F.floor(F.col("video_id") / 10) % 6  # corners 0 to 3, no mark, a mark that is too long
+    c = F.col("video_id") % 6  # corners 0 to 3, no mark, a mark that is too long
     wide = F.when(c == 5, 30).otherwise(8)
     left = F.when(c.isin(1, 3), 128 - 14).otherwise(4)
     top = F.when(c.isin(2, 3), 96 - 14).otherwise(4)
@@ -257,3 +257,31 @@ def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.when(n == 0, "shot.jpg").when(n == 1, "SHOT.jpg").when(n == 2, "shot_1.jpg").when(n == 3, "notes.txt").when(n == 4, "").when(n == 5, F.concat(F.lit("clip"), (k % 5).cast("string"), F.lit(".mp4"))).when(n == 6, "dir/photo.png").otherwise(F.concat(F.lit("img"), k.cast("string"), F.lit(".webp")))
     rel = F.when(k % 5 == 0, "../secret.txt").when(k % 5 == 1, "ok/a.png").when(k % 5 == 2, "/etc/x").when(k % 5 == 3, "a/../../b.png").otherwise("a/./../c.png")
     return pages.select((k % 7).alias("batch"), k.alias("ord"), name.alias("name"), rel.alias("rel"))
+
+
+def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, height, width, rgb) of small 2 x 2 grid pictures from ``part``, white where ``line_stats`` has white lines."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    sized = part.select(F.col("p_partkey").alias("image_id"), F.col("p_size").alias("s"), (F.col("p_size") + 48).alias("height"), (F.col("p_size") + 53).alias("width"))
+    white_y = "y < s % 4 OR y >= height - s % 4 OR (y >= height div 2 - 6 + s % 13 AND y < height div 2 - 6 + s % 13 + s % 7)"
+    # A row of the picture: border, left panel, gutter, right panel, border; three pairs of digits a pixel.
+    gray = "repeat(lpad(hex((13 * y + image_id) % 200), 2, '0'), 3)"
+    left, right = "width div 2 - 6 + s % 13 - s % 4", "width - width div 2 + 6 - s % 13 - s % 7 - s % 4"
+    row = f"concat(repeat('ffffff', s % 4), repeat({gray}, {left}), repeat('ffffff', s % 7), repeat({gray}, {right}), repeat('ffffff', s % 4))"
+    rows = f"transform(sequence(0, height - 1), y -> CASE WHEN {white_y} THEN repeat('ffffff', width) ELSE {row} END)"
+    return sized.select(F.col("image_id").cast("string").alias("path"), "height", "width", F.expr(f"unhex(array_join({rows}, ''))").alias("rgb"))
+
+
+#: Place and size of the still mark of ``pan_frames``.
+MARK = (90, 70, 14, 12)
+
+
+def pan_frames(spark: SparkSession, sf_dir: str, n_frames: int = 12) -> DataFrame:
+    """(video_id, t, height, width, gray) of clips from ``supplier``: a smooth picture that moves 3 to 5 pixels a frame under a still mark."""
+    x0, y0, w, h = MARK
+    clips = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("video_id"), F.explode(F.sequence(F.lit(0), F.lit(n_frames - 1))).alias("t"))
+    at = "(p % 128 + t * (3 + video_id % 3))"
+    wave = f"128 + 50 * sin({at} * 0.13 + (p div 128) * 0.21) + 40 * sin({at} * 0.071 - (p div 128) * 0.11) + 25 * cos({at} * 0.31 + (p div 128) * 0.017 * {at} * 0.05)"
+    mark = f"p % 128 BETWEEN {x0} AND {x0 + w - 1} AND p div 128 BETWEEN {y0} AND {y0 + h - 1}"
+    gray = f"unhex(array_join(transform(sequence(0, 12287), p -> lpad(hex(CASE WHEN {mark} THEN 250 ELSE CAST({wave} AS INT) END), 2, '0')), ''))"
+    return clips.select("video_id", "t", F.lit(96).alias("height"), F.lit(128).alias("width"), F.expr(gray).alias("gray"))

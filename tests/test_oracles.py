@@ -36,7 +36,12 @@ def test_query_matches_sql(spark, duck, name):
 
 
 def test_all_but_listed_queries_have_sql():
-    assert set(QUERIES) - set(SQL) == {"unique_upload_names"}
+    assert set(QUERIES) - set(SQL) == {"unique_upload_names", "frame_recovery"}
+
+
+def test_recovery_of_moving_clips(spark):
+    got = QUERIES["frame_recovery"](spark, SF).collect()
+    assert got and all(r.frames == 12 and r.recovered >= 8 for r in got)
 
 
 def test_entry(spark):
