@@ -14,11 +14,11 @@ from mediasieve.llm.scratch import written
 _UPPER_TO_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _SENT = pa.schema([("block", pa.int32()), ("part", pa.int32()), ("size", pa.int32()), ("keys", pa.binary()), ("values", pa.binary()), ("second", pa.binary())])
 _BACK = pa.schema([("block", pa.int32()), ("part", pa.int32()), ("size", pa.int32()), ("values", pa.binary())])
-_ROWS = pa.schema([("kind", pa.string()), ("doc_id", pa.int64()), ("n", pa.int64()), ("rep", pa.int64()), ("v", pa.binary()), ("token", pa.int64()), ("rest", pa.int64()), ("sketch", pa.list_(pa.int32())), ("fragment", pa.int32()), ("grams", pa.list_(pa.int64()))])
+_ROWS = pa.schema([("kind", pa.string()), ("doc_id", pa.int64()), ("n", pa.int64()), ("rep", pa.int64()), ("v", pa.binary()), ("token", pa.int64()), ("rest", pa.int64()), ("fragment", pa.int32()), ("grams", pa.list_(pa.int64()))])
 _SQL = {
     "sent": "block int, part int, size int, keys binary, values binary, second binary",
     "back": "block int, part int, size int, values binary",
-    "rows": "kind string, doc_id long, n long, rep long, v binary, token long, rest long, sketch array<int>, fragment int, grams array<long>",
+    "rows": "kind string, doc_id long, n long, rep long, v binary, token long, rest long, fragment int, grams array<long>",
 }
 _LANES = (np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB))
 _ROTATIONS, _TURNS = 8, 2
@@ -105,12 +105,12 @@ def _vertices(docs: DataFrame, n: int, percent: int) -> DataFrame:
         freq = np.concatenate([np.empty(0, np.int64), *(blocks.unpack(r["values"], r["size"]).astype(np.int64) for r in got if r["part"] < n_ranges)])[place]
         least = np.concatenate([np.empty(0, "<i8"), *(np.frombuffer(r["values"], "<i8") for r in got if r["part"] >= n_ranges)])
         ends = np.cumsum([0, *map(len, sets)])
-        rows = [("doc", i, len(s), i, None, None, None, None, None, None) for i, s in zip(ids, sets) if i is None or not len(s)]
+        rows = [("doc", i, len(s), i, None, None, None, None, None) for i, s in zip(ids, sets) if i is None or not len(s)]
         group = np.cumsum(first) - 1
         for k, g, head, pair in zip(own, group.tolist(), first.tolist(), prints):
             s, rep = sets[k], int(least[g])
             v = (rep + (1 << 63)).to_bytes(8, "big") + pair.astype(">u8").tobytes()
-            rows.append(("doc", ids[k], len(s), rep, v, None, None, None, None, None))
+            rows.append(("doc", ids[k], len(s), rep, v, None, None, None, None))
             if not head or ids[k] != rep:
                 continue
             f = freq[ends[k] : ends[k + 1]]
@@ -121,10 +121,9 @@ def _vertices(docs: DataFrame, n: int, percent: int) -> DataFrame:
             order = np.lexsort((s, f))  # the global order: rarest first, then by hash
             prefix = order[: len(s) - _least_overlap(len(s), percent) + 1]
             places = np.flatnonzero(shared[prefix])
-            sketch = np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=64).tolist()
-            rows += [("prefix", None, len(s), rep, v, t, r, sketch, None, None) for t, r in zip(s[prefix[places]].view(np.int64).tolist(), (len(s) - places).tolist())]
+            rows += [("prefix", None, len(s), rep, v, t, r, None, None) for t, r in zip(s[prefix[places]].view(np.int64).tolist(), (len(s) - places).tolist())]
             band = np.log2(np.maximum(f, 1)).astype(np.int32)
-            rows += [("segment", None, len(s), rep, v, None, None, None, b, s[band == b].view(np.int64)) for b in np.unique(band[shared]).tolist()]
+            rows += [("segment", None, len(s), rep, v, None, None, b, s[band == b].view(np.int64)) for b in np.unique(band[shared]).tolist()]
         return _table(rows, _ROWS)
 
     answers = dealt.groupBy("block").applyInArrow(send, _SQL["sent"]).groupBy("part").applyInArrow(total, _SQL["back"])
@@ -151,22 +150,18 @@ def _alike(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
 
 
 def _may_link(percent: int) -> Column:
-    """Whether (n, rest, sketch) and (m, w_rest, w_sketch) may be of linked sets that first meet at this n-gram.
+    """Whether (n, rest) and (m, w_rest) may be of linked sets that first meet at this n-gram.
 
-    ``rest`` counts a set's n-grams from this one on, and ``sketch`` its
-    n-grams by the first six bits of their hashes. The smaller rest, and the
-    sum of the smaller counts, bound the overlap, which must reach
-    percent / (100 + percent) of n + m. The first n-gram that two sets share
-    passes whenever they are linked.
+    ``rest`` counts a set's n-grams from this one on, so the smaller of both
+    bounds the overlap, which must reach percent / (100 + percent) of n + m.
+    The first n-gram that two sets share passes whenever they are linked.
     """
-    both = F.aggregate(F.zip_with("sketch", "w_sketch", lambda x, y: F.least(x, y)), F.lit(0), lambda a, x: a + x)
-    enough = percent * (F.col("n") + F.col("m"))
-    return ((100 + percent) * F.least("rest", "w_rest") >= enough) & ((100 + percent) * both >= enough)
+    return (100 + percent) * F.least("rest", "w_rest") >= percent * (F.col("n") + F.col("m"))
 
 
 def _other() -> list[Column]:
     """The columns of a vertex as the other side of a pair."""
-    return [F.col(c).alias(name) for c, name in (("v", "w"), ("n", "m"), ("rest", "w_rest"), ("sketch", "w_sketch"), ("label", "w_label"))]
+    return [F.col(c).alias(name) for c, name in (("v", "w"), ("n", "m"), ("rest", "w_rest"), ("label", "w_label"))]
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -207,7 +202,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     stay. An empty table gives an empty result. Further columns are ignored.
     """
     rows = written(_vertices(docs, n, percent), "join-vertices")
-    prefix = rows.where("kind = 'prefix'").select("token", "v", "n", "rest", "sketch")
+    prefix = rows.where("kind = 'prefix'").select("token", "v", "n", "rest")
     segments = rows.where("kind = 'segment'").select("v", "fragment", "grams")
     tried, links, labels = None, None, None
     for turn in range(_TURNS + 1):
