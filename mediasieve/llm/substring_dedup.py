@@ -4,7 +4,9 @@ Words are k - 1 to a node and k to an edge; an edge that starts in more than
 one document is repeated. Its smallest source coordinate (document, place) is
 shared by all of its occurrences, and edges that follow one another in a
 document and at the source, without a branch to another source between them,
-compact into one path: a span of the document and a span of the source.
+compact into one path: a span of the document and a span of the source. Rows
+may share an id: all of them lie in one block, and a coordinate also says
+which of the id's rows, in the order of their texts, it is in.
 """
 
 from __future__ import annotations
@@ -21,14 +23,16 @@ from mediasieve.llm import blocks, words
 from mediasieve.llm.scratch import written
 
 ANCHOR = 5
-_LISTS = pa.schema([("block", pa.int32()), ("kind", pa.string()), ("part", pa.int32()), ("size", pa.int32()), ("one", pa.binary()), ("two", pa.binary()), ("doc", pa.binary()), ("place", pa.binary())])
-_SPANS = pa.schema([("block", pa.int32()), ("row", pa.int32()), ("start", pa.int64()), ("n", pa.int64()), ("src_doc", pa.int64()), ("src_start", pa.int64()), ("digest", pa.binary())])
-_ASKED = pa.schema([("src_doc", pa.int64()), ("src_start", pa.int64()), ("n", pa.int64()), ("digest", pa.binary())])
+_LISTS = pa.schema([("block", pa.int32()), ("kind", pa.string()), ("part", pa.int32()), ("size", pa.int32()), ("one", pa.binary()), ("two", pa.binary()), ("doc", pa.binary()), ("nth", pa.binary()), ("place", pa.binary())])
+_SPANS = pa.schema([("block", pa.int32()), ("row", pa.int32()), ("start", pa.int64()), ("n", pa.int64()), ("src_doc", pa.int64()), ("src_nth", pa.int64()), ("src_start", pa.int64()), ("digest", pa.binary())])
+_ASKED = pa.schema([("src_doc", pa.int64()), ("src_nth", pa.int64()), ("src_start", pa.int64()), ("n", pa.int64()), ("digest", pa.binary())])
+_WINDOWS = pa.schema([("block", pa.int32()), ("row", pa.int32()), ("start", pa.int64()), ("doc", pa.int64()), ("nth", pa.int64()), ("digest", pa.binary())])
 _RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
 _SQL = {
-    "lists": "block int, kind string, part int, size int, one binary, two binary, doc binary, place binary",
-    "spans": "block int, row int, start long, n long, src_doc long, src_start long, digest binary",
-    "asked": "src_doc long, src_start long, n long, digest binary",
+    "lists": "block int, kind string, part int, size int, one binary, two binary, doc binary, nth binary, place binary",
+    "spans": "block int, row int, start long, n long, src_doc long, src_nth long, src_start long, digest binary",
+    "asked": "src_doc long, src_nth long, src_start long, n long, digest binary",
+    "windows": "block int, row int, start long, doc long, nth long, digest binary",
     "result": "doc_id long, n_words long, n_removed long, kept_sha256 string",
 }
 
@@ -39,6 +43,12 @@ def _rows(table: pa.Table) -> tuple[list[int | None], list[bytes]]:
     return [i for i, _ in found], [t for _, t in found]
 
 
+def _nth(ids: list[int | None]) -> np.ndarray:
+    """Place of each row among the rows of its id."""
+    first: dict[int | None, int] = {}
+    return np.array([k - first.setdefault(i, k) for k, i in enumerate(ids)], np.int64)
+
+
 def _digest(some: list[bytes]) -> bytes:
     return hashlib.blake2b(b" ".join(some), digest_size=16).digest()
 
@@ -54,6 +64,7 @@ class _Windows:
     def __init__(self, table: pa.Table, k: int, bits: int):
         self.ids, self.texts = _rows(table)
         self.k = k
+        self.nth = _nth(self.ids)
         self.hashes, self.counts = words.word_hashes(self.texts)
         within = words.runs_within(self.counts, k)
         self.row = np.repeat(np.arange(len(self.counts)), self.counts)[: len(within)]
@@ -73,13 +84,15 @@ class _Windows:
         rows = row[new]
         self.several = np.bincount(self.place, rows != rows[first][self.place], len(self.keys)) > 0
 
-    def choose(self, bits_back: list[dict]) -> None:
-        """Keeps the windows whose anchor is in more than one document; ``at``, and their 128-bit hashes sorted with first places."""
+    def choose(self, bits_back: list[dict], hash_bits: int) -> None:
+        """Keeps the windows whose anchor is in more than one document; ``at``, and their hashes of two times ``hash_bits`` sorted with first places."""
         parts = [np.unpackbits(np.frombuffer(r["one"], np.uint8), count=r["size"]).astype(bool) for r in sorted(bits_back, key=lambda r: r["part"])]
         keep = self.several | np.concatenate([np.empty(0, bool), *parts])
         self.at = self.at[keep[self.place][self.run]]
         one = words.gram_hashes(self.hashes, self.k)[self.at] if len(self.at) else np.empty(0, np.uint64)
         two = words.gram_hashes(words.word_hashes(self.texts, seed=1)[0], self.k)[self.at] if len(self.at) else one
+        if hash_bits < 64:
+            one, two = (h >> np.uint64(64 - hash_bits) for h in (one, two))
         order = np.lexsort((two, one))
         one, two = one[order], two[order]
         new = np.ones(len(order), bool)
@@ -89,6 +102,7 @@ class _Windows:
         self.one, self.two, first = one[new], two[new], self.at[order[new]]
         self.begins = np.cumsum(self.counts) - self.counts
         doc = np.array([i or 0 for i in self.ids], "<i8")
+        self.first_nth = self.nth[self.row[first]]
         self.first_doc, self.first_place = doc[self.row[first]], (first - self.begins[self.row[first]]).astype("<i4")
 
 
@@ -106,8 +120,9 @@ def remove_repeats(docs: DataFrame, k: int = 13) -> DataFrame:
        range, which answers with the smallest source coordinate of each.
     3. Edges with consecutive places here and at the source compact into spans.
     4. A Spark join takes each distinct source span to the block that holds it,
-       where its words are compared (by a digest of their bytes); spans that
-       fail are given up. Verified spans go back to their documents.
+       where its words are compared (by a digest of their bytes). Spans that
+       fail (hashes of different windows have met) are judged again window by
+       window, by digests of the windows' words.
 
     Null, empty and wordless texts have 0 words. Rows without an id lose
     nothing and are no source. Rows that share an id don't affect each other.
@@ -147,7 +162,8 @@ def repeated_spans(docs: DataFrame, k: int = 13) -> DataFrame:
     return dealt.groupBy("block").cogroup(removed.groupBy("block")).applyInArrow(name, "doc_id long, start long, n long, src_doc long, src_start long")
 
 
-def _spans(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+def _spans(docs: DataFrame, k: int, hash_bits: int = 64) -> tuple[DataFrame, DataFrame]:
+    """Exact at any ``hash_bits``; few bits make the hashes of different windows meet, for tests."""
     if k < ANCHOR:
         raise ValueError(f"windows have {ANCHOR} words at least")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -159,69 +175,99 @@ def _spans(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     def send_anchors(table: pa.Table) -> pa.Table:
         block, w = table.column("block")[0].as_py(), _Windows(table, k, bits)
         edges = blocks.cuts(w.keys, n_ranges, bits)
-        return _table([(block, "anchor", p, b - a, blocks.pack_keys(w.keys[a:b]), None, None, None) for p, (a, b) in enumerate(zip(edges, edges[1:])) if b > a], _LISTS)
+        return _table([(block, "anchor", p, b - a, blocks.pack_keys(w.keys[a:b]), None, None, None, None) for p, (a, b) in enumerate(zip(edges, edges[1:])) if b > a], _LISTS)
 
     def meet_anchors(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         _, place, count = np.unique(np.concatenate([blocks.unpack_keys(r["one"], r["size"]) for r in rows]), return_inverse=True, return_counts=True)
         parts = np.split(count[place] > 1, np.cumsum([r["size"] for r in rows])[:-1])
-        return _table([(r["block"], "anchor", r["part"], r["size"], np.packbits(p).tobytes(), None, None, None) for r, p in zip(rows, parts)], _LISTS)
+        return _table([(r["block"], "anchor", r["part"], r["size"], np.packbits(p).tobytes(), None, None, None, None) for r, p in zip(rows, parts)], _LISTS)
 
     def send_edges(table: pa.Table, back: pa.Table) -> pa.Table:
         block, w = table.column("block")[0].as_py(), _Windows(table, k, bits)
-        w.choose(back.to_pylist())
+        w.choose(back.to_pylist(), hash_bits)
         edges = blocks.cuts(w.one, n_ranges, 64)
-        return _table([(block, "edge", p, b - a, *(c[a:b].tobytes() for c in (w.one, w.two, w.first_doc, w.first_place))) for p, (a, b) in enumerate(zip(edges, edges[1:])) if b > a], _LISTS)
+        return _table([(block, "edge", p, b - a, w.one[a:b].tobytes(), w.two[a:b].tobytes(), w.first_doc[a:b].tobytes(), blocks.pack(w.first_nth[a:b]), w.first_place[a:b].tobytes()) for p, (a, b) in enumerate(zip(edges, edges[1:])) if b > a], _LISTS)
 
     def meet_edges(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         one, two, doc, place = (np.concatenate([np.frombuffer(r[c], t) for r in rows]) for c, t in (("one", "<u8"), ("two", "<u8"), ("doc", "<i8"), ("place", "<i4")))
-        order = np.lexsort((place, doc, two, one))
+        nth = np.concatenate([blocks.unpack(r["nth"], r["size"]) for r in rows])
+        order = np.lexsort((place, nth, doc, two, one))
         new = np.ones(len(order), bool)
         new[1:] = (np.diff(one[order]) != 0) | (np.diff(two[order]) != 0)
         head = order[new][np.cumsum(new) - 1]
         best = np.empty(len(order), np.int64)
         best[order] = head
         ends = np.cumsum([r["size"] for r in rows])[:-1]
-        return _table([(r["block"], "edge", r["part"], r["size"], None, None, d.tobytes(), p.tobytes()) for r, d, p in zip(rows, np.split(doc[best], ends), np.split(place[best], ends))], _LISTS)
+        return _table([(r["block"], "edge", r["part"], r["size"], None, None, d.tobytes(), blocks.pack(m), p.tobytes()) for r, d, m, p in zip(rows, *(np.split(c[best], ends) for c in (doc, nth, place)))], _LISTS)
 
     def compact(table: pa.Table, back: pa.Table) -> pa.Table:
         block, w = table.column("block")[0].as_py(), _Windows(table, k, bits)
         answers = back.to_pylist()
-        w.choose([r for r in answers if r["kind"] == "anchor"])
+        w.choose([r for r in answers if r["kind"] == "anchor"], hash_bits)
         got = sorted((r for r in answers if r["kind"] == "edge"), key=lambda r: r["part"])
         src_doc = np.concatenate([np.empty(0, "<i8"), *(np.frombuffer(r["doc"], "<i8") for r in got)])[w.group]
         src_place = np.concatenate([np.empty(0, "<i4"), *(np.frombuffer(r["place"], "<i4") for r in got)])[w.group].astype(np.int64)
+        src_nth = np.concatenate([np.empty(0, "<u8"), *(blocks.unpack(r["nth"], r["size"]) for r in got)])[w.group].astype(np.int64)
         row = w.row[w.at]
         own = np.array([i or 0 for i in w.ids], np.int64)[row]
         gone = src_doc < own
-        at, row, src_doc, src_place = w.at[gone], row[gone], src_doc[gone], src_place[gone]
+        at, row, src_doc, src_nth, src_place = (c[gone] for c in (w.at, row, src_doc, src_nth, src_place))
         new = np.ones(len(at), bool)
-        new[1:] = (np.diff(at) != 1) | (np.diff(row) != 0) | (np.diff(src_doc) != 0) | (np.diff(src_place) != 1)
+        new[1:] = (np.diff(at) != 1) | (np.diff(row) != 0) | (np.diff(src_doc) != 0) | (np.diff(src_nth) != 0) | (np.diff(src_place) != 1)
         start = np.flatnonzero(new)
         size = np.diff(np.append(start, len(at))) + k - 1
         rows, split, last = [], [], -1
-        for r, a, n, d, p in zip(row[start].tolist(), (at - w.begins[row])[start].tolist(), size.tolist(), src_doc[start].tolist(), src_place[start].tolist()):
+        for r, a, n, d, m, p in zip(row[start].tolist(), (at - w.begins[row])[start].tolist(), size.tolist(), *(c[start].tolist() for c in (src_doc, src_nth, src_place))):
             if r != last:
                 split, last = w.texts[r].split(), r
-            rows.append((block, r, a, n, d, p, _digest(split[a : a + n])))
+            rows.append((block, r, a, n, d, m, p, _digest(split[a : a + n])))
         return _table(rows, _SPANS)
 
     anchors = dealt.groupBy("block").applyInArrow(send_anchors, _SQL["lists"]).groupBy("part").applyInArrow(meet_anchors, _SQL["lists"])
     edges = dealt.groupBy("block").cogroup(anchors.groupBy("block")).applyInArrow(send_edges, _SQL["lists"]).groupBy("part").applyInArrow(meet_edges, _SQL["lists"])
     spans = written(dealt.groupBy("block").cogroup(anchors.unionAll(edges).groupBy("block")).applyInArrow(compact, _SQL["spans"]), "repeat-spans")
 
-    def verify(table: pa.Table, asked: pa.Table) -> pa.Table:
+    def refute(table: pa.Table, asked: pa.Table) -> pa.Table:
         wanted = defaultdict(list)
         for r in asked.to_pylist():
-            wanted[r["src_doc"]].append((r["src_start"], r["n"], r["digest"]))
-        rows = set()
-        for i, t in zip(*_rows(table)) if wanted else ():
-            if i in wanted:
-                split = t.split()
-                rows |= {(i, a, n, d) for a, n, d in wanted[i] if _digest(split[a : a + n]) == d}
-        return _table(sorted(rows), _ASKED)
-
-    asked = spans.select("src_doc", "src_start", "n", "digest").distinct().withColumn("block", blocks.block_of(F.col("src_doc"), n_blocks))
-    verified = dealt.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(verify, _SQL["asked"])
-    return spans.join(verified, ["src_doc", "src_start", "n", "digest"]).select("block", "row", "start", "n", "src_doc", "src_start"), dealt
+            wanted[r["src_doc"], r["src_nth"]].append((r["src_start"], r["n"], r["digest"]))
+        ids, texts = _rows(table) if wanted else ([], [])
+        at = {(i, m): k_ for k_, (i, m) in enumerate(zip(ids, _nth(ids).tolist()))}
+        rows = []
+        for (i, m), some in wanted.items():
+            split = texts[at[i, m]].split()
+            rows += [(i, m, a, n, d) for a, n, d in some if _digest(split[a : a + n]) != d]
+        return _table(rows, _ASKED)
+
+    source = ["src_doc", "src_nth", "src_start", "n", "digest"]
+    asked = spans.select(*source).distinct().withColumn("block", blocks.block_of(F.col("src_doc"), n_blocks))
+    refuted = written(dealt.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(refute, _SQL["asked"]), "refuted-spans")
+    found = ["block", "row", "start", "n", "src_doc", "src_start"]
+    if refuted.isEmpty():
+        return spans.select(*found), dealt
+    kept = spans.join(refuted, source, "left_anti").select(*found)
+    return kept.unionByName(_by_digest(dealt, spans.join(refuted, source, "left_semi"), k).select(*found)), dealt
+
+
+def _by_digest(dealt: DataFrame, failed: DataFrame, k: int) -> DataFrame:
+    """Spans of k words: the windows in ``failed`` spans that also start in a document with a smaller id, by digests of their words."""
+
+    def windows(table: pa.Table, within: pa.Table | None) -> pa.Table:
+        ids, texts = _rows(table)
+        spans = defaultdict(set)
+        for r in within.to_pylist() if within else ():
+            spans[r["row"]].update(range(r["start"], r["start"] + r["n"] - k + 1))
+        block, rows = table.column("block")[0].as_py() if len(table) else 0, []
+        for k_, (i, m, t) in enumerate(zip(ids, _nth(ids).tolist(), texts)):
+            if i is None or within and k_ not in spans:
+                continue
+            split = t.split()
+            rows += [(block, k_, a, i, m, _digest(split[a : a + k])) for a in (sorted(spans[k_]) if within else range(len(split) - k + 1))]
+        return _table(rows, _WINDOWS)
+
+    own = dealt.groupBy("block").cogroup(failed.groupBy("block")).applyInArrow(lambda t, f: windows(t, f) if len(f) else _table([], _WINDOWS), _SQL["windows"])
+    every = dealt.groupBy("block").applyInArrow(lambda t: windows(t, None), _SQL["windows"])
+    first = every.join(own.select("digest").distinct(), "digest", "left_semi").groupBy("digest").agg(F.min(F.struct("doc", "nth", "start")).alias("first"))
+    return own.join(first, "digest").where("first.doc < doc").select("block", "row", "start", F.lit(k).cast("long").alias("n"), F.col("first.doc").alias("src_doc"), F.col("first.start").alias("src_start"))

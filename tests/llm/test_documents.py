@@ -268,6 +268,20 @@ def test_spans_name_equal_words(docs, none):
     assert substring_dedup.remove_repeats(none).count() == 0
 
 
+def test_sources_of_rows_that_share_an_id(spark):
+    text = [f"w{k}" for k in range(100)]
+    changed = lambda k: " ".join(text[:k] + ["other"] + text[k + 1 :])
+    rows = [(5, changed(50)), (5, changed(10)), (5, "short"), (9, " ".join(text)), (12, changed(10) + " " + changed(50))]
+    assert collect(substring_dedup.remove_repeats(frame(spark, rows))) == plain_repeats(rows)
+    assert [r[2] for r in plain_repeats(rows) if r[0] == 9] == [100]
+
+
+def test_repeats_with_hashes_that_meet(docs, monkeypatch):
+    exact = substring_dedup._spans
+    monkeypatch.setattr(substring_dedup, "_spans", lambda d, k: exact(d, k, 5))
+    assert collect(substring_dedup.remove_repeats(docs)) == plain_repeats(ROWS)
+
+
 # --- n-gram join -------------------------------------------------------------
 
 _AZ = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
