@@ -19,22 +19,40 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 #: Lengths of MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512 in hexadecimal digits.
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
-NAMED_DIGEST = re.compile(r"(md5|sha1|sha224|sha256|sha384|sha512)[-_=/].*", re.IGNORECASE | re.ASCII)
+NAMED_DIGEST = re.compile(r"(md5|sha1|sha224|sha256|sha384|sha512)[-_=/]+(.*)", re.IGNORECASE | re.ASCII)
+DIGEST_BYTES = {"md5": 16, "sha1": 20, "sha224": 28, "sha256": 32, "sha384": 48, "sha512": 64}
 WORDLIKE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 SPLIT = re.compile(r"[+/_=-]+")
+#: Runs of letters alone with at most so many characters a token are no words; words of no language at hand come close to it.
+LETTERS_PER_TOKEN = 2.0
 
 _SCHEMA = pa.schema(
     [("doc_id", pa.int64()), ("spans", pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("chars_per_token", pa.float64())])))]
 )
 
 
-def known(text: str) -> bool:
+def _named_digest(text: str) -> bool:
+    """The name of a hash function and a value of its length, hexadecimal or base64."""
+    m = NAMED_DIGEST.fullmatch(text)
+    if not m:
+        return False
+    n, value = DIGEST_BYTES[m[1].lower()], m[2]
+    return len(value) == 2 * n and bool(re.fullmatch(r"[0-9A-Fa-f]+", value)) or len(value.rstrip("=")) == -(-4 * n // 3)
+
+
+def _word(part: str, encoding) -> bool:
+    """Letters that encode as words do: few tokens, or one token where a word begins."""
+    return len(part) > LETTERS_PER_TOKEN * len(encoding.encode_ordinary(part)) or len(encoding.encode_ordinary(" " + part)) == 1
+
+
+def known(text: str, encoding) -> bool:
     """A digest, a UUID, a number, or an identifier made of words and numbers between separators."""
-    if UUID.fullmatch(text) or NAMED_DIGEST.fullmatch(text):
+    if UUID.fullmatch(text) or _named_digest(text):
         return True
     if len(text) in DIGEST_LENGTHS and re.fullmatch(r"[0-9A-Fa-f]+", text):
         return True
-    return all(WORDLIKE.fullmatch(part) for part in SPLIT.split(text) if part)
+    parts = [part for part in SPLIT.split(text) if part]
+    return all(WORDLIKE.fullmatch(part) for part in parts) and all(part.isdigit() or _word(part, encoding) for part in parts)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -64,7 +82,7 @@ def scan(text: str, encoding, max_chars_per_token: float) -> list[tuple[int, int
     base = base_spans(text)
     found: list[tuple[int, int, int, float | None]] = [(a, k, b, None) for a, k, b in base]
     for m in CANDIDATE.finditer(text):
-        if known(m[0]) or any(a < m.end() and m.start() < b for a, _, b in base):
+        if any(a < m.end() and m.start() < b for a, _, b in base) or known(m[0], encoding):
             continue
         ratio = len(m[0]) / len(encoding.encode_ordinary(m[0]))
         if ratio <= max_chars_per_token:
@@ -82,6 +100,8 @@ def find_secrets(docs: DataFrame, encoding_path: str | None = None, max_chars_pe
     that touches no other span, is no known digest, UUID, number or identifier,
     and has at most ``max_chars_per_token`` characters for each token of the
     vocabulary at ``encoding_path`` (a rank file; ordinary words have more).
+    The words of an identifier have more than ``LETTERS_PER_TOKEN`` themselves,
+    or are one token.
 
     Every row is its own unit of work: no shuffle, one Arrow batch at a time.
     Null text counts as empty and has no spans; repeated rows give repeated

@@ -101,6 +101,16 @@ def test_secrets(spark):
     assert got[6] == [] and got[7] == got[8] == []
 
 
+RANDOM_SHAPES = ["qzxkvjwmtrpbhgfd", "QZXKVJWMTRPBHGFD", "xkqz-wvjt-mnbr-plgd", "QZXK-8391-WVJT-2201", "sha256-qZxk_vjwmTRpb9hgfd"]
+KNOWN_SHAPES = ["to-be-or-not-to-be", "2024-01-15-12-30-45", "some_long_snake_case_name", "misunderstandings", "sha1-2jmj7l5rSw0yVb/vlWAYkK/YBwk=", "md5_d41d8cd98f00b204e9800998ecf8427e".upper()]
+
+
+def test_random_letters_are_tested_whatever_their_shape(spark):
+    rows = list(enumerate([f"see {t} here" for t in RANDOM_SHAPES + KNOWN_SHAPES]))
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in secrets.find_secrets(frame(spark, rows)).collect()}
+    assert [got[k] for k, _ in rows] == [[("random", 4, 4 + len(t))] for t in RANDOM_SHAPES] + [[]] * len(KNOWN_SHAPES)
+
+
 def test_prose_has_no_secrets(docs, none):
     found = secrets.find_secrets(docs).collect()
     assert len(found) == len(ROWS) and not any(r.spans for r in found)
