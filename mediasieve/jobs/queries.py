@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mediasieve.functions import scalars as S
-from mediasieve.functions.dictionaries import GENERATOR_NAMES
+from mediasieve.functions.dictionaries import GENERATOR_NAMES, SIGNATURES
 from mediasieve.jobs import reports
 from mediasieve.operators import clean, findings, frames, grid, naming, origin, video
 from mediasieve.operators.records import sniff, walk
@@ -25,9 +25,9 @@ def _id():
     return F.regexp_extract("path", r"^/media/(\d+)/", 1).cast("long").alias("media_id")
 
 
-def _audited(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _audited(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     rel = F.regexp_extract("path", r"^/media/\d+/(?s:(.*))$", 1)
-    audited = reports.audit(X.media(spark, sf_dir)).withColumn("rel_path", rel)
+    audited = reports.audit(X.media(spark, sf_dir, whole)).withColumn("rel_path", rel)
     return audited.withColumn("folder", S.folder(F.col("rel_path"))).withColumn("kind", S.media_kind(F.col("rel_path"))).withColumn("media_id", _id())
 
 
@@ -82,6 +82,21 @@ _FOUND_SQL = (
     + ", ".join(f"({c}, {v}, '{kind}', '{label}', {fixed}, {per})" for c, v, kind, label, fixed, per in _FOUND)
     + "), f AS (SELECT m.media_id, k.kind, k.label, CAST(k.fixed + k.per * length(m.note) AS BIGINT) AS nbytes FROM m JOIN k ON m.c = k.c AND m.v = k.v WHERE k.kind <> 'info' OR k.fixed + k.per * length(m.note) > 0)"
 )
+# The same with the whole text for a note: a JPEG's comments are as many as it takes, and signatures can lie in the text.
+_WHOLE_SQL = _MEDIA_SQL.replace("substring(text, 1, 64)", "coalesce(text, '')") + f""", p AS (
+  SELECT media_id, c, v, CASE WHEN c = 0 THEN list_transform(range(0, greatest(1, (length(note) + {X.SEGMENT - 1}) // {X.SEGMENT})), lambda i: substring(note, CAST(i * {X.SEGMENT} + 1 AS BIGINT), {X.SEGMENT})) ELSE [note] END AS pieces
+  FROM m WHERE v = 1 OR (v = 4 AND c = 1)
+)"""
+_WHOLE_FOUND_SQL = (
+    _FOUND_SQL.replace(_MEDIA_SQL, _WHOLE_SQL).replace(", f AS (", ", f0 AS (")
+    + ", sig(s, label) AS (VALUES "
+    + ", ".join(f"('{s}', '{label}')" for s, label in SIGNATURES)
+    + """), f AS (
+  SELECT * FROM f0 WHERE label <> 'COM (comment)' OR media_id NOT IN (SELECT media_id FROM p WHERE c = 0)
+  UNION ALL SELECT media_id, 'segment', 'COM (comment)', CAST(4 + length(piece) AS BIGINT) FROM (SELECT media_id, unnest(pieces) AS piece FROM p WHERE c = 0)
+  UNION ALL SELECT media_id, 'signature', sig.label, CAST(0 AS BIGINT) FROM p JOIN sig ON len(list_filter(pieces, lambda t: contains(lower(t), sig.s))) > 0
+)"""
+)
 _NAMED = "len(list_filter([" + ", ".join(f"'{n}'" for n in GENERATOR_NAMES) + "], lambda n: contains(lower(note), n))) > 0"
 _VERDICT_SQL = (
     _MEDIA_SQL
@@ -223,6 +238,51 @@ def leftover_labels(spark, sf_dir):
     return findings.leftovers(walk(media), media).select(_id(), F.array_join(F.filter("labels", lambda x: x != "APP0"), ",").alias("labels"))
 
 
+# --- the same over whole texts -------------------------------------------------
+
+
+def _whole(sql: str) -> str:
+    """The SQL of a query over prefixes, over whole texts."""
+    return sql.replace(_FOUND_SQL, _WHOLE_FOUND_SQL).replace(_MEDIA_SQL, _WHOLE_SQL)
+
+
+@query(_whole(SQL["findings_flat"]))
+def whole_findings(spark, sf_dir):
+    return findings.exploded(findings.with_findings(walk(X.media(spark, sf_dir, whole=True)))).select(_id(), "kind", "label", "nbytes")
+
+
+@query(_whole(SQL["findings_by_label"]))
+def whole_findings_by_label(spark, sf_dir):
+    return reports.findings_by_label(findings.exploded(findings.with_findings(walk(X.media(spark, sf_dir, whole=True)))))
+
+
+@query(_whole(SQL["origin_verdicts"]))
+def whole_verdicts(spark, sf_dir):
+    return _audited(spark, sf_dir, whole=True).select("media_id", "verdict", "synthid")
+
+
+@query(_whole(SQL["verdict_rollup"]))
+def whole_verdict_rollup(spark, sf_dir):
+    return reports.verdict_rollup(_audited(spark, sf_dir, whole=True))
+
+
+@query(_whole(SQL["png_texts"]))
+def whole_png_texts(spark, sf_dir):
+    walked = walk(X.media(spark, sf_dir, whole=True)).where("container = 'png'")
+    return walked.select(_id(), F.explode("text_kv").alias("key", "value")).where("key <> 'XML:com.adobe.xmp'")
+
+
+@query(_whole(SQL["readable_runs"]))
+def whole_readable_runs(spark, sf_dir):
+    return X.media(spark, sf_dir, whole=True).select("media_id", S.readable_runs(F.col("note").cast("binary"), 4, 2, " ").alias("runs"))
+
+
+@query(_whole(SQL["clean_audit"]))
+def whole_clean_audit(spark, sf_dir):
+    done = clean.verify(X.media(spark, sf_dir, whole=True))
+    return done.select(_id(), "mode", (F.col("before") - F.col("after")).alias("saved"), "same_picture", "same_size", "n_before", F.col("n_left").cast("int").alias("n_left"))
+
+
 # --- names -------------------------------------------------------------------
 
 

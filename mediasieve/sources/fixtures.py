@@ -18,6 +18,8 @@ SYNTHID = b"SynthID reference"
 ICC = b"ICC_PROFILE\0" + bytes(20)
 SOFTWARE = b"ComfyUI 1.0"
 SCAN = bytes(range(1, 41))
+#: Bytes of a JPEG segment's payload at most.
+SEGMENT = 65533
 
 
 def _tiff(tags: list[tuple[int, bytes | int]]) -> bytes:
@@ -73,11 +75,15 @@ def _box(kind: bytes, payload: str) -> str:
     return _cat(_n(f"octet_length({payload}) + 8", 4), _b(kind), payload)
 
 
-def media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(media_id, container, variant, note, rel_path, path, width, height, length, content) from ``documents``."""
+def media(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """(media_id, container, variant, note, rel_path, path, width, height, length, content) from ``documents``.
+
+    The embedded note is the first 64 characters of a text, or the ``whole``
+    text, which a JPEG holds in as many comments as it takes.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     i = F.col("doc_id")
-    note = F.regexp_replace(F.substring("text", 1, 64), r"[^\x20-\x7e]", "?")
+    note = F.regexp_replace(F.coalesce("text", F.lit("")) if whole else F.substring("text", 1, 64), r"[^\x20-\x7e]", "?")
     container = F.element_at(F.array(*map(F.lit, ("jpeg", "png", "webp", "mp4"))), (i % 4 + 1).cast("int"))
     variant = (F.floor(i / 4) % 8).cast("int")
     group = F.floor(i / 32)
@@ -97,13 +103,14 @@ def media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     w, h, text = "width", "height", "CAST(note AS BINARY)"
     pick = lambda *cases: "CASE variant " + " ".join(f"WHEN {k} THEN {c}" for k, c in enumerate(cases) if c) + " ELSE X'' END"
+    piece = _segment(0xFE, f"CAST(substring(note, CAST(k * {SEGMENT} + 1 AS INT), {SEGMENT}) AS BINARY)")
     exif = lambda t: _b(b"Exif\0\0" + t)
     jpeg = _cat(
         _b(b"\xff\xd8"),
         _segment(0xE0, _b(b"JFIF\0\1\1\0\0\1\0\1\0\0")),
         pick(
             None,
-            _segment(0xFE, text),
+            f"aggregate(sequence(0, greatest(length(note) - 1, 0) div {SEGMENT}), X'', (made, k) -> concat(made, {piece}))" if whole else _segment(0xFE, text),
             _segment(0xE1, exif(CAMERA_TIFF)),
             _segment(0xEB, _b(C2PA)),
             _segment(0xE1, exif(SOFTWARE_TIFF)),
