@@ -283,6 +283,36 @@ def whole_clean_audit(spark, sf_dir):
     return done.select(_id(), "mode", (F.col("before") - F.col("after")).alias("saved"), "same_picture", "same_size", "n_before", F.col("n_left").cast("int").alias("n_left"))
 
 
+# A PNG's text is searched twice: as a value, and as the two longest readable runs of its chunk.
+_WHOLE_EVIDENCE_SQL = _whole(SQL["evidence_flat"]) + rf""" UNION ALL SELECT media_id, 'declared', 'Generator named in metadata' FROM (
+  SELECT media_id, note FROM m WHERE c = 1 AND v IN (1, 4)
+  UNION ALL SELECT media_id, '{X.SOFTWARE.decode()}' FROM m WHERE v = 4 AND c IN (0, 2)
+  UNION ALL SELECT media_id, string_agg(r, ' ' ORDER BY n) FROM (
+    SELECT media_id, r, row_number() OVER (PARTITION BY media_id ORDER BY length(r) DESC, k) AS n FROM (
+      SELECT media_id, unnest(runs) AS r, generate_subscripts(runs, 1) AS k FROM (
+        SELECT media_id, regexp_extract_all(CASE v WHEN 1 THEN 'Comment?' ELSE 'parameters?' END || note, '[A-Za-z0-9 ._:/@{{}}"''\[\],-]{{4,}}') AS runs FROM m WHERE c = 1 AND v IN (1, 4)))) WHERE n <= 2 GROUP BY 1
+) WHERE {_NAMED}"""
+
+
+@query(_WHOLE_EVIDENCE_SQL)
+def whole_evidence(spark, sf_dir):
+    return _audited(spark, sf_dir, whole=True).select("media_id", F.explode("evidence").alias("e")).select("media_id", "e.weight", "e.label")
+
+
+# What stays: an empty udta box, and signatures in WebP chunks other than EXIF, XMP and ICCP.
+@query(f"WITH {_WHOLE_FOUND_SQL} SELECT f.label, count(*) AS n FROM f JOIN m ON f.media_id = m.media_id WHERE NOT (m.c = 3 AND m.v = 7) AND NOT (m.c = 2 AND m.v IN (1, 3, 6)) GROUP BY 1")
+def whole_removed_by_label(spark, sf_dir):
+    media = X.media(spark, sf_dir, whole=True)
+    cleaned = clean.clean(media).where("cleaned IS NOT NULL").select("path", F.col("cleaned").alias("content"))
+    gone = clean.removed(findings.exploded(findings.with_findings(walk(media))), findings.exploded(findings.with_findings(walk(cleaned))))
+    return gone.groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_MEDIA_SQL} SELECT media_id, row_number() OVER (ORDER BY {_REL}, media_id) AS number FROM m")
+def whole_numbers(spark, sf_dir):
+    return naming.numbered(X.media(spark, sf_dir).select("rel_path", "media_id"), "rel_path", "media_id").select("media_id", "number")
+
+
 # --- names -------------------------------------------------------------------
 
 

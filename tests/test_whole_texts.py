@@ -33,3 +33,11 @@ def test_nothing_of_a_text_is_cut(spark, folder):
     assert sorted(com) == [4 + 150_071 - 2 * X.SEGMENT, 4 + X.SEGMENT, 4 + X.SEGMENT]
     verdicts = {r.media_id: r.verdict for r in QUERIES["whole_verdicts"](spark, folder).collect()}
     assert verdicts[5] == "ai-declared" and verdicts[37] != "ai-declared"
+
+
+def test_evidence_removals_and_numbers_leave_no_kind_out(spark, folder):
+    named = QUERIES["whole_evidence"](spark, folder).where("label = 'Generator named in metadata'").collect()
+    assert [r.media_id for r in named] == [5, 5]  # in the text and in the chunk's readable runs
+    gone = {r.label: r.n for r in QUERIES["whole_removed_by_label"](spark, folder).collect()}
+    assert gone["info: comment"] == 2 and gone["udta box"] == 1 and gone["JUMBF box (C2PA container)"] == 1
+    assert sorted(r.number for r in QUERIES["whole_numbers"](spark, folder).collect()) == list(range(1, len(TEXTS) + 1))
