@@ -17,7 +17,10 @@ number of documents and ids before each; files of lost attempts aren't in it.
 
 from __future__ import annotations
 
+import json
+import os
 import random
+import re
 import struct
 import uuid
 import zlib
@@ -25,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,13 +36,23 @@ from pyspark.sql import Window as W
 
 from mediasieve.llm.batches import slices
 from mediasieve.llm import store
-from mediasieve.llm.words import hashed_chunks
+from mediasieve.llm.words import piece_runs
 
 #: Masking of checksums; fixed by the format.
 MASK_DELTA = 0xA282EAD8
 END_ID = 1
 _HEAD, _META = struct.Struct("<QI"), struct.Struct("<BqI")
-_CACHE_WORDS = 1_000_000
+_LETTERS = re.compile("[a-zß-öø-ÿ]+")
+_WORD = "^(?P<letters>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[!-&(-/:;=-@\\[-`{-~]*)$"
+#: The layout whose words are independent: white space separates, and letters, single digits and runs of other marks are apart.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLITTER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 
 
 def masked(data: bytes) -> int:
@@ -76,84 +90,115 @@ def deserialize(payload: bytes) -> tuple[int | None, np.ndarray]:
     return None if flags & 1 else doc_id, ids
 
 
+def cuts_at_spaces(tokenizer) -> bool:
+    """Whether words between ASCII white space are encoded independently, and runs of letters apart from the marks after them.
+
+    That is so for the one layout of normaliser and splitter below; whole texts
+    of any other tokenizer go to the library.
+    """
+    layout = json.loads(tokenizer.to_str())
+    return (layout["normalizer"], layout["pre_tokenizer"]) == (_NORMALIZER, _SPLITTER) and not (layout["post_processor"] or layout["truncation"] or layout["padding"])
+
+
 class WordEncoder:
     """Encodes whole texts with the tokenizers library, keeping the ids of words met before.
 
-    The tokenizer must treat words between ASCII white space as independent
-    (white space is dropped and nothing joins across it), and likewise a full
-    stop or comma after a letter and the case of ASCII letters, as that of
-    ``word_bpe_49k.json`` does; ``check`` compares a text with the library's
-    encoding of the whole.
+    Words between ASCII white space are looked up each for itself. Those of
+    letters before ASCII marks (``_WORD``) are put together from the ids of the
+    letters in lower case and of the marks, which the splitter keeps apart and
+    neither composition nor lower-casing can join: only such letters count as
+    are composed, have one lower-case letter and are below U+0100; an
+    apostrophe (contractions) and ``<`` (special tokens) are no such marks. All
+    other words go to the library as they are, and so do whole texts of a
+    tokenizer that may treat words otherwise (``cuts_at_spaces``).
+
+    What is kept takes about ``cache_bytes``: two generations, of which the
+    older is dropped when the younger is full.
     """
 
-    def __init__(self, path: str | None):
+    def __init__(self, path: str | None, cache_bytes: int = 64 << 20):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark gives a task one core
         if path is None:
             import public_tokenizers
 
             path = public_tokenizers.path("word_bpe_49k.json")
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+        self.by_word = cuts_at_spaces(self.tokenizer)
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.room, self.used = cache_bytes // 2, 0
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.marks = dict(zip((b".", b","), (i.tobytes() for i in self._ids([".", ","]))))
-
-    def check(self, text: str) -> bool:
-        return self.encode(text).tolist() == self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def encode(self, text: str) -> np.ndarray:
         return next(self.encode_all([text.encode()]))
 
-    @staticmethod
-    def _core(word: bytes) -> bytes | None:
-        """The word without a full stop or comma at its end, ASCII in lower case; None if it isn't all letters."""
-        core = word[:-1] if word[-1:] in b".," else word
-        if core.isalpha():
-            return core.lower()
-        return core if core and core.decode().isalpha() else None
-
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[bytes]) -> None:
-        if len(self.known) > _CACHE_WORDS:
-            self.known = {}
-        known = self.known
-        new = [w for w in words if w not in known]
-        cores = list(map(self._core, new))
-        odd = [w for w, c in zip(new, cores) if c is None]
-        known.update(zip(odd, (i.tobytes() for i in self._ids([w.decode() for w in odd]))))
-        # Words of letters alone are encoded many to a text; the last token of each ends a word.
-        some = list({c for c in cores if c is not None and c not in known})
-        groups = [some[i : i + 64] for i in range(0, len(some), 64)]
-        for group, ids in zip(groups, self._ids([b" ".join(g).decode() for g in groups])):
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
+        """The ids of strings. Runs of letters are encoded many to a text: the last token of each ends a word."""
+        letters = [w for w in new if _LETTERS.fullmatch(w)]
+        groups = [letters[i : i + 64] for i in range(0, len(letters), 64)]
+        found = {}
+        for group, ids in zip(groups, self._ids([" ".join(g) for g in groups])):
             ends = np.flatnonzero(self.ends_word[ids]) + 1
             if len(ends) == len(group):
                 data, edges = ids.tobytes(), [0, *(4 * ends).tolist()]
-                known.update(zip(group, (data[a:b] for a, b in zip(edges, edges[1:]))))
-            else:
-                known.update(zip(group, (i.tobytes() for i in self._ids([w.decode() for w in group]))))
-        for w, c in zip(new, cores):
-            if c is not None:
-                known[w] = known[c] + self.marks[w[-1:]] if w[-1:] in self.marks else known[c]
+                found.update(zip(group, (data[a:b] for a, b in zip(edges, edges[1:]))))
+        rest = [w for w in new if w not in found]
+        found.update(zip(rest, (i.tobytes() for i in self._ids(rest))))
+        return found
+
+    def _known(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct strings one after another, and the number of each."""
+        if self.used > self.room:
+            self.old, self.young, self.used = self.young, {}, 0
+        coded = list(map(self.young.get, strings))
+        left = [k for k, ids in enumerate(coded) if ids is None]
+        older = {w: ids for k in left if (ids := self.old.get(w := strings[k])) is not None}
+        older |= self._learn([strings[k] for k in left if strings[k] not in older])
+        self.young |= older
+        for k in left:
+            coded[k] = older[strings[k]]
+            self.used += len(strings[k]) + len(coded[k]) + 200  # about what both objects and their entry take
+        return np.frombuffer(b"".join(coded), "<u4"), np.array([len(i) // 4 for i in coded], np.int64)
 
     def encode_all(self, texts: list[bytes]) -> Iterator[np.ndarray]:
-        """The ids of each text. Words are told apart by 64-bit hashes within 2 MB, and by their bytes beyond."""
-        for joined, first, last, hashes, counts in hashed_chunks(texts, limit=(1 << 21) - 1024):
-            _, at, place = np.unique(hashes, return_index=True, return_inverse=True)
-            words = [joined[a:b] for a, b in zip(first[at].tolist(), last[at].tolist())]
-            self._learn(words)
-            coded = [self.known[w] for w in words]
-            flat = np.frombuffer(b"".join(coded), "<u4")
-            sizes = np.array([len(c) // 4 for c in coded], np.int64)
-            begin = np.cumsum(sizes) - sizes
-            size = sizes[place]
-            ends = np.cumsum(size)
-            ids = flat[np.repeat(begin[place] - ends + size, size) + np.arange(int(size.sum()))] if len(size) else flat
-            edges = np.concatenate([[0], ends])[np.cumsum(counts)]
-            yield from np.split(ids, edges[:-1])
+        """The ids of each text, which are met in runs of about 2 MB; longer texts are cut between words."""
+        if not self.by_word:
+            for k in range(0, len(texts), 64):
+                yield from self._ids([t.decode() for t in texts[k : k + 64]])
+            return
+        held: list[np.ndarray] = []  # of a text that goes on
+        for pieces, last in piece_runs(texts, 2 << 20):
+            split = pc.ascii_split_whitespace(pa.array(pieces, pa.large_binary()).cast(pa.large_string()))
+            coded = split.flatten().dictionary_encode()
+            parts = pc.extract_regex(coded.dictionary, _WORD)
+            fits = parts.is_valid()
+            word = pc.if_else(fits, pc.utf8_lower(parts.field("letters")), coded.dictionary).dictionary_encode()
+            mark = pc.if_else(fits, parts.field("marks"), "").dictionary_encode()
+            flat, size = self._known(word.dictionary.to_pylist() + mark.dictionary.to_pylist())
+            both = np.stack([word.indices.to_numpy(), mark.indices.to_numpy() + len(word.dictionary)], axis=1).ravel()
+            flat, size = _gather(flat, size, both), size[both].reshape(-1, 2).sum(axis=1)
+            place = coded.indices.to_numpy()
+            out, ends = _gather(flat, size, place), np.concatenate([[0], np.cumsum(size[place])])
+            edges = ends[split.offsets.to_numpy() - split.offsets[0].as_py()]
+            for part, done in zip(np.split(out, edges[1:-1]), last):
+                held.append(part)
+                if done:
+                    yield held[0] if len(held) == 1 else np.concatenate(held)
+                    held = []
+
+
+def _gather(flat: np.ndarray, size: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The runs of ``flat``, of these sizes, at these places in the order given."""
+    begin, mine = (np.cumsum(size) - size)[place], size[place]
+    ends = np.cumsum(mine)
+    return flat[np.repeat(begin - ends + mine, mine) + np.arange(ends[-1] if len(ends) else 0)]
 
 
 _ENCODERS: dict[str | None, WordEncoder] = {}
@@ -190,7 +235,7 @@ def write_records(docs: DataFrame, where: str, tokenizer_path: str | None = None
         part = TaskContext.get().partitionId()
         name, encoder, end = f"{where}/part-{part:06d}-{uuid.uuid4().hex}", encoder_of(tokenizer_path), np.array([end_id], "<u4")
         out, at, offsets, n_ids = None, 0, [], 0
-        for batch in slices(batches, 2048):
+        for batch in slices(batches, 512):
             out = out or store.create(name + ".rec")
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode_all(batch.column("text").cast(pa.large_binary()).to_pylist())):
                 data = frame(serialize(doc_id, np.concatenate([ids, end])))

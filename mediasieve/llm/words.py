@@ -6,11 +6,14 @@ UTF-8 only as themselves, words of the bytes are words of the characters.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-_CHUNK = 1 << 20
+#: Bytes whose temporary arrays (some ten of 8 bytes a byte) are held at a time.
+_CHUNK = 1 << 18
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
 _BASE = 0x9E3779B97F4A7C15
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -40,25 +43,39 @@ def _power_tables(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[base]
 
 
-def _chunks(texts: Iterable[bytes], limit: int) -> Iterator[list[bytes]]:
-    chunk: list[bytes] = []
-    size = 0
-    for t in texts:
-        if chunk and size + len(t) > limit:
-            yield chunk
-            chunk, size = [], 0
-        chunk.append(t)
-        size += len(t) + 1
-    if chunk:
-        yield chunk
+def pieces(text: bytes, limit: int) -> Iterator[bytes]:
+    """A text cut between words into pieces of a little more than ``limit`` bytes; a longer word stays whole."""
+    at = 0
+    while len(text) - at > limit and (gap := _GAP.search(text, at + limit)):
+        yield text[at : gap.start()]
+        at = gap.end()
+    yield text[at:] if at else text
 
 
-def hashed_chunks(texts: Iterable[bytes], seed: int = 0, limit: int = _CHUNK) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Runs of texts of about ``limit`` bytes: their joined bytes, first and last place and hash of each word, words of each text."""
+def piece_runs(texts: Iterable[bytes], limit: int = 1 << 20) -> Iterator[tuple[list[bytes], list[bool]]]:
+    """Runs of pieces of texts, of about ``limit`` bytes, and whether each is the last piece of its text."""
+    run: list[bytes] = []
+    last: list[bool] = []
+    size = 0
+    for t in texts:
+        for piece in pieces(t, limit):
+            if run and size + len(piece) > limit:
+                yield run, last
+                run, last, size = [], [], 0
+            run.append(piece)
+            last.append(False)
+            size += len(piece) + 1
+        last[-1] = True
+    if run:
+        yield run, last
+
+
+def word_hashes(texts: Iterable[bytes], seed: int = 0, limit: int = _CHUNK) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of all texts in order, and the number of words of each text. Bytes are looked at in runs of about ``limit``."""
     base = (_BASE + 2 * seed * 0x1000193) % (1 << 64) | 1
-    for chunk in _chunks(texts, limit):
-        joined = b"\n".join(chunk)
-        buf = np.frombuffer(joined, np.uint8)
+    hashes, counts, left = [np.empty(0, np.uint64)], [], 0
+    for run, done in piece_runs(texts, limit):
+        buf = np.frombuffer(b"\n".join(run), np.uint8)
         gap = (buf == 32) | ((buf >= 9) & (buf <= 13))
         edges = np.flatnonzero(np.diff(gap, prepend=True, append=True))
         first, last = edges[0::2], edges[1::2]
@@ -67,17 +84,14 @@ def hashed_chunks(texts: Iterable[bytes], seed: int = 0, limit: int = _CHUNK) ->
         np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[: len(buf)], out=sums[1:])
         h = (sums[last] - sums[first]) * down[first]
         h ^= (last - first).astype(np.uint64) * _STEP
-        ends = np.cumsum([len(t) + 1 for t in chunk])
-        yield joined, first, last, mix(h), np.diff(np.searchsorted(first, ends), prepend=0)
-
-
-def word_hashes(texts: list[bytes], seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of all texts in order, and the number of words of each text."""
-    hashes, counts = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-    for *_, h, c in hashed_chunks(texts, seed):
-        hashes.append(h)
-        counts.append(c)
-    return np.concatenate(hashes), np.concatenate(counts)
+        hashes.append(mix(h))
+        ends = np.cumsum([len(t) + 1 for t in run])
+        for n, ended in zip(np.diff(np.searchsorted(first, ends), prepend=0).tolist(), done):
+            left += n
+            if ended:
+                counts.append(left)
+                left = 0
+    return np.concatenate(hashes), np.array(counts, np.int64)
 
 
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
