@@ -7,6 +7,10 @@ distinct key once, as sorted key lists cut by key range; the task of a key
 range answers with one array for each list, in the list's order. So a key that
 a third of all documents share costs one entry a block, and no group is larger
 than its key range's share of the distinct keys of all blocks.
+
+Blocks and ranges have fixed sizes, so a task's memory doesn't grow with the
+corpus. Only lists with keys are sent: there are never more of them than keys
+of blocks, which are at most the n-grams of the corpus.
 """
 
 from __future__ import annotations
@@ -19,26 +23,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+BLOCK_BYTES = 8e6
+RANGE_KEYS = 2e6
+
+
 def key_bits(n_keys: int) -> int:
     """Bits of a key: with 24 more than the number of keys needs, one key in 16 million meets another's at any size."""
     return min(64, max(n_keys, 1).bit_length() + 24)
 
 
-def block_of(doc_id: Column, n_blocks: int) -> Column:
-    return F.pmod(F.xxhash64(doc_id), F.lit(n_blocks)).cast("int")
-
+def block_of(n_blocks: int, *parts: Column) -> Column:
+    return F.pmod(F.xxhash64(*parts), F.lit(n_blocks)).cast("int")
 
-def sizes(n_bytes: int, n_keys: int, least_block: float = 8e6) -> tuple[int, int]:
-    """Numbers of blocks and of key ranges.
 
-    Both the bytes of a block and the keys of a range grow with the root of the
-    corpus between fixed bounds (``least_block`` to 128 MB, 1 to 32 million), so
-    that lists (blocks x ranges) stay long enough to be worth packing.
-    """
-    root = math.sqrt(max(n_bytes, 1))
-    n_blocks = math.ceil(max(n_bytes, 1) / min(max(least_block, 150 * root), 128e6))
-    per_range = min(max(1e6, 30 * root), 32e6)
-    return n_blocks, 1 << max(0, math.ceil(math.log2(max(n_keys, 1) / per_range)))
+def sizes(n_bytes: int, n_keys: int, block_bytes: float = BLOCK_BYTES) -> tuple[int, int]:
+    """Numbers of blocks and of key ranges (a power of two), so that a block and a range take as much memory in any corpus."""
+    return max(1, math.ceil(n_bytes / block_bytes)), 1 << max(0, math.ceil(math.log2(max(n_keys, 1) / RANGE_KEYS)))
 
 
 def pack(values: np.ndarray) -> bytes:

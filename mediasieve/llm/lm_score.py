@@ -49,7 +49,7 @@ def stupid_backoff(docs: DataFrame, order: int = 3, backoff: float = 0.4, min_co
     n_bytes, n_words = blocks.corpus_size(docs)
     n_blocks, n_ranges = blocks.sizes(n_bytes, n_words)
     bits = blocks.key_bits(n_words)
-    dealt = docs.select(blocks.block_of(F.col("doc_id"), n_blocks).alias("block"), "doc_id", "text")
+    dealt = docs.select(blocks.block_of(n_blocks, F.col("doc_id"), F.col("text")).alias("block"), "doc_id", "text")
 
     def send(table: pa.Table) -> pa.Table:
         block = table.column("block")[0].as_py()

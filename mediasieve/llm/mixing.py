@@ -22,13 +22,18 @@ def _block(seed: int, doc_id: Column, n_blocks: Column) -> Column:
     return F.conv(F.substring(_key(seed, doc_id), 1, 8), 16, 10).cast("long") % n_blocks
 
 
-def token_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, n_tokens): words of each whole text; null source counts as ''."""
-    return docs.select(
+def _token_columns() -> list[Column]:
+    return [
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"),
         F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("n_tokens"),
-    )
+        F.xxhash64("text").alias("tie"),
+    ]
+
+
+def token_table(docs: DataFrame) -> DataFrame:
+    """(doc_id, source, n_tokens, tie): words of each whole text and a hash of it; null source counts as ''."""
+    return docs.select(*_token_columns())
 
 
 def _last(shares: DataFrame, holds: Column) -> float | None:
@@ -101,12 +106,12 @@ def mix_sources(
     """The mixed order of ``docs(doc_id, text, source)``: a row for each time that a document is drawn.
 
     Columns: source, epoch, block, doc_id, n_tokens, start (tokens of its source
-    drawn before it), weight, quota, n_blocks. The budget is ``budget_ratio`` times all
+    drawn before it), weight, quota, n_blocks, tie. The budget is ``budget_ratio`` times all
     tokens (None: the smallest that draws every document at least once); a source's quota is its weight's part of it. Every epoch permutes
     the source's blocks by hash, and the documents inside each block; draws end
-    with the document that reaches the quota. Prefix sums are taken over the
-    blocks of a source and then inside one block of about ``block_tokens``
-    tokens, so no task holds the documents of a large source.
+    with the document that reaches the quota. Prefix sums are taken over shelves
+    of blocks, the blocks of a shelf and then inside one block of about
+    ``block_tokens`` tokens, so no task holds the documents of a large source.
 
     Null or wordless texts cost nothing and are drawn with their neighbours; a
     source without any token has no weight and is not drawn. Null sources count
@@ -116,22 +121,27 @@ def mix_sources(
     tokens = written(token_table(docs), "mixing-tokens")
     plan = written(weights(tokens, target_entropy, max_repeat, budget_ratio, block_tokens), "mixing-weights")
     dealt = tokens.join(plan, "source").withColumn("block", _block(seed, F.col("doc_id"), F.col("n_blocks")))
-    by = W.partitionBy("source", "epoch").orderBy("block_key", "block").rowsBetween(W.unboundedPreceding, -1)
     blocks = (
         dealt.groupBy("source", "block")
         .agg(F.sum("n_tokens").alias("tokens"), F.first("n_epochs").alias("n_epochs"))
         .select("source", "block", "tokens", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_epochs") - 1)).alias("epoch"))
         .withColumn("block_key", _key(seed, F.col("epoch"), F.col("source"), F.col("block")))
-        .select("source", "epoch", "block", F.coalesce(F.sum("tokens").over(by), F.lit(0)).alias("before"))
+        .withColumn("shelf", F.substring("block_key", 1, 3))
     )
-    inside = W.partitionBy("source", "epoch", "block").orderBy("doc_key", "doc_id", "n_tokens").rowsBetween(W.unboundedPreceding, -1)
+    # Prefix sums over the 4096 shelves of an epoch, and then over the blocks of a shelf.
+    sum_before = lambda column, *by: F.coalesce(F.sum(column).over(by[0].rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    shelves = blocks.groupBy("source", "epoch", "shelf").agg(F.sum("tokens").alias("tokens"))
+    shelves = shelves.select("source", "epoch", "shelf", sum_before("tokens", W.partitionBy("source", "epoch").orderBy("shelf")).alias("shelf_before"))
+    on_shelf = W.partitionBy("source", "epoch", "shelf").orderBy("block_key", "block")
+    blocks = blocks.join(shelves, ["source", "epoch", "shelf"]).select("source", "epoch", "block", (F.col("shelf_before") + sum_before("tokens", on_shelf)).alias("before"))
+    inside = W.partitionBy("source", "epoch", "block").orderBy("doc_key", "doc_id", "n_tokens", "tie").rowsBetween(W.unboundedPreceding, -1)
     return (
-        dealt.select("source", "block", "doc_id", "n_tokens", "total", "weight", "quota", "n_blocks", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_epochs") - 1)).alias("epoch"))
+        dealt.select("source", "block", "doc_id", "n_tokens", "tie", "total", "weight", "quota", "n_blocks", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_epochs") - 1)).alias("epoch"))
         .join(blocks, ["source", "epoch", "block"])
         .withColumn("doc_key", _key(seed, F.col("epoch"), F.col("doc_id")))
         .withColumn("start", F.col("epoch") * F.col("total") + F.col("before") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
         .where("start < quota")
-        .select("source", "epoch", "block", "doc_id", "n_tokens", "start", "weight", "quota", "n_blocks")
+        .select("source", "epoch", "block", "doc_id", "n_tokens", "start", "weight", "quota", "n_blocks", "tie")
     )
 
 
@@ -140,29 +150,36 @@ def realise(docs: DataFrame, draws: DataFrame, seed: int = 17) -> DataFrame:
 
     Texts stay where they are: for each source only the last drawn place of its
     last epoch is looked up, and every row compares its own hash keys with it.
+    Repeated rows share a place; if only some of those at the last place are
+    drawn, they alone are numbered, in up to 64 groups a source.
     """
-    place = F.struct(
-        F.col("epoch"),
-        _key(seed, F.col("epoch"), F.col("source"), F.col("block")).alias("block_key"),
-        F.col("block"),
-        _key(seed, F.col("epoch"), F.col("doc_id")).alias("doc_key"),
-        F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("doc_id"),
-        F.col("n_tokens"),
-    )
-    last = draws.groupBy("source").agg(F.max(place).alias("_last"), F.max("n_blocks").alias("_n_blocks"))
-    ends = written(last.withColumnRenamed("source", "_source"), "mixing-ends")
-    doc_id, epoch = F.col("doc_id").cast("long"), F.col("_last.epoch")
-    source = F.coalesce(F.col("source").cast("string"), F.lit(""))
-    block = _block(seed, doc_id, F.col("_n_blocks"))
-    words = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    mine = F.struct(
+    no_id = F.lit(-(2**63))
+    place = lambda source, epoch, block, doc_id, n_tokens, tie: F.struct(
         epoch.alias("epoch"),
         _key(seed, epoch, source, block).alias("block_key"),
         block.alias("block"),
         _key(seed, epoch, doc_id).alias("doc_key"),
-        F.coalesce(doc_id, F.lit(-(2**63))).alias("doc_id"),
-        words.alias("n_tokens"),
+        F.coalesce(doc_id, no_id).alias("doc_id"),
+        n_tokens.alias("n_tokens"),
+        tie.alias("tie"),
     )
-    copies = epoch + F.when(mine <= F.col("_last"), 1).otherwise(0)
-    drawn = docs.join(ends, F.coalesce(docs["source"].cast("string"), F.lit("")) == F.col("_source"))
-    return drawn.withColumn("_copies", copies.cast("int")).withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_copies")))).select(*[docs[c] for c in docs.columns])
+    places = written(draws.select("source", "n_blocks", place(*map(F.col, ("source", "epoch", "block", "doc_id", "n_tokens", "tie"))).alias("place")), "mixing-places")
+    last = written(places.groupBy("source").agg(F.max("place").alias("last"), F.max("n_blocks").alias("n_blocks")), "mixing-last")
+    there = places.join(last.select("source", "last"), "source").where(F.col("place") == F.col("last")).groupBy("source").agg(F.count("*").alias("quota"))
+    ends = written(last.join(there, "source"), "mixing-ends")
+
+    whole = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+    rows = docs.select(whole, *_token_columns()).join(ends, "source")
+    epoch = F.col("last.epoch")
+    mine = place(F.col("source"), epoch, _block(seed, F.col("doc_id"), F.col("n_blocks")), F.col("doc_id"), F.col("n_tokens"), F.col("tie"))
+    order = F.when(mine < F.col("last"), -1).when(mine == F.col("last"), 0).otherwise(1)
+    judged = rows.select("row", "source", "quota", epoch.alias("epoch"), order.alias("order"))
+    sure = judged.where("order <> 0").select("row", (F.col("epoch") + F.when(F.col("order") < 0, 1).otherwise(0)).alias("copies"))
+    # The rows at the last place, dealt into groups and numbered: within a group, and by the groups before it.
+    tied = written(judged.where("order = 0").select("row", "source", "quota", "epoch", F.pmod(F.monotonically_increasing_id(), F.lit(64)).alias("part")), "mixing-tied")
+    before = tied.groupBy("source", "part").agg(F.count("*").alias("n"))
+    before = before.select("source", "part", F.coalesce(F.sum("n").over(W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    number = F.row_number().over(W.partitionBy("source", "part").orderBy(F.lit(0))) + F.col("before")
+    some = tied.join(before, ["source", "part"]).withColumn("number", number).select("row", (F.col("epoch") + F.when(F.col("number") <= F.col("quota"), 1).otherwise(0)).alias("copies"))
+    drawn = sure.unionAll(some).select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("copy"))
+    return drawn.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mediasieve.llm import blocks, words
+from mediasieve.llm.batches import slices
 from mediasieve.llm.components import components
 from mediasieve.llm.scratch import written
 
@@ -22,11 +25,14 @@ _SQL = {
 }
 _LANES = (np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB))
 _ROTATIONS, _TURNS = 8, 2
+BLOCK_BYTES = 4e6
+#: Buckets of more vertices are cut by further common n-grams, at most so many.
+MAX_BUCKET, MAX_DEPTH = 64, 8
 
 
 def gram_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
     """The sorted distinct hashes of each text's n-grams; of shorter texts, one for the whole sequence."""
-    hashes, counts = words.word_hashes([t.translate(_UPPER_TO_LOWER) for t in texts])
+    hashes, counts = words.word_hashes(t.translate(_UPPER_TO_LOWER) for t in texts)
     grams = words.gram_hashes(hashes, n)
     found, at = [], 0
     for c in counts.tolist():
@@ -50,21 +56,20 @@ def _least_overlap(n: int, percent: int) -> int:
 
 
 def _vertices(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Rows of three kinds: a ``doc`` for each document; ``prefix`` and ``segment`` rows for each distinct set that may have links."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    """Rows of three kinds: a ``doc`` for each document; ``prefix`` and ``segment`` rows for each distinct set that may have links. Ids aren't null."""
     n_bytes, n_words = blocks.corpus_size(docs)
-    n_blocks, n_ranges = blocks.sizes(n_bytes, n_words, least_block=4e6)
+    n_blocks, n_ranges = blocks.sizes(n_bytes, n_words, block_bytes=BLOCK_BYTES)
     n_prints = max(1, n_ranges >> 6)
     bits = blocks.key_bits(n_words)
     shift = np.uint64(64 - bits)
-    dealt = docs.select(blocks.block_of(F.col("doc_id"), n_blocks).alias("block"), "doc_id", "text")
+    dealt = docs.select(blocks.block_of(n_blocks, F.col("doc_id"), F.col("text")).alias("block"), "doc_id", "text")
 
     def read(table: pa.Table):
-        """Ids and sets; the distinct keys of all sets with place and count; fingerprints of the sets with an id and an element."""
+        """Ids and sets; the distinct keys of all sets with place and count; fingerprints of the sets with an element."""
         ids = table.column("doc_id").to_pylist()
         sets = gram_sets(blocks.texts_of(table), n)
         keys, place, counts = np.unique(np.concatenate([np.empty(0, np.uint64), *sets]) >> shift, return_inverse=True, return_counts=True)
-        own = [k for k, (i, s) in enumerate(zip(ids, sets)) if i is not None and len(s)]
+        own = [k for k, s in enumerate(sets) if len(s)]
         prints = _prints([sets[k] for k in own])
         # Documents of the same set together, smallest id first.
         order = np.lexsort((np.array([ids[k] for k in own], np.int64), prints[:, 1], prints[:, 0]))
@@ -89,40 +94,43 @@ def _vertices(docs: DataFrame, n: int, percent: int) -> DataFrame:
             _, place = np.unique(np.concatenate([blocks.unpack_keys(r["keys"], r["size"]) for r in rows]), return_inverse=True)
             sums = np.bincount(place, np.concatenate([blocks.unpack(r["values"], r["size"]) for r in rows])).astype(np.int64)[place]
             back = [blocks.pack(p) for p in np.split(sums, np.cumsum(sizes)[:-1])]
-        else:  # the smallest id of each set
+        else:  # the smallest id of each set, and whether this block is the first that has it
             one, two, least = (np.concatenate([np.frombuffer(r[c], t) for r in rows]) for c, t in (("keys", "<u8"), ("second", "<u8"), ("values", "<i8")))
-            order = np.lexsort((least, two, one))
+            order = np.lexsort((np.repeat([r["block"] for r in rows], sizes), least, two, one))
             group = np.cumsum(np.concatenate([[0], (np.diff(one[order]) != 0) | (np.diff(two[order]) != 0)]))
             start = np.flatnonzero(np.diff(group, prepend=-1))
-            best = np.empty(len(order), "<i8")
+            best, owner = np.empty(len(order), "<i8"), np.zeros(len(order), bool)
             best[order] = least[order][start][group]
-            back = [p.tobytes() for p in np.split(best, np.cumsum(sizes)[:-1])]
+            owner[order[start]] = True
+            ends = np.cumsum(sizes)[:-1]
+            back = [p.tobytes() + o.tobytes() for p, o in zip(np.split(best, ends), np.split(owner, ends))]
         return _table([(r["block"], r["part"], r["size"], b) for r, b in zip(rows, back)], _BACK)
 
     def emit(table: pa.Table, answers: pa.Table) -> pa.Table:
         ids, sets, _, place, _, own, prints, first = read(table)
         got = sorted(answers.to_pylist(), key=lambda r: r["part"])
         freq = np.concatenate([np.empty(0, np.int64), *(blocks.unpack(r["values"], r["size"]).astype(np.int64) for r in got if r["part"] < n_ranges)])[place]
-        least = np.concatenate([np.empty(0, "<i8"), *(np.frombuffer(r["values"], "<i8") for r in got if r["part"] >= n_ranges)])
+        least = np.concatenate([np.empty(0, "<i8"), *(np.frombuffer(r["values"], "<i8", r["size"]) for r in got if r["part"] >= n_ranges)])
+        owner = np.concatenate([np.empty(0, bool), *(np.frombuffer(r["values"], bool, offset=8 * r["size"]) for r in got if r["part"] >= n_ranges)])
         ends = np.cumsum([0, *map(len, sets)])
-        rows = [("doc", i, len(s), i, None, None, None, None, None) for i, s in zip(ids, sets) if i is None or not len(s)]
+        rows = [("doc", i, 0, i, None, None, None, None, None) for i, s in zip(ids, sets) if not len(s)]
         group = np.cumsum(first) - 1
         for k, g, head, pair in zip(own, group.tolist(), first.tolist(), prints):
             s, rep = sets[k], int(least[g])
             v = (rep + (1 << 63)).to_bytes(8, "big") + pair.astype(">u8").tobytes()
             rows.append(("doc", ids[k], len(s), rep, v, None, None, None, None))
-            if not head or ids[k] != rep:
+            if not head or not owner[g]:
                 continue
             f = freq[ends[k] : ends[k + 1]]
             shared = f >= 2
             # What only this document has is in no overlap, so enough of the set must be in others, too.
             if int(shared.sum()) < _least_overlap(len(s), percent):
                 continue
-            order = np.lexsort((s, f))  # the global order: rarest first, then by hash
+            band = np.log2(f).astype(np.int32)
+            order = np.lexsort((s, band))  # the global order: by fragment, then by hash
             prefix = order[: len(s) - _least_overlap(len(s), percent) + 1]
             places = np.flatnonzero(shared[prefix])
             rows += [("prefix", None, len(s), rep, v, t, r, None, None) for t, r in zip(s[prefix[places]].view(np.int64).tolist(), (len(s) - places).tolist())]
-            band = np.log2(np.maximum(f, 1)).astype(np.int32)
             rows += [("segment", None, len(s), rep, v, None, None, b, s[band == b].view(np.int64)) for b in np.unique(band[shared]).tolist()]
         return _table(rows, _ROWS)
 
@@ -172,6 +180,50 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return near.select(pick("v", "w").alias("a"), pick("n", "m").alias("na"), pick("w", "v").alias("b"), pick("m", "n").alias("nb")).distinct()
 
 
+def _wide(n: Column, percent: int) -> Column:
+    """How many n-grams linked sets share at least, by the size of one."""
+    return F.ceil(n * percent / 100.0 - 1e-9)
+
+
+def _odd_pairs(placed: DataFrame, segments: DataFrame, percent: int) -> Iterator[DataFrame]:
+    """Pairs (v, n, w, m) that are all of those of different labels that may be linked and meet in a bucket of ``placed(token, v, n, rest, label)``.
+
+    Only vertices with another label than most of their bucket are compared
+    with all of it. Buckets are by the first n-gram that two sets share. A
+    bucket of more than MAX_BUCKET vertices is cut by the next n-gram that they
+    share, and so on: sets that share c n-grams at least have the first k of
+    these in the first n - c + k of their order. Sets that need share no more
+    than the n-grams of their bucket aren't cut further but compared with all
+    of it, so no pair is lost. ``rest`` bounds what a set can share: its
+    n-grams from the bucket's last one on, and the bucket's others.
+    """
+    tokens = None
+    for depth in range(1, MAX_DEPTH + 1):
+        by_label = placed.groupBy("token", "label").agg(F.count("*").alias("size"))
+        mixed = by_label.groupBy("token").agg(F.max(F.struct("size", "label")).alias("top"), F.count("*").alias("labels"), F.sum("size").alias("all")).where("labels > 1")
+        mixed = written(mixed.select("token", F.col("top.label").alias("main"), "all"), "join-mixed")
+        rows = placed.join(mixed, "token").withColumn("cut", F.lit(False))
+        deeper = depth < MAX_DEPTH and not mixed.where(F.col("all") > MAX_BUCKET).isEmpty()
+        if deeper:
+            rows = rows.withColumn("cut", (F.col("all") > MAX_BUCKET) & (_wide(F.col("n"), percent) > depth))
+        odd, whole = rows.where("label <> main"), rows.where("NOT cut")
+        met = odd.where("NOT cut").join(rows.select("token", *_other()), "token")
+        if deeper:
+            met = met.unionAll(odd.where("cut").join(whole.select("token", *_other()), "token"))
+        yield met.where((F.col("label") != F.col("w_label")) & _may_link(percent)).select("v", "n", "w", "m")
+        if not deeper:
+            return
+        big = rows.where("cut").select("token", "v", "n", "rest", "label")
+        if tokens is None:  # the shared n-grams of each set in the global order: by fragment, then by hash
+            parts = segments.join(big.select("v").distinct(), "v", "left_semi").groupBy("v").agg(F.sort_array(F.collect_list(F.struct("fragment", "grams"))).alias("parts"))
+            tokens = written(parts.select("v", F.flatten(F.col("parts.grams")).alias("grams")), "join-tokens")
+        at = F.size("grams") - F.col("rest") + (depth - 1)  # place of the bucket's last n-gram among the shared
+        last = F.size("grams") - _wide(F.col("n"), percent) + (depth + 1)
+        cuts = big.join(tokens, "v").withColumn("at", at.cast("int")).withColumn("last", last.cast("int")).where("last > at + 1")
+        spread = cuts.select("token", "v", "n", "label", F.size("grams").alias("shared"), "at", F.posexplode(F.slice("grams", F.col("at") + 2, F.col("last") - F.col("at") - 1)).alias("k", "next"))
+        placed = written(spread.select(F.xxhash64("token", "next").alias("token"), "v", "n", (F.col("shared") - F.col("at") - 1 - F.col("k") + depth).cast("long").alias("rest"), "label"), "join-cut")
+
+
 def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs(doc_id, text)``.
 
@@ -194,14 +246,16 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
        with one that a hash chooses, if that is in another component. Then
        those in other components than most of their bucket are compared with
        all others there, so no link between components is missed
-       and groups of thousands of copies are not expanded into pairs. Partial
+       and groups of thousands of copies are not expanded into pairs. Large
+       buckets of several components are cut by further common n-grams. Partial
        overlaps are counted by fragment and summed for each pair.
 
     Null, empty and wordless texts have the empty set, linked with nothing.
     Rows without an id have no component (null) and no links. Repeated rows
     stay. An empty table gives an empty result. Further columns are ignored.
     """
-    rows = written(_vertices(docs, n, percent), "join-vertices")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = written(_vertices(docs.where("doc_id IS NOT NULL"), n, percent), "join-vertices")
     prefix = rows.where("kind = 'prefix'").select("token", "v", "n", "rest")
     segments = rows.where("kind = 'segment'").select("v", "fragment", "grams")
     tried, links, labels = None, None, None
@@ -211,19 +265,25 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
             early = (F.col("n") - F.col("rest")) / F.col("n") if turn == 0 else F.lit(0.0)
             chosen = F.struct(early, F.xxhash64("v", F.pmod("token", F.lit(_ROTATIONS)))).alias("h")
             heads = placed.groupBy("token").agg(F.min(F.struct(chosen, *_other())).alias("head"), F.count("*").alias("met")).where("met > 1").select("token", "head.*").drop("h")
-            pairs = placed.join(heads, "token").where((F.col("label") != F.col("w_label")) & _may_link(percent))
+            rounds = [placed.join(heads, "token").where((F.col("label") != F.col("w_label")) & _may_link(percent))]
         else:
-            # Buckets that more than one component meets in, and the one that most of each bucket is in.
-            main = placed.groupBy("token", "label").agg(F.count("*").alias("size")).groupBy("token").agg(F.max(F.struct("size", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1").select("token", F.col("top.label").alias("main"))
-            odd = placed.join(main, "token").where("label <> main")
-            pairs = odd.join(placed.select("token", *_other()), "token").where((F.col("label") != F.col("w_label")) & _may_link(percent))
-        new = _ordered(pairs)
-        new = written(new if tried is None else new.join(tried.select("a", "b"), ["a", "b"], "left_anti"), "join-tried")
-        found = written(_alike(new, segments, percent), "join-links")
-        tried = new if tried is None else tried.unionByName(new)
-        links = found if links is None else links.unionByName(found)
-        if labels is None or found.take(1):
+            rounds = _odd_pairs(written(placed, "join-placed"), segments, percent)
+        for pairs in rounds:
+            new = _ordered(pairs)
+            new = written(new if tried is None else new.join(tried.select("a", "b"), ["a", "b"], "left_anti"), "join-tried")
+            found = written(_alike(new, segments, percent), "join-links")
+            tried = new if tried is None else tried.unionByName(new)
+            links = found if links is None else links.unionByName(found)
+        if labels is None or turn == _TURNS or found.take(1):
             labels = components(links)
     doc = rows.where("kind = 'doc'").select("doc_id", "n", "rep", "v")
     first = F.conv(F.hex(F.substring("label", 1, 8)), 16, 10).cast("decimal(20,0)") - F.lit(str(1 << 63)).cast("decimal(20,0)")
-    return doc.join(labels, "v", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(first.cast("long"), F.col("rep")).alias("component_id"))
+    named = doc.join(labels, "v", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(first.cast("long"), F.col("rep")).alias("component_id"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sizes = pa.array([len(s) for s in gram_sets(blocks.texts_of(batch), n)], pa.int64())
+            none = pa.nulls(len(sizes), pa.int64())
+            yield pa.record_batch([none, sizes, none], names=["doc_id", "n_shingles", "component_id"])
+
+    return named.unionAll(docs.where("doc_id IS NULL").select("text").mapInArrow(count, "doc_id long, n_shingles long, component_id long"))

@@ -5,14 +5,15 @@ one document is repeated. Its smallest source coordinate (document, place) is
 shared by all of its occurrences, and edges that follow one another in a
 document and at the source, without a branch to another source between them,
 compact into one path: a span of the document and a span of the source. Rows
-may share an id: all of them lie in one block, and a coordinate also says
-which of the id's rows, in the order of their texts, it is in.
+may share an id: a coordinate also says which of the id's rows it is in, and
+blocks are dealt by that as well.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mediasieve.llm import blocks, words
+from mediasieve.llm.batches import slices
 from mediasieve.llm.scratch import written
 
 ANCHOR = 5
@@ -37,16 +39,16 @@ _SQL = {
 }
 
 
-def _rows(table: pa.Table) -> tuple[list[int | None], list[bytes]]:
-    """Ids and texts of a block, by id and text; null ids last."""
-    found = sorted(zip(table.column("doc_id").to_pylist(), blocks.texts_of(table)), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
-    return [i for i, _ in found], [t for _, t in found]
+def _rows(table: pa.Table) -> tuple[list[int], np.ndarray, list[bytes]]:
+    """Ids, places among the rows of the id, and texts of a block, by id and text.
 
-
-def _nth(ids: list[int | None]) -> np.ndarray:
-    """Place of each row among the rows of its id."""
-    first: dict[int | None, int] = {}
-    return np.array([k - first.setdefault(i, k) for k, i in enumerate(ids)], np.int64)
+    A place's lower 16 bits are the row's salt (by its text), the others its
+    rank among the rows of the block with that id and salt.
+    """
+    found = sorted(zip(table.column("doc_id").to_pylist(), table.column("salt").to_pylist(), blocks.texts_of(table)))
+    first: dict[tuple[int, int], int] = {}
+    nth = np.array([k - first.setdefault((i, s), k) << 16 | s for k, (i, s, _) in enumerate(found)], np.int64)
+    return [i for i, _, _ in found], nth, [t for _, _, t in found]
 
 
 def _digest(some: list[bytes]) -> bytes:
@@ -62,14 +64,12 @@ class _Windows:
     """The windows of k words of a block, in the order of (doc_id, text, place)."""
 
     def __init__(self, table: pa.Table, k: int, bits: int):
-        self.ids, self.texts = _rows(table)
+        self.ids, self.nth, self.texts = _rows(table)
         self.k = k
-        self.nth = _nth(self.ids)
         self.hashes, self.counts = words.word_hashes(self.texts)
         within = words.runs_within(self.counts, k)
         self.row = np.repeat(np.arange(len(self.counts)), self.counts)[: len(within)]
-        known = np.array([i is not None for i in self.ids], bool)
-        self.at = np.flatnonzero(within & known[self.row]) if len(within) else np.empty(0, np.int64)
+        self.at = np.flatnonzero(within)
         # The anchor of a window is the smallest hash of its runs of ANCHOR words: equal windows have equal anchors.
         grams = words.gram_hashes(self.hashes, ANCHOR)
         size = len(within)
@@ -101,7 +101,7 @@ class _Windows:
         self.group[order] = np.cumsum(new) - 1
         self.one, self.two, first = one[new], two[new], self.at[order[new]]
         self.begins = np.cumsum(self.counts) - self.counts
-        doc = np.array([i or 0 for i in self.ids], "<i8")
+        doc = np.array(self.ids, "<i8")
         self.first_nth = self.nth[self.row[first]]
         self.first_doc, self.first_place = doc[self.row[first]], (first - self.begins[self.row[first]]).astype("<i4")
 
@@ -131,7 +131,7 @@ def remove_repeats(docs: DataFrame, k: int = 13) -> DataFrame:
     removed, dealt = _spans(docs, k)
 
     def finish(table: pa.Table, found: pa.Table) -> pa.Table:
-        ids, texts = _rows(table)
+        ids, _, texts = _rows(table)
         spans = defaultdict(list)
         for r in found.to_pylist():
             spans[r["row"]].append((r["start"], r["n"]))
@@ -145,7 +145,13 @@ def remove_repeats(docs: DataFrame, k: int = 13) -> DataFrame:
             rows.append((i, len(ws), len(ws) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
         return _table(rows, _RESULT)
 
-    return dealt.groupBy("block").cogroup(removed.groupBy("block")).applyInArrow(finish, _SQL["result"])
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            kept = [t.split() for t in blocks.texts_of(batch)]
+            yield pa.RecordBatch.from_pylist([dict(zip(_RESULT.names, (None, len(ws), 0, hashlib.sha256(b" ".join(ws)).hexdigest()))) for ws in kept], _RESULT)
+
+    nameless = docs.where(F.col("doc_id").isNull()).select("text").mapInArrow(whole, _SQL["result"])
+    return dealt.groupBy("block").cogroup(removed.groupBy("block")).applyInArrow(finish, _SQL["result"]).unionAll(nameless)
 
 
 def repeated_spans(docs: DataFrame, k: int = 13) -> DataFrame:
@@ -156,7 +162,7 @@ def repeated_spans(docs: DataFrame, k: int = 13) -> DataFrame:
     removed, dealt = _spans(docs, k)
 
     def name(table: pa.Table, found: pa.Table) -> pa.Table:
-        ids, _ = _rows(table)
+        ids, _, _ = _rows(table)
         return _table([(ids[r["row"]], r["start"], r["n"], r["src_doc"], r["src_start"]) for r in found.to_pylist()], pa.schema([(c, pa.int64()) for c in ("doc_id", "start", "n", "src_doc", "src_start")]))
 
     return dealt.groupBy("block").cogroup(removed.groupBy("block")).applyInArrow(name, "doc_id long, start long, n long, src_doc long, src_start long")
@@ -166,11 +172,13 @@ def _spans(docs: DataFrame, k: int, hash_bits: int = 64) -> tuple[DataFrame, Dat
     """Exact at any ``hash_bits``; few bits make the hashes of different windows meet, for tests."""
     if k < ANCHOR:
         raise ValueError(f"windows have {ANCHOR} words at least")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
     n_bytes, n_words = blocks.corpus_size(docs)
     n_blocks, n_ranges = blocks.sizes(n_bytes, n_words)
     bits = blocks.key_bits(n_words)
-    dealt = docs.select(blocks.block_of(F.col("doc_id"), n_blocks).alias("block"), "doc_id", "text")
+    block = lambda doc_id, salt: blocks.block_of(n_blocks, F.col(doc_id), salt).alias("block")
+    salt = F.xxhash64("text").bitwiseAND(F.lit(0xFFFF))
+    dealt = docs.select(block("doc_id", salt), "doc_id", salt.cast("int").alias("salt"), "text")
 
     def send_anchors(table: pa.Table) -> pa.Table:
         block, w = table.column("block")[0].as_py(), _Windows(table, k, bits)
@@ -211,7 +219,7 @@ def _spans(docs: DataFrame, k: int, hash_bits: int = 64) -> tuple[DataFrame, Dat
         src_place = np.concatenate([np.empty(0, "<i4"), *(np.frombuffer(r["place"], "<i4") for r in got)])[w.group].astype(np.int64)
         src_nth = np.concatenate([np.empty(0, "<u8"), *(blocks.unpack(r["nth"], r["size"]) for r in got)])[w.group].astype(np.int64)
         row = w.row[w.at]
-        own = np.array([i or 0 for i in w.ids], np.int64)[row]
+        own = np.array(w.ids, np.int64)[row]
         gone = src_doc < own
         at, row, src_doc, src_nth, src_place = (c[gone] for c in (w.at, row, src_doc, src_nth, src_place))
         new = np.ones(len(at), bool)
@@ -233,8 +241,8 @@ def _spans(docs: DataFrame, k: int, hash_bits: int = 64) -> tuple[DataFrame, Dat
         wanted = defaultdict(list)
         for r in asked.to_pylist():
             wanted[r["src_doc"], r["src_nth"]].append((r["src_start"], r["n"], r["digest"]))
-        ids, texts = _rows(table) if wanted else ([], [])
-        at = {(i, m): k_ for k_, (i, m) in enumerate(zip(ids, _nth(ids).tolist()))}
+        ids, nth, texts = _rows(table) if wanted else ([], np.empty(0, np.int64), [])
+        at = {(i, m): k_ for k_, (i, m) in enumerate(zip(ids, nth.tolist()))}
         rows = []
         for (i, m), some in wanted.items():
             split = texts[at[i, m]].split()
@@ -242,7 +250,7 @@ def _spans(docs: DataFrame, k: int, hash_bits: int = 64) -> tuple[DataFrame, Dat
         return _table(rows, _ASKED)
 
     source = ["src_doc", "src_nth", "src_start", "n", "digest"]
-    asked = spans.select(*source).distinct().withColumn("block", blocks.block_of(F.col("src_doc"), n_blocks))
+    asked = spans.select(*source).distinct().withColumn("block", block("src_doc", F.col("src_nth").bitwiseAND(F.lit(0xFFFF).cast("long"))))
     refuted = written(dealt.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(refute, _SQL["asked"]), "refuted-spans")
     found = ["block", "row", "start", "n", "src_doc", "src_start"]
     if refuted.isEmpty():
@@ -255,13 +263,13 @@ def _by_digest(dealt: DataFrame, failed: DataFrame, k: int) -> DataFrame:
     """Spans of k words: the windows in ``failed`` spans that also start in a document with a smaller id, by digests of their words."""
 
     def windows(table: pa.Table, within: pa.Table | None) -> pa.Table:
-        ids, texts = _rows(table)
+        ids, nth, texts = _rows(table)
         spans = defaultdict(set)
         for r in within.to_pylist() if within else ():
             spans[r["row"]].update(range(r["start"], r["start"] + r["n"] - k + 1))
         block, rows = table.column("block")[0].as_py() if len(table) else 0, []
-        for k_, (i, m, t) in enumerate(zip(ids, _nth(ids).tolist(), texts)):
-            if i is None or within and k_ not in spans:
+        for k_, (i, m, t) in enumerate(zip(ids, nth.tolist(), texts)):
+            if within and k_ not in spans:
                 continue
             split = t.split()
             rows += [(block, k_, a, i, m, _digest(split[a : a + k])) for a in (sorted(spans[k_]) if within else range(len(split) - k + 1))]

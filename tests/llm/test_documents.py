@@ -175,6 +175,18 @@ def test_realised_rows_are_those_drawn(docs, none):
     assert mixing.mix_sources(none).count() == 0 and mixing.realise(none, mixing.mix_sources(none)).count() == 0
 
 
+def test_repeated_rows_at_the_quota_are_drawn_no_more_often(spark):
+    rows = [(k, f"{k} b c", "small") for k in range(3)] + [(7, "x y z", "small")] * 4 + [(100 + k, "a b c d", "large") for k in range(40)]
+    rows += [(None, "n n", "small")] * 3 + [(None, None, "small")] * 5
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("_copies", F.lit(1)).withColumn("_source", F.lit("s")).repartition(3)
+    for ratio in (0.3, 0.5, 0.8, 1.0, 1.3):
+        draws = mixing.mix_sources(df, max_repeat=None, budget_ratio=ratio, block_tokens=5)
+        got = mixing.realise(df, draws)
+        assert got.columns == df.columns
+        count = lambda d: Counter(tuple(r) for r in d.groupBy("doc_id", "source").count().collect())
+        assert count(got) == count(draws), ratio
+
+
 def test_sources_without_tokens_have_no_weight(spark):
     rows = spark.createDataFrame([(1, "a b", "x"), (2, None, "y"), (3, "", "x")], "doc_id long, text string, source string")
     assert sorted((r.source, r.doc_id) for r in mixing.mix_sources(rows).collect() if r.n_tokens) == [("x", 1)]
@@ -326,6 +338,30 @@ def test_components_match_all_pairs(docs, n, percent):
     assert collect(ngram_join.jaccard_components(docs, n, percent)) == plain_components(ROWS, n, percent)
 
 
+@pytest.mark.parametrize(("percent", "bucket"), [(80, 2), (50, 3)])
+def test_components_of_cut_buckets(spark, docs, monkeypatch, percent, bucket):
+    monkeypatch.setattr(ngram_join, "MAX_BUCKET", bucket)
+    monkeypatch.setattr(ngram_join, "_TURNS", 1)
+    r = random.Random(percent)
+    common = [f"w{k}" for k in range(14)]
+    rows = [(k, " ".join(r.sample(common, r.randint(2, 11)))) for k in range(160)]
+    assert collect(ngram_join.jaccard_components(frame(spark, rows), 1, percent)) == plain_components(rows, 1, percent)
+
+
+def test_unlinked_documents_that_share_an_n_gram_are_not_all_paired(spark, monkeypatch):
+    """Each of 2000 texts shares its n-grams with many, but is linked with its own near copy at most."""
+    r = random.Random(1)
+    common, rows = [f"w{k}" for k in range(300)], []
+    for k in range(1000):
+        some = r.sample(common, 40)
+        rows += [(2 * k, " ".join(some)), (2 * k + 1, " ".join(some[:39] + ["hot"]))]
+    tried, whole = [], ngram_join._alike
+    monkeypatch.setattr(ngram_join, "_alike", lambda pairs, *a: tried.append(pairs) or whole(pairs, *a))
+    got = ngram_join.jaccard_components(frame(spark, rows), 1, 90).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i - i % 2 for i, _ in rows}
+    assert sum(p.count() for p in tried) < len(rows) ** 2 / 2 / 10
+
+
 def test_chains_of_copies(spark):
     r = random.Random(4)
     text, rows = prose(150, r), []
@@ -425,6 +461,25 @@ def test_records_round_trip(spark, docs):
     assert [r.doc_id for r in shuffled] != ids
 
 
+def test_ids_are_those_of_the_whole_text():
+    alphabet = list("abcXYZ.,'´ \t\n\x0b\x85\u2003\u0301\u0307İıßſΣσéÀÅÅ가ᄀ각123½!?$<>|") + ["İ,", "'s", "'LL", "<|endoftext|>", "K", "ﬁ", "hello,", "World.", "ΑΣ "]
+    r = random.Random(3)
+    texts = ["".join(r.choice(alphabet) for _ in range(r.randint(0, 30))) for _ in range(5000)]
+    texts.append(" ".join(texts) * 8)  # longer than a run
+    coder = token_records.WordEncoder(None, cache_bytes=1 << 18)
+    assert coder.by_word
+    for t, ids in zip(texts, coder.encode_all([t.encode() for t in texts]), strict=True):
+        assert ids.tolist() == coder.tokenizer.encode(t, add_special_tokens=False).ids
+    assert len(coder.young) + len(coder.old) < 3000
+
+
+def test_other_tokenizers_get_whole_texts():
+    import public_tokenizers
+
+    coder = token_records.WordEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert not coder.by_word and coder.encode("two  words, é").tolist() == coder.tokenizer.encode("two  words, é").ids
+
+
 def test_records_of_nothing(spark, none):
     where = scratch_dir(spark, "test-records")
     token_records.write_records(none, where)
