@@ -26,8 +26,8 @@ _SQL = {
 _LANES = (np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB))
 _ROTATIONS, _TURNS = 8, 2
 BLOCK_BYTES = 4e6
-#: Buckets of more vertices are cut by further common n-grams, at most so many.
-MAX_BUCKET, MAX_DEPTH = 64, 8
+#: Buckets in which more pairs would be compared are dealt anew.
+MAX_PAIRS = 1 << 10
 
 
 def gram_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
@@ -126,11 +126,11 @@ def _vertices(docs: DataFrame, n: int, percent: int) -> DataFrame:
             # What only this document has is in no overlap, so enough of the set must be in others, too.
             if int(shared.sum()) < _least_overlap(len(s), percent):
                 continue
-            band = np.log2(f).astype(np.int32)
-            order = np.lexsort((s, band))  # the global order: by fragment, then by hash
+            order = np.lexsort((s, f))  # the global order: rarest first, then by hash
             prefix = order[: len(s) - _least_overlap(len(s), percent) + 1]
             places = np.flatnonzero(shared[prefix])
             rows += [("prefix", None, len(s), rep, v, t, r, None, None) for t, r in zip(s[prefix[places]].view(np.int64).tolist(), (len(s) - places).tolist())]
+            band = np.log2(f).astype(np.int32)
             rows += [("segment", None, len(s), rep, v, None, None, b, s[band == b].view(np.int64)) for b in np.unique(band[shared]).tolist()]
         return _table(rows, _ROWS)
 
@@ -180,48 +180,64 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return near.select(pick("v", "w").alias("a"), pick("n", "m").alias("na"), pick("w", "v").alias("b"), pick("m", "n").alias("nb")).distinct()
 
 
-def _wide(n: Column, percent: int) -> Column:
-    """How many n-grams linked sets share at least, by the size of one."""
-    return F.ceil(n * percent / 100.0 - 1e-9)
+def _size_bands(percent: int, largest: int) -> list[int]:
+    """Sizes at which bands begin, so that sets of linked sizes are in the same or in neighbouring bands."""
+    begins = [1]
+    while begins[-1] <= largest:
+        begins.append(begins[-1] * 100 // percent + 1)
+    return [*begins, begins[-1] * 100 // percent + 1]
+
+
+def _parts(members: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
+    """(token, v, n, rest, label): the parts of ``members(v, n, rest, label)`` of which linked sets have one in common.
+
+    The sets of two neighbouring size bands differ, if linked, in at most k
+    n-grams. Their n-grams are dealt by hash into k + 1 parts, so one part at
+    least is the same in both. A token names band, part and the n-grams in it
+    (by the sum of their hashes; other n-grams of the same sum are only further
+    candidates). N-grams of one set alone aren't dealt: they are among those in
+    which it differs. Parts hold some ten n-grams at 90 percent, so sets that
+    share a passage seldom share one. ``rest`` bounds what a set can share at
+    all: a band that is too wide for it gets none of its parts.
+    """
+    largest = members.agg(F.max("n")).first()[0] or 1
+    begins = _size_bands(percent, int(largest))
+    band = F.size(F.filter(F.array(*map(F.lit, begins)), lambda b: b <= F.col("n"))) - 1
+    ends = F.array(*map(F.lit, [*begins[2:], begins[-1], begins[-1]]))  # where the band after the next begins
+    dealt = members.select("v", "n", "rest", band.alias("own")).select("v", "n", "rest", F.explode(F.sequence(F.greatest(F.col("own") - 1, F.lit(0)), F.col("own"))).alias("band"))
+    least = F.element_at(F.array(*map(F.lit, begins)), F.col("band") + 1)
+    dealt = dealt.where((100 + percent) * F.col("rest") >= percent * (F.col("n") + least))
+    widest = 2 * (F.element_at(ends, F.col("band") + 1) - 1) * (100 - percent)
+    dealt = written(dealt.select("v", "band", F.floor(widest / (100 + percent)).cast("int").alias("k")), "join-bands")
+    grams = segments.join(members.select("v"), "v", "left_semi").select("v", F.explode("grams").alias("gram"))
+    in_part = F.pmod(F.xxhash64("gram", F.lit("part")), F.col("k") + 1).cast("int")
+    some = grams.join(dealt.select("v", "band", "k"), "v").select("v", "band", in_part.alias("part"), F.xxhash64("gram", F.lit("sum")).alias("h"))
+    none = dealt.select("v", "band", F.explode(F.sequence(F.lit(0), F.col("k"))).alias("part"), F.lit(0).cast("long").alias("h"))
+    summed = some.unionAll(none).groupBy("v", "band", "part").agg(F.bit_xor("h").alias("h"))
+    return summed.join(members, "v").select(F.xxhash64("band", "part", "h").alias("token"), "v", "n", "rest", "label")
 
 
 def _odd_pairs(placed: DataFrame, segments: DataFrame, percent: int) -> Iterator[DataFrame]:
     """Pairs (v, n, w, m) that are all of those of different labels that may be linked and meet in a bucket of ``placed(token, v, n, rest, label)``.
 
     Only vertices with another label than most of their bucket are compared
-    with all of it. Buckets are by the first n-gram that two sets share. A
-    bucket of more than MAX_BUCKET vertices is cut by the next n-gram that they
-    share, and so on: sets that share c n-grams at least have the first k of
-    these in the first n - c + k of their order. Sets that need share no more
-    than the n-grams of their bucket aren't cut further but compared with all
-    of it, so no pair is lost. ``rest`` bounds what a set can share: its
-    n-grams from the bucket's last one on, and the bucket's others.
+    with all of it. The members of buckets in which that makes more than
+    MAX_PAIRS pairs are dealt anew, by ``_parts``: any two of them that are
+    linked meet there, whichever bucket they met in before.
     """
-    tokens = None
-    for depth in range(1, MAX_DEPTH + 1):
+    for last in (False, True):
         by_label = placed.groupBy("token", "label").agg(F.count("*").alias("size"))
         mixed = by_label.groupBy("token").agg(F.max(F.struct("size", "label")).alias("top"), F.count("*").alias("labels"), F.sum("size").alias("all")).where("labels > 1")
-        mixed = written(mixed.select("token", F.col("top.label").alias("main"), "all"), "join-mixed")
-        rows = placed.join(mixed, "token").withColumn("cut", F.lit(False))
-        deeper = depth < MAX_DEPTH and not mixed.where(F.col("all") > MAX_BUCKET).isEmpty()
-        if deeper:
-            rows = rows.withColumn("cut", (F.col("all") > MAX_BUCKET) & (_wide(F.col("n"), percent) > depth))
-        odd, whole = rows.where("label <> main"), rows.where("NOT cut")
-        met = odd.where("NOT cut").join(rows.select("token", *_other()), "token")
-        if deeper:
-            met = met.unionAll(odd.where("cut").join(whole.select("token", *_other()), "token"))
-        yield met.where((F.col("label") != F.col("w_label")) & _may_link(percent)).select("v", "n", "w", "m")
-        if not deeper:
+        large = F.lit(False) if last else F.col("all") * (F.col("all") - F.col("top.size")) > MAX_PAIRS
+        mixed = written(mixed.select("token", F.col("top.label").alias("main"), large.alias("large")), "join-mixed")
+        small = mixed.where("NOT large").select("token", "main")
+        odd = placed.join(small, "token").where("label <> main")
+        met = odd.join(placed.select("token", *_other()), "token").where((F.col("label") != F.col("w_label")) & _may_link(percent))
+        yield met.select("v", "n", "w", "m")
+        if last or mixed.where("large").isEmpty():
             return
-        big = rows.where("cut").select("token", "v", "n", "rest", "label")
-        if tokens is None:  # the shared n-grams of each set in the global order: by fragment, then by hash
-            parts = segments.join(big.select("v").distinct(), "v", "left_semi").groupBy("v").agg(F.sort_array(F.collect_list(F.struct("fragment", "grams"))).alias("parts"))
-            tokens = written(parts.select("v", F.flatten(F.col("parts.grams")).alias("grams")), "join-tokens")
-        at = F.size("grams") - F.col("rest") + (depth - 1)  # place of the bucket's last n-gram among the shared
-        last = F.size("grams") - _wide(F.col("n"), percent) + (depth + 1)
-        cuts = big.join(tokens, "v").withColumn("at", at.cast("int")).withColumn("last", last.cast("int")).where("last > at + 1")
-        spread = cuts.select("token", "v", "n", "label", F.size("grams").alias("shared"), "at", F.posexplode(F.slice("grams", F.col("at") + 2, F.col("last") - F.col("at") - 1)).alias("k", "next"))
-        placed = written(spread.select(F.xxhash64("token", "next").alias("token"), "v", "n", (F.col("shared") - F.col("at") - 1 - F.col("k") + depth).cast("long").alias("rest"), "label"), "join-cut")
+        members = written(placed.join(mixed.where("large").select("token"), "token", "left_semi").groupBy("v", "n", "label").agg(F.max("rest").alias("rest")), "join-members")
+        placed = written(_parts(members, segments, percent), "join-parts")
 
 
 def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
@@ -246,9 +262,10 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
        with one that a hash chooses, if that is in another component. Then
        those in other components than most of their bucket are compared with
        all others there, so no link between components is missed
-       and groups of thousands of copies are not expanded into pairs. Large
-       buckets of several components are cut by further common n-grams. Partial
-       overlaps are counted by fragment and summed for each pair.
+       and groups of thousands of copies are not expanded into pairs. The
+       members of large buckets of several components are dealt anew, into
+       buckets of equal parts of their sets. Partial overlaps are counted by
+       fragment and summed for each pair.
 
     Null, empty and wordless texts have the empty set, linked with nothing.
     Rows without an id have no component (null) and no links. Repeated rows

@@ -340,7 +340,7 @@ def test_components_match_all_pairs(docs, n, percent):
 
 @pytest.mark.parametrize(("percent", "bucket"), [(80, 2), (50, 3)])
 def test_components_of_cut_buckets(spark, docs, monkeypatch, percent, bucket):
-    monkeypatch.setattr(ngram_join, "MAX_BUCKET", bucket)
+    monkeypatch.setattr(ngram_join, "MAX_PAIRS", bucket)
     monkeypatch.setattr(ngram_join, "_TURNS", 1)
     r = random.Random(percent)
     common = [f"w{k}" for k in range(14)]
