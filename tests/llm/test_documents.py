@@ -427,6 +427,26 @@ def test_leaks_across_the_pieces_of_a_long_text(monkeypatch):
         assert edits == 0 and decontaminate.fold(PASSAGE) in decontaminate.fold(text)[max(0, start - 1) : end + 1]
 
 
+def test_leaks_in_repetitive_texts(monkeypatch):
+    """Cut by hits and shortened by periods, as by alignment of everything; short items of every length, too."""
+    monkeypatch.setattr(decontaminate, "_MAX_HITS", 40)
+    r = random.Random(10)
+    items = [(1, "if x:" + " " * 30 + "y"), (2, "ab" * 24 + "c"), (3, "a b c " * 9), (4, "z"), (5, "zq1"), (6, "k" * 12), (7, "abcdefghijklmnopqrst0"), (8, "ab" * 24 + "c"), (9, " \n "), (10, "0123456789" * 30)]
+    patterns = decontaminate.patterns_of(items, 0.1, 96)
+    matcher = decontaminate.Matcher(patterns)
+    pieces = [" " * 700, "ab" * 400, "a b c " * 100, "k" * 11, "if x:", "y", "zq", "ba", "abcdefghijlmnopqrst", "0123456789" * 20, "ab" * 22 + "ac", "c"]
+    texts = ["".join(r.choice(pieces) for _ in range(r.randint(1, 4))) for _ in range(40)]
+    for text, found in zip(texts, matcher.matches([t.encode() for t in texts])):
+        assert set(found) == {p.item_id for p in patterns if edit_distance_within(p.text, decontaminate.fold(text)) <= p.budget}
+
+
+def test_leaks_in_a_long_run_of_one_byte():
+    """136 million shared 8-grams and more, if they were all held."""
+    items = [(k, f"def f(x):\n{' ' * 40}return x + {k}\n{' ' * 60}") for k in range(20)]
+    (found,) = decontaminate.Matcher(decontaminate.patterns_of(items, 0.1, 96)).matches([b" " * 1_000_000 + b"q" + items[3][1].encode() + b" " * 1_000_000])
+    assert found[3][2] == 0 and found[3][:2] == (1_000_001 + 0, 1_000_001 + len(items[3][1].strip()))
+
+
 def test_leaks_of_nothing(spark, docs, none):
     bench = spark.createDataFrame([(1, PASSAGE)], "item_id long, text string")
     assert decontaminate.find_leaks(none, bench).count() == 0
