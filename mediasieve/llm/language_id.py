@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby, islice
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +19,6 @@ FOLDS = 5
 WINDOW = 128
 WIDTHS = (2, 3, 4)
 FILTERS = 16
-MAX_LANGS = 200
 
 
 def held_out(doc_id: Column) -> Column:
@@ -119,27 +120,28 @@ def train(windows: np.ndarray, labels: np.ndarray, langs: list[str], epochs: int
 def fit(docs: DataFrame, max_sample: int = 6000) -> ByteConvNet | None:
     """A network from a bounded sample of the labelled rows that are not held out.
 
-    ``max_sample`` bounds the sample: one window of text from about that many
-    rows, the same number for each of at most MAX_LANGS languages, chosen by
-    hash. The first job counts labels without reading texts. None if there is
-    nothing to learn from.
+    ``max_sample`` bounds the sample: one window of text from that many rows,
+    the same number for each language (one at least), chosen by hash. All
+    labels are learned. The first job counts labels without reading texts. None
+    if there is nothing to learn from.
     """
     rows = docs.select("doc_id", "text", "lang").where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull())
-    counts = sorted(rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect())
+    counts = sorted(rows.groupBy("lang").count().collect())
     if not counts:
         return None
     each = max(1, max_sample // len(counts))
-    part = F.create_map(*(x for lang, n in counts for x in (F.lit(lang), F.lit(min(1.0, 1.1 * each / n)))))
-    draw = F.pmod(F.xxhash64("doc_id", "lang", F.lit("sample")), F.lit(1_000_000)) / 1e6
+    part = F.map_from_arrays(F.lit([lang for lang, _ in counts]), F.lit([min(1.0, (each + 4 * each**0.5 + 4) / n) for _, n in counts]))
+    draw = F.pmod(F.xxhash64("doc_id", "lang", "text", F.lit("sample")), F.lit(1 << 40)) / float(1 << 40)
     start = F.pmod(F.xxhash64("doc_id", F.lit("start")), F.greatest(F.length("text") - WINDOW, F.lit(1))) + 1
     sample = (
         rows.where(draw < F.element_at(part, F.col("lang")))
         .where(F.col("text").rlike(r"\p{L}"))
         .select("lang", F.substr("text", start.cast("int"), F.lit(WINDOW)).alias("piece"))
-        .limit(2 * max_sample)
         .collect()
     )
-    sample = sorted((r.lang, r.piece.encode()) for r in sample)
+    drawn = sorted(((r.lang, r.piece.encode()) for r in sample), key=lambda x: (x[0], zlib.crc32(x[1]), x[1]))
+    # A few more than wanted are drawn, so that no language gets too few.
+    sample = sorted(x for _, some in groupby(drawn, key=lambda x: x[0]) for x in islice(some, each))
     if not sample:
         return None
     langs = sorted({lang for lang, _ in sample})

@@ -58,9 +58,10 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mediasieve.llm.secrets import find_secrets
 
     found = find_secrets(_read(spark, sf_dir, "documents"))
-    counts = [f"CAST(size(filter(spans, s -> s.kind = '{k}')) AS LONG) AS n_{k}" for k in ("assign", "access", "hex", "random")]
+    count = "CAST(size(filter(spans, s -> s.kind = '{0}')) AS LONG) AS n_{0}".format
     joined = "array_join(transform({}, s -> concat_ws(':', s.kind, s.start, s.end)), ',')"
-    return found.selectExpr("doc_id", *counts, f"sha2({joined.format("filter(spans, s -> s.kind <> 'random')")}, 256) AS base_sha256", f"{joined.format('spans')} AS spans")
+    base = map(count, ("assign", "access", "hex"))
+    return found.selectExpr("doc_id", *base, f"sha2({joined.format("filter(spans, s -> s.kind <> 'random')")}, 256) AS base_sha256", f"{joined.format('spans')} AS spans", count("random"))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

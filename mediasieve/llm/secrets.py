@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import base64
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,6 +18,7 @@ ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+PART = re.compile(r"[A-Za-z0-9]{16,}")
 UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 #: Lengths of MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512 in hexadecimal digits.
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
@@ -25,6 +28,7 @@ WORDLIKE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 SPLIT = re.compile(r"[+/_=-]+")
 #: Runs of letters alone with at most so many characters a token are no words; words of no language at hand come close to it.
 LETTERS_PER_TOKEN = 2.0
+SLICE = 1024
 
 _SCHEMA = pa.schema(
     [("doc_id", pa.int64()), ("spans", pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("chars_per_token", pa.float64())])))]
@@ -40,9 +44,14 @@ def _named_digest(text: str) -> bool:
     return len(value) == 2 * n and bool(re.fullmatch(r"[0-9A-Fa-f]+", value)) or len(value.rstrip("=")) == -(-4 * n // 3)
 
 
+def _tokens(text: str, encoding) -> int:
+    """Tokens of a run, cut into slices, as the time of an encoder may grow with the square of a run's length."""
+    return sum(len(encoding.encode_ordinary(text[k : k + SLICE])) for k in range(0, len(text), SLICE))
+
+
 def _word(part: str, encoding) -> bool:
     """Letters that encode as words do: few tokens, or one token where a word begins."""
-    return len(part) > LETTERS_PER_TOKEN * len(encoding.encode_ordinary(part)) or len(encoding.encode_ordinary(" " + part)) == 1
+    return len(part) > LETTERS_PER_TOKEN * _tokens(part, encoding) or len(part) < SLICE and _tokens(" " + part, encoding) == 1
 
 
 def known(text: str, encoding) -> bool:
@@ -77,16 +86,34 @@ def load_encoding(path: str | None):
     return tiktoken.Encoding("secrets", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def _random(text: str, encoding, max_chars_per_token: float) -> float | None:
+    """Characters a token of a random string; None if it is none."""
+    if known(text, encoding):
+        return None
+    ratio = len(text) / _tokens(text, encoding)
+    return ratio if ratio <= max_chars_per_token else None
+
+
 def scan(text: str, encoding, max_chars_per_token: float) -> list[tuple[int, int, int, float | None]]:
     """All spans of one text by start and kind."""
     base = base_spans(text)
     found: list[tuple[int, int, int, float | None]] = [(a, k, b, None) for a, k, b in base]
+    # Runs come in order, so the furthest end of the base spans that begin before a run's end tells whether one touches it.
+    ends = list(accumulate((b for _, _, b in base), max))
+    starts = [a for a, _, _ in base]
+    free = lambda a, b: not (n := bisect_left(starts, b)) or ends[n - 1] <= a
     for m in CANDIDATE.finditer(text):
-        if any(a < m.end() and m.start() < b for a, _, b in base) or known(m[0], encoding):
-            continue
-        ratio = len(m[0]) / len(encoding.encode_ordinary(m[0]))
-        if ratio <= max_chars_per_token:
+        whole = free(*m.span())
+        ratio = _random(m[0], encoding, max_chars_per_token) if whole else None
+        if ratio is not None:
             found.append((m.start(), 3, m.end(), ratio))
+            continue
+        for part in PART.finditer(text, *m.span()):
+            # The whole run, and digests and other whole runs that are known, aren't judged again.
+            if part.span() != m.span() and free(*part.span()) and not (whole and known(m[0], encoding)):
+                ratio = _random(part[0], encoding, max_chars_per_token)
+                if ratio is not None:
+                    found.append((part.start(), 3, part.end(), ratio))
     return sorted(found)
 
 
@@ -101,7 +128,8 @@ def find_secrets(docs: DataFrame, encoding_path: str | None = None, max_chars_pe
     and has at most ``max_chars_per_token`` characters for each token of the
     vocabulary at ``encoding_path`` (a rank file; ordinary words have more).
     The words of an identifier have more than ``LETTERS_PER_TOKEN`` themselves,
-    or are one token.
+    or are one token. Of a run that isn't random as a whole (a path, say), the
+    parts of 16 or more letters and digits are tested each for itself.
 
     Every row is its own unit of work: no shuffle, one Arrow batch at a time.
     Null text counts as empty and has no spans; repeated rows give repeated

@@ -111,6 +111,47 @@ def test_random_letters_are_tested_whatever_their_shape(spark):
     assert [got[k] for k, _ in rows] == [[("random", 4, 4 + len(t))] for t in RANDOM_SHAPES] + [[]] * len(KNOWN_SHAPES)
 
 
+def plain_random(text, base, encoding, limit):
+    """Runs and, of those that aren't random, their parts, against every base span."""
+    touches = lambda a, b: any(x < b and a < y for x, _, y in base)
+    def ratio(t):
+        return None if secrets.known(t, encoding) or (r := len(t) / len(encoding.encode_ordinary(t))) > limit else r
+
+    found = []
+    for m in re.finditer("[A-Za-z0-9+/_=-]{16,}", text):
+        if not touches(*m.span()) and ratio(m[0]):
+            found.append((m.start(), "random", m.end()))
+        elif touches(*m.span()) or not secrets.known(m[0], encoding):
+            for q in re.finditer("[A-Za-z0-9]{16,}", m[0]):
+                a, b = m.start() + q.start(), m.start() + q.end()
+                if (a, b) != m.span() and not touches(a, b) and ratio(q[0]):
+                    found.append((a, "random", b))
+    return found
+
+
+def test_secrets_match_every_run_against_every_span():
+    encoding, r = secrets.load_encoding(None), random.Random(21)
+    key = lambda n: "".join(r.choice("qzxkvjwmQZXKVJWM0123456789") for _ in range(n))
+    makers = [lambda: "password=" + key(8), lambda: "AKIA" + key(20).upper(), lambda: "%032x" % r.getrandbits(128), lambda: key(24), lambda: "home/user/projects/" + key(20), lambda: "a/long/path/of/words", lambda: key(17) + "/" + key(5), lambda: prose(3, r), lambda: "internationalization", lambda: key(30) + "/token=" + key(9)]
+    seen = Counter()
+    for _ in range(300):
+        text = "".join(r.choice(makers)() + r.choice([" ", "/", "", ". ", "\n"]) for _ in range(r.randint(1, 12)))
+        base = sorted(plain_base(text))
+        want = sorted([*base, *plain_random(text, base, encoding, 2.2)])
+        got = sorted((a, secrets.KINDS[k], b) for a, k, b, _ in secrets.scan(text, encoding, 2.2))
+        assert got == want
+        seen.update(k for _, k, _ in got)
+    assert min(seen.values()) > 20 and len(seen) == 4
+
+
+def test_a_secret_inside_a_path_and_many_spans():
+    encoding = secrets.load_encoding(None)
+    path = "https://host.example/information/files/documents/reports/q8Zk2LwPx7VtR4mNc9BjYs1DgH/summary/information/of/the/government/department"
+    (span,) = secrets.scan(path, encoding, 2.2)
+    assert path[span[0] : span[2]] == "q8Zk2LwPx7VtR4mNc9BjYs1DgH"
+    assert len(secrets.scan("password: q8Zk2LwPx7VtR4mN and some/long/path/of/words\n" * 20_000, encoding, 2.2)) == 20_000
+
+
 def test_prose_has_no_secrets(docs, none):
     found = secrets.find_secrets(docs).collect()
     assert len(found) == len(ROWS) and not any(r.spans for r in found)
@@ -212,6 +253,29 @@ def test_language(spark):
     assert kept.columns == df.columns and kept.count() == len(rows) - 3
 
 
+def test_forward_pass_is_a_convolution_of_bytes():
+    r = language_id.np.random.default_rng(3)
+    widths, filters = language_id.WIDTHS, language_id.FILTERS
+    taps = {w: r.normal(size=(w, 256, filters)) for w in widths}
+    net = language_id.ByteConvNet(["a", "b", "c"], taps, r.normal(size=filters * len(widths)), r.normal(size=(filters * len(widths), 3)), r.normal(size=3))
+    text = ("Some words, é and 42. " * 9).encode()
+    windows = language_id.windows_of(text)
+    assert b"".join(map(bytes, windows)).rstrip(b"\0") == text.lower()
+    for window, got in zip(windows.tolist(), net.log_probs(windows, net.pair_tables())):
+        hidden = [max(sum(taps[w][j, window[i + j], f] for j in range(w)) for i in range(len(window) - w + 1)) for w in widths for f in range(filters)]
+        active = [max(0.0, h + b) for h, b in zip(hidden, net.bias)]
+        logits = [sum(a * row[c] for a, row in zip(active, net.out)) + net.out_bias[c] for c in range(3)]
+        total = math.log(sum(math.exp(z) for z in logits))
+        assert all(abs(g - (z - total)) < 1e-6 for g, z in zip(got, logits))
+
+
+def test_rare_labels_are_learned(spark):
+    """300 languages of a few rows each."""
+    rows = [(k, chr(0x4E00 + k % 300) * 60, f"l{k % 300}") for k in range(1500)]
+    net = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 600)
+    assert len(net.langs) >= 295
+
+
 def test_language_without_labels(docs, none):
     unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
     assert {r.lang_pred for r in language_id.identify(unlabelled).collect()} == {"und"}

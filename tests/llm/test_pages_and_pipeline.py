@@ -37,8 +37,9 @@ def plain(url):
     return host, m[3], key if host else None
 
 
-@pytest.mark.parametrize("limit", [1 << 20, 0])
-def test_urls(spark, limit):
+@pytest.mark.parametrize(("limit", "most"), [(1 << 20, 500), (0, 500), (1 << 20, 2)])
+def test_urls(spark, limit, most, monkeypatch):
+    monkeypatch.setattr(url_filter, "MAX_RULES", most)
     rows = [(k, u) for k, u in enumerate(URLS)] + [(3, URLS[3]), (None, "http://a.org/")]
     pages = spark.createDataFrame(rows, "page_id long, url string").withColumn("key", F.lit(1)).withColumn("verdict", F.lit(2))
     listed = spark.createDataFrame([("http://a.org",), ("ftp://www.a.org?x=1",), (None,), ("",), ("http://a.org/#q",)], "url string")
@@ -53,6 +54,14 @@ def test_urls(spark, limit):
     assert got == sorted(want, key=repr)
 
 
+def test_long_urls_and_many_without_a_host(spark):
+    rows = [(1, "http://a.org/" + "x" * 500_000), (2, "http://" + "a." * 20_000 + "net/es/")] + [(None, None)] * 3000
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    got = url_filter.judge_urls(pages, URL_RULES, pages.where("page_id = 1").select("url"), max_broadcast_bytes=0)
+    assert sorted((r.page_id, r.rule, r.verdict) for r in got.where("page_id IS NOT NULL").collect()) == [(1, None, "block"), (2, "net/es/", "block")]
+    assert got.where("page_id IS NULL AND verdict = 'allow'").count() == 3000
+
+
 def test_empty_list_and_empty_pages(spark):
     pages = spark.createDataFrame([(1, "http://q.org/")], "page_id long, url string")
     assert [r.verdict for r in url_filter.judge_urls(pages, URL_RULES, pages.where("page_id = 0")).collect()] == ["allow"]
