@@ -161,10 +161,11 @@ class WordEncoder:
         left = [k for k, ids in enumerate(coded) if ids is None]
         older = {w: ids for k in left if (ids := self.old.get(w := strings[k])) is not None}
         older |= self._learn([strings[k] for k in left if strings[k] not in older])
-        self.young |= older
         for k in left:
             coded[k] = older[strings[k]]
-            self.used += len(strings[k]) + len(coded[k]) + 200  # about what both objects and their entry take
+            if self.used <= self.room:  # what finds no room is encoded again when it is met again
+                self.young[strings[k]] = coded[k]
+                self.used += len(strings[k]) + len(coded[k]) + 200  # about what both objects and their entry take
         return np.frombuffer(b"".join(coded), "<u4"), np.array([len(i) // 4 for i in coded], np.int64)
 
     def encode_all(self, texts: list[bytes]) -> Iterator[np.ndarray]:

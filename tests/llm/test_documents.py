@@ -605,6 +605,33 @@ def test_media_round_trip(spark, docs, none):
     assert media_columns.features(media_columns.read_archives(spark, empty)).count() == 0
 
 
+def test_stored_form_and_feature_by_hand():
+    for data in (b"", b"abc", bytes(range(200)), "é\n".encode() * 900):
+        payload = data + bytes(-len(data) % 64 or (0 if data else 64))
+        lines = b"".join(b"\0" + payload[k : k + 64] for k in range(0, len(payload), 64))
+        chunks = [(b"IHDR", (64).to_bytes(4, "big") + (len(payload) // 64).to_bytes(4, "big") + bytes([8, 0, 0, 0, 0])), (b"tEXt", b"bytes\0" + str(len(data)).encode()), (b"IDAT", zlib.compress(lines, 1)), (b"IEND", b"")]
+        plain = b"\x89PNG\r\n\x1a\n" + b"".join(len(c).to_bytes(4, "big") + k + c + zlib.crc32(k + c).to_bytes(4, "big") for k, c in chunks)
+        assert media_columns.encode_image(data) == plain and media_columns.decode_image(plain) == (payload, len(data))
+        first = payload[::64]
+        assert media_columns.feature(payload) == f"{sum(payload)}:{sum(b * b for b in payload)}:{max(payload)}:{sum(a != b for a, b in zip(first, first[1:]))}"
+
+
+def test_ranges_are_planned_from_the_manifest(spark, docs, monkeypatch):
+    where = scratch_dir(spark, "test-media")
+    media_columns.write_archives(docs, where, archive_bytes=3000, mark_bytes=500)
+    opened, real = [], media_columns.store.open_file
+    monkeypatch.setattr(media_columns.store, "open_file", lambda uri: opened.append(uri) or real(uri))
+    reader = media_columns.MediaArchiveReader({"manifest": f"{where}/manifest", "range_bytes": "1500"})
+    ranges = reader.partitions()
+    assert not any(u.endswith(".zip") for u in opened) and len(ranges) > len({r.archive for r in ranges}) > 3
+    opened.clear()
+    got = Counter(name for r in ranges for b in reader.read(r) for name in b.column("member").to_pylist())
+    assert got == Counter(f"{'null' if i is None else i}.png" for i, _ in ROWS) and len(opened) == len(ranges)
+    # The same archives without the manifest's marks.
+    plain = media_columns.MediaArchiveReader({"archives": "\n".join(sorted({r.archive for r in ranges})), "range_bytes": "700"})
+    assert Counter(name for r in plain.partitions() for b in plain.read(r) for name in b.column("member").to_pylist()) == got
+
+
 def test_members_are_retried_and_damage_is_an_error(tmp_path):
     import zipfile
 
