@@ -2,14 +2,34 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+from pyspark.sql import SparkSession
+
+#: Bytes of the batches that Spark hands to Python.
+BATCH_BYTES = 4 << 20
+_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lets the session hand batches of BATCH_BYTES at most to Python, if its limit is higher: rows of texts differ a thousandfold in size."""
+    spark.conf.set(_LIMIT, str(min(BATCH_BYTES, int(spark.conf.get(_LIMIT).rstrip("b")))))
+
+
+def give_back() -> None:
+    """Returns memory that Arrow and the C library hold but don't use; idle workers would keep it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
 
 
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """The batches in parts of few rows, so that few texts are Python objects at a time; memory that Arrow holds is given back."""
+    """The batches in parts of few rows, so that few texts are Python objects at a time; unused memory is given back at the end."""
     for batch in batches:
         for k in range(0, batch.num_rows, rows):
             yield batch.slice(k, rows)
-    pa.default_memory_pool().release_unused()
+    give_back()

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mediasieve.llm import store
-from mediasieve.llm.batches import slices
+from mediasieve.llm.batches import bound_batches, slices
 from mediasieve.llm.scratch import scratch_dir
 
 Q = 8
@@ -329,6 +329,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, max_error: float = 0.1, wi
     repeated results; empty tables give none; further columns are ignored.
     """
     out = None
+    bound_batches(docs.sparkSession)
     for items in _blocks(benchmark, max_block_bytes):
 
         def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
@@ -354,6 +355,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, max_error: float = 0.1, wi
     With one block of the benchmark rows are filtered where they are. With more,
     each pass gives digests of the texts with a leak, and rows of such texts go.
     """
+    bound_batches(docs.sparkSession)
     blocks = _blocks(benchmark, max_block_bytes)
     if not blocks:
         return docs

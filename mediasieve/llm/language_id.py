@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mediasieve.llm.batches import slices
+from mediasieve.llm.batches import bound_batches, slices
 
 UNKNOWN = "und"
 FOLDS = 5
@@ -188,6 +188,7 @@ def predict(docs: DataFrame, net: ByteConvNet | None) -> DataFrame:
             langs, scores = classify(batch.column("text").to_pylist(), net, tables)
             yield pa.record_batch([batch.column("doc_id"), batch.column("held_out"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
+    bound_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
@@ -204,6 +205,7 @@ def keep_identified(docs: DataFrame, net: ByteConvNet | None, min_score: float =
             keep = [s >= min_score for s in classify(texts, net, tables)[1]] if net else list(map(has_letter, texts))
             yield batch.filter(pa.array(keep, pa.bool_()))
 
+    bound_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mediasieve.llm import blocks, words
+from mediasieve.llm.batches import bound_batches, give_back
 
 _SENT = "block int, part int, size int, keys binary, counts binary"
 _BACK = "block int, part int, size int, totals binary"
@@ -16,6 +17,7 @@ _SCORED = "doc_id long, n_words long, log_score double, mean_log_score double"
 
 def _grams(texts: list[bytes], order: int, bits: int):
     """The number of words of each text; for each n up to order, n-gram keys by position and the positions."""
+    give_back()
     hashes, counts = words.word_hashes(texts)
     shift = np.uint64(64 - bits)
     out = []
@@ -45,6 +47,7 @@ def stupid_backoff(docs: DataFrame, order: int = 3, backoff: float = 0.4, min_co
     documents of their own. An empty table gives an empty result. Further
     columns are ignored.
     """
+    bound_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     n_bytes, n_words = blocks.corpus_size(docs)
     n_blocks, n_ranges = blocks.sizes(n_bytes, n_words)

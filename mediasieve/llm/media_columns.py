@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from mediasieve.llm.batches import slices
+from mediasieve.llm.batches import bound_batches, slices
 from mediasieve.llm import store
 
 WIDTH = 64
@@ -109,6 +109,7 @@ def write_archives(docs: DataFrame, where: str, archive_bytes: int = 256 << 20,
         if archive is not None:
             yield close()
 
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows.mapInArrow(write, _MANIFEST).write.parquet(f"{where}/manifest")
 
@@ -333,4 +334,5 @@ def features(members: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]))
 
+    bound_batches(members.sparkSession)
     return members.select("member", "media").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

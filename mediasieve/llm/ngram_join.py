@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mediasieve.llm import blocks, words
-from mediasieve.llm.batches import slices
+from mediasieve.llm.batches import bound_batches, give_back, slices
 from mediasieve.llm.components import components
 from mediasieve.llm.scratch import written
 
@@ -66,6 +66,7 @@ def _vertices(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
     def read(table: pa.Table):
         """Ids and sets; the distinct keys of all sets with place and count; fingerprints of the sets with an element."""
+        give_back()
         ids = table.column("doc_id").to_pylist()
         sets = gram_sets(blocks.texts_of(table), n)
         keys, place, counts = np.unique(np.concatenate([np.empty(0, np.uint64), *sets]) >> shift, return_inverse=True, return_counts=True)
@@ -271,6 +272,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     Rows without an id have no component (null) and no links. Repeated rows
     stay. An empty table gives an empty result. Further columns are ignored.
     """
+    bound_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = written(_vertices(docs.where("doc_id IS NOT NULL"), n, percent), "join-vertices")
     prefix = rows.where("kind = 'prefix'").select("token", "v", "n", "rest")

@@ -11,7 +11,7 @@ from itertools import accumulate
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from mediasieve.llm.batches import slices
+from mediasieve.llm.batches import bound_batches, slices
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
@@ -142,4 +142,5 @@ def find_secrets(docs: DataFrame, encoding_path: str | None = None, max_chars_pe
             spans = [[{"kind": KINDS[k], "start": a, "end": b, "chars_per_token": r} for a, k, b, r in scan(t or "", encoding, max_chars_per_token)] for t in batch.column("text").to_pylist()]
             yield pa.record_batch([batch.column("doc_id"), pa.array(spans, _SCHEMA.field("spans").type)], schema=_SCHEMA)
 
+    bound_batches(docs.sparkSession)
     return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(run, "doc_id long, spans array<struct<kind:string,start:long,end:long,chars_per_token:double>>")

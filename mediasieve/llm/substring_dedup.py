@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mediasieve.llm import blocks, words
-from mediasieve.llm.batches import slices
+from mediasieve.llm.batches import bound_batches, give_back, slices
 from mediasieve.llm.scratch import written
 
 ANCHOR = 5
@@ -64,6 +64,7 @@ class _Windows:
     """The windows of k words of a block, in the order of (doc_id, text, place)."""
 
     def __init__(self, table: pa.Table, k: int, bits: int):
+        give_back()
         self.ids, self.nth, self.texts = _rows(table)
         self.k = k
         self.hashes, self.counts = words.word_hashes(self.texts)
@@ -172,6 +173,7 @@ def _spans(docs: DataFrame, k: int, hash_bits: int = 64) -> tuple[DataFrame, Dat
     """Exact at any ``hash_bits``; few bits make the hashes of different windows meet, for tests."""
     if k < ANCHOR:
         raise ValueError(f"windows have {ANCHOR} words at least")
+    bound_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
     n_bytes, n_words = blocks.corpus_size(docs)
     n_blocks, n_ranges = blocks.sizes(n_bytes, n_words)

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from mediasieve.llm.batches import slices
+from mediasieve.llm.batches import bound_batches, give_back, slices
 from mediasieve.llm import store
 from mediasieve.llm.words import piece_runs
 
@@ -116,7 +116,7 @@ class WordEncoder:
     older is dropped when the younger is full.
     """
 
-    def __init__(self, path: str | None, cache_bytes: int = 64 << 20):
+    def __init__(self, path: str | None, cache_bytes: int = 24 << 20):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark gives a task one core
@@ -133,6 +133,10 @@ class WordEncoder:
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
+    def forget(self) -> None:
+        """Drops the words met before."""
+        self.young, self.old, self.used = {}, {}, 0
+
     def encode(self, text: str) -> np.ndarray:
         return next(self.encode_all([text.encode()]))
 
@@ -169,13 +173,13 @@ class WordEncoder:
         return np.frombuffer(b"".join(coded), "<u4"), np.array([len(i) // 4 for i in coded], np.int64)
 
     def encode_all(self, texts: list[bytes]) -> Iterator[np.ndarray]:
-        """The ids of each text, which are met in runs of about 2 MB; longer texts are cut between words."""
+        """The ids of each text, which are met in runs of about 1 MB; longer texts are cut between words."""
         if not self.by_word:
             for k in range(0, len(texts), 64):
                 yield from self._ids([t.decode() for t in texts[k : k + 64]])
             return
         held: list[np.ndarray] = []  # of a text that goes on
-        for pieces, last in piece_runs(texts, 2 << 20):
+        for pieces, last in piece_runs(texts, 1 << 20):
             split = pc.ascii_split_whitespace(pa.array(pieces, pa.large_binary()).cast(pa.large_string()))
             coded = split.flatten().dictionary_encode()
             parts = pc.extract_regex(coded.dictionary, _WORD)
@@ -206,7 +210,7 @@ _ENCODERS: dict[str | None, WordEncoder] = {}
 
 
 def encoder_of(path: str | None) -> WordEncoder:
-    """The encoder of this worker process; later tasks go on with the words it has met."""
+    """The encoder of this worker process; later tasks go on with its tokenizer."""
     if path not in _ENCODERS:
         _ENCODERS[path] = WordEncoder(path)
     return _ENCODERS[path]
@@ -226,6 +230,7 @@ def write_records(docs: DataFrame, where: str, tokenizer_path: str | None = None
     columns are ignored.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     n_files = n_files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     # The hash splits and orders rows that share an id.
@@ -244,6 +249,8 @@ def write_records(docs: DataFrame, where: str, tokenizer_path: str | None = None
                 n_ids += len(ids) + 1
                 at += len(data)
                 out.write(data)
+        encoder.forget()
+        give_back()
         if out is not None:
             out.close()
             with store.create(name + ".idx") as index:
