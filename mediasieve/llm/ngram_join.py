@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -182,7 +183,7 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 
 def _size_bands(percent: int, largest: int) -> list[int]:
-    """Sizes at which bands begin, so that sets of linked sizes are in the same or in neighbouring bands."""
+    """Sizes at which bands begin, up to the second after that of ``largest``; sets of linked sizes are in the same or in neighbouring bands."""
     begins = [1]
     while begins[-1] <= largest:
         begins.append(begins[-1] * 100 // percent + 1)
@@ -201,21 +202,31 @@ def _parts(members: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     share a passage seldom share one. ``rest`` bounds what a set can share at
     all: a band that is too wide for it gets none of its parts.
     """
-    largest = members.agg(F.max("n")).first()[0] or 1
-    begins = _size_bands(percent, int(largest))
-    band = F.size(F.filter(F.array(*map(F.lit, begins)), lambda b: b <= F.col("n"))) - 1
-    ends = F.array(*map(F.lit, [*begins[2:], begins[-1], begins[-1]]))  # where the band after the next begins
-    dealt = members.select("v", "n", "rest", band.alias("own")).select("v", "n", "rest", F.explode(F.sequence(F.greatest(F.col("own") - 1, F.lit(0)), F.col("own"))).alias("band"))
-    least = F.element_at(F.array(*map(F.lit, begins)), F.col("band") + 1)
-    dealt = dealt.where((100 + percent) * F.col("rest") >= percent * (F.col("n") + least))
-    widest = 2 * (F.element_at(ends, F.col("band") + 1) - 1) * (100 - percent)
-    dealt = written(dealt.select("v", "band", F.floor(widest / (100 + percent)).cast("int").alias("k")), "join-bands")
-    grams = segments.join(members.select("v"), "v", "left_semi").select("v", F.explode("grams").alias("gram"))
-    in_part = F.pmod(F.xxhash64("gram", F.lit("part")), F.col("k") + 1).cast("int")
-    some = grams.join(dealt.select("v", "band", "k"), "v").select("v", "band", in_part.alias("part"), F.xxhash64("gram", F.lit("sum")).alias("h"))
-    none = dealt.select("v", "band", F.explode(F.sequence(F.lit(0), F.col("k"))).alias("part"), F.lit(0).cast("long").alias("h"))
-    summed = some.unionAll(none).groupBy("v", "band", "part").agg(F.bit_xor("h").alias("h"))
-    return summed.join(members, "v").select(F.xxhash64("band", "part", "h").alias("token"), "v", "n", "rest", "label")
+    schema = pa.schema([("token", pa.int64()), ("v", pa.binary()), ("n", pa.int64()), ("rest", pa.int64()), ("label", pa.binary())])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 64):
+            rows, tokens = [], []
+            begins = _size_bands(percent, max(batch.column("n").to_pylist(), default=1))
+            for k, (n, rest) in enumerate(zip(batch.column("n").to_pylist(), batch.column("rest").to_pylist())):
+                grams = batch.column("grams")[k].values.to_numpy().view(np.uint64)
+                deal_by, sum_by = words.mix(grams ^ _LANES[0]), words.mix(grams ^ _LANES[1])
+                own = bisect_right(begins, n) - 1
+                for band in range(max(0, own - 1), own + 1):
+                    if (100 + percent) * rest < percent * (n + begins[band]):
+                        continue
+                    parts = 2 * (begins[band + 2] - 1) * (100 - percent) // (100 + percent) + 1
+                    sums = np.zeros(parts, np.uint64)
+                    np.bitwise_xor.at(sums, (deal_by % np.uint64(parts)).astype(np.int64), sum_by)
+                    name = (np.arange(parts, dtype=np.uint64) + np.uint64(band << 40)) * _LANES[0]
+                    tokens.append(words.mix(sums + words.mix(name)))
+                    rows += [k] * parts
+            taken = batch.select(["v", "n", "rest", "label"]).take(pa.array(rows, pa.int64()))
+            token = np.concatenate([np.empty(0, np.uint64), *tokens]).view(np.int64)
+            yield pa.record_batch([pa.array(token), *taken.columns], schema=schema)
+
+    sets = segments.join(members.select("v"), "v", "left_semi").groupBy("v").agg(F.flatten(F.collect_list("grams")).alias("grams"))
+    return sets.join(members, "v").select("v", "n", "rest", "label", "grams").mapInArrow(deal, "token long, v binary, n long, rest long, label binary")
 
 
 def _odd_pairs(placed: DataFrame, segments: DataFrame, percent: int) -> Iterator[DataFrame]:
