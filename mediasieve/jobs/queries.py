@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mediasieve.functions import scalars as S
-from mediasieve.functions.dictionaries import GENERATOR_NAMES, SIGNATURES
+from mediasieve.functions.dictionaries import GENERATOR_NAMES, LEFTOVER_SIGNATURES, SIGNATURES
 from mediasieve.jobs import reports
 from mediasieve.operators import clean, findings, frames, grid, naming, origin, video
 from mediasieve.operators.records import sniff, walk
@@ -25,9 +25,8 @@ def _id():
     return F.regexp_extract("path", r"^/media/(\d+)/", 1).cast("long").alias("media_id")
 
 
-def _audited(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    rel = F.regexp_extract("path", r"^/media/\d+/(?s:(.*))$", 1)
-    audited = reports.audit(X.media(spark, sf_dir, whole)).withColumn("rel_path", rel)
+def _audited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    audited = reports.audit(X.media(spark, sf_dir))
     return audited.withColumn("folder", S.folder(F.col("rel_path"))).withColumn("kind", S.media_kind(F.col("rel_path"))).withColumn("media_id", _id())
 
 
@@ -66,29 +65,25 @@ for _c in range(4):
     _FOUND += [(_c, 3, "signature", label, 0, 0) for label in ("C2PA claim data", "JUMBF box (C2PA container)", "C2PA assertion: AI-generated")]
     _FOUND += [(_c, 5, "signature", "XMP packet", 0, 0), (_c, 6, "signature", "SynthID reference", 0, 0)]
 
-_MEDIA_SQL = r"""
+#: A JPEG holds a note in as many comments as it takes (p: the pieces of the notes that are stored as text).
+_MEDIA_SQL = rf"""
 m AS (
-  SELECT doc_id AS media_id, doc_id % 4 AS c, (doc_id // 4) % 8 AS v, regexp_replace(substring(text, 1, 64), '[^\x20-\x7e]', '?', 'g') AS note,
+  SELECT doc_id AS media_id, doc_id % 4 AS c, (doc_id // 4) % 8 AS v, regexp_replace(coalesce(text, ''), '[^\x20-\x7e]', '?', 'g') AS note,
     (doc_id // 8) % 2 = 0 AS typical,
     ['reels', 'posts', 'misc', 'stories/day1', ''][(doc_id // 32) % 5 + 1] AS folder,
     ['shot_' || doc_id, 'reel-' || doc_id, 'post ' || doc_id, 'my_reel_' || doc_id, 'x916', 'grid'][(doc_id // 32) % 6 + 1] AS stem,
     ['jpg', 'png', 'webp', 'mp4'][doc_id % 4 + 1] AS ext,
     CASE WHEN doc_id % 4 = 3 THEN 'video' ELSE 'image' END AS kind
   FROM documents
+), p AS (
+  SELECT media_id, c, v, CASE WHEN c = 0 THEN list_transform(range(0, greatest(1, (length(note) + {X.SEGMENT - 1}) // {X.SEGMENT})), lambda i: substring(note, CAST(i * {X.SEGMENT} + 1 AS BIGINT), {X.SEGMENT})) ELSE [note] END AS pieces
+  FROM m WHERE v = 1 OR (v = 4 AND c = 1)
 )"""
 _FOUND_SQL = (
     _MEDIA_SQL
     + ", k(c, v, kind, label, fixed, per) AS (VALUES "
     + ", ".join(f"({c}, {v}, '{kind}', '{label}', {fixed}, {per})" for c, v, kind, label, fixed, per in _FOUND)
-    + "), f AS (SELECT m.media_id, k.kind, k.label, CAST(k.fixed + k.per * length(m.note) AS BIGINT) AS nbytes FROM m JOIN k ON m.c = k.c AND m.v = k.v WHERE k.kind <> 'info' OR k.fixed + k.per * length(m.note) > 0)"
-)
-# The same with the whole text for a note: a JPEG's comments are as many as it takes, and signatures can lie in the text.
-_WHOLE_SQL = _MEDIA_SQL.replace("substring(text, 1, 64)", "coalesce(text, '')") + f""", p AS (
-  SELECT media_id, c, v, CASE WHEN c = 0 THEN list_transform(range(0, greatest(1, (length(note) + {X.SEGMENT - 1}) // {X.SEGMENT})), lambda i: substring(note, CAST(i * {X.SEGMENT} + 1 AS BIGINT), {X.SEGMENT})) ELSE [note] END AS pieces
-  FROM m WHERE v = 1 OR (v = 4 AND c = 1)
-)"""
-_WHOLE_FOUND_SQL = (
-    _FOUND_SQL.replace(_MEDIA_SQL, _WHOLE_SQL).replace(", f AS (", ", f0 AS (")
+    + "), f0 AS (SELECT m.media_id, k.kind, k.label, CAST(k.fixed + k.per * length(m.note) AS BIGINT) AS nbytes FROM m JOIN k ON m.c = k.c AND m.v = k.v WHERE k.kind <> 'info' OR k.fixed + k.per * length(m.note) > 0)"
     + ", sig(s, label) AS (VALUES "
     + ", ".join(f"('{s}', '{label}')" for s, label in SIGNATURES)
     + """), f AS (
@@ -98,9 +93,7 @@ _WHOLE_FOUND_SQL = (
 )"""
 )
 _NAMED = "len(list_filter([" + ", ".join(f"'{n}'" for n in GENERATOR_NAMES) + "], lambda n: contains(lower(note), n))) > 0"
-_VERDICT_SQL = (
-    _MEDIA_SQL
-    + f""", o AS (
+_O_SQL = f""", o AS (
   SELECT *, CASE
       WHEN v = 3 OR (v = 4 AND c < 3) OR (c = 1 AND v = 1 AND {_NAMED}) THEN 'ai-declared'
       WHEN typical AND ((v = 0 AND c < 3) OR (c = 2 AND v = 1)) THEN 'ai-likely'
@@ -108,7 +101,7 @@ _VERDICT_SQL = (
     CASE WHEN v = 6 THEN 'declared' ELSE 'not-declared' END AS synthid
   FROM m
 )"""
-)
+_VERDICT_SQL = _MEDIA_SQL + _O_SQL
 _REL = "concat(CASE WHEN folder = '' THEN '' ELSE folder || '/' END, stem, '.', ext)"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,8 +142,7 @@ def evidence_flat(spark, sf_dir):
     return rows.where("label <> 'Generator named in metadata'")
 
 
-@query(f"""WITH {_VERDICT_SQL}, k(c, v, n) AS (VALUES {", ".join(f"({c}, {v}, {sum(x[:2] == (c, v) for x in _FOUND)})" for c in range(4) for v in range(8))})
-SELECT media_id, o.verdict, k.n AS n_findings FROM o JOIN k ON o.c = k.c AND o.v = k.v""")
+@query(f"WITH {_FOUND_SQL}{_O_SQL} SELECT o.media_id, o.verdict, CAST(count(f.media_id) AS BIGINT) AS n_findings FROM o LEFT JOIN f ON o.media_id = f.media_id GROUP BY 1, 2")
 def json_reports(spark, sf_dir):
     texts = reports.as_json(_audited(spark, sf_dir)).withColumn("media_id", _id())
     return texts.select("media_id", F.get_json_object("report", "$.verdict").alias("verdict"), F.json_array_length(F.get_json_object("report", "$.findings")).alias("n_findings"))
@@ -206,6 +198,33 @@ def readable_runs(spark, sf_dir):
     return X.media(spark, sf_dir).select("media_id", S.readable_runs(F.col("note").cast("binary"), 4, 2, " ").alias("runs"))
 
 
+_CLIPS_SQL = r"""v AS (
+  SELECT doc_id AS clip_id, regexp_replace(coalesce(text, ''), '[^\x20-\x7e]', '?', 'g') AS note, ['mp4', 'webm', 'mov'][doc_id % 3 + 1] AS ext, doc_id % 5 AS k FROM documents
+), t AS (
+  SELECT clip_id, 'tag' AS kind, 'container tag comment' AS label, note AS detail FROM v WHERE k <> 4
+  UNION ALL SELECT clip_id, 'tag', 'stream 0 tag encoder', CASE k WHEN 1 THEN 'Sora export' ELSE 'Lavc libx264' END FROM v WHERE k IN (1, 2)
+  UNION ALL SELECT clip_id, 'box', 'udta box', '' FROM v WHERE ext <> 'webm'
+)"""
+
+
+def _clips(spark, sf_dir):
+    clips = X.clips(spark, sf_dir)
+    probes = clips.select("path", M.probe(F.col("probe_json")).alias("probe"))
+    return reports.audit(clips, probes).withColumn("clip_id", F.regexp_extract("path", r"^/clips/(\d+)\.", 1).cast("long"))
+
+
+@query(f"WITH {_CLIPS_SQL} SELECT clip_id, kind, label, detail FROM t")
+def video_findings(spark, sf_dir):
+    return _clips(spark, sf_dir).select("clip_id", F.explode("findings").alias("f")).select("clip_id", "f.kind", "f.label", "f.detail")
+
+
+@query(f"""WITH {_CLIPS_SQL}, n AS (SELECT clip_id, count(*) AS n FROM t WHERE {_NAMED.replace("lower(note)", "lower(detail)")} GROUP BY 1)
+SELECT v.clip_id, v.ext, CASE WHEN v.ext = 'webm' THEN 'other' ELSE 'iso' END AS container, CASE WHEN k = 3 THEN 1024 ELSE 1000 END AS width, CASE WHEN k = 3 THEN 1024 ELSE 700 END AS height,
+  CASE WHEN n.n IS NULL THEN 'unknown' ELSE 'ai-declared' END AS verdict, CAST(coalesce(n.n, 0) + CASE WHEN k = 3 THEN 1 ELSE 0 END AS BIGINT) AS n_evidence FROM v LEFT JOIN n ON v.clip_id = n.clip_id""")
+def video_origin(spark, sf_dir):
+    return _clips(spark, sf_dir).select("clip_id", S.extension(F.col("rel_path")).alias("ext"), "container", "width", "height", "verdict", F.size("evidence").cast("long").alias("n_evidence"))
+
+
 # --- cleaning ----------------------------------------------------------------
 
 
@@ -226,65 +245,64 @@ def removed_by_label(spark, sf_dir):
     return gone.where("kind IN ('chunk', 'segment')").groupBy("label").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {_MEDIA_SQL} SELECT media_id, CASE WHEN v IN (1, 3, 4, 5, 6) THEN 1 ELSE 0 END AS boxes, CASE WHEN v = 7 THEN 1 ELSE 0 END AS names FROM m WHERE c = 3")
+@query(f"WITH {_MEDIA_SQL} SELECT media_id, CASE WHEN v IN (3, 4, 5, 6) OR (v = 1 AND note <> '') THEN 1 ELSE 0 END AS boxes, CASE WHEN v = 7 THEN 1 ELSE 0 END AS names FROM m WHERE c = 3")
 def blanked_boxes(spark, sf_dir):
     videos = X.media(spark, sf_dir).where("container = 'mp4'")
     return clean.verify(videos).select(_id(), F.col("boxes").cast("int").alias("boxes"), F.col("names").cast("int").alias("names"))
 
 
-@query(f"""WITH {_MEDIA_SQL} SELECT media_id, CASE WHEN c <> 0 THEN 'not-a-jpeg' WHEN v = 1 OR v = 6 THEN 'COM' WHEN v IN (2, 4) THEN 'APP1' WHEN v = 3 THEN 'APP11,payload:c2pa,payload:jumb' WHEN v = 5 THEN 'APP1,payload:http://ns.adobe.com/xap/' WHEN v = 7 THEN 'APP2,APP5' ELSE '' END AS labels FROM m""")
+_LEFT_SQL = "list_sort(list_transform(list_filter([" + ", ".join(f"'{x}'" for x in LEFTOVER_SIGNATURES) + "], lambda x: len(list_filter(p.pieces, lambda t: contains(lower(t), x))) > 0), lambda x: 'payload:' || x))"
+
+
+@query(f"""WITH {_MEDIA_SQL} SELECT m.media_id, CASE WHEN m.c <> 0 THEN 'not-a-jpeg' WHEN m.v = 1 THEN array_to_string(list_concat(['COM'], {_LEFT_SQL}), ',') WHEN m.v = 6 THEN 'COM' WHEN m.v IN (2, 4) THEN 'APP1' WHEN m.v = 3 THEN 'APP11,payload:c2pa,payload:jumb' WHEN m.v = 5 THEN 'APP1,payload:http://ns.adobe.com/xap/' WHEN m.v = 7 THEN 'APP2,APP5' ELSE '' END AS labels
+FROM m LEFT JOIN p ON m.media_id = p.media_id""")
 def leftover_labels(spark, sf_dir):
     media = X.media(spark, sf_dir)
     return findings.leftovers(walk(media), media).select(_id(), F.array_join(F.filter("labels", lambda x: x != "APP0"), ",").alias("labels"))
 
 
-# --- the same over whole texts -------------------------------------------------
+# --- names from when the queries above saw the beginnings of texts alone ---------
 
 
-def _whole(sql: str) -> str:
-    """The SQL of a query over prefixes, over whole texts."""
-    return sql.replace(_FOUND_SQL, _WHOLE_FOUND_SQL).replace(_MEDIA_SQL, _WHOLE_SQL)
-
-
-@query(_whole(SQL["findings_flat"]))
+@query(SQL["findings_flat"])
 def whole_findings(spark, sf_dir):
-    return findings.exploded(findings.with_findings(walk(X.media(spark, sf_dir, whole=True)))).select(_id(), "kind", "label", "nbytes")
+    return findings.exploded(findings.with_findings(walk(X.media(spark, sf_dir)))).select(_id(), "kind", "label", "nbytes")
 
 
-@query(_whole(SQL["findings_by_label"]))
+@query(SQL["findings_by_label"])
 def whole_findings_by_label(spark, sf_dir):
-    return reports.findings_by_label(findings.exploded(findings.with_findings(walk(X.media(spark, sf_dir, whole=True)))))
+    return reports.findings_by_label(findings.exploded(findings.with_findings(walk(X.media(spark, sf_dir)))))
 
 
-@query(_whole(SQL["origin_verdicts"]))
+@query(SQL["origin_verdicts"])
 def whole_verdicts(spark, sf_dir):
-    return _audited(spark, sf_dir, whole=True).select("media_id", "verdict", "synthid")
+    return _audited(spark, sf_dir).select("media_id", "verdict", "synthid")
 
 
-@query(_whole(SQL["verdict_rollup"]))
+@query(SQL["verdict_rollup"])
 def whole_verdict_rollup(spark, sf_dir):
-    return reports.verdict_rollup(_audited(spark, sf_dir, whole=True))
+    return reports.verdict_rollup(_audited(spark, sf_dir))
 
 
-@query(_whole(SQL["png_texts"]))
+@query(SQL["png_texts"])
 def whole_png_texts(spark, sf_dir):
-    walked = walk(X.media(spark, sf_dir, whole=True)).where("container = 'png'")
+    walked = walk(X.media(spark, sf_dir)).where("container = 'png'")
     return walked.select(_id(), F.explode("text_kv").alias("key", "value")).where("key <> 'XML:com.adobe.xmp'")
 
 
-@query(_whole(SQL["readable_runs"]))
+@query(SQL["readable_runs"])
 def whole_readable_runs(spark, sf_dir):
-    return X.media(spark, sf_dir, whole=True).select("media_id", S.readable_runs(F.col("note").cast("binary"), 4, 2, " ").alias("runs"))
+    return X.media(spark, sf_dir).select("media_id", S.readable_runs(F.col("note").cast("binary"), 4, 2, " ").alias("runs"))
 
 
-@query(_whole(SQL["clean_audit"]))
+@query(SQL["clean_audit"])
 def whole_clean_audit(spark, sf_dir):
-    done = clean.verify(X.media(spark, sf_dir, whole=True))
+    done = clean.verify(X.media(spark, sf_dir))
     return done.select(_id(), "mode", (F.col("before") - F.col("after")).alias("saved"), "same_picture", "same_size", "n_before", F.col("n_left").cast("int").alias("n_left"))
 
 
 # A PNG's text is searched twice: as a value, and as the two longest readable runs of its chunk.
-_WHOLE_EVIDENCE_SQL = _whole(SQL["evidence_flat"]) + rf""" UNION ALL SELECT media_id, 'declared', 'Generator named in metadata' FROM (
+_WHOLE_EVIDENCE_SQL = SQL["evidence_flat"] + rf""" UNION ALL SELECT media_id, 'declared', 'Generator named in metadata' FROM (
   SELECT media_id, note FROM m WHERE c = 1 AND v IN (1, 4)
   UNION ALL SELECT media_id, '{X.SOFTWARE.decode()}' FROM m WHERE v = 4 AND c IN (0, 2)
   UNION ALL SELECT media_id, string_agg(r, ' ' ORDER BY n) FROM (
@@ -296,13 +314,13 @@ _WHOLE_EVIDENCE_SQL = _whole(SQL["evidence_flat"]) + rf""" UNION ALL SELECT medi
 
 @query(_WHOLE_EVIDENCE_SQL)
 def whole_evidence(spark, sf_dir):
-    return _audited(spark, sf_dir, whole=True).select("media_id", F.explode("evidence").alias("e")).select("media_id", "e.weight", "e.label")
+    return _audited(spark, sf_dir).select("media_id", F.explode("evidence").alias("e")).select("media_id", "e.weight", "e.label")
 
 
 # What stays: an empty udta box, and signatures in WebP chunks other than EXIF, XMP and ICCP.
-@query(f"WITH {_WHOLE_FOUND_SQL} SELECT f.label, count(*) AS n FROM f JOIN m ON f.media_id = m.media_id WHERE NOT (m.c = 3 AND m.v = 7) AND NOT (m.c = 2 AND m.v IN (1, 3, 6)) GROUP BY 1")
+@query(f"WITH {_FOUND_SQL} SELECT f.label, count(*) AS n FROM f JOIN m ON f.media_id = m.media_id WHERE NOT (m.c = 3 AND m.v = 7) AND NOT (m.c = 2 AND m.v IN (1, 3, 6)) GROUP BY 1")
 def whole_removed_by_label(spark, sf_dir):
-    media = X.media(spark, sf_dir, whole=True)
+    media = X.media(spark, sf_dir)
     cleaned = clean.clean(media).where("cleaned IS NOT NULL").select("path", F.col("cleaned").alias("content"))
     gone = clean.removed(findings.exploded(findings.with_findings(walk(media))), findings.exploded(findings.with_findings(walk(cleaned))))
     return gone.groupBy("label").agg(F.count("*").alias("n"))

@@ -5,19 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mediasieve.functions.scalars import base_name, extension, folder, human_size
+from mediasieve.functions.scalars import base_name, extension, folder, human_size, media_kind
 from mediasieve.operators.findings import with_findings
 from mediasieve.operators.origin import assess
 from mediasieve.operators.records import walk
-from mediasieve.sources.media import hidden
-
-
-def audit(media: DataFrame) -> DataFrame:
-    """``media(path, rel_path, content)`` inspected and judged: one nested row a file, without its bytes."""
-    names = media.select("path", "rel_path", "content")
-    walked = with_findings(walk(names))
-    # The walked row keeps its path alone; relative names follow from it without a join.
-    return assess(walked.withColumn("is_video", F.col("container") == "iso"))
+from mediasieve.sources.media import hidden, stream_facts
+
+
+def audit(media: DataFrame, probes: DataFrame | None = None) -> DataFrame:
+    """``media(path, rel_path, content)`` inspected and judged: one nested row a file, without its bytes.
+
+    A file's extension says whether it is a video; its bytes (``container``) do
+    where the extension is of neither kind. ``probes(path, probe)`` (parsed
+    probe texts) give videos their tags, as findings, and the size of the first
+    video stream. Only walked rows are joined with them, not bytes.
+    """
+    walked = walk(media, keep=("rel_path",))
+    kind = media_kind(F.col("rel_path"))
+    walked = walked.withColumn("is_video", F.when(kind.isNull(), F.col("container") == "iso").otherwise(kind == "video"))
+    if probes is not None:
+        one = probes.groupBy("path").agg(F.first("probe", ignorenulls=True).alias("probe"))
+        walked = walked.join(one, "path", "left").withColumn("probe", F.when(F.col("is_video"), F.col("probe")))
+        facts = {c: stream_facts(F.col("probe"))[k] for k, c in enumerate(("width", "height"))}
+        walked = walked.withColumns({c: F.coalesce(fact.cast("int"), F.col(c)) for c, fact in facts.items()})
+    return assess(with_findings(walked).drop("probe"))
 
 
 def as_json(audited: DataFrame) -> DataFrame:

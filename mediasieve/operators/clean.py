@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mediasieve.functions import containers as C
-from mediasieve.functions.dictionaries import PNG_KEEP, WEBP_META
+from mediasieve.functions.dictionaries import PNG_KEEP, SIGNATURES, WEBP_META
 from mediasieve.operators.records import describe
 
 MODES = {
@@ -19,8 +19,8 @@ MODES = {
     "webp": "lossless (WebP chunks rewritten)",
     "iso": "in place (ISO boxes blanked)",
 }
-_CLEANED = pa.schema([("path", pa.string()), ("cleaned", pa.binary()), ("before", pa.int64()), ("after", pa.int64()), ("mode", pa.string()), ("notes", pa.list_(pa.string())), ("picture_before", pa.string()), ("picture_after", pa.string()), ("boxes", pa.int64()), ("names", pa.int64()), ("n_before", pa.int64()), ("left", pa.list_(pa.string())), ("same_size", pa.bool_()), ("error", pa.string())])
-_CLEANED_SQL = "path string, cleaned binary, before long, after long, mode string, notes array<string>, picture_before string, picture_after string, boxes long, names long, n_before long, left array<string>, same_size boolean, error string"
+_CLEANED = pa.schema([("path", pa.string()), ("cleaned", pa.binary()), ("before", pa.int64()), ("after", pa.int64()), ("mode", pa.string()), ("notes", pa.list_(pa.string())), ("picture_before", pa.string()), ("picture_after", pa.string()), ("boxes", pa.int64()), ("names", pa.int64()), ("n_before", pa.int64()), ("left", pa.list_(pa.string())), ("same_size", pa.bool_()), ("declares_watermark", pa.bool_()), ("error", pa.string())])
+_CLEANED_SQL = "path string, cleaned binary, before long, after long, mode string, notes array<string>, picture_before string, picture_after string, boxes long, names long, n_before long, left array<string>, same_size boolean, declares_watermark boolean, error string"
 
 
 def keeps(container: str, rtype: str, keep_adobe: bool = False) -> bool:
@@ -48,8 +48,9 @@ def clean_bytes(data: bytes, keep_adobe: bool = False) -> tuple[bytes | None, li
         return None, ["unsupported container, not re-encoded"], 0, 0
     records = list(C.WALKERS[container](data))
     if container == "iso":
-        out, boxes, names = C.blank_boxes(data, records)
-        return out, notes, boxes, names
+        patches = C.blanks(data, records)
+        kinds = [kind for kind, _, _ in patches]
+        return C.spliced(data, patches), notes, kinds.count("box"), kinds.count("name")
     kept = [r for r in records if keeps(container, r.rtype, keep_adobe)]
     for name, note in (("iCCP", "dropped ICC profile"), ("ICCP", "dropped ICC profile"), ("APP14", "dropped Adobe segment, which can change decoded colours"), ("acTL", "dropped animation")):
         if any(r.rtype == name for r in records) and not any(r.rtype == name for r in kept):
@@ -72,11 +73,19 @@ def _labels(walked: dict) -> list[str]:
     return [r["label"] for r in walked["records"] if r["label"]] + [f"info: {i['key']}" for i in walked["info"]]
 
 
-def clean(media: DataFrame, keep_adobe: bool = False) -> DataFrame:
+def _declares_watermark(walked: dict) -> bool:
+    """Whether a finding of a walked row names a pixel watermark, which cleaning does not remove."""
+    texts = [r["label"] + r["detail"] for r in walked["records"] if r["label"]] + [label for n, (_, label) in zip(walked["signature_counts"], SIGNATURES) if n]
+    return any("synthid" in t.lower() for t in texts)
+
+
+def clean(media: DataFrame, keep_adobe: bool = False, with_bytes: bool = True) -> DataFrame:
     """One row for each of ``media(path, content)``: cleaned bytes, sizes, mode, notes and picture hashes on both sides.
 
-    Bytes are spliced in the task that read them, never shuffled. Unsupported
-    containers have no cleaned bytes; failures become an error text.
+    Bytes are spliced in the task that read them, never shuffled; without
+    ``with_bytes`` they end there. Unsupported containers have no cleaned bytes;
+    failures become an error text. ``declares_watermark`` marks files whose
+    metadata names a pixel watermark: that stays in the picture.
     """
 
     def one(path: str, data: bytes | None) -> dict:
@@ -89,12 +98,13 @@ def clean(media: DataFrame, keep_adobe: bool = False) -> DataFrame:
             return row | {"before": len(data), "error": f"{type(e).__name__}: {e}"}
         row |= {"before": len(data), "notes": notes, "mode": MODES.get(C.sniff(data), "unsupported"), "boxes": boxes, "names": names}
         old = describe(path, data)
+        row["declares_watermark"] = _declares_watermark(old)
         row["n_before"] = len(_labels(old)) + sum(c > 0 for c in old["signature_counts"])
         if out is None:
             return row
         new = describe(path, out)
         same = (old["width"], old["height"]) == (new["width"], new["height"])
-        return row | {"cleaned": out, "after": len(out), "picture_before": picture_hash(data), "picture_after": picture_hash(out), "left": _labels(new), "same_size": same}
+        return row | {"cleaned": out if with_bytes else None, "after": len(out), "picture_before": picture_hash(data), "picture_after": picture_hash(out), "left": _labels(new), "same_size": same}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,14 +116,14 @@ def clean(media: DataFrame, keep_adobe: bool = False) -> DataFrame:
 
 
 def verify(media: DataFrame, keep_adobe: bool = False) -> DataFrame:
-    """``clean`` without the bytes: path, before, after, mode, notes, same_picture, same_size, left, n_before, n_left, boxes, names, error.
+    """``clean`` without the bytes: path, before, after, mode, notes, same_picture, same_size, left, n_before, n_left, boxes, names, declares_watermark, error.
 
     ``left`` are the findings of the output without raw signature hits, which
     may lie in the picture itself. Both sides are inspected in the task that
     cleaned them.
     """
-    return clean(media, keep_adobe).select(
-        "path", "before", "after", "mode", "notes", (F.col("picture_before") == F.col("picture_after")).alias("same_picture"), "same_size", "left", "n_before", F.size("left").cast("long").alias("n_left"), "boxes", "names", "error"
+    return clean(media, keep_adobe, with_bytes=False).select(
+        "path", "before", "after", "mode", "notes", (F.col("picture_before") == F.col("picture_after")).alias("same_picture"), "same_size", "left", "n_before", F.size("left").cast("long").alias("n_left"), "boxes", "names", "declares_watermark", "error"
     )
 
 

@@ -24,10 +24,10 @@ def _signatures() -> Column:
 
 
 def with_findings(walked: DataFrame) -> DataFrame:
-    """``walked`` with a findings array: records, then what image libraries show, then signatures."""
+    """``walked`` with a findings array: records, then what image libraries show, then tags (if it has a column ``probe``), then signatures."""
     records = F.transform(F.filter("records", lambda r: r.label.isNotNull()), lambda r: _finding(r.kind, r.label, r.detail, r.length)).cast(FINDING)
     info = F.transform("info", lambda i: _finding(F.lit("info"), F.concat(F.lit("info: "), i.key), F.lit(""), i.nbytes)).cast(FINDING)
-    return walked.withColumn("findings", F.concat(records, info, _signatures()))
+    return walked.withColumn("findings", F.concat(records, info, *([removable_tags(F.col("probe"))] if "probe" in walked.columns else []), _signatures()))
 
 
 def exploded(found: DataFrame) -> DataFrame:
@@ -35,6 +35,17 @@ def exploded(found: DataFrame) -> DataFrame:
     return found.select("path", F.posexplode("findings").alias("pos", "f")).select("path", "pos", "f.*")
 
 
+def removable_tags(probe: Column) -> Column:
+    """Findings of the container and stream tags of a parsed probe text that aren't benign, in its order."""
+
+    def of(tags: Column, where: Column) -> Column:
+        entries = F.filter(F.map_entries(F.coalesce(tags, F.create_map().cast("map<string,string>"))), lambda e: ~F.lower(e.key).isin(*BENIGN_TAGS))
+        return F.transform(entries, lambda e: _finding(F.lit("tag"), F.concat(where, e.key), F.coalesce(e.value, F.lit("")), F.lit(0))).cast(FINDING)
+
+    streams = F.transform(F.coalesce(probe["streams"], F.array()), lambda s, k: of(s.tags, F.format_string("stream %d tag ", k)))
+    return F.concat(of(probe["format"]["tags"], F.lit("container tag ")), F.flatten(streams))
+
+
 def tag_findings(probed: DataFrame) -> DataFrame:
     """(path, benign, kind, label, detail) of container and stream tags of ``probed(path, probe)``."""
     container = probed.select("path", F.explode("probe.format.tags").alias("tag", "value"), F.lit("container tag ").alias("where"))

@@ -82,7 +82,11 @@ def assess(found: DataFrame, names: tuple[str, ...] = GENERATOR_NAMES, whole_wor
     in_blobs = F.exists("blobs", lambda b: F.contains(F.lower(F.concat_ws(" ", b.place, b.text)), F.lit("synthid")))
     synthid = F.when(F.col("says_synthid") | in_blobs, "declared").otherwise("not-declared")
     words = lambda k: F.element_at(F.create_map(*(F.lit(x) for v in VERDICTS for x in (v[0], v[k]))), F.col("verdict"))
-    note = F.when(F.col("synthid") == "declared", "A pixel watermark is declared; it stays in the picture when all metadata is removed.").otherwise("No pixel watermark is declared, which does not mean that there is none.")
+    note = (
+        F.when(F.col("synthid") == "declared", "A pixel watermark is declared; it stays in the picture when all metadata is removed.")
+        .when(video | (F.col("verdict") == "ai-declared"), "No pixel watermark is declared, which does not mean that there is none: it would be invisible and outlive all metadata, and only its maker's detector could tell.")
+        .otherwise("No pixel watermark is declared; only its maker's detector could tell whether the pixels hold one.")
+    )
     return df.withColumn("verdict", verdict).withColumn("synthid", synthid).withColumn("headline", words(1)).withColumn("explanation", words(2)).withColumn("synthid_note", note).drop("blobs", "camera")
 
 

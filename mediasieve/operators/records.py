@@ -109,9 +109,11 @@ def describe(path: str, data: bytes | None) -> dict:
     return row
 
 
-def walk(media: DataFrame) -> DataFrame:
+def walk(media: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row for each of ``media(path, content)`` with its records, texts, tags, size and signature counts; bytes are dropped.
 
+    Columns of ``media`` named by ``keep`` stay.
+
     A null content is an error row; a damaged file has the records up to the
     damage; no file stops the others.
     """
@@ -120,9 +122,13 @@ def walk(media: DataFrame) -> DataFrame:
         for batch in batches:
             for k in range(0, len(batch), 16):
                 some = batch.slice(k, 16)
-                yield pa.RecordBatch.from_pylist([describe(p, c) for p, c in zip(some.column("path").to_pylist(), some.column("content").to_pylist())], WALKED)
+                out = pa.RecordBatch.from_pylist([describe(p, c) for p, c in zip(some.column("path").to_pylist(), some.column("content").to_pylist())], WALKED)
+                for name in keep:
+                    out = out.append_column(name, some.column(name))
+                yield out
 
-    return media.select("path", "content").mapInArrow(run, WALKED_SQL)
+    kept = "".join(f", `{name}` {media.schema[name].dataType.simpleString()}" for name in keep)
+    return media.select("path", "content", *keep).mapInArrow(run, WALKED_SQL + kept)
 
 
 def sniff(content: Column) -> Column:

@@ -74,10 +74,12 @@ def suggest_crops(videos: DataFrame) -> DataFrame:
     b, W, H = F.col("box"), F.col("src_w"), F.col("src_h")
     sides = ((W, b["y"], True), (W, H - (b["y"] + b["h"]), True), (b["x"], H, False), (W - (b["x"] + b["w"]), H, False))
     each = targets(videos).withColumn("uw", unit(0)).withColumn("uh", unit(1))
+    # The number of units for each side is a column, so that no expression holds it many times.
+    units_of = lambda w, h: F.least(F.floor(w / F.col("uw")), F.floor(h / F.col("uh")))
+    each = each.withColumns({f"k{order}": units_of(w, h) for order, (w, h, _) in enumerate(sides)})
     options = []
     for order, (w_max, h_max, vertical) in enumerate(sides):
-        k = F.least(F.floor(w_max / F.col("uw")), F.floor(h_max / F.col("uh")))
-        k = k - k % 2  # one unit side of each ratio is odd
+        k = F.col(f"k{order}") - F.col(f"k{order}") % 2  # one unit side of each ratio is odd
         w, h = k * F.col("uw"), k * F.col("uh")
         fits = (w_max >= 32) & (h_max >= 32) & (k > 0) & (w >= 32) & (h >= 32)
         options.append(F.when(fits, F.struct((w * h).alias("area"), F.lit(-order).alias("order"), w.alias("w"), h.alias("h"), F.lit(vertical).alias("vertical"))))

@@ -75,15 +75,15 @@ def _box(kind: bytes, payload: str) -> str:
     return _cat(_n(f"octet_length({payload}) + 8", 4), _b(kind), payload)
 
 
-def media(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(media_id, container, variant, note, rel_path, path, width, height, length, content) from ``documents``.
 
-    The embedded note is the first 64 characters of a text, or the ``whole``
-    text, which a JPEG holds in as many comments as it takes.
+    The embedded note is the whole text, which a JPEG holds in as many comments
+    as it takes.
     """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     i = F.col("doc_id")
-    note = F.regexp_replace(F.coalesce("text", F.lit("")) if whole else F.substring("text", 1, 64), r"[^\x20-\x7e]", "?")
+    note = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x20-\x7e]", "?")
     container = F.element_at(F.array(*map(F.lit, ("jpeg", "png", "webp", "mp4"))), (i % 4 + 1).cast("int"))
     variant = (F.floor(i / 4) % 8).cast("int")
     group = F.floor(i / 32)
@@ -110,7 +110,7 @@ def media(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
         _segment(0xE0, _b(b"JFIF\0\1\1\0\0\1\0\1\0\0")),
         pick(
             None,
-            f"aggregate(sequence(0, greatest(length(note) - 1, 0) div {SEGMENT}), X'', (made, k) -> concat(made, {piece}))" if whole else _segment(0xFE, text),
+            f"aggregate(sequence(0, greatest(length(note) - 1, 0) div {SEGMENT}), X'', (made, k) -> concat(made, {piece}))",
             _segment(0xE1, exif(CAMERA_TIFF)),
             _segment(0xEB, _b(C2PA)),
             _segment(0xE1, exif(SOFTWARE_TIFF)),
@@ -177,6 +177,23 @@ def media(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     return made.withColumn("content", content).drop("webp_body").withColumn("length", F.length("content").cast("long")).withColumn("path", path)
 
 
+def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, rel_path, content, probe_json) of videos from ``documents``: MP4, WebM and MOV by id, with the whole text as a comment tag of most."""
+    i, k = F.col("doc_id"), F.col("doc_id") % 5
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    note = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x20-\x7e]", "?")
+    rel = F.concat(i.cast("string"), F.lit("."), F.element_at(F.array(*map(F.lit, ("mp4", "webm", "mov"))), (i % 3 + 1).cast("int")))
+    iso = F.expr(_cat(_box(b"ftyp", _b(b"isom\0\0\2\0isomiso2")), _box(b"moov", _box(b"udta", _b(b"plain"))), _box(b"mdat", _b(SCAN))))
+    webm = F.lit(b"\x1a\x45\xdf\xa3\x9fB\x86\x81\x01webm")
+    tags = lambda *kv: F.create_map(*(x for a, b in kv for x in (F.lit(a), b)))
+    encoder = F.when(k == 1, "Sora export").otherwise("Lavc libx264")
+    container_tags = F.when(k == 4, tags(("major_brand", F.lit("isom")))).otherwise(tags(("comment", note), ("major_brand", F.lit("isom"))))
+    stream_tags = F.when(k.isin(1, 2), tags(("handler_name", F.lit("v")), ("encoder", encoder))).otherwise(tags(("handler_name", F.lit("v"))))
+    video = F.struct(F.lit("video").alias("codec_type"), F.lit("h264").alias("codec_name"), F.when(k == 3, 1024).otherwise(1000).alias("width"), F.when(k == 3, 1024).otherwise(700).alias("height"), F.lit("25/1").alias("avg_frame_rate"), stream_tags.alias("tags"))
+    probe = F.to_json(F.struct(F.struct(F.lit("4.0").alias("duration"), container_tags.alias("tags")).alias("format"), F.array(video).alias("streams")))
+    return docs.select(F.concat(F.lit("/clips/"), rel).alias("path"), rel.alias("rel_path"), F.when(i % 3 == 1, webm).otherwise(iso).alias("content"), probe.alias("probe_json"))
+
+
 def line_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(image_id, axis, pos, mean, std) of made-up 2 x 2 grids from ``part``: gutters of many places and thicknesses, or none."""
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("image_id"), F.col("p_size").alias("s"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -108,8 +109,11 @@ def write_files(df: DataFrame, root: str, path: str = "out_path", content: str =
                     if os.path.isabs(name) or os.path.normpath(name).startswith(".."):
                         raise ValueError("path escapes the output folder")
                     system.create_dir(os.path.dirname(f"{top}/{name}"), recursive=True)
-                    with system.open_output_stream(f"{top}/{name}") as f:
+                    # A name of its own first: tasks that run twice don't write into each other's file.
+                    draft = f"{top}/{os.path.dirname(name)}/.{uuid.uuid4().hex}"
+                    with system.open_output_stream(draft) as f:
                         f.write(data)
+                    system.move(draft, f"{top}/{name}")
                     out.append((name, len(data), None))
                 except (OSError, ValueError) as e:
                     out.append((name, 0, str(e)))

@@ -34,39 +34,53 @@ def expired(jobs: DataFrame, now: float, seconds: int = JOB_SECONDS) -> DataFram
 
 
 class ExpiringJobs(StatefulProcessor):
-    """Keeps the creation time of each job and gives the job out when its timer fires."""
+    """Keeps when each job was created and last changed, and gives it out when the older of both is too long ago."""
 
     def __init__(self, seconds: int):
         self.seconds = seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.created = handle.getValueState("created", "ms long")
+        self.times = handle.getValueState("times", "created long, changed long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        first = min(int(pdf["created_ms"].min()) for pdf in rows)
-        if self.created.exists():
-            first = min(first, self.created.get()[0])
+        seen = pd.concat(rows)
+        created, changed = int(seen["created_ms"].min()), seen["changed_ms"].max()
+        if self.times.exists():
+            old = self.times.get()
+            created, changed = min(created, old[0]), max(changed, old[1]) if pd.notna(changed) else old[1]
             for timer in self.handle.listTimers():
                 self.handle.deleteTimer(timer)
-        self.created.update((first,))
-        self.handle.registerTimer(first + 1000 * self.seconds + 1)
-        return iter(())
+        if seen["changed_ms"].isna().any():  # its folder is gone
+            self.times.clear()
+            yield self._row(key, created)
+            return
+        self.times.update((created, int(changed)))
+        self.handle.registerTimer(min(created, int(changed)) + 1000 * self.seconds + 1)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        created = self.created.get()[0]
-        self.created.clear()
-        yield pd.DataFrame({"job_id": [key[0]], "created_ms": [created]})
+        created = self.times.get()[0]
+        self.times.clear()
+        yield self._row(key, created)
+
+    def _row(self, key, created: int) -> pd.DataFrame:
+        return pd.DataFrame({"job_id": [key[0]], "created_ms": [created]})
 
     def close(self) -> None:
         pass
 
 
-def expire_stream(jobs: DataFrame, seconds: int = JOB_SECONDS) -> DataFrame:
-    """A stream of (job_id, created_ms) of jobs when event time passes their end.
+def expire_stream(jobs: DataFrame, seconds: int = JOB_SECONDS, delay: str = "2 hours") -> DataFrame:
+    """A stream of (job_id, created_ms) of jobs when event time passes their end, as ``expired`` judges them.
 
-    ``jobs(job_id, created)`` is a stream whose event time is ``created``; state
-    is one entry a job and goes with its timer.
+    ``jobs(job_id, created, mtime, seen)`` is a stream of observations. Event
+    time is ``seen`` (without such a column, ``created``), so that a job that
+    was made long ago isn't late when it is seen; observations that come more
+    than ``delay`` after later ones are dropped. A null ``mtime`` is a folder
+    that is gone: the job is given out at once; without the column, jobs don't
+    change. State is one entry a job and goes with its timer.
     """
-    timed = jobs.withWatermark("created", "0 seconds").select("job_id", "created", F.unix_millis("created").alias("created_ms"))
+    timed = jobs.withColumn("seen", F.col("seen" if "seen" in jobs.columns else "created")).withWatermark("seen", delay)
+    changed = F.unix_millis("mtime" if "mtime" in jobs.columns else "created")
+    timed = timed.select("job_id", "seen", F.unix_millis("created").alias("created_ms"), changed.alias("changed_ms"))
     return timed.groupBy("job_id").transformWithStateInPandas(ExpiringJobs(seconds), outputStructType="job_id long, created_ms long", outputMode="append", timeMode="eventtime")

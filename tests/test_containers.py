@@ -121,3 +121,13 @@ def test_kept_and_dropped_ranges_cover_the_file():
     data = png(chunk(b"tEXt", b"a\0b"))
     assert 8 + sum(r.length for r in C.png_records(data)) == len(data)
     assert hashlib.sha256(data).digest()
+
+
+def test_compressor_name_in_a_whole_sample_entry():
+    """The fixed field of the entry, though the text occurs before it as well; 64-bit sizes stay."""
+    entry = lambda name: box(b"avc1", bytes(42) + bytes([len(name)]) + name.ljust(31, b"\0") + b"\0\x18\xff\xff" + box(b"avcC", b"x264 settings"))
+    body = bytes(4) + struct.pack(">I", 2) + entry(b"other") + entry(b"Lavc59 libx264")
+    data = box(b"ftyp", b"isom") + box(b"moov", box(b"trak", box(b"mdia", box(b"minf", box(b"stbl", box(b"stsd", body))))))
+    out, _, boxes, names = clean_bytes(data)
+    assert (boxes, names, len(out)) == (0, 1, len(data))
+    assert out == data.replace(bytes([14]) + b"Lavc59 libx264".ljust(31, b"\0"), bytes(32))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from test_containers import EXIF, chunk, jpeg, png, seg
 
 from mediasieve.jobs import reports
-from mediasieve.operators import frames, grid, naming, video
+from mediasieve.operators import clean, frames, grid, naming, video
 from mediasieve.sources import fixtures as X
 from mediasieve.sources import media as M
 
@@ -199,3 +199,32 @@ def test_hidden_content_comes_from_other_frames(spark, pan):
 def test_scalar_quality_bands(spark):
     got = [spark.range(1).select(frames.quality_band(F.lit(x))).first()[0] for x in (5.9, 6.0, 14.9, 15.0)]
     assert got == ["clean", "soft", "soft", "too busy"]
+
+
+def test_videos_are_audited_with_their_probe_texts(spark):
+    """Tags are findings and searched for names; a WebM file is a video whatever its bytes; sizes come from the stream."""
+    media = spark.createDataFrame(
+        [("a", "x/a.webm", bytearray(b"\x1aE\xdf\xa3")), ("b", "b.mp4", bytearray(b"\0\0\0\x10ftypisom\0\0\0\0")), ("c", "c.webm", bytearray(b"")), ("d", "noext", bytearray(b"\0\0\0\x10ftypisom\0\0\0\0"))],
+        "path string, rel_path string, content binary",
+    )
+    stream = '{"codec_type":"video","width":1024,"height":1024,"tags":{"handler_name":"v","Encoder":"Midjourney"}}'
+    texts = spark.createDataFrame([("a", '{"format":{"tags":{"title":"t","major_brand":"x"}},"streams":[' + stream + "]}"), ("a", None), ("b", "no json")], "path string, t string")
+    got = {r.path: r for r in reports.audit(media, texts.select("path", M.probe(F.col("t")).alias("probe"))).collect()}
+    assert [(f.kind, f.label, f.detail) for f in got["a"].findings] == [("tag", "container tag title", "t"), ("tag", "stream 0 tag Encoder", "Midjourney")]
+    assert (got["a"].verdict, got["a"].width, got["a"].is_video, got["a"].rel_path) == ("ai-declared", 1024, True, "x/a.webm")
+    assert [e.label for e in got["a"].evidence] == ["Generator named in metadata", "Size typical of a generator"]
+    assert all(got[k].is_video and got[k].verdict == "unknown" and got[k].evidence == [] for k in "bcd")
+    assert len({reports.audit(media).where(F.col("path") == "c").first().synthid_note, "x"}) == 2
+
+
+def test_the_clean_report_flags_declared_watermarks(spark):
+    media = spark.createDataFrame([("a", bytearray(jpeg(seg(0xFE, b"SynthID here")))), ("b", bytearray(jpeg()))], "path string, content binary")
+    assert {r.path: r.declares_watermark for r in clean.verify(media).collect()} == {"a": True, "b": False}
+    assert clean.clean(media, with_bytes=False).where("cleaned IS NOT NULL").count() == 0
+
+
+def test_written_files_replace_each_other_whole(spark, tmp_path):
+    files = spark.createDataFrame([("d/x.png", bytearray(b"a" * 9)), ("d/x.png", bytearray(b"b" * 9)), ("../y", bytearray(b"c"))], "out_path string, content binary")
+    got = M.write_files(files, "file://" + str(tmp_path)).collect()
+    assert sorted(r.written for r in got) == [0, 9, 9]
+    assert [p.name for p in (tmp_path / "d").iterdir()] == ["x.png"] and (tmp_path / "d/x.png").read_bytes() in (b"a" * 9, b"b" * 9)

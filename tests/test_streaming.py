@@ -1,4 +1,5 @@
 import datetime as dt
+import os
 
 from pyspark.sql import functions as F
 from test_containers import chunk, jpeg, png, seg
@@ -47,3 +48,26 @@ def test_expiry_stream(spark, tmp_path):
     stream = spark.readStream.schema("job_id long, created timestamp").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "all"))
     drain(S.expire_stream(stream.withColumn("created", F.col("created"))), "expiry")
     assert {r.job_id for r in spark.table("expiry").collect()} <= {1, 2}
+
+
+def test_jobs_expire_by_the_older_of_two_times(spark, tmp_path):
+    """Jobs that are old when they are first seen, that change later, and whose folder goes; late ones within the delay count."""
+    day = dt.datetime(2024, 1, 1)
+    at = lambda h, m=0: day + dt.timedelta(hours=h, minutes=m)
+    batches = [
+        [(1, at(9), at(9), at(10)), (2, at(10), at(10), at(10))],
+        [(3, at(10, 5), at(8), at(10, 10)), (2, at(10), at(10, 10), at(10, 10))],
+        [(4, at(10, 20), None, at(10, 20)), (5, at(10, 15), at(10, 15), at(10, 16))],
+        [(6, at(12), at(12), at(12))],
+        [(7, at(13), at(13), at(13, 5))],
+        [(7, at(13), at(13), at(13, 6))],
+    ]
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, "job_id long, created timestamp, mtime timestamp, seen timestamp").coalesce(1).write.parquet(str(tmp_path / f"d={k}"))
+        for f in (tmp_path / f"d={k}").glob("*.parquet"):
+            os.utime(f, (1_700_000_000 + 10 * k,) * 2)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    stream = spark.readStream.schema("job_id long, created timestamp, mtime timestamp, seen timestamp").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(tmp_path))
+    drain(S.expire_stream(stream, delay="10 minutes"), "expiry2")
+    # The watermark ends at 12:56.
+    assert sorted(r.job_id for r in spark.table("expiry2").collect()) == [1, 2, 3, 4, 5]

@@ -27,7 +27,7 @@ def test_long_texts_match_sql(spark, folder, name):
 
 
 def test_nothing_of_a_text_is_cut(spark, folder):
-    got = {r.media_id: r for r in X.media(spark, folder, whole=True).select("media_id", "note", "length").collect()}
+    got = {r.media_id: r for r in X.media(spark, folder).select("media_id", "note", "length").collect()}
     assert all(len(got[i].note) == len(t or "") for i, t in TEXTS)
     com = [r.nbytes for r in QUERIES["whole_findings"](spark, folder).where("media_id = 4 AND label = 'COM (comment)'").collect()]
     assert sorted(com) == [4 + 150_071 - 2 * X.SEGMENT, 4 + X.SEGMENT, 4 + X.SEGMENT]
