@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import hashlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +30,14 @@ _SPANS = pa.schema([("block", pa.int32()), ("row", pa.int32()), ("start", pa.int
 _ASKED = pa.schema([("src_doc", pa.int64()), ("src_nth", pa.int64()), ("src_start", pa.int64()), ("n", pa.int64()), ("digest", pa.binary())])
 _WINDOWS = pa.schema([("block", pa.int32()), ("row", pa.int32()), ("start", pa.int64()), ("doc", pa.int64()), ("nth", pa.int64()), ("digest", pa.binary())])
 _RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
+_JUDGED = pa.schema([*_RESULT, ("refuted", pa.bool_())])
 _SQL = {
     "lists": "block int, kind string, part int, size int, one binary, two binary, doc binary, nth binary, place binary",
     "spans": "block int, row int, start long, n long, src_doc long, src_nth long, src_start long, digest binary",
     "asked": "src_doc long, src_nth long, src_start long, n long, digest binary",
     "windows": "block int, row int, start long, doc long, nth long, digest binary",
     "result": "doc_id long, n_words long, n_removed long, kept_sha256 string",
+    "judged": "doc_id long, n_words long, n_removed long, kept_sha256 string, refuted boolean",
 }
 
 
@@ -86,14 +88,13 @@ class _Windows:
         self.several = np.bincount(self.place, rows != rows[first][self.place], len(self.keys)) > 0
 
     def choose(self, bits_back: list[dict], hash_bits: int) -> None:
-        """Keeps the windows whose anchor is in more than one document; ``at``, and their hashes of two times ``hash_bits`` sorted with first places."""
+        """Keeps the windows whose anchor is in more than one document; ``at``, and their hashes of ``hash_bits`` and half as many more sorted with first places."""
         parts = [np.unpackbits(np.frombuffer(r["one"], np.uint8), count=r["size"]).astype(bool) for r in sorted(bits_back, key=lambda r: r["part"])]
         keep = self.several | np.concatenate([np.empty(0, bool), *parts])
         self.at = self.at[keep[self.place][self.run]]
         one = words.gram_hashes(self.hashes, self.k)[self.at] if len(self.at) else np.empty(0, np.uint64)
         two = words.gram_hashes(words.word_hashes(self.texts, seed=1)[0], self.k)[self.at] if len(self.at) else one
-        if hash_bits < 64:
-            one, two = (h >> np.uint64(64 - hash_bits) for h in (one, two))
+        one, two = one >> np.uint64(64 - hash_bits), (two >> np.uint64(64 - hash_bits // 2)).astype("<u4")
         order = np.lexsort((two, one))
         one, two = one[order], two[order]
         new = np.ones(len(order), bool)
@@ -107,7 +108,38 @@ class _Windows:
         self.first_doc, self.first_place = doc[self.row[first]], (first - self.begins[self.row[first]]).astype("<i4")
 
 
-def remove_repeats(docs: DataFrame, k: int = 13) -> DataFrame:
+def _kept(table: pa.Table, spans: Iterable[dict]) -> list[tuple]:
+    """A block's rows of the result, without the words of its spans."""
+    ids, _, texts = _rows(table)
+    of_row = defaultdict(list)
+    for r in spans:
+        of_row[r["row"]].append((r["start"], r["n"]))
+    rows = []
+    for at, (i, t) in enumerate(zip(ids, texts)):
+        ws = t.split()
+        gone = np.zeros(len(ws), bool)
+        for start, n in of_row.get(at, ()):
+            gone[start : start + n] = True
+        kept = [w for w, g in zip(ws, gone.tolist()) if not g] if at in of_row else ws
+        rows.append((i, len(ws), len(ws) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
+    return rows
+
+
+def _refuted(table: pa.Table, asked: list[tuple]) -> list[tuple]:
+    """Those of (id, place among its rows, start, n, digest) that a block's words don't bear out."""
+    wanted = defaultdict(list)
+    for doc, nth, *span in asked:
+        wanted[doc, nth].append(span)
+    ids, nth, texts = _rows(table) if wanted else ([], np.empty(0, np.int64), [])
+    at = {(i, m): k for k, (i, m) in enumerate(zip(ids, nth.tolist()))}
+    rows = []
+    for (i, m), some in wanted.items():
+        split = texts[at[i, m]].split()
+        rows += [(i, m, a, n, d) for a, n, d in some if _digest(split[a : a + n]) != d]
+    return rows
+
+
+def remove_repeats(docs: DataFrame, k: int = 13, hash_bits: int = 64) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) for every row of ``docs(doc_id, text)``.
 
     Each word covered by a window of k consecutive words whose sequence also
@@ -117,34 +149,38 @@ def remove_repeats(docs: DataFrame, k: int = 13) -> DataFrame:
     1. Documents are dealt into blocks, which exchange packed lists of anchors
        (the smallest hash among a window's runs of 5 words, the same in equal
        windows): an anchor in one document only has no repeated window.
-    2. The other windows are edges; their 128-bit hashes go to the task of their
+    2. The other windows are edges; their 96-bit hashes go to the task of their
        range, which answers with the smallest source coordinate of each.
     3. Edges with consecutive places here and at the source compact into spans.
-    4. A Spark join takes each distinct source span to the block that holds it,
-       where its words are compared (by a digest of their bytes). Spans that
-       fail (hashes of different windows have met) are judged again window by
-       window, by digests of the windows' words.
+    4. Each distinct source span goes to the block that holds it, where its words
+       are compared (by a digest of their bytes) in the pass that removes words.
+       If one fails (hashes of different windows have met), spans are made
+       again, and those that fail are judged window by window, by digests of
+       the windows' words. Exact at any ``hash_bits``; few make hashes meet, for
+       tests.
 
     Null, empty and wordless texts have 0 words. Rows without an id lose
     nothing and are no source. Rows that share an id don't affect each other.
     An empty table gives an empty result. Further columns are ignored.
     """
-    removed, dealt = _spans(docs, k)
-
-    def finish(table: pa.Table, found: pa.Table) -> pa.Table:
-        ids, _, texts = _rows(table)
-        spans = defaultdict(list)
-        for r in found.to_pylist():
-            spans[r["row"]].append((r["start"], r["n"]))
-        rows = []
-        for k_, (i, t) in enumerate(zip(ids, texts)):
-            ws = t.split()
-            gone = np.zeros(len(ws), bool)
-            for start, n in spans.get(k_, ()):
-                gone[start : start + n] = True
-            kept = [w for w, g in zip(ws, gone.tolist()) if not g] if k_ in spans else ws
-            rows.append((i, len(ws), len(ws) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
-        return _table(rows, _RESULT)
+    dealt, spans, block = _compacted(docs, k, hash_bits)
+    own = F.struct("block", F.col("row").alias("row"), "start", "n", F.lit(None).cast("long").alias("doc"), F.lit(None).cast("long").alias("nth"), F.lit(None).cast("binary").alias("digest"))
+    asked = F.struct(block("src_doc", F.col("src_nth")).alias("block"), F.lit(-1).alias("row"), F.col("src_start").alias("start"), "n", F.col("src_doc").alias("doc"), F.col("src_nth").alias("nth"), "digest")
+    sent = spans.select(F.inline(F.array(own, asked))).distinct()
+
+    def judge(table: pa.Table, found: pa.Table) -> pa.Table:
+        rows = found.to_pylist()
+        kept = [(*r, False) for r in _kept(table, (r for r in rows if r["row"] >= 0))]
+        if _refuted(table, [(r["doc"], r["nth"], r["start"], r["n"], r["digest"]) for r in rows if r["row"] < 0]):
+            kept.append((None, None, None, None, True))
+        return _table(kept, _JUDGED)
+
+    judged = written(dealt.groupBy("block").cogroup(sent.groupBy("block")).applyInArrow(judge, _SQL["judged"]), "repeats-judged")
+    if judged.where("refuted").isEmpty():
+        named = judged.where("NOT refuted").drop("refuted")
+    else:
+        removed, dealt = _spans(docs, k, hash_bits)
+        named = dealt.groupBy("block").cogroup(removed.groupBy("block")).applyInArrow(lambda t, f: _table(_kept(t, f.to_pylist()), _RESULT), _SQL["result"])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -152,7 +188,7 @@ def remove_repeats(docs: DataFrame, k: int = 13) -> DataFrame:
             yield pa.RecordBatch.from_pylist([dict(zip(_RESULT.names, (None, len(ws), 0, hashlib.sha256(b" ".join(ws)).hexdigest()))) for ws in kept], _RESULT)
 
     nameless = docs.where(F.col("doc_id").isNull()).select("text").mapInArrow(whole, _SQL["result"])
-    return dealt.groupBy("block").cogroup(removed.groupBy("block")).applyInArrow(finish, _SQL["result"]).unionAll(nameless)
+    return named.unionAll(nameless)
 
 
 def repeated_spans(docs: DataFrame, k: int = 13) -> DataFrame:
@@ -169,8 +205,8 @@ def repeated_spans(docs: DataFrame, k: int = 13) -> DataFrame:
     return dealt.groupBy("block").cogroup(removed.groupBy("block")).applyInArrow(name, "doc_id long, start long, n long, src_doc long, src_start long")
 
 
-def _spans(docs: DataFrame, k: int, hash_bits: int = 64) -> tuple[DataFrame, DataFrame]:
-    """Exact at any ``hash_bits``; few bits make the hashes of different windows meet, for tests."""
+def _compacted(docs: DataFrame, k: int, hash_bits: int) -> tuple[DataFrame, DataFrame, Callable]:
+    """Documents dealt into blocks, spans yet to be verified, and the block of an id and its place (``nth``)."""
     if k < ANCHOR:
         raise ValueError(f"windows have {ANCHOR} words at least")
     bound_batches(docs.sparkSession)
@@ -178,9 +214,9 @@ def _spans(docs: DataFrame, k: int, hash_bits: int = 64) -> tuple[DataFrame, Dat
     n_bytes, n_words = blocks.corpus_size(docs)
     n_blocks, n_ranges = blocks.sizes(n_bytes, n_words)
     bits = blocks.key_bits(n_words)
-    block = lambda doc_id, salt: blocks.block_of(n_blocks, F.col(doc_id), salt).alias("block")
-    salt = F.xxhash64("text").bitwiseAND(F.lit(0xFFFF))
-    dealt = docs.select(block("doc_id", salt), "doc_id", salt.cast("int").alias("salt"), "text")
+    block = lambda doc_id, nth: blocks.block_of(n_blocks, F.col(doc_id), nth.bitwiseAND(F.lit(0xFFFF).cast("long")))
+    salt = F.xxhash64("text").bitwiseAND(F.lit(0xFFFF).cast("long"))
+    dealt = docs.select(block("doc_id", salt).alias("block"), "doc_id", salt.cast("int").alias("salt"), "text")
 
     def send_anchors(table: pa.Table) -> pa.Table:
         block, w = table.column("block")[0].as_py(), _Windows(table, k, bits)
@@ -197,12 +233,13 @@ def _spans(docs: DataFrame, k: int, hash_bits: int = 64) -> tuple[DataFrame, Dat
         block, w = table.column("block")[0].as_py(), _Windows(table, k, bits)
         w.choose(back.to_pylist(), hash_bits)
         edges = blocks.cuts(w.one, n_ranges, 64)
-        return _table([(block, "edge", p, b - a, w.one[a:b].tobytes(), w.two[a:b].tobytes(), w.first_doc[a:b].tobytes(), blocks.pack(w.first_nth[a:b]), w.first_place[a:b].tobytes()) for p, (a, b) in enumerate(zip(edges, edges[1:])) if b > a], _LISTS)
+        return _table([(block, "edge", p, b - a, blocks.pack_keys(w.one[a:b]), w.two[a:b].tobytes(), *(blocks.pack(c[a:b]) for c in (w.first_doc, w.first_nth, w.first_place))) for p, (a, b) in enumerate(zip(edges, edges[1:])) if b > a], _LISTS)
 
     def meet_edges(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        one, two, doc, place = (np.concatenate([np.frombuffer(r[c], t) for r in rows]) for c, t in (("one", "<u8"), ("two", "<u8"), ("doc", "<i8"), ("place", "<i4")))
-        nth = np.concatenate([blocks.unpack(r["nth"], r["size"]) for r in rows])
+        one = np.concatenate([blocks.unpack_keys(r["one"], r["size"]) for r in rows])
+        two = np.concatenate([np.frombuffer(r["two"], "<u4") for r in rows])
+        doc, nth, place = (np.concatenate([blocks.unpack(r[c], r["size"]).view("<i8") for r in rows]) for c in ("doc", "nth", "place"))
         order = np.lexsort((place, nth, doc, two, one))
         new = np.ones(len(order), bool)
         new[1:] = (np.diff(one[order]) != 0) | (np.diff(two[order]) != 0)
@@ -210,16 +247,14 @@ def _spans(docs: DataFrame, k: int, hash_bits: int = 64) -> tuple[DataFrame, Dat
         best = np.empty(len(order), np.int64)
         best[order] = head
         ends = np.cumsum([r["size"] for r in rows])[:-1]
-        return _table([(r["block"], "edge", r["part"], r["size"], None, None, d.tobytes(), blocks.pack(m), p.tobytes()) for r, d, m, p in zip(rows, *(np.split(c[best], ends) for c in (doc, nth, place)))], _LISTS)
+        return _table([(r["block"], "edge", r["part"], r["size"], None, None, *map(blocks.pack, some)) for r, *some in zip(rows, *(np.split(c[best], ends) for c in (doc, nth, place)))], _LISTS)
 
     def compact(table: pa.Table, back: pa.Table) -> pa.Table:
         block, w = table.column("block")[0].as_py(), _Windows(table, k, bits)
         answers = back.to_pylist()
         w.choose([r for r in answers if r["kind"] == "anchor"], hash_bits)
         got = sorted((r for r in answers if r["kind"] == "edge"), key=lambda r: r["part"])
-        src_doc = np.concatenate([np.empty(0, "<i8"), *(np.frombuffer(r["doc"], "<i8") for r in got)])[w.group]
-        src_place = np.concatenate([np.empty(0, "<i4"), *(np.frombuffer(r["place"], "<i4") for r in got)])[w.group].astype(np.int64)
-        src_nth = np.concatenate([np.empty(0, "<u8"), *(blocks.unpack(r["nth"], r["size"]) for r in got)])[w.group].astype(np.int64)
+        src_doc, src_nth, src_place = (np.concatenate([np.empty(0, "<i8"), *(blocks.unpack(r[c], r["size"]).view("<i8") for r in got)])[w.group] for c in ("doc", "nth", "place"))
         row = w.row[w.at]
         own = np.array(w.ids, np.int64)[row]
         gone = src_doc < own
@@ -237,22 +272,19 @@ def _spans(docs: DataFrame, k: int, hash_bits: int = 64) -> tuple[DataFrame, Dat
 
     anchors = dealt.groupBy("block").applyInArrow(send_anchors, _SQL["lists"]).groupBy("part").applyInArrow(meet_anchors, _SQL["lists"])
     edges = dealt.groupBy("block").cogroup(anchors.groupBy("block")).applyInArrow(send_edges, _SQL["lists"]).groupBy("part").applyInArrow(meet_edges, _SQL["lists"])
-    spans = written(dealt.groupBy("block").cogroup(anchors.unionAll(edges).groupBy("block")).applyInArrow(compact, _SQL["spans"]), "repeat-spans")
+    return dealt, dealt.groupBy("block").cogroup(anchors.unionAll(edges).groupBy("block")).applyInArrow(compact, _SQL["spans"]), block
+
+
+def _spans(docs: DataFrame, k: int, hash_bits: int = 64) -> tuple[DataFrame, DataFrame]:
+    """The verified spans, and the documents dealt into blocks."""
+    dealt, spans, block = _compacted(docs, k, hash_bits)
+    spans = written(spans, "repeat-spans")
 
     def refute(table: pa.Table, asked: pa.Table) -> pa.Table:
-        wanted = defaultdict(list)
-        for r in asked.to_pylist():
-            wanted[r["src_doc"], r["src_nth"]].append((r["src_start"], r["n"], r["digest"]))
-        ids, nth, texts = _rows(table) if wanted else ([], np.empty(0, np.int64), [])
-        at = {(i, m): k_ for k_, (i, m) in enumerate(zip(ids, nth.tolist()))}
-        rows = []
-        for (i, m), some in wanted.items():
-            split = texts[at[i, m]].split()
-            rows += [(i, m, a, n, d) for a, n, d in some if _digest(split[a : a + n]) != d]
-        return _table(rows, _ASKED)
+        return _table(_refuted(table, [tuple(r[c] for c in _ASKED.names) for r in asked.to_pylist()]), _ASKED)
 
     source = ["src_doc", "src_nth", "src_start", "n", "digest"]
-    asked = spans.select(*source).distinct().withColumn("block", block("src_doc", F.col("src_nth").bitwiseAND(F.lit(0xFFFF).cast("long"))))
+    asked = spans.select(*source).distinct().withColumn("block", block("src_doc", F.col("src_nth")))
     refuted = written(dealt.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(refute, _SQL["asked"]), "refuted-spans")
     found = ["block", "row", "start", "n", "src_doc", "src_start"]
     if refuted.isEmpty():

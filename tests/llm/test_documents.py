@@ -362,10 +362,8 @@ def test_sources_of_rows_that_share_an_id(spark):
     assert [r[2] for r in plain_repeats(rows) if r[0] == 9] == [100]
 
 
-def test_repeats_with_hashes_that_meet(docs, monkeypatch):
-    exact = substring_dedup._spans
-    monkeypatch.setattr(substring_dedup, "_spans", lambda d, k: exact(d, k, 5))
-    assert collect(substring_dedup.remove_repeats(docs)) == plain_repeats(ROWS)
+def test_repeats_with_hashes_that_meet(docs):
+    assert collect(substring_dedup.remove_repeats(docs, hash_bits=5)) == plain_repeats(ROWS)
 
 
 # --- n-gram join -------------------------------------------------------------
