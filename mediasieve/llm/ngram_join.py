@@ -119,7 +119,8 @@ def _vertices(docs: DataFrame, n: int, percent: int) -> DataFrame:
         group = np.cumsum(first) - 1
         for k, g, head, pair in zip(own, group.tolist(), first.tolist(), prints):
             s, rep = sets[k], int(least[g])
-            v = (rep + (1 << 63)).to_bytes(8, "big") + pair.astype(">u8").tobytes()
+            # Only rows that share an id can have the same smallest id and other sets: half of the fingerprint tells them apart.
+            v = (rep + (1 << 63)).to_bytes(8, "big") + int(pair[0]).to_bytes(8, "big")
             rows.append(("doc", ids[k], len(s), rep, v, None, None, None, None))
             if not head or not owner[g]:
                 continue
