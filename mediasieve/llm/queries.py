@@ -199,6 +199,62 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.features(M.read_archives(spark, where))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mediasieve.llm.collocations import mine_collocations
+
+    return mine_collocations(_read(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+o AS (
+  SELECT lang, m, unnest([array_to_string(ws[i:i+m-1], ' ') FOR i IN range(1, len(ws) - m + 2)]) AS phrase FROM w, range(1, 4) AS t(m)
+), f AS MATERIALIZED (SELECT lang, m, phrase, count(*) AS f FROM o GROUP BY 1, 2, 3),
+t AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE m = 1 GROUP BY 1),
+c AS MATERIALIZED (SELECT lang, m, phrase, string_split(phrase, ' ') AS ws, f AS a FROM f WHERE m >= 2 AND f >= 10),
+k AS (
+  SELECT c.lang, c.m, c.phrase, c.a, t.k, array_to_string(ws[1:t.k], ' ') AS x, array_to_string(ws[t.k+1:], ' ') AS y FROM c JOIN range(1, 3) AS t(k) ON t.k < c.m
+), s AS (
+  SELECT k.lang, k.m, k.phrase, k.a, min({'score': (1000000::HUGEINT * k.a * k.a // (x.f::HUGEINT * y.f))::BIGINT, 'k': k.k, 'l': x.f, 'r': y.f}) AS cut
+  FROM k JOIN f AS x ON k.lang = x.lang AND k.x = x.phrase AND x.m = k.k JOIN f AS y ON k.lang = y.lang AND k.y = y.phrase AND y.m = k.m - k.k GROUP BY ALL
+), h AS (
+  SELECT lang, phrase, max(f) AS longer FROM (SELECT lang, a AS f, unnest([array_to_string(ws[1:2], ' '), array_to_string(ws[2:3], ' ')]) AS phrase FROM c WHERE m = 3) GROUP BY 1, 2
+), g AS (
+  SELECT s.lang, row_number() OVER (PARTITION BY s.lang ORDER BY s.cut.score DESC, s.a DESC, s.phrase) AS rank, s.phrase, s.a, s.cut.l AS l, s.cut.r AS r, t.n, s.cut.score AS score
+  FROM s JOIN t ON s.lang = t.lang LEFT JOIN h ON s.lang = h.lang AND s.phrase = h.phrase WHERE h.longer IS NULL OR 100 * h.longer < 50 * s.a
+)
+SELECT * FROM g WHERE rank <= 2000
+"""
+
+
+def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mediasieve.llm.clustering import cluster_vectors
+
+    return cluster_vectors(_read(spark, sf_dir, "embeddings"))
+
+
+_OP12_ROUND = """a{0} AS MATERIALIZED (SELECT v.rid, v.x, min({{'d': list_sum([(v.x[i] - c{0}.y[i]) * (v.x[i] - c{0}.y[i]) FOR i IN range(1, 65)])::BIGINT, 'c': c{0}.c}}) AS best FROM v, c{0} GROUP BY 1, 2),
+s{0} AS (SELECT best.c AS c, i, sum(x[i]) AS s, count(*) AS n FROM a{0}, range(1, 65) AS t(i) GROUP BY 1, 2),
+m{0} AS (SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS y FROM s{0} GROUP BY 1),
+c{1} AS MATERIALIZED (SELECT c{0}.c, coalesce(m{0}.y, c{0}.y) AS y FROM c{0} LEFT JOIN m{0} ON c{0}.c = m{0}.c),
+"""
+OP12_SQL = (
+    """
+WITH v AS MATERIALIZED (
+  SELECT vec_id, row_number() OVER () AS rid, [floor(64 * e::DOUBLE)::BIGINT FOR e IN embedding] AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len([e FOR e IN embedding IF e IS NULL OR isnan(e) OR isinf(e)]) = 0
+), c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, x) - 1 AS c, x AS y FROM (SELECT sha256('1:' || vec_id) AS h, x FROM v ORDER BY 1, 2 LIMIT 16)),
+"""
+    + "".join(_OP12_ROUND.format(k, k + 1) for k in range(4))
+    + """z AS (SELECT best.c AS c, sum(best.d)::BIGINT AS d FROM a3 GROUP BY 1)
+SELECT v.vec_id, a3.best.c::INTEGER AS cluster, a3.best.d AS distance, z.d AS cluster_inertia, (SELECT sum(d)::BIGINT FROM z) AS inertia, sha256(array_to_string(c3.y, ',')) AS centroid_sha256
+FROM a3 JOIN v ON a3.rid = v.rid JOIN c3 ON a3.best.c = c3.c JOIN z ON a3.best.c = z.c
+"""
+)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_mixing": op2_mixing,
@@ -210,6 +266,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_join": op8_ngram_join,
     "op9_url_filter": op9_url_filter,
     "op10_media_columns": op10_media_columns,
+    "op11_collocations": op11_collocations,
+    "op12_clusters": op12_clusters,
 }
 
 SQL: dict[str, str] = {
@@ -218,4 +276,6 @@ SQL: dict[str, str] = {
     "op6_substring_dedup": OP6_SQL,
     "op8_ngram_join": OP8_SQL,
     "op9_url_filter": OP9_SQL,
+    "op11_collocations": OP11_SQL,
+    "op12_clusters": OP12_SQL,
 }
