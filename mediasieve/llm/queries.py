@@ -255,6 +255,48 @@ FROM a3 JOIN v ON a3.rid = v.rid JOIN c3 ON a3.best.c = c3.c JOIN z ON a3.best.c
 )
 
 
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mediasieve.llm.spot_signatures import fingerprint_documents
+
+    found = fingerprint_documents(_read(spark, sf_dir, "documents"))
+    return found.selectExpr("doc_id", "n_chars", "sha2(edited, 256) AS edited_sha256", "array_join(signatures, ',') AS fingerprint", "array_join(edited_signatures, ',') AS edited_fingerprint", "near_edited", "near_next")
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM documents
+), e AS (
+  SELECT *, coalesce(lead(doc_id) OVER w, min(doc_id) OVER ()) AS next_id, coalesce(lead(text) OVER w, first_value(text) OVER w) AS next FROM d WINDOW w AS (ORDER BY doc_id)
+), t AS (
+  SELECT doc_id, 0 AS kind, n, text, next_id FROM e
+  UNION ALL SELECT doc_id, 1, n, substring(text, 1, n - n // 4) || substring(next, 1, n // 4), next_id FROM e
+), p AS MATERIALIZED (
+  SELECT *, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low,
+    regexp_extract_all(low, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM t
+), u AS (SELECT doc_id, kind, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM p),
+a AS (SELECT *, w IN ('the', 'of', 'and', 'to', 'is', 'was', 'der', 'die', 'und', 'den', 'das', 'ist', 'la', 'le', 'les', 'et', 'des', 'est', 'el', 'los', 'las', 'que', 'del', 'se') AS anchor FROM u),
+r AS (SELECT *, count(*) FILTER (NOT anchor) OVER (PARTITION BY doc_id, kind ORDER BY i) AS r FROM a),
+c AS (SELECT doc_id, kind, list(w ORDER BY i) AS cs FROM r WHERE NOT anchor GROUP BY 1, 2),
+g AS (
+  SELECT DISTINCT r.doc_id, r.kind, substring(md5(concat_ws(' ', r.w, cs[r.r + 1], cs[r.r + 2], cs[r.r + 3])), 1, 12) AS s
+  FROM r JOIN c ON r.doc_id = c.doc_id AND r.kind = c.kind WHERE r.anchor AND len(cs) >= r.r + 3
+), l AS (SELECT doc_id, kind, list(s ORDER BY s) AS sig FROM g GROUP BY 1, 2),
+f AS MATERIALIZED (
+  SELECT p.doc_id, p.kind, p.n, p.text, p.next_id, coalesce(l.sig, list_sort(list_distinct(CASE
+    WHEN len(ws) > 1 THEN [substring(md5(ws[i] || ' ' || ws[i + 1]), 1, 12) FOR i IN range(1, len(ws))]
+    WHEN len(ws) = 1 THEN [substring(md5(ws[1]), 1, 12)] ELSE [substring(md5(low), 1, 12)] END))) AS sig
+  FROM p LEFT JOIN l ON p.doc_id = l.doc_id AND p.kind = l.kind
+), o AS (
+  SELECT x.doc_id, x.n AS n_chars, sha256(y.text) AS edited_sha256, x.sig AS a, y.sig AS b, z.sig AS c, len(list_intersect(a, b)) AS ab, len(list_intersect(a, c)) AS ac
+  FROM f AS x JOIN f AS y ON x.doc_id = y.doc_id JOIN f AS z ON x.next_id = z.doc_id WHERE x.kind = 0 AND y.kind = 1 AND z.kind = 0
+)
+SELECT doc_id, n_chars, edited_sha256, array_to_string(a, ',') AS fingerprint, array_to_string(b, ',') AS edited_fingerprint,
+  CASE WHEN a = b THEN 1 WHEN least(len(a), len(b)) < 0.2::DOUBLE * greatest(len(a), len(b)) THEN 0 ELSE ab / (len(a) + len(b) - ab) END::DOUBLE AS near_edited,
+  CASE WHEN a = c THEN 1 WHEN least(len(a), len(c)) < 0.2::DOUBLE * greatest(len(a), len(c)) THEN 0 ELSE ac / (len(a) + len(c) - ac) END::DOUBLE AS near_next
+FROM o
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_mixing": op2_mixing,
@@ -268,6 +310,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_media_columns": op10_media_columns,
     "op11_collocations": op11_collocations,
     "op12_clusters": op12_clusters,
+    "op13_fingerprints": op13_fingerprints,
 }
 
 SQL: dict[str, str] = {
@@ -278,4 +321,5 @@ SQL: dict[str, str] = {
     "op9_url_filter": OP9_SQL,
     "op11_collocations": OP11_SQL,
     "op12_clusters": OP12_SQL,
+    "op13_fingerprints": OP13_SQL,
 }
