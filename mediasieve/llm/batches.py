@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -13,9 +14,19 @@ BATCH_BYTES = 4 << 20
 _LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
+def _bytes(size: str) -> int:
+    """A size as Spark's settings write it: a number of bytes with or without a unit (64m, 1g, 262144b)."""
+    m = re.fullmatch(r"\s*(-?\d+)\s*([kmgtp]?)i?b?\s*", size.lower())
+    if not m:
+        raise ValueError(f"not a size: {size}")
+    return int(m[1]) << 10 * " kmgtp".index(m[2] or " ")
+
+
 def bound_batches(spark: SparkSession) -> None:
-    """Lets the session hand batches of BATCH_BYTES at most to Python, if its limit is higher: rows of texts differ a thousandfold in size."""
-    spark.conf.set(_LIMIT, str(min(BATCH_BYTES, int(spark.conf.get(_LIMIT).rstrip("b")))))
+    """Lets the session hand batches of BATCH_BYTES at most to Python, if its limit is higher or none: rows of texts differ a thousandfold in size."""
+    limit = _bytes(spark.conf.get(_LIMIT))
+    if not 0 < limit <= BATCH_BYTES:
+        spark.conf.set(_LIMIT, str(BATCH_BYTES))
 
 
 def give_back() -> None:

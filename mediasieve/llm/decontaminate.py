@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from copy import copy
 from dataclasses import dataclass
 
 import numpy as np
@@ -154,6 +155,22 @@ class _Index:
         same = self.keys[found] == grams[at]
         return at[same], found[same]
 
+    def _by_hits(self, found: np.ndarray) -> Iterator[_Index]:
+        """The index, or where a text's q-grams have too many hits in it, parts of it by patterns that have _MAX_HITS or one pattern each."""
+        often = np.bincount(found, minlength=len(self.keys))
+        hits = np.bincount(self.owner, np.repeat(often, np.diff(self.begin)), len(self.patterns))
+        if hits.sum() <= _MAX_HITS:
+            yield self
+            return
+        part_of = (np.cumsum(hits) // _MAX_HITS).astype(np.int64)
+        key = np.repeat(np.arange(len(self.keys)), np.diff(self.begin))
+        for part in np.unique(part_of[hits > 0]):
+            mine = part_of[self.owner] == part
+            some = copy(self)
+            some.owner, some.place = self.owner[mine], self.place[mine]
+            some.begin = np.concatenate([[0], np.cumsum(np.bincount(key[mine], minlength=len(self.keys)))])
+            yield some
+
     def bands(self, n: int, at: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(pattern, band) with as many distinct shared q-grams as the lemma asks for, in a text of n bytes.
 
@@ -205,7 +222,7 @@ class _Index:
             for a, b in ((0, cut + lap), (cut, len(f))):
                 self.find([(d, f[a:b], place + a if isinstance(place, int) else place[a:b])], found, short)
             return None
-        owners, bands = self.bands(len(joined), at, keys)
+        owners, bands = (np.concatenate(x) for x in zip(*(part.bands(len(joined), at, keys) for part in self._by_hits(keys))))
         starts = np.cumsum([0] + [len(f) + self.q for _, f, _ in pieces])
         for o in np.unique(owners):
             self._verify(int(o), bands[owners == o], pieces, starts, found)

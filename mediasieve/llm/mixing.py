@@ -18,8 +18,10 @@ def _key(*parts: Column | str | int) -> Column:
     return F.md5(F.concat_ws(":", *(F.coalesce(p.cast("string"), F.lit("")) if isinstance(p, Column) else F.lit(str(p)) for p in parts)))
 
 
-def _block(seed: int, doc_id: Column, n_blocks: Column) -> Column:
-    return F.conv(F.substring(_key(seed, doc_id), 1, 8), 16, 10).cast("long") % n_blocks
+def _block(seed: int, doc_id: Column, tie: Column, n_blocks: Column) -> Column:
+    """By id; rows without one are dealt by their texts."""
+    key = F.when(doc_id.isNull(), _key(seed, "", tie)).otherwise(_key(seed, doc_id))
+    return F.conv(F.substring(key, 1, 8), 16, 10).cast("long") % n_blocks
 
 
 def _token_columns() -> list[Column]:
@@ -120,7 +122,7 @@ def mix_sources(
     """
     tokens = written(token_table(docs), "mixing-tokens")
     plan = written(weights(tokens, target_entropy, max_repeat, budget_ratio, block_tokens), "mixing-weights")
-    dealt = tokens.join(plan, "source").withColumn("block", _block(seed, F.col("doc_id"), F.col("n_blocks")))
+    dealt = tokens.join(plan, "source").withColumn("block", _block(seed, F.col("doc_id"), F.col("tie"), F.col("n_blocks")))
     blocks = (
         dealt.groupBy("source", "block")
         .agg(F.sum("n_tokens").alias("tokens"), F.first("n_epochs").alias("n_epochs"))
@@ -171,7 +173,7 @@ def realise(docs: DataFrame, draws: DataFrame, seed: int = 17) -> DataFrame:
     whole = F.struct(*[docs[c] for c in docs.columns]).alias("row")
     rows = docs.select(whole, *_token_columns()).join(ends, "source")
     epoch = F.col("last.epoch")
-    mine = place(F.col("source"), epoch, _block(seed, F.col("doc_id"), F.col("n_blocks")), F.col("doc_id"), F.col("n_tokens"), F.col("tie"))
+    mine = place(F.col("source"), epoch, _block(seed, F.col("doc_id"), F.col("tie"), F.col("n_blocks")), F.col("doc_id"), F.col("n_tokens"), F.col("tie"))
     order = F.when(mine < F.col("last"), -1).when(mine == F.col("last"), 0).otherwise(1)
     judged = rows.select("row", "source", "quota", epoch.alias("epoch"), order.alias("order"))
     sure = judged.where("order <> 0").select("row", (F.col("epoch") + F.when(F.col("order") < 0, 1).otherwise(0)).alias("copies"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +28,7 @@ _SQL = {
 }
 _LANES = (np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB))
 _ROTATIONS, _TURNS = 8, 2
+_DEALS, _REDEALS = 6, 2
 BLOCK_BYTES = 4e6
 #: Buckets in which more pairs would be compared are dealt anew.
 MAX_PAIRS = 1 << 10
@@ -183,45 +186,83 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return near.select(pick("v", "w").alias("a"), pick("n", "m").alias("na"), pick("w", "v").alias("b"), pick("m", "n").alias("nb")).distinct()
 
 
-def _size_bands(percent: int, largest: int) -> list[int]:
-    """Sizes at which bands begin, up to the second after that of ``largest``; sets of linked sizes are in the same or in neighbouring bands."""
+def _size_classes(largest: int) -> list[int]:
+    """Sizes at which classes begin, a tenth or one larger than the one before, beyond ``largest``."""
     begins = [1]
     while begins[-1] <= largest:
-        begins.append(begins[-1] * 100 // percent + 1)
-    return [*begins, begins[-1] * 100 // percent + 1]
-
-
-def _parts(members: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
+        begins.append(max(begins[-1] + 1, begins[-1] * 11 // 10))
+    return begins
+
+
+@cache
+def _spare_parts(n: int, k: int) -> int:
+    """How many parts more than k a band of sets of at least n dealt n-grams gets: so many that a fifth of the sets at most has as many empty parts, if k / 2 do for that."""
+    spare = 1
+    while spare < k // 2 + 2:
+        mean = (k + spare) * (1 - 1 / (k + spare)) ** n
+        if mean > 15:
+            rare = spare >= mean + 0.85 * math.sqrt(mean)
+        else:
+            rare = 1 - sum(math.exp(-mean) * mean**e / math.factorial(e) for e in range(min(spare, 60))) <= 0.2
+        if rare:
+            break
+        spare += 1 + spare // 16
+    return spare
+
+
+def _tokens(grams: np.ndarray, size_class: int, k: int, spare: int, seed: int) -> np.ndarray:
+    """Names of parts of a set's n-grams; linked sets of which the larger is of the class have one in common at least."""
+    found, sum_by, parts = [], words.mix(grams ^ _LANES[1]), k + spare
+    for deal in range(_DEALS):
+        lane = np.uint64(int(_LANES[0]) * (2 * (seed * _DEALS + deal) + 1) % (1 << 64))
+        part = (words.mix(grams ^ lane) % np.uint64(parts)).astype(np.int64)
+        sums = np.zeros(parts, np.uint64)
+        np.bitwise_xor.at(sums, part, sum_by)
+        full = np.bincount(part, minlength=parts) > 0
+        few = parts - int(full.sum()) < spare
+        taken = np.flatnonzero(full) if few or deal < _DEALS - 1 else np.arange(parts)
+        name = (taken.astype(np.uint64) + np.uint64((size_class * _DEALS + deal) << 32)) * lane
+        found.append(words.mix(sums[taken] + words.mix(name)))
+        if few:
+            break
+    return np.concatenate(found)
+
+
+def _parts(members: DataFrame, segments: DataFrame, percent: int, seed: int = 0) -> DataFrame:
     """(token, v, n, rest, label): the parts of ``members(v, n, rest, label)`` of which linked sets have one in common.
 
-    The sets of two neighbouring size bands differ, if linked, in at most k
-    n-grams. Their n-grams are dealt by hash into k + 1 parts, so one part at
-    least is the same in both. A token names band, part and the n-grams in it
-    (by the sum of their hashes; other n-grams of the same sum are only further
+    Linked sets of which the larger is of a size class differ in at most k
+    n-grams; each set is dealt for its own class and for those of larger sets
+    that it may be linked with. Its n-grams are dealt by hash into k + s parts:
+    s parts at least are the same in both. Only parts that hold n-grams have
+    tokens: if one of the two sets has fewer than s empty parts, a part with
+    n-grams is among the equal ones. A set that has more is dealt again by
+    another hash, and again; two sets that are linked meet in the first deal in
+    which one of them has few empty parts, as both are dealt that often. Only
+    after _DEALS such deals (a fifth of the sets needs the next) empty parts
+    have tokens, too. A token names deal, class, part and the n-grams in it (by
+    the sum of their hashes; other n-grams of the same sum are only further
     candidates). N-grams of one set alone aren't dealt: they are among those in
-    which it differs. Parts hold some ten n-grams at 90 percent, so sets that
-    share a passage seldom share one. ``rest`` bounds what a set can share at
-    all: a band that is too wide for it gets none of its parts.
+    which it differs. ``rest`` bounds what a set can share at all: a class that
+    is too large for it gets none of its parts.
     """
     schema = pa.schema([("token", pa.int64()), ("v", pa.binary()), ("n", pa.int64()), ("rest", pa.int64()), ("label", pa.binary())])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 64):
             rows, tokens = [], []
-            begins = _size_bands(percent, max(batch.column("n").to_pylist(), default=1))
-            for k, (n, rest) in enumerate(zip(batch.column("n").to_pylist(), batch.column("rest").to_pylist())):
-                grams = batch.column("grams")[k].values.to_numpy().view(np.uint64)
-                deal_by, sum_by = words.mix(grams ^ _LANES[0]), words.mix(grams ^ _LANES[1])
+            begins = _size_classes(100 * max(batch.column("n").to_pylist(), default=1) // percent + 1)
+            for at, (n, rest) in enumerate(zip(batch.column("n").to_pylist(), batch.column("rest").to_pylist())):
+                grams = batch.column("grams")[at].values.to_numpy().view(np.uint64)
                 own = bisect_right(begins, n) - 1
-                for band in range(max(0, own - 1), own + 1):
-                    if (100 + percent) * rest < percent * (n + begins[band]):
+                for c in range(own, bisect_right(begins, 100 * n // percent)):
+                    other = _least_overlap(n, percent) if c == own else begins[c]
+                    if (100 + percent) * rest < percent * (n + other):
                         continue
-                    parts = 2 * (begins[band + 2] - 1) * (100 - percent) // (100 + percent) + 1
-                    sums = np.zeros(parts, np.uint64)
-                    np.bitwise_xor.at(sums, (deal_by % np.uint64(parts)).astype(np.int64), sum_by)
-                    name = (np.arange(parts, dtype=np.uint64) + np.uint64(band << 40)) * _LANES[0]
-                    tokens.append(words.mix(sums + words.mix(name)))
-                    rows += [k] * parts
+                    k = 2 * (begins[c + 1] - 1) * (100 - percent) // (100 + percent)
+                    found = _tokens(grams, c, k, _spare_parts(_least_overlap(begins[c], percent), k), seed)
+                    tokens.append(found)
+                    rows += [at] * len(found)
             taken = batch.select(["v", "n", "rest", "label"]).take(pa.array(rows, pa.int64()))
             token = np.concatenate([np.empty(0, np.uint64), *tokens]).view(np.int64)
             yield pa.record_batch([pa.array(token), *taken.columns], schema=schema)
@@ -236,21 +277,23 @@ def _odd_pairs(placed: DataFrame, segments: DataFrame, percent: int) -> Iterator
     Only vertices with another label than most of their bucket are compared
     with all of it. The members of buckets in which that makes more than
     MAX_PAIRS pairs are dealt anew, by ``_parts``: any two of them that are
-    linked meet there, whichever bucket they met in before.
+    linked meet there, whichever bucket they met in before. So are those of
+    large buckets of parts, by other hashes; what is still in a large bucket
+    after _REDEALS times is compared in full.
     """
-    for last in (False, True):
+    for turn in range(_REDEALS + 1):
         by_label = placed.groupBy("token", "label").agg(F.count("*").alias("size"))
         mixed = by_label.groupBy("token").agg(F.max(F.struct("size", "label")).alias("top"), F.count("*").alias("labels"), F.sum("size").alias("all")).where("labels > 1")
-        large = F.lit(False) if last else F.col("all") * (F.col("all") - F.col("top.size")) > MAX_PAIRS
+        large = F.lit(False) if turn == _REDEALS else F.col("all") * (F.col("all") - F.col("top.size")) > MAX_PAIRS
         mixed = written(mixed.select("token", F.col("top.label").alias("main"), large.alias("large")), "join-mixed")
         small = mixed.where("NOT large").select("token", "main")
         odd = placed.join(small, "token").where("label <> main")
         met = odd.join(placed.select("token", *_other()), "token").where((F.col("label") != F.col("w_label")) & _may_link(percent))
         yield met.select("v", "n", "w", "m")
-        if last or mixed.where("large").isEmpty():
+        if turn == _REDEALS or mixed.where("large").isEmpty():
             return
         members = written(placed.join(mixed.where("large").select("token"), "token", "left_semi").groupBy("v", "n", "label").agg(F.max("rest").alias("rest")), "join-members")
-        placed = written(_parts(members, segments, percent), "join-parts")
+        placed = written(_parts(members, segments, percent, turn), "join-parts")
 
 
 def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:

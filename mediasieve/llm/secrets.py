@@ -108,9 +108,11 @@ def scan(text: str, encoding, max_chars_per_token: float) -> list[tuple[int, int
         if ratio is not None:
             found.append((m.start(), 3, m.end(), ratio))
             continue
+        # Digests and other whole runs that are known aren't judged by parts.
+        if whole and known(m[0], encoding):
+            continue
         for part in PART.finditer(text, *m.span()):
-            # The whole run, and digests and other whole runs that are known, aren't judged again.
-            if part.span() != m.span() and free(*part.span()) and not (whole and known(m[0], encoding)):
+            if part.span() != m.span() and free(*part.span()):
                 ratio = _random(part[0], encoding, max_chars_per_token)
                 if ratio is not None:
                     found.append((part.start(), 3, part.end(), ratio))
