@@ -6,6 +6,7 @@ ids and texts and never parses bytes.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,11 +14,14 @@ from pyspark.sql import functions as F
 
 from mediasieve.functions import scalars as S
 from mediasieve.functions.dictionaries import GENERATOR_NAMES, LEFTOVER_SIGNATURES, SIGNATURES
-from mediasieve.jobs import reports
+from mediasieve.jobs import grids, reports
 from mediasieve.operators import clean, findings, frames, grid, naming, origin, video
-from mediasieve.operators.records import sniff, walk
+from mediasieve.operators.records import sniff, walk, walk_files
 from mediasieve.sources import fixtures as X
 from mediasieve.sources import media as M
+from mediasieve.sources.listing import list_all, list_files, list_unsupported
+from mediasieve.sources.pieces import publish
+from mediasieve.sources.shared import checkpointed, fresh_folder
 from mediasieve.streaming import files as streams
 
 
@@ -30,6 +34,25 @@ def _audited(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audited.withColumn("folder", S.folder(F.col("rel_path"))).withColumn("kind", S.media_kind(F.col("rel_path"))).withColumn("media_id", _id())
 
 
+def _listed(spark: SparkSession, root: str) -> DataFrame:
+    """The files below a folder by ``<number>/<folder>/<media id>~<name>``, listed once."""
+    listed = checkpointed(list_files(spark, root))
+    media_id = F.regexp_extract("rel_path", r"(\d+)~[^/]*$", 1).cast("long")
+    return listed.withColumn("media_id", media_id).withColumn("rel_path", F.regexp_replace("rel_path", r"^\d+/(.*/)?\d+~", "$1"))
+
+
+def _numbered_path():
+    folder = S.folder(F.col("rel_path"))
+    return F.concat((F.col("media_id") % 8).cast("string"), F.lit("/"), F.when(folder == "", "").otherwise(F.concat(folder, F.lit("/"))), F.col("media_id").cast("string"), F.lit("~"), S.base_name(F.col("rel_path")))
+
+
+def _published(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The media fixture as files in the shared folder, listed again: they are found, opened and read by path."""
+    root = fresh_folder(spark, "media")
+    publish(X.media(spark, sf_dir).select("path", _numbered_path().alias("out_path"), "content"), root)
+    return _listed(spark, root)
+
+
 # --- what the fixtures hold, as SQL -----------------------------------------
 
 _T, _C, _S, _P = len(X.CAMERA_TIFF), len(X.C2PA), len(X.SOFTWARE_TIFF), len(X.XMP)
@@ -173,10 +196,10 @@ def header_sizes(spark, sf_dir):
     return walk(X.media(spark, sf_dir)).select(_id(), F.coalesce("width", F.lit(0)).alias("width"), F.coalesce("height", F.lit(0)).alias("height"))
 
 
-@query(f"WITH {_MEDIA_SQL} SELECT media_id, CASE v WHEN 1 THEN 'Comment' WHEN 4 THEN 'parameters' ELSE 'Source' END AS key, CASE v WHEN 6 THEN 'SynthID reference' ELSE note END AS value FROM m WHERE c = 1 AND v IN (1, 4, 6)")
+@query(f"WITH {_MEDIA_SQL} SELECT media_id, CASE v WHEN 1 THEN 'Comment' WHEN 4 THEN 'parameters' WHEN 5 THEN 'XML:com.adobe.xmp' ELSE 'Source' END AS key, CASE v WHEN 5 THEN '{X.XMP.decode().replace(chr(0), ' ')}' WHEN 6 THEN 'SynthID reference' ELSE note END AS value FROM m WHERE c = 1 AND v IN (1, 4, 5, 6)")
 def png_texts(spark, sf_dir):
     walked = walk(X.media(spark, sf_dir)).where("container = 'png'")
-    return walked.select(_id(), F.explode("text_kv").alias("key", "value")).where("key <> 'XML:com.adobe.xmp'")
+    return walked.select(_id(), F.explode("text_kv").alias("key", "value"))
 
 
 @query(f"WITH {_MEDIA_SQL} SELECT media_id, t.tag, t.value FROM m JOIN (VALUES (2, 271, 'TestMake'), (2, 272, 'TestModel'), (2, 34853, '8'), (4, 305, 'ComfyUI 1.0')) AS t(v, tag, value) ON m.v = t.v WHERE c < 3 AND NOT (c = 1 AND m.v = 4)")
@@ -239,9 +262,7 @@ def clean_audit(spark, sf_dir):
 
 @query(f"WITH {_FOUND_SQL} SELECT label, count(*) AS n FROM f WHERE kind = 'chunk' OR kind = 'segment' GROUP BY 1")
 def removed_by_label(spark, sf_dir):
-    media = X.media(spark, sf_dir)
-    cleaned = clean.clean(media).where("cleaned IS NOT NULL").select("path", F.col("cleaned").alias("content"))
-    gone = clean.removed(findings.exploded(findings.with_findings(walk(media))), findings.exploded(findings.with_findings(walk(cleaned))))
+    gone = clean.removed(X.media(spark, sf_dir))
     return gone.where("kind IN ('chunk', 'segment')").groupBy("label").agg(F.count("*").alias("n"))
 
 
@@ -258,36 +279,43 @@ _LEFT_SQL = "list_sort(list_transform(list_filter([" + ", ".join(f"'{x}'" for x
 FROM m LEFT JOIN p ON m.media_id = p.media_id""")
 def leftover_labels(spark, sf_dir):
     media = X.media(spark, sf_dir)
-    return findings.leftovers(walk(media), media).select(_id(), F.array_join(F.filter("labels", lambda x: x != "APP0"), ",").alias("labels"))
+    return findings.leftovers(walk(media)).select(_id(), F.array_join("labels", ",").alias("labels"))
 
 
-# --- names from when the queries above saw the beginnings of texts alone ---------
+# --- the same over files, which are listed, opened by path and read by ranges -----
 
 
 @query(SQL["findings_flat"])
 def whole_findings(spark, sf_dir):
-    return findings.exploded(findings.with_findings(walk(X.media(spark, sf_dir)))).select(_id(), "kind", "label", "nbytes")
+    files = _published(spark, sf_dir)
+    return findings.exploded(findings.with_findings(walk_files(files))).join(files.select("path", "media_id"), "path").select("media_id", "kind", "label", "nbytes")
 
 
 @query(SQL["findings_by_label"])
 def whole_findings_by_label(spark, sf_dir):
-    return reports.findings_by_label(findings.exploded(findings.with_findings(walk(X.media(spark, sf_dir)))))
+    return reports.findings_by_label(findings.exploded(findings.with_findings(walk_files(_published(spark, sf_dir)))))
+
+
+def _audited_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    audited = reports.audit_files(_published(spark, sf_dir))
+    audited = audited.withColumn("folder", S.folder(F.col("rel_path"))).withColumn("kind", S.media_kind(F.col("rel_path")))
+    return audited.withColumn("media_id", F.regexp_extract("path", r"/(\d+)~[^/]*$", 1).cast("long"))
 
 
 @query(SQL["origin_verdicts"])
 def whole_verdicts(spark, sf_dir):
-    return _audited(spark, sf_dir).select("media_id", "verdict", "synthid")
+    return _audited_files(spark, sf_dir).select("media_id", "verdict", "synthid")
 
 
 @query(SQL["verdict_rollup"])
 def whole_verdict_rollup(spark, sf_dir):
-    return reports.verdict_rollup(_audited(spark, sf_dir))
+    return reports.verdict_rollup(_audited_files(spark, sf_dir))
 
 
 @query(SQL["png_texts"])
 def whole_png_texts(spark, sf_dir):
-    walked = walk(X.media(spark, sf_dir)).where("container = 'png'")
-    return walked.select(_id(), F.explode("text_kv").alias("key", "value")).where("key <> 'XML:com.adobe.xmp'")
+    walked = walk_files(_published(spark, sf_dir), keep=("media_id",)).where("container = 'png'")
+    return walked.select("media_id", F.explode("text_kv").alias("key", "value"))
 
 
 @query(SQL["readable_runs"])
@@ -297,8 +325,64 @@ def whole_readable_runs(spark, sf_dir):
 
 @query(SQL["clean_audit"])
 def whole_clean_audit(spark, sf_dir):
-    done = clean.verify(X.media(spark, sf_dir))
-    return done.select(_id(), "mode", (F.col("before") - F.col("after")).alias("saved"), "same_picture", "same_size", "n_before", F.col("n_left").cast("int").alias("n_left"))
+    """Files cleaned by patch lists and written by the sink; both sides are then inspected by path."""
+    before = _published(spark, sf_dir)
+    after = _cleaned(spark, before)
+    side = lambda files: (
+        findings.with_findings(walk_files(files, keep=("media_id",)))
+        .join(clean.hash_files(files).select("path", "picture"), "path")
+        .select("media_id", "findings", F.struct("width", "height").alias("wh"), "picture", "length")
+    )
+    old, new = side(before).alias("old"), side(after).alias("new")
+    modes = clean.plan_files(before).join(before.select("path", "media_id"), "path").select("media_id", "mode")
+    both = old.join(new, "media_id").join(modes, "media_id")
+    left = F.filter("new.findings", lambda f: f.kind != "signature")
+    return both.select("media_id", "mode", (F.col("old.length") - F.col("new.length")).alias("saved"), (F.col("old.picture") == F.col("new.picture")).alias("same_picture"), (F.col("old.wh").eqNullSafe(F.col("new.wh"))).alias("same_size"), F.size("old.findings").cast("long").alias("n_before"), F.size(left).alias("n_left"))
+
+
+def _cleaned(spark: SparkSession, files: DataFrame) -> DataFrame:
+    """The cleaned copies of listed files, in a folder of their own."""
+    root = fresh_folder(spark, "cleaned")
+    plans = clean.plan_files(files).join(files.select("path", _numbered_path().alias("out_path")), "path")
+    publish(plans.where("pieces IS NOT NULL").select("path", "out_path", "pieces", "error"), root)
+    return _listed(spark, root)
+
+
+_PICTURES = {0: b"\x00\x08\x01\x01\0\0\x3f\0" + X.SCAN + b"\xff\xd9", 1: X.SCAN, 2: X.SCAN[:33], 3: X.SCAN}
+_PICTURE_SQL = "CASE c " + " ".join(f"WHEN {c} THEN '{hashlib.sha256(p).hexdigest()}'" for c, p in _PICTURES.items()) + " END"
+
+
+@query(f"WITH {_MEDIA_SQL} SELECT media_id, {_REL} AS rel_path, {_PICTURE_SQL} AS picture FROM m")
+def cleaned_files(spark, sf_dir):
+    done = _cleaned(spark, _published(spark, sf_dir))
+    return clean.hash_files(done).join(done.select("path", "media_id", "rel_path"), "path").select("media_id", "rel_path", "picture")
+
+
+def _named_files(spark: SparkSession, sf_dir: str) -> str:
+    """Files with the whole texts as contents, under names of many kinds."""
+    i = F.col("doc_id")
+    s = i.cast("string")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    names = F.array(F.concat(F.lit("_DSC"), s, F.lit(".JPG")), F.concat(F.lit("."), s, F.lit(".png")), F.concat(F.lit(".hid/a b%20"), s, F.lit(".WebP")), F.concat(F.lit("notes/"), s, F.lit(".txt")), F.concat(F.lit("_deep/er/\u00e9 "), s, F.lit(".mov")), F.concat(F.lit("noext/"), s))
+    root = fresh_folder(spark, "named")
+    publish(docs.select(s.alias("path"), F.element_at(names, (i % 6 + 1).cast("int")).alias("out_path"), F.coalesce("text", F.lit("")).cast("binary").alias("content")), root)
+    return root
+
+
+_NAMES_SQL = "d AS (SELECT doc_id % 6 AS k, ['_DSC' || doc_id || '.JPG', '.' || doc_id || '.png', '.hid/a b%20' || doc_id || '.WebP', 'notes/' || doc_id || '.txt', '_deep/er/\u00e9 ' || doc_id || '.mov', 'noext/' || doc_id][doc_id % 6 + 1] AS rel_path, strlen(coalesce(text, '')) AS length FROM documents)"
+
+
+@query(f"WITH {_NAMES_SQL} SELECT rel_path, ['jpg', '', 'webp', 'txt', 'mov', ''][k + 1] AS ext, ['image', NULL, 'image', NULL, 'video', NULL][k + 1] AS kind, length FROM d WHERE k <> 1")
+def listed_files(spark, sf_dir):
+    return list_all(spark, _named_files(spark, sf_dir), fan_out=3).where("error IS NULL").select("rel_path", "ext", "kind", "length")
+
+
+@query(f"WITH {_NAMES_SQL} SELECT rel_path FROM d WHERE k IN (3, 5)")
+def unsupported_files(spark, sf_dir):
+    return list_unsupported(spark, _named_files(spark, sf_dir))
+
+
+# --- all of the evidence, all removals, all numbers ----------------------------------
 
 
 # A PNG's text is searched twice: as a value, and as the two longest readable runs of its chunk.
@@ -320,10 +404,7 @@ def whole_evidence(spark, sf_dir):
 # What stays: an empty udta box, and signatures in WebP chunks other than EXIF, XMP and ICCP.
 @query(f"WITH {_FOUND_SQL} SELECT f.label, count(*) AS n FROM f JOIN m ON f.media_id = m.media_id WHERE NOT (m.c = 3 AND m.v = 7) AND NOT (m.c = 2 AND m.v IN (1, 3, 6)) GROUP BY 1")
 def whole_removed_by_label(spark, sf_dir):
-    media = X.media(spark, sf_dir)
-    cleaned = clean.clean(media).where("cleaned IS NOT NULL").select("path", F.col("cleaned").alias("content"))
-    gone = clean.removed(findings.exploded(findings.with_findings(walk(media))), findings.exploded(findings.with_findings(walk(cleaned))))
-    return gone.groupBy("label").agg(F.count("*").alias("n"))
+    return clean.removed(X.media(spark, sf_dir)).groupBy("label").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {_MEDIA_SQL} SELECT media_id, row_number() OVER (ORDER BY {_REL}, media_id) AS number FROM m")
@@ -458,6 +539,53 @@ def grid_panels(spark, sf_dir):
     return grid.large_enough(grid.panels(_axes(spark, sf_dir))).drop("panel_name")
 
 
+_JOB_SQL = f"""WITH {_LINES_SQL.replace('white AND s % 11 <> 0 AS hit', 'white AS hit')}, f AS (
+  SELECT p_partkey AS image_id, p_size AS s, p_size + 48 AS h, p_size + 53 AS w, 'grid_' || p_partkey || '.png' AS rel_path FROM part
+), b AS (
+  SELECT y.image_id, k.n AS panel_no, CASE WHEN k.n IN (1, 3) THEN x.content_start ELSE x.hi_start END AS x0, CASE WHEN k.n < 3 THEN y.content_start ELSE y.hi_start END AS y0,
+    CASE WHEN k.n IN (1, 3) THEN x.lo_end ELSE x.content_end END AS x1, CASE WHEN k.n < 3 THEN y.lo_end ELSE y.content_end END AS y1, NOT y.detected AS row_fallback, NOT x.detected AS col_fallback
+  FROM ax2 AS y JOIN ax2 AS x ON y.image_id = x.image_id AND y.axis = 0 AND x.axis = 1 CROSS JOIN (VALUES (1), (2), (3), (4)) AS k(n)
+), kept AS (
+  SELECT b.*, f.s, f.h, f.w, f.rel_path, row_number() OVER (ORDER BY f.rel_path, b.panel_no) AS number FROM b JOIN f ON b.image_id = f.image_id WHERE x1 - x0 >= 16 AND y1 - y0 >= 16
+), xs AS (
+  SELECT *, (x < s % 4 OR x >= w - s % 4 OR (x >= w // 2 - 6 + s % 13 AND x < w // 2 - 6 + s % 13 + s % 7)) AS white FROM (SELECT *, unnest(range(x0, x1)) AS x FROM kept)
+), ys AS (
+  SELECT *, (y < s % 4 OR y >= h - s % 4 OR (y >= h // 2 - 6 + s % 13 AND y < h // 2 - 6 + s % 13 + s % 7)) AS white, (13 * y + image_id) % 200 AS g FROM (SELECT *, unnest(range(y0, y1)) AS y FROM kept)
+), cw AS (SELECT number, avg(white::INTEGER) AS part FROM xs GROUP BY 1),
+rw AS (SELECT number, avg(CASE WHEN white THEN 255 ELSE g END) AS mean, stddev_pop(CASE WHEN white THEN 255 ELSE g END) AS std FROM ys GROUP BY 1),
+tx AS (
+  SELECT xs.number, min(x - x0) FILTER (NOT (white OR (mean >= 243 AND std <= 9))) AS a, min(x1 - 1 - x) FILTER (NOT (white OR (mean >= 243 AND std <= 9))) AS b FROM xs JOIN rw ON xs.number = rw.number GROUP BY 1
+), ty AS (
+  SELECT ys.number, min(y - y0) FILTER (NOT (white OR (g + part * (255 - g) >= 243 AND (255 - g) * sqrt(part * (1 - part)) <= 9))) AS a,
+    min(y1 - 1 - y) FILTER (NOT (white OR (g + part * (255 - g) >= 243 AND (255 - g) * sqrt(part * (1 - part)) <= 9))) AS b FROM ys JOIN cw ON ys.number = cw.number GROUP BY 1
+), tr AS (
+  SELECT kept.*, least((y1 - y0) // 4, coalesce(ty.a, y1 - y0)) AS top, least((y1 - y0) // 4, coalesce(ty.b, y1 - y0)) AS bottom, least((x1 - x0) // 4, coalesce(tx.a, x1 - x0)) AS lft, least((x1 - x0) // 4, coalesce(tx.b, x1 - x0)) AS rgt
+  FROM kept JOIN tx ON kept.number = tx.number JOIN ty ON kept.number = ty.number
+), t(fmt, tw, th) AS (VALUES ('45', 1080, 1350), ('916', 1080, 1920)),
+k AS (
+  SELECT *, x0 + lft AS px, y0 + top AS py, x1 - x0 - lft - rgt AS pw, y1 - y0 - top - bottom AS ph, tw::DOUBLE / th AS want, pw::DOUBLE / ph AS have,
+    greatest(1, round_even(ph * want, 0))::INTEGER AS nw, greatest(1, round_even(pw / want, 0))::INTEGER AS nh, image_id IN (45, 916) AS single
+  FROM tr CROSS JOIN t WHERE NOT (image_id = 45 AND fmt = '916') AND NOT (image_id = 916 AND fmt = '45')
+), crop AS (
+  SELECT *, CASE WHEN abs(have - want) >= 1e-6 AND have > want THEN (pw - nw) // 2 ELSE 0 END + px AS cx, CASE WHEN abs(have - want) >= 1e-6 AND have <= want THEN (ph - nh) // 2 ELSE 0 END + py AS cy,
+    CASE WHEN abs(have - want) >= 1e-6 AND have > want THEN nw ELSE pw END AS ww, CASE WHEN abs(have - want) >= 1e-6 AND have <= want THEN nh ELSE ph END AS hh FROM k
+), px AS (
+  SELECT number, fmt, string_agg(CASE WHEN y < s % 4 OR y >= h - s % 4 OR (y >= h // 2 - 6 + s % 13 AND y < h // 2 - 6 + s % 13 + s % 7) THEN repeat('ffffff', ww)
+    ELSE substring(concat(repeat('ffffff', s % 4), repeat(lpad(hex((13 * y + image_id) % 200), 2, '0'), 3 * (w // 2 - 6 + s % 13 - s % 4)), repeat('ffffff', s % 7), repeat(lpad(hex((13 * y + image_id) % 200), 2, '0'), 3 * (w - w // 2 + 6 - s % 13 - s % 7 - s % 4)), repeat('ffffff', s % 4)), CAST(6 * cx + 1 AS BIGINT), CAST(6 * ww AS BIGINT)) END, '' ORDER BY y) AS hexed
+  FROM (SELECT *, unnest(range(cy, cy + hh)) AS y FROM crop) GROUP BY 1, 2
+)"""
+
+
+@query(f"""{_JOB_SQL} SELECT c.rel_path, c.panel_no, c.number, c.fmt, c.row_fallback, c.col_fallback, c.top AS trim_top, c.bottom AS trim_bottom, c.lft AS trim_left, c.rgt AS trim_right, c.cx AS x, c.cy AS y, c.ww AS w, c.hh AS h,
+  'panel' || c.number || CASE WHEN single THEN '' ELSE '_' || c.fmt END || '.png' AS out_path, sha256(unhex(px.hexed)) AS pixels_sha256 FROM crop AS c JOIN px ON c.number = px.number AND c.fmt = px.fmt""")
+def grid_job(spark, sf_dir):
+    """From pixels to numbered panels, trimmed, cut and written; crops keep their size here."""
+    pictures = X.pictures(spark, sf_dir).withColumn("rel_path", F.concat(F.lit("grid_"), "path", F.lit(".png")))
+    done = grids.split_grids(pictures, fresh_folder(spark, "panels"), full_size=False)
+    names = ("rel_path", "panel_no", "number", "fmt", "row_fallback", "col_fallback", "trim_top", "trim_bottom", "trim_left", "trim_right", "x", "y", "w", "h", "out_path", "pixels_sha256")
+    return done.where("written > 0 AND error IS NULL").select(*names)
+
+
 @query(f"""WITH {_LINES_SQL}, w AS (SELECT image_id, axis, n, pos, white AND (s % 11 <> 0 OR 7.0 <= 9.0) AS white FROM l),
 t AS (SELECT image_id, axis, n, min(pos) FILTER (NOT white) AS a, max(pos) FILTER (NOT white) AS b FROM w GROUP BY 1, 2, 3)
 SELECT image_id, axis, least(CAST(floor(n * 0.25) AS INTEGER), coalesce(a, n)) AS low, least(CAST(floor(n * 0.25) AS INTEGER), coalesce(n - 1 - b, n)) AS high FROM t""")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from mediasieve.functions.scalars import base_name, extension, folder, human_size, media_kind
 from mediasieve.operators.findings import with_findings
 from mediasieve.operators.origin import assess
-from mediasieve.operators.records import walk
+from mediasieve.operators.records import walk, walk_files
 from mediasieve.sources.media import hidden, stream_facts
 
 
@@ -20,7 +20,16 @@ def audit(media: DataFrame, probes: DataFrame | None = None) -> DataFrame:
     probe texts) give videos their tags, as findings, and the size of the first
     video stream. Only walked rows are joined with them, not bytes.
     """
-    walked = walk(media, keep=("rel_path",))
+    return judge(walk(media, keep=("rel_path",)), probes)
+
+
+def audit_files(listed: DataFrame, probes: DataFrame | None = None) -> DataFrame:
+    """``audit`` of files of any size, which the tasks open by URI: ``listed(path, rel_path)``."""
+    return judge(walk_files(listed, keep=("rel_path",)), probes)
+
+
+def judge(walked: DataFrame, probes: DataFrame | None = None) -> DataFrame:
+    """``audit`` of walked rows that have a ``rel_path``."""
     kind = media_kind(F.col("rel_path"))
     walked = walked.withColumn("is_video", F.when(kind.isNull(), F.col("container") == "iso").otherwise(kind == "video"))
     if probes is not None:

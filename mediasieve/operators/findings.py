@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mediasieve.functions.dictionaries import BENIGN_TAGS, LEFTOVER_SIGNATURES, SIGNATURES
+from mediasieve.functions.dictionaries import BENIGN_TAGS, SIGNATURES
 
 FINDING = "array<struct<kind:string,label:string,detail:string,nbytes:long>>"
 
@@ -57,11 +57,9 @@ def declares_synthid(findings: Column) -> Column:
     return F.exists(findings, lambda f: F.contains(F.lower(F.concat(f["label"], f["detail"])), F.lit("synthid")))
 
 
-def leftovers(walked: DataFrame, media: DataFrame) -> DataFrame:
+def leftovers(walked: DataFrame) -> DataFrame:
     """(path, labels): sorted names of segments and signatures that a JPEG output should not hold; ``not-a-jpeg`` for others."""
-    low = F.lower(F.decode("content", "ISO-8859-1"))
-    payload = F.array_compact(F.array(*(F.when(F.contains(low, F.lit(s)), F.lit(f"payload:{s}")) for s in LEFTOVER_SIGNATURES)))
-    held = media.select("path", payload.alias("payload"))
     segments = F.transform(F.filter("records", lambda r: r.label.isNotNull()), lambda r: r.rtype)
-    labels = F.when(F.col("container") == "jpeg", F.array_sort(F.array_distinct(F.concat(segments, "payload")))).otherwise(F.array(F.lit("not-a-jpeg")))
-    return walked.select("path", "container", "records").join(held, "path").select("path", labels.alias("labels"))
+    payload = F.transform("leftover_signatures", lambda s: F.concat(F.lit("payload:"), s))
+    labels = F.when(F.col("container") == "jpeg", F.array_sort(F.array_distinct(F.concat(segments, payload)))).otherwise(F.array(F.lit("not-a-jpeg")))
+    return walked.select("path", labels.alias("labels"))
