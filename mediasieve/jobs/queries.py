@@ -156,6 +156,18 @@ def origin_verdicts(spark, sf_dir):
     return _audited(spark, sf_dir).select("media_id", "verdict", "synthid")
 
 
+_TEXTS = "CASE verdict " + " ".join(f"WHEN '{code}' THEN '{text}'" for code, text, _ in origin.VERDICTS) + " END"
+_NOTES = {"declared": "A pixel watermark is declared; it stays", "hidden": "No pixel watermark is declared, which does not mean", "open": "No pixel watermark is declared; only its maker"}
+
+
+@query(f"""WITH {_VERDICT_SQL} SELECT media_id, {_TEXTS} AS headline,
+  CASE WHEN synthid = 'declared' THEN '{_NOTES["declared"]}' WHEN c = 3 OR verdict = 'ai-declared' THEN '{_NOTES["hidden"]}' ELSE '{_NOTES["open"]}' END AS note FROM o""")
+def origin_texts(spark, sf_dir):
+    """Headline of each verdict, and the beginning of what is said of pixel watermarks."""
+    note = F.coalesce(*(F.when(F.startswith("synthid_note", F.lit(n)), n) for n in _NOTES.values()))
+    return _audited(spark, sf_dir).select("media_id", "headline", note.alias("note"))
+
+
 @query(f"""WITH {_MEDIA_SQL} SELECT media_id, e.weight, e.label FROM m JOIN (VALUES
   ('declared', 'C2PA assertion: trainedAlgorithmicMedia', 1), ('declared', 'C2PA / Content Credentials manifest', 2), ('camera', 'Camera capture data present', 3),
   ('declared', 'Generation record embedded', 4), ('circumstantial', 'Size typical of a generator', 5), ('circumstantial', 'No metadata at all', 6)) AS e(weight, label, k)
@@ -670,15 +682,22 @@ def crop_guards(spark, sf_dir):
     return _boxed(spark, sf_dir).select("video_id", video.crop_error(F.col("box"), F.col("src_w"), F.col("src_h")).alias("error"))
 
 
+@query(f"WITH {_BOX_SQL} SELECT video_id, NOT (short OR empty) OR video_id % 3 = 0 AS actionable FROM x WHERE NOT (short OR empty) OR video_id % 2 = 0")
+def consented_boxes(spark, sf_dir):
+    """Boxes that may be acted on: given ones, and detected ones (here: for videos of even numbers) only where that was accepted."""
+    boxed = _boxed(spark, sf_dir).where("box IS NOT NULL OR video_id % 2 = 0")
+    return boxed.select("video_id", video.actionable(F.col("box").isNotNull(), F.col("video_id") % 3 == 0).alias("actionable"))
+
+
 @query(f"""WITH {_BOX_SQL}, t(fmt, uw, uh) AS (VALUES ('45', 4, 5), ('916', 9, 16)),
 s AS (SELECT video_id, fmt, src_w, src_h, bx, by_, o.n AS o, uw, uh, CASE o.n WHEN 2 THEN bx WHEN 3 THEN src_w - (bx + bw) ELSE src_w END AS wm, CASE o.n WHEN 0 THEN by_ WHEN 1 THEN src_h - (by_ + bh) ELSE src_h END AS hm
   FROM x CROSS JOIN t CROSS JOIN (VALUES (0), (1), (2), (3)) AS o(n) WHERE NOT short AND NOT empty),
 k AS (SELECT *, least(wm // uw, hm // uh) - least(wm // uw, hm // uh) % 2 AS k FROM s WHERE wm >= 32 AND hm >= 32),
 q AS (SELECT *, k * uw AS w, k * uh AS h, row_number() OVER (PARTITION BY video_id, fmt ORDER BY k DESC, o) AS rn FROM k WHERE k > 0 AND k * uw >= 32 AND k * uh >= 32)
-SELECT x.video_id, t.fmt, CASE WHEN q.o < 2 THEN greatest(0, (x.src_w - w) // 2) WHEN q.bx >= w THEN 0 ELSE x.src_w - w END AS x, CASE WHEN q.o < 2 THEN (CASE WHEN q.by_ >= h THEN 0 ELSE x.src_h - h END) ELSE greatest(0, (x.src_h - h) // 2) END AS y, q.w, q.h
+SELECT x.video_id, t.fmt, round_even(100.0 * q.w / x.src_w, 1)::DOUBLE AS keep_width, CASE WHEN q.o < 2 THEN greatest(0, (x.src_w - w) // 2) WHEN q.bx >= w THEN 0 ELSE x.src_w - w END AS x, CASE WHEN q.o < 2 THEN (CASE WHEN q.by_ >= h THEN 0 ELSE x.src_h - h END) ELSE greatest(0, (x.src_h - h) // 2) END AS y, q.w, q.h
 FROM x CROSS JOIN t LEFT JOIN q ON x.video_id = q.video_id AND t.fmt = q.fmt AND q.rn = 1 WHERE NOT short AND NOT empty""")
 def crop_suggestions(spark, sf_dir):
-    return video.suggest_crops(_boxed(spark, sf_dir).where("box IS NOT NULL")).select("video_id", "fmt", "x", "y", "w", "h")
+    return video.suggest_crops(_boxed(spark, sf_dir).where("box IS NOT NULL")).select("video_id", "fmt", "keep_width", "x", "y", "w", "h")
 
 
 # --- frames ------------------------------------------------------------------
@@ -686,7 +705,7 @@ def crop_suggestions(spark, sf_dir):
 _PIXELS_SQL = """fv AS (SELECT s_suppkey AS video_id, s_suppkey % 6 AS c FROM supplier),
 fp AS (SELECT video_id, c, t, y, x, CASE WHEN c <> 4 AND x BETWEEN (CASE WHEN c IN (1, 3) THEN 114 ELSE 4 END) AND (CASE WHEN c IN (1, 3) THEN 114 ELSE 4 END) + (CASE WHEN c = 5 THEN 29 ELSE 7 END)
     AND y BETWEEN (CASE WHEN c IN (2, 3) THEN 82 ELSE 4 END) AND (CASE WHEN c IN (2, 3) THEN 82 ELSE 4 END) + 7 THEN 230.0::DOUBLE ELSE ((x * 7 + y * 13 + t * (video_id % 5 + 11)) % 160)::DOUBLE END AS gray
-  FROM (SELECT *, unnest(range(0, 128)) AS x FROM (SELECT *, unnest(range(0, 96)) AS y FROM (SELECT *, unnest(range(0, 4)) AS t FROM fv)))),
+  FROM (SELECT *, unnest(range(0, 128)) AS x FROM (SELECT *, unnest(range(0, 96)) AS y FROM (SELECT *, unnest(range(0, 24)) AS t FROM fv)))),
 fs AS (SELECT video_id, y, x, avg(gray) AS mean, stddev_pop(gray) AS std FROM fp GROUP BY 1, 2, 3)"""
 _OVERLAY_SQL = f"""{_PIXELS_SQL}, mv AS (SELECT video_id, quantile_cont(std, 0.5) AS moving FROM fs GROUP BY 1),
 ci AS (SELECT fs.*, mv.moving, CASE WHEN y < 21 AND x < 38 THEN 0 WHEN y < 21 AND x >= 90 THEN 1 WHEN y >= 75 AND x < 38 THEN 2 WHEN y >= 75 AND x >= 90 THEN 3 END AS k FROM fs JOIN mv ON fs.video_id = mv.video_id WHERE mv.moving >= 1.5),
@@ -697,7 +716,7 @@ oc AS (SELECT video_id, k, ['top-left', 'top-right', 'bottom-left', 'bottom-righ
 
 
 def _overlays(spark, sf_dir):
-    return frames.overlay_candidates(frames.pixel_stats(X.frame_pixels(spark, sf_dir)))
+    return frames.overlay_marks(X.frame_clips(spark, sf_dir))
 
 
 @query(f"WITH {_OVERLAY_SQL} SELECT video_id, corner, x, y, w, h, mass, row_number() OVER (PARTITION BY video_id ORDER BY mass DESC, k) AS rank FROM oc")
@@ -711,15 +730,37 @@ gb AS (SELECT fp.*, fp.gray - lag(fp.gray) OVER (PARTITION BY fp.video_id, t, fp
 SELECT video_id, round((avg(abs(gx)) + avg(abs(gy))) / 2, 6) AS detail, CASE WHEN (avg(abs(gx)) + avg(abs(gy))) / 2 < 6 THEN 'clean' WHEN (avg(abs(gx)) + avg(abs(gy))) / 2 < 15 THEN 'soft' ELSE 'too busy' END AS band FROM gb GROUP BY 1""")
 def repair_bands(spark, sf_dir):
     best = _overlays(spark, sf_dir).where("rank = 1")
-    detail = frames.border_detail(X.frame_pixels(spark, sf_dir), best)
+    detail = frames.box_detail(X.frame_clips(spark, sf_dir), best)
     return detail.select("video_id", F.round("detail", 6).alias("detail"), frames.quality_band(F.col("detail")).alias("band"))
 
 
 @query()
 def frame_recovery(spark, sf_dir):
-    clips = X.pan_frames(spark, sf_dir)
-    boxes = clips.select("video_id").distinct().select("video_id", *(F.lit(v).alias(c) for c, v in zip("xywh", X.MARK)))
-    return frames.recovery(frames.match_frames(clips, boxes)).select("video_id", "frames", "recovered", "good", F.round("median_confidence", 3).alias("median_confidence"), "warn")
+    return frames.recovery(frames.match_frames(*_marked(spark, sf_dir))).select("video_id", "frames", "recovered", "good", F.round("median_confidence", 3).alias("median_confidence"), "warn")
+
+
+def _marked(spark, sf_dir):
+    clips = checkpointed(X.pan_frames(spark, sf_dir))
+    return clips, clips.select("video_id").distinct().select("video_id", *(F.lit(v).alias(c) for c, v in zip("xywh", X.MARK)))
+
+
+# What moves is known: 3 to 5 pixels a frame to the left, so every frame has one that shows what its mark hides.
+@query("SELECT s_suppkey AS video_id, t::INTEGER AS t, true AS matched, -(3 + s_suppkey % 3)::INTEGER AS dx_a_frame, 0 AS dy FROM supplier, range(0, 12) AS r(t)")
+def matched_shifts(spark, sf_dir):
+    found = frames.match_frames(*_marked(spark, sf_dir))
+    return found.select("video_id", "t", "matched", F.round(F.col("dx") / (F.col("source") - F.col("t"))).cast("int").alias("dx_a_frame"), F.round("dy").cast("int").alias("dy"))
+
+
+@query("SELECT s_suppkey AS video_id, t::INTEGER AS t, true AS matched, true AS same_outside, false AS mark_left FROM supplier, range(0, 12) AS r(t)")
+def rebuilt_frames(spark, sf_dir):
+    """Frames with their hidden parts put back: nothing else changes, and no row of the mark is left."""
+    clips, boxes = _marked(spark, sf_dir)
+    x, y, w, h = X.MARK
+    line = lambda frame, row: f"substring({frame}, {row} * width + 1, width)"
+    outside = lambda frame: f"transform(sequence(0, height - 1), r -> CASE WHEN r BETWEEN {y} AND {y + h - 1} THEN concat(substring({frame}, r * width + 1, {x}), substring({frame}, r * width + {x + w + 1}, width - {x + w})) ELSE {line(frame, 'r')} END)"
+    mark_left = f"exists(sequence({y}, {y + h - 1}), r -> substring(made, r * width + {x + 1}, {w}) = X'{bytes([250] * w).hex()}')"
+    made = frames.rebuilt_frames(clips, boxes).select("video_id", "t", "matched", F.col("gray").alias("made"))
+    return clips.join(made, ["video_id", "t"]).selectExpr("video_id", "t", "matched", f"{outside('gray')} = {outside('made')} AS same_outside", f"{mark_left} AS mark_left")
 
 
 @query("""WITH f AS (SELECT user_id AS video_id, event_id, epoch(ts) - epoch(min(ts) OVER (PARTITION BY user_id)) AS ts, epoch(max(ts) OVER (PARTITION BY user_id)) - epoch(min(ts) OVER (PARTITION BY user_id)) AS duration FROM events),
@@ -738,14 +779,12 @@ def sampled_frames(spark, sf_dir):
 
 # --- jobs and summaries ------------------------------------------------------
 
-_JOBS_SQL = "j AS (SELECT event_id AS job_id, epoch(ts) AS created, CASE WHEN event_id % 31 <> 0 THEN epoch(ts) + value * 60 END AS mtime, user_id AS run_id, ts, event_type = 'error' AS failed FROM events), w AS (SELECT median(created) AS now FROM j)"
+_JOBS_SQL = f"j AS (SELECT event_id AS job_id, epoch(ts) AS created, CASE WHEN event_id % 31 <> 0 THEN epoch(ts) + value * 60 END AS mtime, user_id AS run_id, ts, event_type = 'error' AS failed FROM events), w AS (SELECT {X.NOW}::DOUBLE AS now)"
 
 
 @query(f"WITH {_JOBS_SQL} SELECT job_id FROM j CROSS JOIN w WHERE mtime IS NULL OR greatest(now - created, now - mtime) > 7200")
 def expired_jobs(spark, sf_dir):
-    jobs = X.jobs(spark, sf_dir)
-    now = jobs.agg(F.median("created")).first()[0]
-    return streams.expired(jobs, now).select("job_id")
+    return streams.expired(X.jobs(spark, sf_dir), X.NOW).select("job_id")
 
 
 @query(f"WITH {_JOBS_SQL} SELECT run_id, count(*) AS done, count(*) FILTER (failed) AS failed, 'file_' || max(row(ts, 'file_' || job_id || '.png'))[2][6:-5] || '.png' AS current FROM j GROUP BY 1")

@@ -93,6 +93,6 @@ def suggest_crops(videos: DataFrame) -> DataFrame:
     return best.select("video_id", "fmt", "label", long(x).alias("x"), long(y).alias("y"), w.cast("long").alias("w"), h.cast("long").alias("h"), F.bround(F.lit(100.0) * w / W, 1).alias("keep_width"))
 
 
-def actionable(box_given: Column, accept_detected: bool = False) -> Column:
+def actionable(box_given: Column, accept_detected: bool | Column = False) -> Column:
     """Whether a box may be acted on: given by hand, or a detected one that the caller accepts."""
-    return box_given | F.lit(accept_detected)
+    return box_given | (accept_detected if isinstance(accept_detected, Column) else F.lit(accept_detected))

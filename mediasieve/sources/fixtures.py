@@ -11,6 +11,8 @@ import struct
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: The time (seconds since 1970) at which jobs are judged.
+NOW = 1705363200.0
 VARIANTS = ("clean", "comment", "camera", "c2pa", "generator", "xmp", "synthid", "icc")
 C2PA = b"jumbc2pa manifest trainedAlgorithmicMedia"
 XMP = b"http://ns.adobe.com/xap/1.0/\0<x:xmpmeta/>"
@@ -254,6 +256,19 @@ def frame_pixels(spark: SparkSession, sf_dir: str, n_frames: int = 4) -> DataFra
     return grid.select("video_id", "t", "y", "x", F.when(mark, 230.0).otherwise(moving.cast("double")).alias("gray"))
 
 
+def frame_clips(spark: SparkSession, sf_dir: str, n_frames: int = 24) -> DataFrame:
+    """(video_id, t, height, width, gray) of the clips of ``frame_pixels``, a frame as bytes."""
+    k = F.col("s_suppkey")
+    clips = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(k.alias("video_id"), (k % 6).alias("c"), F.explode(F.sequence(F.lit(0), F.lit(n_frames - 1))).alias("t"))
+    # The 160 rows that the moving picture has, one after another in hexadecimal digits.
+    rows = "".join(bytes((7 * x + first) % 160 for x in range(128)).hex() for first in range(160))
+    row = f"substring('{rows}', CAST((13 * y + t * (video_id % 5 + 11)) % 160 * 256 + 1 AS INT), 256)"
+    wide, left, top = "CASE WHEN c = 5 THEN 30 ELSE 8 END", "CASE WHEN c IN (1, 3) THEN 114 ELSE 4 END", "CASE WHEN c IN (2, 3) THEN 82 ELSE 4 END"
+    marked = f"overlay({row} PLACING repeat('e6', {wide}) FROM 2 * ({left}) + 1)"
+    frame = f"array_join(transform(sequence(0, 95), y -> CASE WHEN c <> 4 AND y BETWEEN {top} AND {top} + 7 THEN {marked} ELSE {row} END), '')"
+    return clips.select("video_id", "t", F.lit(96).alias("height"), F.lit(128).alias("width"), F.expr(f"unhex({frame})").alias("gray"))
+
+
 def epoch_seconds(column: str) -> Column:
     """Seconds since 1970 of a timestamp without a time zone, whatever the session's."""
     return F.expr(f"CAST(CAST({column} - TIMESTAMP_NTZ'1970-01-01 00:00:00' AS INTERVAL SECOND) AS DECIMAL(20, 6))").cast("double")

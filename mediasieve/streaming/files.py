@@ -70,8 +70,13 @@ class ExpiringJobs(StatefulProcessor):
         pass
 
 
-def expire_stream(jobs: DataFrame, seconds: int = JOB_SECONDS, delay: str = "2 hours") -> DataFrame:
-    """A stream of (job_id, created_ms) of jobs when event time passes their end, as ``expired`` judges them.
+def expire_stream(jobs: DataFrame, seconds: int = JOB_SECONDS, delay: str = "2 hours", clock: str = "event") -> DataFrame:
+    """A stream of (job_id, created_ms) of jobs when time passes their end, as ``expired`` judges them.
+
+    With the ``processing`` clock that is the wall clock: a job comes out when
+    its seconds are over, whether or not anything is observed after it, and
+    nothing is dropped as late. With the ``event`` clock time is that of the
+    observations, for replays.
 
     ``jobs(job_id, created, mtime, seen)`` is a stream of observations. Event
     time is ``seen`` (without such a column, ``created``), so that a job that
@@ -80,7 +85,10 @@ def expire_stream(jobs: DataFrame, seconds: int = JOB_SECONDS, delay: str = "2 h
     that is gone: the job is given out at once; without the column, jobs don't
     change. State is one entry a job and goes with its timer.
     """
-    timed = jobs.withColumn("seen", F.col("seen" if "seen" in jobs.columns else "created")).withWatermark("seen", delay)
+    if clock not in ("event", "processing"):
+        raise ValueError("clock must be event or processing")
+    timed = jobs.withColumn("seen", F.col("seen" if "seen" in jobs.columns else "created"))
+    timed = timed.withWatermark("seen", delay) if clock == "event" else timed
     changed = F.unix_millis("mtime" if "mtime" in jobs.columns else "created")
     timed = timed.select("job_id", "seen", F.unix_millis("created").alias("created_ms"), changed.alias("changed_ms"))
-    return timed.groupBy("job_id").transformWithStateInPandas(ExpiringJobs(seconds), outputStructType="job_id long, created_ms long", outputMode="append", timeMode="eventtime")
+    return timed.groupBy("job_id").transformWithStateInPandas(ExpiringJobs(seconds), outputStructType="job_id long, created_ms long", outputMode="append", timeMode=f"{clock}time")

@@ -1,5 +1,6 @@
 import datetime as dt
 import os
+import time
 
 from pyspark.sql import functions as F
 from test_containers import chunk, jpeg, png, seg
@@ -71,3 +72,20 @@ def test_jobs_expire_by_the_older_of_two_times(spark, tmp_path):
     drain(S.expire_stream(stream, delay="10 minutes"), "expiry2")
     # The watermark ends at 12:56.
     assert sorted(r.job_id for r in spark.table("expiry2").collect()) == [1, 2, 3, 4, 5]
+
+
+def test_a_job_expires_by_the_wall_clock_without_later_events(spark, tmp_path):
+    now = dt.datetime.now(dt.timezone.utc)
+    rows = [(1, now), (2, now + dt.timedelta(hours=1))]
+    spark.createDataFrame(rows, "job_id long, created timestamp").coalesce(1).write.parquet(str(tmp_path / "in"))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    stream = spark.readStream.schema("job_id long, created timestamp").parquet(str(tmp_path / "in"))
+    query = S.expire_stream(stream, seconds=5, clock="processing").writeStream.format("memory").queryName("expiry3").outputMode("append").trigger(processingTime="1 second").start()
+    try:
+        for _ in range(90):
+            time.sleep(1)
+            if spark.table("expiry3").count():
+                break
+        assert [r.job_id for r in spark.table("expiry3").collect()] == [1]
+    finally:
+        query.stop()
