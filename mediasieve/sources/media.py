@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 import os
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mediasieve.functions.scalars import base_name, extension, media_kind
+from mediasieve.functions.scalars import base_name
+from mediasieve.sources.listing import list_files, list_unsupported
+from mediasieve.sources.pieces import publish
+from mediasieve.sources.shared import opened
 
 PROBE_SCHEMA = "struct<format: struct<duration: string, tags: map<string,string>>, streams: array<struct<codec_type: string, codec_name: string, width: int, height: int, avg_frame_rate: string, tags: map<string,string>>>>"
+#: Bytes of a file that is held in a row at most.
+MAX_CONTENT = 1 << 30
 MEDIA_COLUMNS = ("path", "rel_path", "ext", "kind", "length", "modificationTime", "content")
 
 
@@ -23,22 +28,43 @@ def _relative(path: Column, root: str) -> Column:
     return F.substring(bare, len("/" + top.lstrip("/")) + 2, 1 << 20)
 
 
-def scan(spark: SparkSession, root: str, max_bytes: int | None = None) -> DataFrame:
-    """Supported files below ``root``; files over ``max_bytes`` are left out before they are read.
+def _uri(root: str) -> str:
+    return root if ":" in root else f"file://{os.path.abspath(root)}"
 
-    Names that begin with a dot or an underscore, and folders named so, aren't
-    listed by Spark's file sources.
+
+def with_contents(listed: DataFrame, max_bytes: int = MAX_CONTENT) -> DataFrame:
+    """``listed(path, length, ..)`` with the files' bytes, read by the tasks; null where a file is larger or can't be read.
+
+    Rows with a null content are error rows of whatever walks or cleans them;
+    ``walk_files`` and ``plan_files`` take files of any size.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    if max_bytes is not None:
-        files = files.where(F.col("length") <= max_bytes)
-    return files.select("path", _relative(F.col("path"), root).alias("rel_path"), extension(F.col("path")).alias("ext"), media_kind(F.col("path")).alias("kind"), "length", "modificationTime", "content").where("kind IS NOT NULL")
+    names = [f.name for f in listed.schema.fields]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1)
+                path, length = row.column(names.index("path"))[0].as_py(), row.column(names.index("length"))[0].as_py()
+                data = None
+                if length is not None and length <= max_bytes:
+                    try:
+                        with opened(path) as f:
+                            data = f.read()
+                    except OSError:
+                        pass
+                yield row.append_column("content", pa.array([data], pa.binary()))
+
+    return listed.mapInArrow(read, T.StructType([*listed.schema.fields, T.StructField("content", T.BinaryType())]))
+
+
+def scan(spark: SparkSession, root: str, max_bytes: int = MAX_CONTENT) -> DataFrame:
+    """Supported files below ``root`` with their bytes, as ``list_files`` finds them; larger and unreadable ones have no content."""
+    return with_contents(list_files(spark, _uri(root)), max_bytes).select(*MEDIA_COLUMNS)
 
 
 def unsupported(spark: SparkSession, root: str) -> DataFrame:
     """Relative names of the other files; contents aren't read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return files.where(media_kind(F.col("path")).isNull()).select(_relative(F.col("path"), root).alias("rel_path"))
+    return list_unsupported(spark, _uri(root))
 
 
 def pictures(spark: SparkSession, root: str) -> DataFrame:
@@ -91,35 +117,14 @@ def stream_facts(parsed: Column) -> list[Column]:
 
 
 def write_files(df: DataFrame, root: str, path: str = "out_path", content: str = "content") -> DataFrame:
-    """Writes each row's bytes to ``root``/path with the session's shared file system; returns (out_path, written, error).
+    """Writes each row's bytes to ``root``/path by the publishing sink; returns (out_path, written, error).
 
-    A failed file becomes a row with its error. Paths that leave ``root`` are
-    refused. Rows are written where they are; the result must be stored or
-    counted for the files to be made.
+    Files appear when the whole job has succeeded. A failed file becomes a row
+    with its error; paths that leave ``root`` are refused. Of rows that share an
+    output path one is kept whole.
     """
-
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
-        system, top = fs.FileSystem.from_uri(root)
-        for pdf in batches:
-            out = []
-            for name, data in zip(pdf["out_path"], pdf["content"]):
-                try:
-                    if os.path.isabs(name) or os.path.normpath(name).startswith(".."):
-                        raise ValueError("path escapes the output folder")
-                    system.create_dir(os.path.dirname(f"{top}/{name}"), recursive=True)
-                    # A name of its own first: tasks that run twice don't write into each other's file.
-                    draft = f"{top}/{os.path.dirname(name)}/.{uuid.uuid4().hex}"
-                    with system.open_output_stream(draft) as f:
-                        f.write(data)
-                    system.move(draft, f"{top}/{name}")
-                    out.append((name, len(data), None))
-                except (OSError, ValueError) as e:
-                    out.append((name, 0, str(e)))
-            yield pd.DataFrame(out, columns=["out_path", "written", "error"])
-
-    return df.select(F.col(path).alias("out_path"), F.col(content).alias("content")).mapInPandas(write, T.StructType.fromDDL("out_path string, written long, error string"))
+    done = publish(df.select(F.col(path).alias("path"), F.col(path).alias("out_path"), F.col(content).alias("content")), root)
+    return done.select("out_path", F.coalesce("written", F.lit(0)).alias("written"), "error")
 
 
 def hidden(path: Column) -> Column:

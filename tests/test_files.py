@@ -19,6 +19,7 @@ from mediasieve.operators import clean, grid
 from mediasieve.operators.records import describe, describe_file, walk, walk_files
 from mediasieve.sources import fixtures as X
 from mediasieve.sources.listing import list_all, list_files, list_unsupported
+from mediasieve.sources.media import scan
 from mediasieve.sources.pieces import PieceWriter, publish
 
 SF = "/root/testdata/sf0.001"
@@ -92,6 +93,15 @@ def test_files_by_path_are_walked_and_judged_as_in_memory(spark, tmp_path):
     assert all(r.error.startswith("unreadable") for r in walk_files(gone).collect())
 
 
+def test_scan_takes_contents_up_to_a_size(spark, tmp_path):
+    (tmp_path / "_a.png").write_bytes(b"12345")
+    (tmp_path / "b.mp4").write_bytes(b"1234567890")
+    (tmp_path / "c.txt").write_bytes(b"no")
+    got = {r.rel_path: (r.kind, r.length, r.content and bytes(r.content)) for r in scan(spark, str(tmp_path), max_bytes=6).collect()}
+    assert got == {"_a.png": ("image", 5, b"12345"), "b.mp4": ("video", 10, None)}
+    assert [r.error for r in walk(scan(spark, str(tmp_path), max_bytes=6)).orderBy("path").collect()] == [None, "unreadable"]
+
+
 def test_files_over_two_gigabytes_are_walked_and_planned_in_little_memory(tmp_path):
     path = tmp_path / "_big.mp4"
     big = 3 << 30
