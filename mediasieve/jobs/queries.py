@@ -457,12 +457,23 @@ def folder_collisions(spark, sf_dir):
     return naming.collisions(rows)
 
 
-@query()
-def unique_upload_names(spark, sf_dir):
-    return naming.unique_names(X.uploads(spark, sf_dir))
+_UPLOADS_SQL = """u AS (SELECT page_id AS ord, page_id % 7 AS batch, CASE (page_id // 7) % 9 WHEN 0 THEN 'shot.jpg' WHEN 1 THEN 'SHOT.jpg' WHEN 2 THEN 'shot_1.jpg' WHEN 3 THEN 'notes.txt' WHEN 4 THEN '' WHEN 5 THEN 'clip' || (page_id % 5) || '.mp4' WHEN 6 THEN 'dir/photo.png' ELSE 'img' || page_id || '.webp' END AS name FROM pages)"""
 
 
-_UPLOADS_SQL = """u AS (SELECT page_id AS ord, page_id % 7 AS batch, CASE (page_id // 7) % 9 WHEN 0 THEN 'shot.jpg' WHEN 1 THEN 'SHOT.jpg' WHEN 2 THEN 'shot_1.jpg' WHEN 3 THEN 'notes.txt' WHEN 4 THEN '' WHEN 5 THEN 'clip' || (page_id % 5) || '.mp4' WHEN 6 THEN 'dir/photo.png' ELSE 'img' || page_id || '.webp' END AS name FROM pages)"""
+# One upload of each batch at a time: the first of its names that none before it has.
+@query(f"""WITH RECURSIVE {_UPLOADS_SQL}, n AS (
+  SELECT batch, ord, name, row_number() OVER (PARTITION BY batch ORDER BY ord) AS i, CASE WHEN name = '' THEN 'upload' ELSE regexp_extract(name, '[^/]*$') END AS base FROM u
+), h AS (SELECT *, CASE WHEN regexp_matches(base, '^.+\\.[^.]*$') THEN regexp_replace(base, '\\.[^.]*$', '') ELSE base END AS head FROM n),
+r(batch, i, ord, name, made, used) AS (
+  SELECT batch, i, ord, name, base, [lower(base)] FROM h WHERE i = 1
+  UNION ALL
+  SELECT batch, i, ord, name, made, list_append(used, lower(made)) FROM (
+    SELECT h.batch, h.i, h.ord, h.name, r.used, CASE WHEN NOT list_contains(r.used, lower(base)) THEN base ELSE
+      [c FOR c IN [head || '_' || k || substring(base, length(head) + 1) FOR k IN range(1, len(r.used) + 1)] IF NOT list_contains(r.used, lower(c))][1] END AS made
+    FROM r JOIN h ON h.batch = r.batch AND h.i = r.i + 1)
+) SELECT batch, ord, name, made AS "unique" FROM r""")
+def unique_upload_names(spark, sf_dir):
+    return naming.unique_names(X.uploads(spark, sf_dir))
 
 
 @query(f"WITH {_UPLOADS_SQL} SELECT batch, ord, name, CASE WHEN name = 'notes.txt' THEN 'unsupported file type' END AS error FROM u WHERE name <> ''")

@@ -34,6 +34,18 @@ def test_unique_names_match_a_plain_loop(spark):
         assert [u for _, u in mine] == unique_dest([n for bb, _, n in rows if bb == b])
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_unique_names_where_real_names_look_generated(spark, seed):
+    rng = np.random.default_rng(seed)
+    pool = ["s.jpg"] * 6 + [f"s_{k}.jpg" for k in range(1, 13)] + [f"S_{k}_{j}.jpg" for k in (1, 2, 3) for j in (1, 2)] + ["s_01.jpg", "s_0.jpg", "_1.jpg", ".jpg", "s", "s_1", ".s_1", "s_1.", "s."]
+    rows = [(0, k, str(rng.choice(pool))) for k in range(150)] + [(1, 1000 - k, str(rng.choice(pool))) for k in range(60)]
+    got = naming.unique_names(spark.createDataFrame(rows, "batch long, ord long, name string").repartition(3)).collect()
+    for b in (0, 1):
+        mine = sorted((r.ord, r.unique) for r in got if r.batch == b)
+        assert [u for _, u in mine] == unique_dest([n for _, _, n in sorted(r for r in rows if r[0] == b)])
+    assert naming.unique_names(spark.createDataFrame([], "batch long, ord long, name string")).count() == 0
+
+
 def test_numbers_run_over_all_ranges(spark):
     rows = spark.range(1000).select((F.col("id") * 7919 % 1009).alias("k"))
     got = naming.numbered(rows, "k", parts=7).collect()

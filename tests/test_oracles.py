@@ -36,7 +36,7 @@ def test_query_matches_sql(spark, duck, name):
 
 
 def test_all_but_listed_queries_have_sql():
-    assert set(QUERIES) - set(SQL) == {"unique_upload_names", "frame_recovery"}
+    assert set(QUERIES) - set(SQL) == {"frame_recovery"}
 
 
 def test_recovery_of_moving_clips(spark):
