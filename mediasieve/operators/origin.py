@@ -6,14 +6,21 @@ not change where a file came from, and a pixel watermark outlives cleaning.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator, Sequence
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mediasieve.functions.dictionaries import CAMERA_TAGS, GENERATION_KEYS, GENERATOR_NAMES, GENERATOR_SIZES, TEXT_TAGS
 from mediasieve.operators.findings import declares_synthid
 
 EVIDENCE = "array<struct<weight:string,label:string,detail:string>>"
 
+#: So many names are looked for one by one, and so many bytes of names are sent to each task at most.
+MANY_NAMES, MAX_NAME_BYTES = 64, 64 << 20
 #: (verdict, headline, explanation)
 VERDICTS = (
     ("ai-declared", "The file says that it was generated", "A declaration inside the file, not a guess. Removing it would not change where the file came from."),
@@ -36,16 +43,54 @@ def blobs(is_video: Column) -> Column:
     return F.when(is_video, found).otherwise(F.concat(found, keys, tags))
 
 
+def with_names_found(df: DataFrame, names: Sequence[str], whole_words: bool = False) -> DataFrame:
+    """``df`` with ``names_found``: whether each text of its ``blobs``, in lower case, holds one of the names."""
+    listed = sorted({n for n in names if n})
+    size = sum(len(n.encode()) for n in listed)
+    if size > MAX_NAME_BYTES:
+        raise ValueError(f"names of {size} bytes; {MAX_NAME_BYTES} are the most that each task is given")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for n in listed:
+            automaton.add_word(n, len(n))
+        automaton.make_automaton()
+        inner = re.compile(r"\w")
+
+        def holds(text: str | None) -> bool:
+            for last, n in automaton.iter(text or ""):
+                if not whole_words or not (inner.match(text[last - n : last - n + 1]) or inner.match(text[last + 1 : last + 2])):
+                    return True
+            return False
+
+        for batch in batches:
+            texts = batch.column("_low").to_pylist()
+            found = pa.array([[holds(t) for t in some or []] for some in texts], pa.list_(pa.bool_()))
+            yield batch.set_column(batch.schema.get_field_index("_low"), "names_found", found)
+
+    low = df.withColumn("_low", F.transform("blobs", lambda b: F.lower(b.text)))
+    return low.mapInArrow(search, T.StructType([*df.schema.fields, T.StructField("names_found", T.ArrayType(T.BooleanType()))]))
+
+
 def assess(found: DataFrame, names: tuple[str, ...] = GENERATOR_NAMES, whole_words: bool = False) -> DataFrame:
     """``found`` (walked rows with findings and is_video) with evidence, verdict, synthid, headline and explanation.
 
-    Names match inside words, as the reference list asks; ``whole_words`` asks
-    for word borders.
+    Names match inside words, as the list of names asks; ``whole_words`` asks
+    for word borders. A few names are looked for one after another in the plan;
+    of more than MANY_NAMES each task builds one automaton, which reads a text
+    once, however many they are.
     """
     video = F.coalesce(F.col("is_video"), F.lit(False))
-    listed = F.array(*map(F.lit, names))
-    has = (lambda text, n: F.regexp_like(text, F.concat(F.lit(r"(?<!\w)\Q"), n, F.lit(r"\E(?!\w)")))) if whole_words else F.contains
     df = found.withColumn("blobs", blobs(video))
+    if len(names) > MANY_NAMES:
+        df = with_names_found(df, names, whole_words)
+        holds = lambda b, k: F.get("names_found", k)
+    else:
+        listed = F.array(*map(F.lit, names)).cast("array<string>")
+        has = (lambda text, n: F.regexp_like(text, F.concat(F.lit(r"(?<!\w)\Q"), n, F.lit(r"\E(?!\w)")))) if whole_words else F.contains
+        holds = lambda b, k: F.exists(listed, lambda n: has(F.lower(b.text), n))
     raw = F.array_compact(
         F.array(
             F.when(F.col("says_generated"), _evidence("declared", "C2PA assertion: trainedAlgorithmicMedia", F.lit("the file states that a generative model made it"))),
@@ -57,7 +102,7 @@ def assess(found: DataFrame, names: tuple[str, ...] = GENERATOR_NAMES, whole_wor
         )
     )
     named = F.transform(
-        F.filter("blobs", lambda b: F.exists(listed, lambda n: has(F.lower(b.text), n))),
+        F.filter("blobs", holds),
         lambda b: _evidence("declared", "Generator named in metadata", F.concat(b.place, F.lit(" -> "), F.substring(F.trim(b.text), 1, 80))),
     )
     kinds = F.create_map(*(F.lit(x) for kv in GENERATION_KEYS.items() for x in kv))
@@ -87,7 +132,7 @@ def assess(found: DataFrame, names: tuple[str, ...] = GENERATOR_NAMES, whole_wor
         .when(video | (F.col("verdict") == "ai-declared"), "No pixel watermark is declared, which does not mean that there is none: it would be invisible and outlive all metadata, and only its maker's detector could tell.")
         .otherwise("No pixel watermark is declared; only its maker's detector could tell whether the pixels hold one.")
     )
-    return df.withColumn("verdict", verdict).withColumn("synthid", synthid).withColumn("headline", words(1)).withColumn("explanation", words(2)).withColumn("synthid_note", note).drop("blobs", "camera")
+    return df.withColumn("verdict", verdict).withColumn("synthid", synthid).withColumn("headline", words(1)).withColumn("explanation", words(2)).withColumn("synthid_note", note).drop("blobs", "camera", "names_found")
 
 
 def still_declared(found: DataFrame) -> DataFrame:

@@ -115,8 +115,17 @@ def describe(path: str, data: C.Data | None) -> dict:
             kind, label, detail = _finding(row["container"], r, data)
             row["records"].append({"seq": seq, "rtype": r.rtype, "offset": r.offset, "length": r.length, "header": r.header, "depth": r.depth, "kind": kind, "label": label, "detail": detail})
         row["info"] = _info(row["container"], records, data)
-        texts = [C.png_text(r.rtype, data[r.offset + 8 : r.offset + r.length - 4]) for r in records if row["container"] == "png" and r.rtype in ("tEXt", "zTXt", "iTXt")]
-        row["text_kv"] = list({t[0]: t for t in texts if t}.values())
+        texts = {}
+        for r in records:
+            if row["container"] == "png" and r.rtype in ("tEXt", "zTXt", "iTXt"):
+                try:
+                    found = C.png_text(r.rtype, data[r.offset + 8 : r.offset + r.length - 4])
+                except ValueError as e:  # the other records are good
+                    row["error"] = f"{r.rtype} at {r.offset}: {e}"
+                    continue
+                if found:
+                    texts[found[0]] = found
+        row["text_kv"] = list(texts.values())
         row["exif"] = list(C.tiff_tags(C.exif_block(row["container"], data, records)).items())
         row["width"], row["height"] = C.dimensions(row["container"], data, records) or (None, None)
     except (ValueError, IndexError, OverflowError, OSError) as e:

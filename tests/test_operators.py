@@ -240,3 +240,38 @@ def test_written_files_replace_each_other_whole(spark, tmp_path):
     got = M.write_files(files, "file://" + str(tmp_path)).collect()
     assert sorted(r.written for r in got) == [0, 9, 9]
     assert [p.name for p in (tmp_path / "d").iterdir()] == ["x.png"] and (tmp_path / "d/x.png").read_bytes() in (b"a" * 9, b"b" * 9)
+
+
+def audited_names(spark, names, **how):
+    from mediasieve.operators import findings, origin
+    from mediasieve.operators.records import walk
+
+    media = X.media(spark, SF)
+    found = findings.with_findings(walk(media)).withColumn("is_video", F.col("container") == "iso")
+    return {r.path: [tuple(e) for e in r.evidence] for r in origin.assess(found, names, **how).collect()}
+
+
+def test_many_names_are_found_as_few_are(spark):
+    from mediasieve.functions.dictionaries import GENERATOR_NAMES
+
+    some = (*GENERATOR_NAMES[:30], "the", "er a", "(x", "é")
+    noise = tuple(f"no such name {k}" for k in range(20_000))
+    for how in ({}, {"whole_words": True}):
+        few = audited_names(spark, some, **how)
+        assert audited_names(spark, (*some, *noise), **how) == few
+        assert any("Generator named in metadata" in e[1] for es in few.values() for e in es)
+
+
+def test_long_inflated_texts_are_whole(spark):
+    import zlib
+
+    from mediasieve.functions import containers
+    from mediasieve.operators.records import describe
+
+    body = b"Comment\0\0" + zlib.compress(b"word " * 10_000_000 + b"made with ComfyUI")
+    media = spark.createDataFrame([("a.png", "a.png", bytearray(png(chunk(b"zTXt", body))))], "path string, rel_path string, content binary")
+    row = reports.audit(media).select("verdict", F.length(F.element_at("text_kv", F.lit("Comment"))).alias("n")).first()
+    assert (row.verdict, row.n) == ("ai-declared", 50_000_017)
+    bomb = png(chunk(b"zTXt", b"k\0\0" + zlib.compress(bytes(containers.MAX_TEXT + 1))), chunk(b"tEXt", b"a\0b"))
+    got = describe("p", bomb)
+    assert "after inflation" in got["error"] and dict(got["text_kv"]) == {"a": "b"} and got["width"] == 40
