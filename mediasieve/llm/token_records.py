@@ -116,7 +116,7 @@ class WordEncoder:
     older is dropped when the younger is full.
     """
 
-    def __init__(self, path: str | None, cache_bytes: int = 24 << 20):
+    def __init__(self, path: str | None, cache_bytes: int = 96 << 20):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark gives a task one core
