@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +15,54 @@ from mediasieve.llm.batches import bound_batches, give_back
 
 _SENT = "block int, part int, size int, keys binary, counts binary"
 _BACK = "block int, part int, size int, totals binary"
-_SCORED = "doc_id long, n_words long, log_score double, mean_log_score double"
+_CUT = "doc_id long, of long, piece int, lead int, copies long, text string"
+_SCORED = "doc_id long, of long, piece int, copies long, n_words long, log_score double"
+#: Longer texts are cut into pieces of about so many bytes.
+PIECE_BYTES = 1 << 20
+
+
+def _cut(docs: DataFrame, order: int, limit: int) -> DataFrame:
+    """``docs(doc_id, text)`` in pieces between words, so that a text of any length is dealt into many blocks.
+
+    ``of`` is a hash of the whole text. A piece repeats the last ``order`` - 1
+    words before it, and ``lead`` is their number. Rows of a batch that are
+    equal become one with a number of ``copies``.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, ofs, texts = batch.column(0), batch.column(1), batch.column(2)
+            seen: dict[tuple, int] = {}
+            first = [k for k, key in enumerate(zip(ids.to_pylist(), ofs.to_pylist())) if seen.setdefault(key, k) == k]
+            copies = [1] * batch.num_rows
+            if len(first) < batch.num_rows:
+                for key in zip(ids.to_pylist(), ofs.to_pylist()):
+                    copies[seen[key]] += 1
+                copies = [n - 1 for n in copies]
+            size = pc.binary_length(texts).to_pylist()
+            short = [k for k in first if (size[k] or 0) <= limit]
+            n = len(short)
+            zero = pa.array(np.zeros(n, np.int32))
+            columns = [c if n == batch.num_rows else c.take(pa.array(short, pa.int64())) for c in (ids, ofs, texts)]
+            yield _batch([columns[0], columns[1], zero, zero, pa.array([copies[k] for k in short], pa.int64()), columns[2]])
+            for k in first:
+                if (size[k] or 0) > limit:
+                    tail: list[bytes] = []
+                    for nth, piece in enumerate(words.pieces(texts[k].as_py().encode(), limit)):
+                        whole = b" ".join([*tail, piece])
+                        row = [ids[k].as_py()], [ofs[k].as_py()], [nth], [len(tail)], [copies[k]], [whole.decode()]
+                        yield _batch([pa.array(c, t) for c, t in zip(row, _TYPES)])
+                        tail = [*tail, *piece.rsplit(None, order)][1 - order :] if order > 1 else []
+
+    hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("of"), "text")
+    return hashed.mapInArrow(cut, _CUT)
+
+
+_TYPES = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.string())
+
+
+def _batch(columns: list[pa.Array]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "of", "piece", "lead", "copies", "text"])
 
 
 def _grams(texts: list[bytes], order: int, bits: int):
@@ -27,7 +77,7 @@ def _grams(texts: list[bytes], order: int, bits: int):
     return counts, out
 
 
-def stupid_backoff(docs: DataFrame, order: int = 3, backoff: float = 0.4, min_count: int = 2) -> DataFrame:
+def stupid_backoff(docs: DataFrame, order: int = 3, backoff: float = 0.4, min_count: int = 2, piece_bytes: int = PIECE_BYTES) -> DataFrame:
     """Score every whole text by a word n-gram model of all texts.
 
     The score of a word is count(n-gram) / count(n-gram without its last word)
@@ -41,7 +91,10 @@ def stupid_backoff(docs: DataFrame, order: int = 3, backoff: float = 0.4, min_co
     distinct n-grams with counts to the task of their hash range, which holds
     that part of the count table; the totals come back to the block, where they
     are joined to the exploded n-grams and summed by document. Keys are
-    hashes with 24 bits more than the number of n-grams needs.
+    hashes with 24 bits more than the number of n-grams needs. Texts of more
+    than ``piece_bytes`` are dealt in pieces, whose sums are added up, and equal
+    rows that lie together are dealt as one, so neither a long text nor a row
+    that is repeated often makes a block large.
 
     Null or wordless text: 0 words, log_score 0, mean null. Repeated rows are
     documents of their own. An empty table gives an empty result. Further
@@ -52,13 +105,21 @@ def stupid_backoff(docs: DataFrame, order: int = 3, backoff: float = 0.4, min_co
     n_bytes, n_words = blocks.corpus_size(docs)
     n_blocks, n_ranges = blocks.sizes(n_bytes, n_words)
     bits = blocks.key_bits(n_words)
-    dealt = docs.select(blocks.block_of(n_blocks, F.col("doc_id"), F.col("text")).alias("block"), "doc_id", "text")
+    dealt = _cut(docs, order, piece_bytes).withColumn("block", blocks.block_of(n_blocks, F.col("doc_id"), F.col("piece"), F.col("text")))
 
     def send(table: pa.Table) -> pa.Table:
         block = table.column("block")[0].as_py()
+        lead, copies = (table.column(c).to_numpy() for c in ("lead", "copies"))
+        sizes, grams = _grams(blocks.texts_of(table), order, bits)
         rows = []
-        for n, (keys, _) in enumerate(_grams(blocks.texts_of(table), order, bits)[1]):
-            keys, counts = np.unique(keys, return_counts=True)
+        for n, (keys, at) in enumerate(grams):
+            if lead.any() or (copies > 1).any():
+                row = np.repeat(np.arange(len(sizes)), sizes)[at]
+                new = at - (np.cumsum(sizes) - sizes)[row] + n >= lead[row]  # others are in the piece before
+                keys, place = np.unique(keys, return_inverse=True)
+                counts = np.bincount(place, new * copies[row], len(keys)).astype(np.int64)
+            else:
+                keys, counts = np.unique(keys, return_counts=True)
             edges = blocks.cuts(keys, n_ranges, bits)
             rows += [(block, n * n_ranges + k, b - a, blocks.pack_keys(keys[a:b]), blocks.pack(counts[a:b])) for k, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
         return _table(rows, ["block", "part", "size", "keys", "counts"], [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()])
@@ -88,12 +149,18 @@ def stupid_backoff(docs: DataFrame, order: int = 3, backoff: float = 0.4, min_co
             end = at + n
             tried = np.minimum(order - 1, depth[end])
             logs[end] = np.log(seen[n, at]) - np.log(seen[n - 1, at]) + (tried - n) * np.log(backoff)
+        lead = table.column("lead").to_numpy()
+        if lead.any():
+            logs[depth < np.repeat(lead, counts)] = 0  # scored in the piece before
         sums = np.bincount(np.repeat(np.arange(len(counts)), counts), logs, len(counts))
-        mean = pa.array(sums / np.maximum(counts, 1), mask=counts == 0)
-        return pa.table({"doc_id": table.column("doc_id"), "n_words": pa.array(counts), "log_score": pa.array(sums), "mean_log_score": mean})
+        return table.select(["doc_id", "of", "piece", "copies"]).append_column("n_words", pa.array(counts - lead)).append_column("log_score", pa.array(sums))
 
     answers = dealt.groupBy("block").applyInArrow(send, _SENT).groupBy("part").applyInArrow(total, _BACK)
-    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, _SCORED)
+    scored = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, _SCORED)
+    copies = F.sum(F.when(F.col("piece") == 0, F.col("copies")))
+    merged = scored.groupBy("doc_id", "of").agg(copies.alias("rows"), F.sum(F.col("n_words") * F.col("copies")).alias("n_words"), F.sum(F.col("log_score") * F.col("copies")).alias("log_score"))
+    one = merged.select("doc_id", F.expr("n_words DIV rows").alias("n_words"), (F.col("log_score") / F.col("rows")).alias("log_score"), F.explode(F.sequence(F.lit(1).cast("long"), "rows")))
+    return one.select("doc_id", "n_words", "log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")).alias("mean_log_score"))
 
 
 def _table(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.Table:

@@ -310,6 +310,29 @@ def test_scores(docs, order):
     assert all(abs(g[2] - w[2]) < 1e-4 for g, w in zip(got, want))
 
 
+@pytest.mark.parametrize("order, limit", [(3, 1), (3, 40), (1, 7), (5, 16)])
+def test_scores_of_texts_in_pieces(docs, order, limit):
+    """Pieces repeat the words before them, which count and score once."""
+    got = collect(lm_score.stupid_backoff(docs, order=order, piece_bytes=limit).select("doc_id", "n_words", F.round("log_score", 6)))
+    want = plain_scores(ROWS, order)
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert all(abs(g[2] - w[2]) < 1e-4 for g, w in zip(got, want))
+
+
+def test_scores_of_repeated_rows_and_a_long_text(spark):
+    """Equal rows count as often as they are there and each give a row; a text of many pieces is dealt into many blocks."""
+    long = " ".join(f"w{k * k % 97}  \n" for k in range(60000))
+    rows = [(1, "a b c a b")] * 700 + [(2, "a b c d")] * 3 + [(2, "a b")] + [(None, "c a b")] * 5 + [(None, None)] * 4 + [(3, long)] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = collect(lm_score.stupid_backoff(df, piece_bytes=5000).select("doc_id", "n_words", F.round("log_score", 6)))
+    want = plain_scores(rows)
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert all(abs(g[2] - w[2]) < 1e-3 for g, w in zip(got, want))
+    pieces = lm_score._cut(df.where("doc_id = 3"), 3, 5000)
+    assert pieces.select("piece").distinct().count() > 30 and pieces.agg(F.max(F.length("text"))).first()[0] < 5100
+    assert lm_score._cut(df.where("doc_id = 1"), 3, 5000).count() < 60
+
+
 def test_scores_of_nothing(none):
     assert lm_score.stupid_backoff(none).count() == 0
 
