@@ -168,13 +168,24 @@ def origin_texts(spark, sf_dir):
     return _audited(spark, sf_dir).select("media_id", "headline", note.alias("note"))
 
 
-@query(f"""WITH {_MEDIA_SQL} SELECT media_id, e.weight, e.label FROM m JOIN (VALUES
+_EVIDENCE_SQL = f"""WITH {_MEDIA_SQL} SELECT media_id, e.weight, e.label FROM m JOIN (VALUES
   ('declared', 'C2PA assertion: trainedAlgorithmicMedia', 1), ('declared', 'C2PA / Content Credentials manifest', 2), ('camera', 'Camera capture data present', 3),
   ('declared', 'Generation record embedded', 4), ('circumstantial', 'Size typical of a generator', 5), ('circumstantial', 'No metadata at all', 6)) AS e(weight, label, k)
-ON CASE e.k WHEN 1 THEN v = 3 WHEN 2 THEN v = 3 AND c IN (1, 3) WHEN 3 THEN v = 2 AND c < 3 WHEN 4 THEN v = 4 AND c = 1 WHEN 5 THEN typical AND c < 3 AND v <> 2 ELSE (v = 0 AND c < 3) OR (v = 1 AND c = 2) END""")
+ON CASE e.k WHEN 1 THEN v = 3 WHEN 2 THEN v = 3 AND c IN (1, 3) WHEN 3 THEN v = 2 AND c < 3 WHEN 4 THEN v = 4 AND c = 1 WHEN 5 THEN typical AND c < 3 AND v <> 2 ELSE (v = 0 AND c < 3) OR (v = 1 AND c = 2) END"""
+# A PNG's text is searched twice: as a value, and as the two longest readable runs of its chunk.
+_EVIDENCE_SQL += rf""" UNION ALL SELECT media_id, 'declared', 'Generator named in metadata' FROM (
+  SELECT media_id, note FROM m WHERE c = 1 AND v IN (1, 4)
+  UNION ALL SELECT media_id, '{X.SOFTWARE.decode()}' FROM m WHERE v = 4 AND c IN (0, 2)
+  UNION ALL SELECT media_id, string_agg(r, ' ' ORDER BY n) FROM (
+    SELECT media_id, r, row_number() OVER (PARTITION BY media_id ORDER BY length(r) DESC, k) AS n FROM (
+      SELECT media_id, unnest(runs) AS r, generate_subscripts(runs, 1) AS k FROM (
+        SELECT media_id, regexp_extract_all(CASE v WHEN 1 THEN 'Comment?' ELSE 'parameters?' END || note, '[A-Za-z0-9 ._:/@{{}}"''\[\],-]{{4,}}') AS runs FROM m WHERE c = 1 AND v IN (1, 4)))) WHERE n <= 2 GROUP BY 1
+) WHERE {_NAMED}"""
+
+
+@query(_EVIDENCE_SQL)
 def evidence_flat(spark, sf_dir):
-    rows = _audited(spark, sf_dir).select("media_id", F.explode("evidence").alias("e")).select("media_id", "e.weight", "e.label")
-    return rows.where("label <> 'Generator named in metadata'")
+    return _audited(spark, sf_dir).select("media_id", F.explode("evidence").alias("e")).select("media_id", "e.weight", "e.label")
 
 
 @query(f"WITH {_FOUND_SQL}{_O_SQL} SELECT o.media_id, o.verdict, CAST(count(f.media_id) AS BIGINT) AS n_findings FROM o LEFT JOIN f ON o.media_id = f.media_id GROUP BY 1, 2")
@@ -272,10 +283,10 @@ def clean_audit(spark, sf_dir):
     return done.select(_id(), "mode", (F.col("before") - F.col("after")).alias("saved"), "same_picture", "same_size", "n_before", F.col("n_left").cast("int").alias("n_left"))
 
 
-@query(f"WITH {_FOUND_SQL} SELECT label, count(*) AS n FROM f WHERE kind = 'chunk' OR kind = 'segment' GROUP BY 1")
+# What stays: an empty udta box, and signatures in WebP chunks other than EXIF, XMP and ICCP.
+@query(f"WITH {_FOUND_SQL} SELECT f.label, count(*) AS n FROM f JOIN m ON f.media_id = m.media_id WHERE NOT (m.c = 3 AND m.v = 7) AND NOT (m.c = 2 AND m.v IN (1, 3, 6)) GROUP BY 1")
 def removed_by_label(spark, sf_dir):
-    gone = clean.removed(X.media(spark, sf_dir))
-    return gone.where("kind IN ('chunk', 'segment')").groupBy("label").agg(F.count("*").alias("n"))
+    return clean.removed(X.media(spark, sf_dir)).groupBy("label").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {_MEDIA_SQL} SELECT media_id, CASE WHEN v IN (3, 4, 5, 6) OR (v = 1 AND note <> '') THEN 1 ELSE 0 END AS boxes, CASE WHEN v = 7 THEN 1 ELSE 0 END AS names FROM m WHERE c = 3")
@@ -332,7 +343,11 @@ def whole_png_texts(spark, sf_dir):
 
 @query(SQL["readable_runs"])
 def whole_readable_runs(spark, sf_dir):
-    return X.media(spark, sf_dir).select("media_id", S.readable_runs(F.col("note").cast("binary"), 4, 2, " ").alias("runs"))
+    """Of the notes as files of their own."""
+    root = fresh_folder(spark, "notes")
+    publish(X.media(spark, sf_dir).select("path", _numbered_path().alias("out_path"), F.col("note").cast("binary").alias("content")), root)
+    notes = M.with_contents(_listed(spark, root))
+    return notes.select("media_id", S.readable_runs(F.col("content"), 4, 2, " ").alias("runs"))
 
 
 @query(SQL["clean_audit"])
@@ -394,34 +409,15 @@ def unsupported_files(spark, sf_dir):
     return list_unsupported(spark, _named_files(spark, sf_dir))
 
 
-# --- all of the evidence, all removals, all numbers ----------------------------------
-
-
-# A PNG's text is searched twice: as a value, and as the two longest readable runs of its chunk.
-_WHOLE_EVIDENCE_SQL = SQL["evidence_flat"] + rf""" UNION ALL SELECT media_id, 'declared', 'Generator named in metadata' FROM (
-  SELECT media_id, note FROM m WHERE c = 1 AND v IN (1, 4)
-  UNION ALL SELECT media_id, '{X.SOFTWARE.decode()}' FROM m WHERE v = 4 AND c IN (0, 2)
-  UNION ALL SELECT media_id, string_agg(r, ' ' ORDER BY n) FROM (
-    SELECT media_id, r, row_number() OVER (PARTITION BY media_id ORDER BY length(r) DESC, k) AS n FROM (
-      SELECT media_id, unnest(runs) AS r, generate_subscripts(runs, 1) AS k FROM (
-        SELECT media_id, regexp_extract_all(CASE v WHEN 1 THEN 'Comment?' ELSE 'parameters?' END || note, '[A-Za-z0-9 ._:/@{{}}"''\[\],-]{{4,}}') AS runs FROM m WHERE c = 1 AND v IN (1, 4)))) WHERE n <= 2 GROUP BY 1
-) WHERE {_NAMED}"""
-
-
-@query(_WHOLE_EVIDENCE_SQL)
+@query(SQL["evidence_flat"])
 def whole_evidence(spark, sf_dir):
-    return _audited(spark, sf_dir).select("media_id", F.explode("evidence").alias("e")).select("media_id", "e.weight", "e.label")
+    return _audited_files(spark, sf_dir).select("media_id", F.explode("evidence").alias("e")).select("media_id", "e.weight", "e.label")
 
 
-# What stays: an empty udta box, and signatures in WebP chunks other than EXIF, XMP and ICCP.
-@query(f"WITH {_FOUND_SQL} SELECT f.label, count(*) AS n FROM f JOIN m ON f.media_id = m.media_id WHERE NOT (m.c = 3 AND m.v = 7) AND NOT (m.c = 2 AND m.v IN (1, 3, 6)) GROUP BY 1")
+@query(SQL["removed_by_label"])
 def whole_removed_by_label(spark, sf_dir):
-    return clean.removed(X.media(spark, sf_dir)).groupBy("label").agg(F.count("*").alias("n"))
-
-
-@query(f"WITH {_MEDIA_SQL} SELECT media_id, row_number() OVER (ORDER BY {_REL}, media_id) AS number FROM m")
-def whole_numbers(spark, sf_dir):
-    return naming.numbered(X.media(spark, sf_dir).select("rel_path", "media_id"), "rel_path", "media_id").select("media_id", "number")
+    before = _published(spark, sf_dir)
+    return clean.removed_between(before, _cleaned(spark, before), "media_id").groupBy("label").agg(F.count("*").alias("n"))
 
 
 # --- names -------------------------------------------------------------------
@@ -445,10 +441,15 @@ def output_names(spark, sf_dir):
     return X.media(spark, sf_dir).select("media_id", *folders, naming.clean_path(rel, root, "mirror").alias("cleaned"), name.alias("name"))
 
 
-@query(f"WITH {_MEDIA_SQL} SELECT media_id, row_number() OVER (ORDER BY {_REL}, media_id) AS number FROM m WHERE c < 3")
+@query(f"WITH {_MEDIA_SQL} SELECT media_id, row_number() OVER (ORDER BY {_REL}, media_id) AS number FROM m")
 def running_numbers(spark, sf_dir):
-    images = X.media(spark, sf_dir).where("container <> 'mp4'").select("rel_path", "media_id")
-    return naming.numbered(images, "rel_path", "media_id").select("media_id", "number")
+    """Images and videos share the numbers."""
+    return naming.numbered(X.media(spark, sf_dir).select("rel_path", "media_id"), "rel_path", "media_id").select("media_id", "number")
+
+
+@query(SQL["running_numbers"])
+def whole_numbers(spark, sf_dir):
+    return naming.numbered(_published(spark, sf_dir).select("rel_path", "media_id"), "rel_path", "media_id").select("media_id", "number")
 
 
 @query(f"WITH {_MEDIA_SQL}, r AS (SELECT DISTINCT {_REL} AS rel_path, 'out/' || stem AS out_dir FROM m) SELECT rel_path, out_dir, lag(rel_path) OVER (PARTITION BY out_dir ORDER BY rel_path) AS previous FROM r")
@@ -682,10 +683,12 @@ def output_plans(spark, sf_dir):
     return plans.select("video_id", "label", "key", "out_w", "out_h", F.array_join("chain", "|").alias("chain"))
 
 
-@query(f"""WITH {_BOX_SQL} SELECT video_id, {_E('bw * least(1080 / bw, 1920 / bh)')} AS out_w, {_E('bh * least(1080 / bw, 1920 / bh)')} AS out_h FROM x WHERE fit = 'none' AND NOT short AND NOT empty""")
+@query(f"""WITH {_BOX_SQL}, y AS (SELECT video_id, fit, bw AS src_w, bh AS src_h FROM x WHERE NOT short AND NOT empty)
+SELECT p.video_id, label, key, out_w, out_h, concat_ws('|', printf('crop=%d:%d:%d:%d', bw, bh, bx, by_), nullif(chain, '')) AS chain FROM ({_PLANS_SQL.replace("FROM v ", "FROM y ")}) AS p JOIN x ON p.video_id = x.video_id""")
 def plans_after_crop(spark, sf_dir):
-    cropped = _boxed(spark, sf_dir).where("fit = 'none' AND box IS NOT NULL").withColumn("first_crop", F.col("box"))
-    return video.plan_outputs(cropped).select("video_id", "out_w", "out_h")
+    """All fits, for the videos with a box: it is cut first, and plans start from its size."""
+    plans = video.plan_outputs(_boxed(spark, sf_dir).where("box IS NOT NULL").withColumn("first_crop", F.col("box")))
+    return plans.select("video_id", "label", "key", "out_w", "out_h", F.array_join("chain", "|").alias("chain"))
 
 
 @query(f"WITH {_BOX_SQL} SELECT video_id, CASE WHEN NOT short AND NOT empty AND (bx + bw > src_w OR by_ + bh > src_h) THEN 'crop lies outside the frame' END AS error FROM x")

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from mediasieve.functions import containers as C
 from mediasieve.functions.dictionaries import PNG_KEEP, SIGNATURES, WEBP_META
 from mediasieve.functions.views import FileView, windows
-from mediasieve.operators.records import describe
+from mediasieve.operators.findings import with_findings
+from mediasieve.operators.records import describe, walk_files
 from mediasieve.sources.shared import opened
 
 MODES = {
@@ -211,3 +212,16 @@ def verify(media: DataFrame, keep_adobe: bool = False) -> DataFrame:
 def removed(media: DataFrame, keep_adobe: bool = False) -> DataFrame:
     """(path, kind, label, detail) of findings that cleaning takes away; both sides are inspected in the task that cleans."""
     return clean(media, keep_adobe, with_bytes=False).select("path", F.explode("removed").alias("f")).select("path", "f.*")
+
+
+def removed_between(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
+    """(key, kind, label, detail) of findings of files that their cleaned copies no longer have.
+
+    ``before(path, key)`` and ``after(path, key)`` are listed files of any size;
+    both are walked by ranges, and only their findings are joined. A file
+    without a copy has no removals.
+    """
+    side = lambda files, name: with_findings(walk_files(files.select("path", key), keep=(key,))).select(key, F.transform("findings", lambda f: F.struct(f.kind.alias("kind"), f.label.alias("label"), f.detail.alias("detail"))).alias(name))
+    both = side(before, "old").join(side(after, "left"), key)
+    gone = F.filter("old", lambda f: ~F.array_contains("left", f))
+    return both.select(key, F.explode(gone).alias("f")).select(key, "f.*")
