@@ -41,3 +41,23 @@ def test_evidence_removals_and_numbers_leave_no_kind_out(spark, folder):
     gone = {r.label: r.n for r in QUERIES["whole_removed_by_label"](spark, folder).collect()}
     assert gone["info: comment"] == 2 and gone["udta box"] == 1 and gone["JUMBF box (C2PA container)"] == 1
     assert sorted(r.number for r in QUERIES["whole_numbers"](spark, folder).collect()) == list(range(1, len(TEXTS) + 1))
+
+
+def test_removals_between_files_are_those_of_cleaning(spark, folder, tmp_path):
+    """By file and kind; a file without a copy has none."""
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    from mediasieve.operators import clean
+    from mediasieve.sources.pieces import publish
+
+    media = X.media(spark, folder).select("path", "media_id", "container", "content")
+    name = F.concat(F.col("media_id").cast("string"), F.lit("."), F.col("container")).alias("out_path")
+    publish(media.select("path", name, "content"), f"file://{tmp_path}/old")
+    done = clean.clean(media).join(media.drop("content"), "path").where("media_id <> 5")
+    publish(done.select("path", name, F.col("cleaned").alias("content")), f"file://{tmp_path}/new")
+    listed = lambda some, side: some.select(F.concat(F.lit(f"file://{tmp_path}/{side}/"), name).alias("path"), "media_id")
+    got = clean.removed_between(listed(media, "old"), listed(done, "new"), "media_id").collect()
+    want = clean.removed(media).join(media.select("path", "media_id"), "path").where("media_id <> 5").collect()
+    assert want and Counter((r.media_id, r.kind, r.label, r.detail) for r in got) == Counter((r.media_id, r.kind, r.label, r.detail) for r in want)
