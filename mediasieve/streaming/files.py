@@ -27,7 +27,31 @@ def progress(outcomes: DataFrame) -> DataFrame:
     return outcomes.groupBy("run_id").agg(F.count("*").alias("done"), F.count_if("failed").alias("failed"), F.max(F.struct("ts", "name")).alias("last")).select("run_id", "done", "failed", F.col("last.name").alias("current"))
 
 
-def expired(jobs: DataFrame, now: float, seconds: int = JOB_SECONDS) -> DataFrame:
+def middle(rows: DataFrame, column: str, bins: int = 4096) -> float | None:
+    """The exact median of a column of finite doubles, nulls left out; halfway between the two middle ones of an even number, null for none.
+
+    Values are counted in equal bins from the least to the greatest, and those
+    of the bin that holds the wanted places again, until they are settled: a
+    task, and the driver, get counts of bins, never the values.
+    """
+    values = rows.select(F.col(column).alias("v")).where("v IS NOT NULL")
+    facts = [F.count("*").alias("n"), F.min("v").alias("least"), F.max("v").alias("most")]
+    n, least, most = values.agg(*facts).first()
+    low, high, before = (n - 1) // 2, n // 2, 0
+    while n and least < most:
+        bin_no = F.floor((F.col("v") - least) / (most - least) * bins)
+        counted = sorted(values.where(F.col("v").between(least, most)).groupBy(bin_no.alias("bin")).agg(*facts).collect(), key=lambda b: b.bin)
+        at = 0
+        while before + counted[at].n <= low:
+            before += counted[at].n
+            at += 1
+        if before + counted[at].n <= high:  # the last of one bin and the first of the next
+            return 0.5 * counted[at].most + 0.5 * counted[at + 1].least
+        least, most = counted[at].least, counted[at].most
+    return least
+
+
+def expired(jobs: DataFrame, now: float | None, seconds: int = JOB_SECONDS) -> DataFrame:
     """Those of ``jobs(job_id, created, mtime)`` whose creation or last change is older; a missing folder (null mtime) counts as old."""
     age = F.when(F.col("mtime").isNull(), F.lit(float(seconds + 1))).otherwise(F.greatest(F.lit(now) - F.col("created"), F.lit(now) - F.col("mtime")))
     return jobs.where(age > seconds)

@@ -1,11 +1,16 @@
 import datetime as dt
 import os
+import random
+import statistics
 import time
 
+import pytest
+from conftest import SF
 from pyspark.sql import functions as F
 from test_containers import chunk, jpeg, png, seg
 
 from mediasieve.jobs import reports
+from mediasieve.jobs.queries import QUERIES
 from mediasieve.sources import media as M
 from mediasieve.streaming import files as S
 
@@ -39,6 +44,35 @@ def test_expired_jobs(spark):
     assert sorted(r.job_id for r in S.expired(jobs, 10000.0).collect()) == [1, 3, 4]
 
 
+@pytest.mark.parametrize("shift", ["0 days", "400 days", "-20000 days"])
+def test_jobs_are_judged_at_the_middle_of_their_times(spark, tmp_path, shift):
+    events = spark.read.parquet(f"{SF}/events.parquet").withColumn("ts", F.when(F.col("event_id") % 37 != 0, F.expr(f"ts + INTERVAL {shift}")))
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    rows = [(r.event_id, r.ts and (r.ts - dt.datetime(1970, 1, 1)) / dt.timedelta(seconds=1), r.value) for r in events.collect()]
+    now = statistics.median(t for _, t, _ in rows if t is not None)
+    want = [k for k, t, value in rows if k % 31 == 0 or t is None or max(now - t, now - (t + value * 60)) > 7200]
+    assert sorted(r.job_id for r in QUERIES["expired_jobs"](spark, str(tmp_path)).collect()) == sorted(want)
+
+
+def test_jobs_without_times(spark, tmp_path):
+    events = spark.read.parquet(f"{SF}/events.parquet").limit(3).withColumn("ts", F.lit(None).cast("timestamp_ntz"))
+    for name, found in (("none", events.where("false")), ("untimed", events)):
+        found.write.parquet(str(tmp_path / name / "events.parquet"))
+    assert QUERIES["expired_jobs"](spark, str(tmp_path / "none")).count() == 0
+    assert QUERIES["expired_jobs"](spark, str(tmp_path / "untimed")).count() == 3  # no folder is known of any
+
+
+def test_middle(spark):
+    draw = random.Random(5)
+    cases = [[3.0], [1.0, 2.0], [2.0, 2.0, 2.0], [0.0] * 50 + [1e12] * 50, [0.0] * 51 + [1e12] * 50, [-1e12, *(1.7e9 + k / 1e6 for k in range(200)), 1e15]]
+    cases += [[draw.choice([draw.uniform(-9, 9), float(draw.randrange(4)), 1.7e9 + draw.randrange(10**12) / 1e6]) for _ in range(n)] for n in (99, 100, 1001)]
+    for values in cases:
+        draw.shuffle(values)
+        rows = spark.createDataFrame([(v,) for v in [*values, None]], "v double")
+        assert {S.middle(rows, "v", bins) for bins in (3, 4096)} == {statistics.median(values)}
+    assert S.middle(rows.where("v IS NULL"), "v") is None
+
+
 def test_expiry_stream(spark, tmp_path):
     start = dt.datetime(2024, 1, 1)
     for k, (job, hours) in enumerate([(1, 0), (2, 1), (3, 5), (4, 9)]):
