@@ -1,11 +1,14 @@
 """Frame analytics from whole frames against the tabular forms and plain numpy."""
 
+import hashlib
+import re
 import tracemalloc
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from mediasieve.jobs.queries import QUERIES
 from mediasieve.operators import frames
 from mediasieve.sources import fixtures as X
 
@@ -128,3 +131,24 @@ def test_rebuilt_frames_equal_a_plain_loop(spark):
             want[y : y + h, x : x + w] = np.frombuffer(patches[r.video_id, r.t], np.uint8).reshape(h, w)
         assert r.matched == ((r.video_id, r.t) in patches) and np.array_equal(np.frombuffer(r.gray, np.uint8).reshape(96, 128), want)
     assert {r.matched for r in made if r.video_id == 3} == {False}
+
+
+def moved_columns(df, *kinds):
+    """Names of the columns that exchanges of a plan carry; kinds as plans name them."""
+    plan = df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    found = re.findall(r"\(\d+\) (\w+)\nInput \[\d+\]: \[(.*?)\]\n", plan)
+    assert any(kind == "Exchange" for kind, _ in found)
+    return {c.split("#")[0] for kind, columns in found if kind in kinds for c in columns.split(", ")}
+
+
+def test_recovery_moves_no_frame(spark):
+    """Frames are made where their video lies and stay there; a picture is drawn once for all frames that show it."""
+    assert not {"gray", "patch"} & moved_columns(QUERIES["frame_recovery"](spark, SF), "Exchange")
+    drawn = X.pan_frames(spark, SF).select("video_id", "t", F.sha2("gray", 256).alias("h")).collect()
+    y, x = np.mgrid[0:96, 0:128]
+    x0, y0, w, h = X.MARK
+    for v, t, digest in drawn:
+        at = x + t * (3 + v % 3)
+        a = (128 + 50 * np.sin(at * 0.13 + y * 0.21) + 40 * np.sin(at * 0.071 - y * 0.11) + 25 * np.cos(at * 0.31 + y * 0.017 * at * 0.05)).astype(int)
+        a[y0 : y0 + h, x0 : x0 + w] = 250
+        assert hashlib.sha256(a.astype(np.uint8).tobytes()).hexdigest() == digest
