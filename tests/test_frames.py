@@ -152,3 +152,20 @@ def test_recovery_moves_no_frame(spark):
         a = (128 + 50 * np.sin(at * 0.13 + y * 0.21) + 40 * np.sin(at * 0.071 - y * 0.11) + 25 * np.cos(at * 0.31 + y * 0.017 * at * 0.05)).astype(int)
         a[y0 : y0 + h, x0 : x0 + w] = 250
         assert hashlib.sha256(a.astype(np.uint8).tobytes()).hexdigest() == digest
+
+
+def test_neighbours_stay_within_a_videos_chunks(spark):
+    frame = lambda v, t: (v, t, 1, 1, bytearray(b"x"))
+    known = {1: range(12), 2: range(-7, 31), 3: (0, 40), 4: (5,)}
+    rows = spark.createDataFrame([frame(v, t) for v, ts in known.items() for t in ts] + [frame(4, None)], "video_id long, t int, height int, width int, gray binary")
+    boxes = spark.createDataFrame([(v, 0, 0, 1, 1) for v in known], "video_id long, x int, y int, w int, h int")
+    got = sorted((r.video_id, r.t, r.part) for r in frames.with_neighbours(rows, boxes, 5, 10).collect())
+    want = sorted((v, t, p) for v, ts in known.items() for t in ts for p in range(min(ts) // 10, max(ts) // 10 + 1) if (t - 5) // 10 <= p <= (t + 5) // 10)
+    assert got == want
+
+
+def test_columns_that_nothing_asks_for_do_not_change_what_is_moved():
+    frame = np.random.default_rng(5).integers(0, 255, (40, 90), dtype=np.uint8)
+    for dx, dy in ((0.0, 0.0), (3.25, -1.5), (-60.5, 30.1), (75.0, -39.9)):
+        whole = frames._moved(frame, dx, dy, (0, 0, 90, 40))
+        assert np.array_equal(frames._moved(frame, dx, dy, (30, 7, 51, 33)), whole[7:33, 30:51])
