@@ -169,3 +169,7 @@ def test_columns_that_nothing_asks_for_do_not_change_what_is_moved():
     for dx, dy in ((0.0, 0.0), (3.25, -1.5), (-60.5, 30.1), (75.0, -39.9)):
         whole = frames._moved(frame, dx, dy, (0, 0, 90, 40))
         assert np.array_equal(frames._moved(frame, dx, dy, (30, 7, 51, 33)), whole[7:33, 30:51])
+
+
+def test_rebuilding_moves_no_frame(spark):
+    assert "gray" not in moved_columns(QUERIES["rebuilt_frames"](spark, SF), "Exchange")
