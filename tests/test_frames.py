@@ -173,3 +173,18 @@ def test_columns_that_nothing_asks_for_do_not_change_what_is_moved():
 
 def test_rebuilding_moves_no_frame(spark):
     assert "gray" not in moved_columns(QUERIES["rebuilt_frames"](spark, SF), "Exchange")
+
+
+def test_clips_are_those_of_the_pixels(spark):
+    whole = {(r.video_id, r.t): np.frombuffer(r.gray, np.uint8) for r in X.frame_clips(spark, SF, 3).collect()}
+    pixels = X.frame_pixels(spark, SF, 3).groupBy("video_id", "t").agg(F.array_sort(F.collect_list(F.struct("y", "x", "gray"))).alias("p")).select("video_id", "t", "p.gray").collect()
+    assert len(pixels) == len(whole) and all(np.array_equal(np.array(r.gray), whole[r.video_id, r.t]) for r in pixels)
+
+
+def test_tiles_are_small_and_stay_where_they_are(spark, clips):
+    """Sums take as many bytes as they need, and limits go to the tiles, not tiles to the limits."""
+    for r in frames.packed_moments(clip_rows(spark, clips)).collect():
+        pixels = min(64, r.height - r.ty) * min(64, r.width - r.tx)
+        assert len(r.s) == 2 * pixels and len(r.q) in (2 * pixels, 4 * pixels)
+    assert frames._packed(np.array([1 << 40, 3])) == np.array([1 << 40, 3], "<i8").tobytes()
+    assert not {"s", "q"} & moved_columns(QUERIES["overlay_candidates"](spark, SF), "Exchange", "BroadcastExchange")
