@@ -188,3 +188,7 @@ def test_tiles_are_small_and_stay_where_they_are(spark, clips):
         assert len(r.s) == 2 * pixels and len(r.q) in (2 * pixels, 4 * pixels)
     assert frames._packed(np.array([1 << 40, 3])) == np.array([1 << 40, 3], "<i8").tobytes()
     assert not {"s", "q"} & moved_columns(QUERIES["overlay_candidates"](spark, SF), "Exchange", "BroadcastExchange")
+
+
+def test_bands_are_measured_where_frames_are(spark):
+    assert "gray" not in moved_columns(QUERIES["repair_bands"](spark, SF), "Exchange", "BroadcastExchange")
