@@ -1,5 +1,6 @@
 """Listing, walking and cleaning files by path, the publishing sink, and the grid job."""
 
+import json
 import os
 import random
 import re
@@ -18,6 +19,7 @@ from mediasieve.jobs import grids, reports
 from mediasieve.operators import clean, grid
 from mediasieve.operators.records import describe, describe_file, walk, walk_files
 from mediasieve.sources import fixtures as X
+from mediasieve.sources import pieces
 from mediasieve.sources.listing import list_all, list_files, list_unsupported
 from mediasieve.sources.media import scan
 from mediasieve.sources.pieces import PieceWriter, publish
@@ -252,3 +254,39 @@ def test_describe_of_windows_equals_describe_of_bytes(tmp_path):
     for k, data in enumerate([b"", b"\xff\xd8", b"\x89PNG\r\n\x1a\n" + struct.pack(">I4s", 5, b"tEXt") + b"a\0bcd" + bytes(4), b"RIFF\1\0\0\0WEBPEXIF\xff\0\0\0II", box(b"ftyp", b"isom") + box(b"uuid", b"12")]):
         (tmp_path / str(k)).write_bytes(data)
         assert describe_file(f"file://{tmp_path}/{k}") | {"path": ""} == describe("", data)
+
+
+def test_plans_go_to_pictures_and_no_pixel_moves(spark, monkeypatch):
+    """However small Spark takes pictures for that are made from a small table, and however many plans there are."""
+    from test_frames import moved_columns
+
+    made = X.pictures(spark, SF)
+    outputs = grids.plan_outputs(grids.number_outputs(grid.kept_panels(grid.plan_grids(made.withColumn("rel_path", F.col("path")), keep=("rel_path",)), "rel_path")), full_size=False)
+    few = [tuple(r) for r in grids.cut_outputs(made, outputs).select("path", "out_path", "pixels_sha256").collect()]
+    monkeypatch.setattr(grids, "_FEW", 0)
+    many = grids.cut_outputs(made, outputs).select("path", "out_path", "pixels_sha256")
+    assert not {"rgb", "content"} & moved_columns(many, "Exchange", "BroadcastExchange")
+    assert few and sorted(few) == sorted(tuple(r) for r in many.collect())
+
+
+def test_tasks_move_what_is_staged(spark, tmp_path):
+    """The driver's commit leaves the drafts; moving them again after a lost attempt changes nothing, and drafts that are gone are an error."""
+    root = f"file://{tmp_path}/out"
+    writer = PieceWriter(root, f"file://{tmp_path}/report", "job", later=True)
+    writer.commit([writer.write(iter([batch(("a", "x/a", b"one"), ("b", "../b", None), ("c", "c", b""))])), None])
+    assert os.listdir(tmp_path / "out") == [".staging-job"]
+    staged = [json.loads(x)["manifest"] for x in (tmp_path / "report/staged.jsonl").read_text().splitlines()]
+    for _ in range(2):
+        rows = [r for b in pieces._moved(root)(iter([pa.RecordBatch.from_pydict({"manifest": staged})])) for r in b.to_pylist()]
+        assert [(r["path"], r["written"], r["error"]) for r in rows] == [("a", 3, None), ("b", None, "nothing to write"), ("c", 0, None)]
+        assert (tmp_path / "out/x/a").read_bytes() == b"one" and (tmp_path / "out/c").read_bytes() == b""
+    (tmp_path / "out/c").unlink()
+    with pytest.raises(OSError):
+        list(pieces._moved(root)(iter([pa.RecordBatch.from_pydict({"manifest": staged})])))
+
+
+def test_names_alone_tell_which_paths_are_taken(spark, tmp_path):
+    df = spark.createDataFrame([("a", "1", b"a"), ("b", "1", b"b"), ("c", "2", b"c")], "path string, out_path string, content binary")
+    got = {r.path: (r.written, r.error) for r in publish(df, f"file://{tmp_path}", names=df.select("path", "out_path")).collect()}
+    assert got == {"a": (1, None), "b": (None, "output path is taken"), "c": (1, None)}
+    assert sorted(os.listdir(tmp_path)) == ["1", "2"]
